@@ -27,7 +27,7 @@ from codeloom.llm.common import materialize, running_total, shuffle_partitions,
 CAPACITY = 2048
 GROUPS = 40
 #: Lengths over this share of a sequence are large.
-LARGE = 1 / 8
+LARGE = 1 / 3
 #: Pieces of one block of the ranks.
 BLOCK_ROWS = 50_000
 
