@@ -100,6 +100,10 @@ def split_words(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(at, ends)]
 
 
+#: How the byte-level pre-tokenizer cuts a text. A fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class MergeAutomaton:
     """Tables of the automaton, and walks over them."""
 
@@ -296,6 +300,34 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class LibraryEncoder:
+    """The same ids from the tiktoken library, for operators whose subject isn't encoding.
+
+    It takes a vocabulary whose ids follow the order of the merges; tests hold it against the automaton.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        alphabet, added = byte_alphabet(), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+        self._encode = tiktoken.Encoding("library", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added).encode
+
+    def packed(self, text: str) -> bytes:
+        try:
+            return np.array(self._encode(text, allowed_special="all"), "<u4").tobytes()
+        except ValueError:  # its pattern gives up on very long runs of white space
+            return encoder(self.path).packed(text)
+
+
+@functools.cache
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
+
+
 def _digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
     decimal, labels = own.decimal.__getitem__, own.automaton.labels.__getitem__

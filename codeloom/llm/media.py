@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.llm.common import texts
 
@@ -266,12 +267,14 @@ def sniff_column(values: DataFrame) -> DataFrame:
     """values (media binary, declared string, other columns) plus kind, the corrected type, and found,
     the confirmed media with their places. A null value has neither; columns of those names are replaced."""
     values = values.drop("kind", "found")
-    schema = values.withColumn("kind", F.lit("")).withColumn("found", F.expr("cast(null as array<struct<kind:string,start:bigint,length:bigint>>)")).schema
+    new = T.StructType.fromDDL("kind string, found array<struct<kind:string,start:bigint,length:bigint>>")
+    schema = T.StructType([*values.schema.fields, *new.fields])
     return values.mapInArrow(_sniffed, schema)
 
 
 def carve(sniffed: DataFrame) -> DataFrame:
     """One row for each confirmed medium that doesn't stand for its whole value: number, kind, bytes."""
-    rows = sniffed.select("*", F.posexplode("found").alias("number", "part"))
+    keep = [c for c in sniffed.columns if c not in ("found", "kind", "number")]
+    rows = sniffed.select(*keep, F.posexplode("found").alias("number", "part"))
     whole = (F.col("part.start") == 0) & (F.col("part.length") == F.length("media"))
-    return rows.where(~whole).select(*[c for c in sniffed.columns if c not in ("media", "found", "kind", "number")], "number", F.col("part.kind").alias("kind"), F.expr("substring(media, cast(part.start + 1 as int), cast(part.length as int))").alias("carved"))
+    return rows.where(~whole).select(*[c for c in keep if c != "media"], "number", F.col("part.kind").alias("kind"), F.expr("substring(media, cast(part.start + 1 as int), cast(part.length as int))").alias("carved"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.bpe import default_path, encoder
+from codeloom.llm.bpe import default_path, library_encoder
 from codeloom.llm.common import materialize, running_total, shuffle_partitions, texts
 
 CAPACITY = 2048
@@ -175,7 +175,7 @@ class Plan:
 
 
 def _pieces(path: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = encoder(path)
+    own = library_encoder(path)
     for batch in batches:
         rows: list[list] = [[] for _ in range(5)]
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):

@@ -57,4 +57,98 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_chat, op3_language_id, op4_packing, op5_line_dedup, op6_media, op7_fingerprints, op8_token_counts, op9_secrets, op10_near_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP2_SQL = f"""
+WITH turns AS (
+    SELECT conv_id, conv_id // 2 AS pair, coalesce(role, '{chat.NO_ROLE}') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations
+), last AS (SELECT conv_id, max(i) FILTER (role = '{chat.TRAINED}') AS answer, max(i) AS n FROM turns GROUP BY conv_id),
+rejected AS (
+    SELECT t.conv_id, t.i, t.role, t.text FROM turns t JOIN last l USING (conv_id) WHERE l.answer IS NULL OR t.i < l.answer
+    UNION ALL
+    SELECT l.conv_id, l.answer + o.i - p.answer, o.role, o.text FROM last l JOIN last p ON p.conv_id = xor(l.conv_id, 1)
+    JOIN turns o ON o.conv_id = p.conv_id AND o.i >= p.answer WHERE l.answer IS NOT NULL
+), differ AS (
+    SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, min(coalesce(c.i, r.i)) AS at
+    FROM turns c FULL JOIN rejected r ON c.conv_id = r.conv_id AND c.i = r.i
+    WHERE c.i IS NULL OR r.i IS NULL OR c.role <> r.role OR c.text <> r.text GROUP BY 1
+), shared AS (SELECT l.conv_id, coalesce(d.at - 1, l.n) AS n_common FROM last l LEFT JOIN differ d USING (conv_id)),
+sides AS (SELECT 'c' AS side, conv_id, i, role, text FROM turns UNION ALL SELECT 'r', * FROM rejected),
+rendered AS (
+    SELECT side, s.conv_id, i, role, n_common, i <= n_common AS before, '{chat.BEGIN}' || role || chr(10) || text || '{chat.END}' || chr(10) AS body,
+           length(role) + {len(chat.BEGIN + chat.MIDDLE)} AS lead, length(text) + {len(chat.END)} AS counted
+    FROM sides s JOIN shared USING (conv_id)
+), placed AS (
+    SELECT *, lead + coalesce(sum(length(body)) OVER (PARTITION BY side, conv_id, before ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rendered
+)
+SELECT s.conv_id, s.n_common,
+    coalesce(string_agg(body, '' ORDER BY i) FILTER (side = 'c' AND before), '') AS prompt,
+    coalesce(string_agg(body, '' ORDER BY i) FILTER (side = 'c' AND NOT before), '') AS chosen,
+    coalesce(string_agg(body, '' ORDER BY i) FILTER (side = 'r' AND NOT before), '') AS rejected,
+    coalesce(string_agg(start::BIGINT || ':' || (start + counted)::BIGINT, ',' ORDER BY i) FILTER (side = 'c' AND NOT before AND role = '{chat.TRAINED}'), '') AS chosen_mask,
+    coalesce(string_agg(start::BIGINT || ':' || (start + counted)::BIGINT, ',' ORDER BY i) FILTER (side = 'r' AND NOT before AND role = '{chat.TRAINED}'), '') AS rejected_mask
+FROM shared s LEFT JOIN placed p ON p.conv_id = s.conv_id GROUP BY s.conv_id, s.n_common
+"""
+
+OP5_SQL = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+    SELECT r, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM docs
+), keyed AS (SELECT *, translate(trim(line, {WHITE}), {ASCII_LOWER}) AS key FROM lines),
+frequent AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= {linededup.LIMIT}),
+marked AS (SELECT k.r, k.i, k.line, f.key IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f USING (key))
+SELECT d.doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked m JOIN docs d USING (r) GROUP BY m.r, d.doc_id
+"""
+
+
+def _spans_sql(rules: tuple[secretscan.Rule, ...]) -> str:
+    """Spans of each rule in documents: rank, kind, start and end."""
+    parts = []
+    for rank, rule in enumerate(rules):
+        pattern = rule.pattern.replace("\\x20", " ").replace("'", "''")
+        if "(?i:" in pattern:  # letters in either case, and no others that fold to them
+            head, rest = pattern.split("(?i:", 1)
+            words, rest = rest.split(")", 1)
+            pattern = head + "(?:" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words) + ")" + rest
+        parts.append(f"""
+            SELECT r, {rank} AS rank, '{rule.kind}' AS kind, unnest(list_transform(range(1, len(whole) + 1), lambda i: {{
+                'start': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda m: length(m))), 0),
+                'size': length(whole[i]), 'own': length(own[i])}})) AS s
+            FROM (SELECT r, regexp_extract_all(text, '{pattern}', 0) AS whole, {f"regexp_extract_all(text, '{pattern}', {rule.group})" if rule.group else "whole"} AS own, string_split_regex(text, '{pattern}') AS gaps FROM docs WHERE regexp_matches(text, '{rule.probe or pattern}'))""")
+    least = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(rules))
+    return f"SELECT r, rank, kind, s.start::BIGINT AS start, (s.start + s.size)::BIGINT AS stop FROM ({' UNION ALL '.join(parts)}) WHERE s.own >= CASE rank {least} END"
+
+
+OP9_SQL = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+spans AS ({_spans_sql(secretscan.RULES)}),
+listed AS (
+    SELECT r, {", ".join(f"count(*) FILTER (kind = '{x.kind}') AS n_{x.kind}" for x in secretscan.BASE)},
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < {len(secretscan.BASE)}) AS base,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{x.kind}, 0) AS n_{x.kind}" for x in secretscan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (r)
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {ASCII_LOWER}), '[ \\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {neardup.PERCENT} * (a.n + b.n - count(*))
+), reach AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.node) AS component_id, s.doc_id = min(r.node) AS kept
+FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
+"""
+
+#: Encoding, learning, packing, media files and signatures are beyond SQL; tests/llm holds those queries against plain Python.
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_secrets": OP9_SQL, "op10_near_dedup": OP10_SQL}

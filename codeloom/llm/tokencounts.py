@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.llm.bpe import default_path, encoder
+from codeloom.llm.bpe import default_path, library_encoder
 from codeloom.llm.common import running_total, texts
 
 #: Lengths in a block of the two-step sums.
@@ -24,7 +24,7 @@ BLOCK = 1024
 
 
 def _counted(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = encoder(path)
+    own = library_encoder(path)
     found: Counter[int] = Counter()
     for batch in batches:
         found.update(len(own.packed(text.as_py())) // 4 for text in batch.column("text"))

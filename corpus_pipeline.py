@@ -1,12 +1,64 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents. A stage's result is written and read again before the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.llm import langid, linededup, neardup, packing, secretscan
+from codeloom.llm.common import materialize
+
+
+def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The columns of docs; n_chars follows the text, if there is such a column."""
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = changed.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents that aren't held out; documents whose text has no language
+    (null, or without a letter) go, all others stay as they are."""
+    # the answer goes beside the columns of docs under a name that none of them has
+    named = docs.select(*[F.col(c).alias(f"__{c}") for c in docs.columns], F.coalesce("text", F.lit("")).cast("string").alias("text"))
+    kept = langid.predict(named, langid.learn(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
+    return kept.select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go; every document stays, if need be with an empty text."""
+    return _with_text(docs, linededup.deduplicate_lines(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; every document stays."""
+    return _with_text(docs, secretscan.redact(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens, dealt to sequences: one row for each piece."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
 
-STAGES: list = []
+#: Learning and encoding are beyond SQL; tests/llm holds run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,0 +1,238 @@
+"""Chat, language ID, line dedup, media and secrets against plain Python."""
+
+import collections
+import gzip
+import hashlib
+import io
+import random
+import re
+import struct
+import zipfile
+import zlib
+
+import numpy as np
+import pytest
+
+from codeloom.llm import chat, langid, linededup, media, queries, secretscan
+
+
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+
+
+# chat
+
+
+def plain_preference(chosen, rejected):
+    n = 0
+    while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
+        n += 1
+    shown = lambda turns: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+
+    def mask(turns):
+        out, at = [], 0
+        for role, text in turns:
+            start = at + len(f"<|im_start|>{role}\n")
+            if role == "assistant":
+                out.append((start, start + len(text) + len("<|im_end|>")))
+            at += len(f"<|im_start|>{role}\n{text}<|im_end|>\n")
+        return out
+
+    return n, shown(chosen[:n]), shown(chosen[n:]), shown(rejected[n:]), mask(chosen[n:]), mask(rejected[n:])
+
+
+def test_preferences(spark):
+    rng = random.Random(1)
+    turn = lambda: (rng.choice(["user", "assistant", "system"]), rng.choice(["", "a", "héé 🙂", "b\nc"]))
+    rows = [([turn() for _ in range(rng.randint(0, 6))], [turn() for _ in range(rng.randint(0, 6))]) for _ in range(60)]
+    rows += [(a, a[: rng.randint(0, len(a))] + b) for a, b in rows] + [(a, a) for a, _ in rows[:5]]
+    pairs = spark.createDataFrame([(i, a, b, "clash") for i, (a, b) in enumerate(rows)], f"i int, chosen {chat.TURNS}, rejected {chat.TURNS}, prompt string")
+    for r in chat.preferences(pairs).collect():
+        got = (r.n_common, r.prompt, r.chosen_text, r.rejected_text, [tuple(x) for x in r.chosen_mask], [tuple(x) for x in r.rejected_mask])
+        assert got == plain_preference(*rows[r.i])
+    nulls = spark.createDataFrame([(None, [(None, None)])], f"chosen {chat.TURNS}, rejected {chat.TURNS}")
+    assert chat.preferences(nulls).first()["rejected_text"] == "<|im_start|>unknown\n<|im_end|>\n"
+
+
+def test_paired_bears_odd_rows(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (2, None, None, None), (None, 0, "user", "x"), (5, 0, "user", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'clash' as pair", "'clash' as chosen")
+    got = {r.conv_id: r for r in chat.preference_rows(df).collect()}
+    assert set(got) == {0, 1, 2, None, 5}
+    assert (got[0].n_common, got[0].chosen, got[0].rejected) == (1, "<|im_start|>assistant\na<|im_end|>\n", "<|im_start|>assistant\nb<|im_end|>\n")
+    assert got[1].n_common == 2 and got[5].rejected == ""
+    assert chat.preference_rows(df.limit(0)).count() == 0
+
+
+# language ID
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    sf_dir = sf_dir.replace("0.001", "0.01")
+    truth = {r.doc_id: r.lang for r in documents(spark, sf_dir)}
+    rows = queries.op3_language_id(spark, sf_dir).collect()
+    assert len(rows) == len(truth)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_languages_of_one_family_and_of_none(spark, odd, empty):
+    rng = random.Random(2)
+    words = {"fr": ["le", "chien", "où", "très"], "es": ["el", "perro", "niño", "muy"], "xx": ["zzq", "qqz"], "it": ["il", "cane", "perché"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(3, 30))), lang) for i, lang in enumerate(["fr", "es", "xx", "it"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in langid.identify(df).collect())
+    got = langid.identify(odd).collect()
+    assert len(got) == odd.count()
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id] or "")) for r in got)
+    assert langid.identify(empty).count() == 0
+    assert {r.lang_pred for r in langid.identify(df.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+# line dedup
+
+
+def plain_lines(texts, limit=10):
+    key = lambda line: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate({c: c + 32 for c in range(65, 91)})
+    split = [(t or "").split("\n") for t in texts]
+    n = collections.Counter(k for lines in split for k in {key(x) for x in lines} if k)
+    out = []
+    for lines in split:
+        kept = [x for x in lines if n[key(x)] < limit]
+        out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("way", ["filters", "join"])
+def test_line_dedup(spark, sf_dir, odd, empty, way, monkeypatch):
+    if way == "join":
+        monkeypatch.setattr(linededup, "FILTER_BYTES", -1)
+    for df, limit in ((spark.read.parquet(f"{sf_dir}/documents.parquet"), 3), (odd, 2)):
+        rows = df.collect()
+        want = collections.Counter((r.doc_id, *x) for r, x in zip(rows, plain_lines([r.text for r in rows], limit)))
+        assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in linededup.deduplicate_lines(df, limit).collect()) == want
+    assert linededup.deduplicate_lines(empty).count() == 0
+
+
+def test_filters_may_err_but_the_counts_do_not(spark, sf_dir, monkeypatch):
+    """Keys that a filter wrongly takes for frequent are found among the counts and left alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index = linededup.LineIndex.of(docs, 3)
+    stray = [tuple(r)[:2] for r in index.refs.where("refs < 3").limit(50).collect()]
+    own = linededup.CuckooFilter.of(np.array(stray + [tuple(r)[:2] for r in index.refs.where("refs >= 3").collect()]))
+    index.filters = spark.createDataFrame([(0, len(stray), own.table.tobytes())], "shard long, n long, filter binary")
+    want = collections.Counter(plain_lines([r.text for r in docs.collect()], 3))
+    assert collections.Counter((r.n_lines, r.n_dropped, r.text) for r in index.dedup(docs).collect()) == want
+
+
+def test_index_is_reversible(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first, second = docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0")
+    half = linededup.LineIndex.of(first, 3)
+    whole = half.insert(second)
+    back = whole.delete(second)
+    counts = lambda index: sorted(tuple(r) for r in index.refs.collect())
+    assert counts(whole) == counts(linededup.LineIndex.of(docs, 3)) and counts(back) == counts(half)
+    for index in (whole, back):
+        frequent = np.array([r[:2] for r in counts(index) if r[2] >= 3])
+        filters = {r.shard: linededup.CuckooFilter(data=bytes(r["filter"])) for r in index.filters.collect()}
+        assert linededup._positive(filters, index.shards, frequent).all()
+        assert sum(r.n for r in index.filters.collect()) == len(frequent) == sum(int((f.table > 0).sum()) for f in filters.values())
+    want = collections.Counter(plain_lines([r.text for r in docs.collect()], 3))
+    assert collections.Counter((r.n_lines, r.n_dropped, r.text) for r in whole.dedup(docs).collect()) == want
+
+
+def test_cuckoo_filter():
+    rng = np.random.default_rng(0)
+    keys = rng.integers(-(1 << 62), 1 << 62, (5000, 2))
+    own = linededup.CuckooFilter.of(keys)
+    assert own.holds(keys).all() and own.holds(rng.integers(-(1 << 62), 1 << 62, (5000, 2))).sum() < 3
+    assert all(own.delete(a, b) for a, b in keys[:2500].tolist())
+    assert own.holds(keys[2500:]).all() and own.holds(keys[:2500]).sum() < 3
+
+
+# media
+
+
+def test_media_query(spark, sf_dir, odd, empty):
+    texts = {r.doc_id: r.text or "" for r in documents(spark, sf_dir)}
+    rows = queries.op6_media(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        payload = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stored = media.as_wav(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and r.feature.startswith("audio/wav;")
+    assert media.text_media(odd).count() == odd.count() and media.text_media(empty).count() == 0
+
+
+def samples():
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0" * 6 + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02\x12\xff\x00\x34\xff\xd9"
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a.txt", "hello")
+    ogg = b"OggS\0\x04" + b"\0" * 20 + b"\x01\x03abc"
+    pdf = b"%PDF-1.4\nx\nstartxref\n0\n%%EOF"
+    return {"image/png": png, "image/gif": gif, "image/jpeg": jpeg, "application/zip": box.getvalue(), "application/gzip": gzip.compress(b"hello"), "audio/ogg": ogg, "application/pdf": pdf, "audio/wav": media.as_wav(b"abc")}
+
+
+def test_sniffs_validates_corrects_and_carves(spark):
+    for kind, data in samples().items():
+        assert media.sniff(data)[0] == (kind, 0, len(data)), kind
+        assert (kind, 3, len(data)) in media.sniff(b"abc" + data + b"tail")
+        assert not any(m.start == 0 and m.kind == kind for m in media.sniff(data[: len(data) - 3])), kind
+    png, wav = samples()["image/png"], samples()["audio/wav"]
+    nested = media.as_wav(b"zz" + png + b"yy")
+    rows = [(1, "image/gif", png), (2, "text/plain", b"hello"), (3, "image/png", b"hello"), (4, None, nested), (5, "x", None), (6, None, b""), (7, None, png + wav)]
+    out = media.sniff_column(spark.createDataFrame(rows, "id int, declared string, media binary").selectExpr("*", "'clash' as kind", "1 as number"))
+    assert {r.id: r.kind for r in out.collect()} == {1: "image/png", 2: "text/plain", 3: media.UNKNOWN, 4: "audio/wav", 5: None, 6: media.UNKNOWN, 7: "image/png"}
+    assert {(r.id, r.kind, bytes(r.carved)) for r in media.carve(out).collect()} == {(4, "image/png", png), (7, "image/png", png), (7, "audio/wav", wav)}
+
+
+# secrets
+
+
+def test_trigram_queries():
+    assert secretscan.trigram_query(r"AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
+    assert secretscan.trigram_query(r"[0-9a-f]+") is None
+    words = secretscan.trigram_query(secretscan.BASE[0].pattern)
+    assert frozenset({"tok", "oke", "ken"}) in words and frozenset({"api", "pik", "ike", "key"}) in words and len(words) == 6
+    assert secretscan.trigram_query(r"(abc|x*)d") is None
+    assert secretscan.trigram_query(r"ab?cdef") == {frozenset({"abc", "bcd", "cde", "def"}), frozenset({"acd", "cde", "def"})}
+
+
+def test_secrets(spark, sf_dir, odd, empty):
+    rng = random.Random(5)
+    parts = ["token", "=", ":", " ", "SECRET", "api_key", "apikey", "'", '"', "passwd", "abcdef", "ab", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "0123456789", "é", "🙂", "\n", "ſecret", "toKen", "ghp_", "-----BEGIN RSA PRIVATE KEY-----"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 25)))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    listed = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
+    hits = 0
+    for r in secretscan.scan(docs).collect():
+        want = secretscan.brute_force(texts[r.doc_id])
+        base = [s for s in want if s[1] < 3]
+        hits += len(base)
+        assert r.spans == listed(want), texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == i for s in base) for i in range(3))
+    assert hits > 300
+    assert secretscan.scan(odd).count() == odd.count() and secretscan.scan(empty).count() == 0
+    for r in secretscan.redact(docs).collect():
+        text, out, at = texts[r.doc_id], "", 0
+        for a, _, _, b in secretscan.brute_force(text):
+            out, at = (out + text[at:a] + secretscan.REDACTED, b) if a >= at else (out, max(at, b))
+        assert r.text == out + text[at:]
+    assert secretscan.redact(odd).columns == odd.columns and secretscan.redact(odd).where("text is null").count() == 1
+
+
+def test_native_plans(spark, sf_dir):
+    for name in ("op2_chat", "op9_secrets"):
+        plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
