@@ -28,8 +28,9 @@ BAND_ROWS = 4
 PERCENT = 75
 #: Pairs whose signatures agree in a smaller share can't be links: 6.5 standard deviations below.
 SIFT = 0.5
-#: Rounds with new centres go on while more pairs than this for each class would be left to compare.
-PAIRS_FOR_EACH = 4
+#: Rounds with new centres go on while more pairs than this for each class that shares a bucket (it may be in as
+#: many buckets as there are bands) would be left to compare.
+PAIRS_FOR_EACH = 16
 ROUNDS = 6
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, minima binary, bands array<long>"
@@ -154,11 +155,13 @@ def linked_classes(sketch: DataFrame, docs: DataFrame, percent: int = PERCENT) -
 
 
 def _open(members: DataFrame) -> tuple[DataFrame, int, DataFrame]:
-    """Members of the buckets that hold several components, with the bucket's main one; how many pairs of them are in different components; the members outside the main ones."""
+    """Members of the buckets that hold several components, with the bucket's main one; how many pairs of
+    them are in different components; the members outside the main ones. A bucket of two has been
+    compared whole, as one of them is its centre."""
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("components")).where("components > 1")
-    several = materialize(several.select("bucket", F.col("top.component").alias("main"), (F.col("all") - F.col("top.n")).alias("outside"), "all"), "open")
-    pairs = several.agg(F.sum(F.col("outside").cast("double") * F.col("all"))).first()[0]
+    several = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("every"), F.count("*").alias("components")).where("components > 1 and every > 2")
+    several = materialize(several.select("bucket", F.col("top.component").alias("main"), (F.col("every") - F.col("top.n")).alias("outside"), "every"), "open")
+    pairs = several.agg(F.sum(F.col("outside").cast("double") * F.col("every"))).first()[0]
     open_ = members.join(several.select("bucket", "main"), "bucket").select("bucket", "doc_id", "component", "main")
     return open_, int(pairs or 0), open_.where("component <> main")
 

@@ -201,4 +201,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def brute_force(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, str, int]]:
     """The same spans by trying every rule on the text, for tests."""
     text = text or ""
-    return sorted((m.start(), i, r.kind, m.end()) for i, r in enumerate(rules) for m in re.finditer(r.pattern, text) if len(m.group(r.group)) >= r.least)
+    return sorted((m.start(), i, r.kind, m.end()) for i, r in enumerate(rules) for m in re.finditer(r.pattern, text, re.ASCII) if len(m.group(r.group)) >= r.least)
