@@ -1,0 +1 @@
+"""Whole jobs: build, search, and the queries of the driver contract."""
