@@ -307,7 +307,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, lang, source, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 10 END AS part, length(text) AS size FROM documents)) WHERE i = 1""",
     "vector_resize": """SELECT vec_id, 48::INT AS size_48, 80::INT AS size_80, round(sqrt(list_sum(list_transform(embedding[1:48], lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm_48,
         round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm_80 FROM embeddings""",
-    "knn_single": f"SELECT row_number() OVER (ORDER BY d, vec_id)::INT AS rank, vec_id, round(d, 6) AS d2, round(1 / (1 + d), 6) AS score, lang, source FROM (SELECT * FROM ({ONE_SQL}) ORDER BY d, vec_id LIMIT 10) JOIN documents ON doc_id = vec_id",
+    "knn_single": f"SELECT rank, vec_id, round(d, 6) AS d2, round(1 / (1 + d), 6) AS score, lang, source FROM (SELECT *, row_number() OVER (ORDER BY d, vec_id)::INT AS rank FROM ({ONE_SQL}) ORDER BY d, vec_id LIMIT 10) JOIN documents ON doc_id = vec_id",
     "knn_batch": f"""SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round({D2_SQL.format(a='v.embedding', b='q.embedding')}, 6) AS d2, round(1 / (1 + {D2_SQL.format(a='v.embedding', b='q.embedding')}), 6) AS score,
         (row_number() OVER (PARTITION BY q.vec_id ORDER BY {D2_SQL.format(a='v.embedding', b='q.embedding')}, v.vec_id))::INT AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20) WHERE rank <= 5""",
     "knn_filtered": f"SELECT vec_id, round(d, 6) AS d2, round(1 / (1 + d), 6) AS score, row_number() OVER (ORDER BY d, vec_id)::INT AS rank FROM (SELECT * FROM ({ONE_SQL}) WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY d, vec_id LIMIT 10)",
@@ -326,6 +326,6 @@ ORACLE_SQL: dict[str, str] = {
     "query_history": f"""SELECT query, max(ts) AS ts FROM (SELECT lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS query, conv_id * 1000 + turn AS ts FROM conversations WHERE role = 'user')
         WHERE contains(query, 'a') GROUP BY query ORDER BY ts DESC, query LIMIT {history.KEEP}""",
     "error_histogram": "SELECT 'Error' || (user_id % 7) AS error_type, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
-    "result_rows": f"""SELECT row_number() OVER (ORDER BY d, vec_id)::INT AS rank, vec_id, left(text, {T.PREVIEW_JSON}) AS content, source, printf('%.2f', round(1 / (1 + d), 6)) AS shown
-        FROM (SELECT * FROM ({ONE_SQL.replace('vec_id = 0', 'vec_id = 1')}) ORDER BY d, vec_id LIMIT 10) JOIN documents ON doc_id = vec_id""",
+    "result_rows": f"""SELECT rank, vec_id, left(text, {T.PREVIEW_JSON}) AS content, source, printf('%.2f', round(1 / (1 + d), 6)) AS shown
+        FROM (SELECT *, row_number() OVER (ORDER BY d, vec_id)::INT AS rank FROM ({ONE_SQL.replace('vec_id = 0', 'vec_id = 1')}) ORDER BY d, vec_id LIMIT 10) JOIN documents ON doc_id = vec_id""",
 }
