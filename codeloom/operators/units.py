@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.extract import erlang, java, python
+from codeloom.functions import paths as P
 from codeloom.functions import text as T
 from codeloom.sources import repository
 
@@ -19,6 +20,8 @@ OPTIONAL = {".erl": erlang.units}
 #: Files that have no unit of their own beside what is found in them.
 WITHOUT_FILE = (".java",)
 
+ROWS_AT_ONCE = 500
+
 UNIT = "path string, rel_path string, extension string, size long, pos int, content string, unit_type string, name string, package string, class_name string, error string, error_type string"
 
 
@@ -40,22 +43,49 @@ def parse(files: DataFrame, *, erlang_too: bool = False) -> DataFrame:
     """
     scanners = SCANNERS | (OPTIONAL if erlang_too else {})
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for row in part.itertuples(index=False):
+    def scan(row) -> list[tuple]:
+        try:
+            text = repository.read_text(row.path)
+        except Exception as why:
+            return _rows(row, [], why)
+        return _rows(row, *of_text(row.rel_path, text, scanners))
+
+    return _cut(files.select("path", "rel_path", "extension", "size").mapInPandas(lambda it: _scanned(scan, it), UNIT))
+
+
+def parse_texts(texts: DataFrame, *, erlang_too: bool = False) -> DataFrame:
+    """The same for rows rel_path, content, which any source may give."""
+    scanners = SCANNERS | (OPTIONAL if erlang_too else {})
+
+    def scan(row) -> list[tuple]:
+        return _rows(row, *of_text(row.rel_path, row.content, scanners))
+
+    rows = texts.select(F.col("rel_path").alias("path"), "rel_path", P.extension("rel_path").alias("extension"), F.octet_length("content").cast("long").alias("size"), F.coalesce("content", F.lit("")).alias("content"))
+    return _cut(rows.mapInPandas(lambda it: _scanned(scan, it), UNIT))
+
+
+def _scanned(scan: Callable, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns, out = [x.split()[0] for x in UNIT.split(", ")], []
+    for part in parts:
+        for row in part.itertuples(index=False):
+            out += scan(row)
+            if len(out) >= ROWS_AT_ONCE:
+                yield pd.DataFrame(out, columns=columns)
                 out = []
-                try:
-                    found, why = of_text(row.rel_path, repository.read_text(row.path), scanners)
-                except Exception as broken:
-                    found, why = [], broken
-                folder = os.path.dirname(row.rel_path).replace("/", ".") or None
-                for pos, (kind, name, content, owner) in enumerate(found):
-                    out.append((row.path, row.rel_path, row.extension, row.size, pos, content, kind, name, folder, owner, None, None))
-                if why is not None or not found:
-                    out.append((row.path, row.rel_path, row.extension, row.size, len(found), None, None, None, folder, None, *((str(why), type(why).__name__) if why else (None, None))))
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in UNIT.split(", ")])
-
-    rows = files.select("path", "rel_path", "extension", "size").mapInPandas(run, UNIT)
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _rows(row, found: list[tuple], why: Exception | None) -> list[tuple]:
+    folder = os.path.dirname(row.rel_path).replace("/", ".") or None
+    file = (row.path, row.rel_path, row.extension, row.size)
+    out = [(*file, pos, content, kind, name, folder, owner, None, None) for pos, (kind, name, content, owner) in enumerate(found)]
+    if why is not None or not found:
+        out.append((*file, len(found), None, None, None, folder, None, *((str(why), type(why).__name__) if why else (None, None))))
+    return out
+
+
+def _cut(rows: DataFrame) -> DataFrame:
     cut = F.when(F.col("unit_type").isin("method", "function"), T.truncate_unit("content")).otherwise(F.col("content"))
     return rows.withColumn("content", cut)
 

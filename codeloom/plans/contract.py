@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from codeloom.functions import paths as P
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
-from codeloom.operators import batching, cache, catalog, embed, history, incremental, index, report
-from codeloom.sources import repository
+from codeloom.operators import batching, cache, catalog, embed, history, incremental, index, report, units
+from codeloom.sources import ignore, repository
 
 DIMENSIONS = 64
 EXTENSIONS = (".java", ".py", ".xml", ".PNG", ".txt", "", ".tar.gz")
@@ -254,6 +254,47 @@ def files_by_extension(spark, sf_dir):
     return report.files_by_extension(_paths(spark, sf_dir).withColumnRenamed("ext", "extension"))
 
 
+RULES = ("src1/", "*.tar.gz", "/repo/src2/en", "repo/**/d*7.py", "!d17.py", "# note")
+
+
+def ignored_paths(spark, sf_dir):
+    rows = _paths(spark, sf_dir)
+    return rows.select("doc_id", ignore.ignored(F.col("path"), ignore.Ignore(list(RULES))).alias("ignored"))
+
+
+def sanitize_extreme(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(T.sanitize_extreme("text")).alias("clean"))
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    """A Python or a Java file for each document."""
+    d = F.col("doc_id").cast("string")
+    python = F.concat(F.lit("class P"), d, F.lit("(Base):\n    size = "), d, F.lit('\n\n    def grow(self, by=(1, 2)):\n        return "'), "source", F.lit('"\n\ndef make'), d, F.lit('(): return "é"\n'))
+    java = F.concat(F.lit("package x;\n// class No { }\npublic class J"), d, F.lit(" extends Base implements One, Two {\n  int size = "), d, F.lit(";\n  public String name(final int a) { return \"}"), "source", F.lit("\"; }\n}\n"))
+    even = F.col("doc_id") % 2 == 0
+    rows = _table(spark, sf_dir, "documents")
+    return rows.select(F.concat(F.lit("src/"), "lang", F.when(even, F.lit("/P")).otherwise(F.lit("/J")), d, F.when(even, F.lit(".py")).otherwise(F.lit(".java"))).alias("rel_path"), F.when(even, python).otherwise(java).alias("content"))
+
+
+def code_units(spark, sf_dir):
+    parsed = units.parse_texts(_sources(spark, sf_dir))
+    return parsed.select("rel_path", F.col("pos").cast("long").alias("pos"), "unit_type", "name", "package", "class_name", F.md5("content").alias("content_hash"))
+
+
+def code_unit_ids(spark, sf_dir):
+    """Place of each unit in the order of folder, file and position."""
+    return units.numbered(units.parse_texts(_sources(spark, sf_dir))).select("unit_id", "path", "unit_type", "name")
+
+
+def catalog_reusable(spark, sf_dir):
+    """The newest version of one repository at another commit."""
+    rows = _registry(spark, sf_dir)
+    one = rows.where("commit is not null").agg(F.min(F.struct("repo_name", "path_hash", "commit")).alias("r")).select("r.*").head()
+    if one is None:
+        return rows.limit(0).select("repo_name", "index_name", "commit")
+    return catalog.reusable(rows, one["repo_name"], one["path_hash"], one["commit"]).select("repo_name", "index_name", "commit")
+
+
 def stable_ids(spark, sf_dir):
     """Each document's place in the order of ids."""
     return batching.positions(_documents(spark, sf_dir).select("doc_id"), "doc_id")
@@ -264,9 +305,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         knn_single, knn_batch, knn_filtered, units_by_type, units_by_language, corpus_totals, largest_units, content_hash_dedup, path_parts, skip_reason_counts, files_by_extension, token_estimate, sanitize_basic, sanitize_aggressive, prepare_text,
         truncate_unit, preview, batch_plan, stable_ids, cache_lookup, cache_merge, change_detection, change_counts, incremental_units, identity_dedup, vector_resize, hashed_embedding, text_search, catalog_latest, catalog_display, query_history, error_histogram, result_rows,
+        ignored_paths, sanitize_extreme, code_units, code_unit_ids, catalog_reusable,
     )
 }
 
+#: The files of _sources, and the units that each must give.
+SOURCES_SQL = """docs AS (SELECT doc_id AS d, lang, source, 'src/' || lang || (CASE WHEN doc_id % 2 = 0 THEN '/P' || doc_id || '.py' ELSE '/J' || doc_id || '.java' END) AS rel_path FROM documents),
+found AS (
+    SELECT rel_path, lang, 0 AS pos, 'file' AS unit_type, 'P' || d || '.py' AS name, NULL AS class_name,
+        'class P' || d || '(Base):' || chr(10) || '    size = ' || d || chr(10) || chr(10) || '    def grow(self, by=(1, 2)):' || chr(10) || '        return "' || source || '"' || chr(10) || chr(10) || 'def make' || d || '(): return "é"' || chr(10) AS content FROM docs WHERE d % 2 = 0
+    UNION ALL SELECT rel_path, lang, 1, 'class', 'P' || d, NULL, 'class P' || d || '(Base): ... {' || chr(10) || '  size' || chr(10) || '  grow(self, by=(1, 2))' || chr(10) || '}' FROM docs WHERE d % 2 = 0
+    UNION ALL SELECT rel_path, lang, 2, 'method', 'grow', 'P' || d, 'def grow(self, by=(1, 2)):' || chr(10) || '        return "' || source || '"' FROM docs WHERE d % 2 = 0
+    UNION ALL SELECT rel_path, lang, 3, 'function', 'make' || d, NULL, 'def make' || d || '(): return "é"' FROM docs WHERE d % 2 = 0
+    UNION ALL SELECT rel_path, lang, 0, 'class', 'J' || d, NULL, 'class J' || d || ' extends Base implements One, Two: ... {' || chr(10) || '  int size' || chr(10) || '  String name(int a)' || chr(10) || '}' FROM docs WHERE d % 2 = 1
+    UNION ALL SELECT rel_path, lang, 1, 'method', 'name', 'J' || d, 'public String name(final int a) { return "}' || source || '"; }' FROM docs WHERE d % 2 = 1
+)"""
+
 TOKENS_SQL = "CASE WHEN length({t}) = 0 THEN 0 ELSE length({t}) // 3 + 2 END"
 CLEAN_SQL = "regexp_replace(regexp_replace({t}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g'), '[\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{FEFF}}]', '', 'g')"
 BLANK_SQL = "regexp_full_match({t}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]*')"
@@ -296,6 +350,14 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT *, (pos % {batching.BATCH}) // (CASE WHEN total > {batching.TOKENS_PER_BATCH} THEN greatest(1, n // (total // {batching.TOKENS_PER_BATCH} * 2 + 1)) ELSE n END) AS chunk FROM s),
         t AS (SELECT *, sum(tokens) OVER (PARTITION BY batch, chunk)::BIGINT AS chunk_tokens FROM c)
         SELECT doc_id, tokens, pos, batch, chunk, chunk_tokens, chunk_tokens > {T.TOKENS_PER_TEXT} AS single FROM t""",
+    "ignored_paths": f"""SELECT doc_id, CASE WHEN regexp_matches(path, '(^|/)d17\\.py$') THEN false
+        ELSE path LIKE '%/src1/%' OR path LIKE '%.tar.gz' OR path LIKE 'repo/src2/en/%' OR regexp_matches(path, '^repo/(.*/)?d[^/]*7\\.py$') END AS ignored FROM ({PATHS_SQL})""",
+    "sanitize_extreme": f"""SELECT doc_id, md5(CASE WHEN c = '' THEN '{T.PLACEHOLDER}' ELSE c END) AS clean FROM (
+        SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s\\p{{Z}}]', ' ', 'g'), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS c FROM documents)""",
+    "code_units": f"WITH {SOURCES_SQL} SELECT rel_path, pos, unit_type, name, 'src.' || lang AS package, class_name, md5(content) AS content_hash FROM found",
+    "code_unit_ids": f"WITH {SOURCES_SQL} SELECT row_number() OVER (ORDER BY 'src/' || lang, rel_path, pos) - 1 AS unit_id, rel_path AS path, unit_type, name FROM found",
+    "catalog_reusable": f"""WITH {REGISTRY_SQL}, one AS (SELECT repo_name, path_hash, commit FROM registry WHERE commit IS NOT NULL ORDER BY repo_name, path_hash, commit LIMIT 1)
+        SELECT r.repo_name, index_name, r.commit FROM registry r JOIN one o ON r.repo_name = o.repo_name AND r.path_hash = o.path_hash AND r.commit <> o.commit ORDER BY indexed_on DESC, index_name LIMIT 1""",
     "stable_ids": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents",
     "cache_lookup": "WITH c AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 3 = 0) SELECT count(*) FILTER (h IS NOT NULL) AS hits, count(*) FILTER (h IS NULL) AS misses FROM documents LEFT JOIN c ON md5(text) = h",
     "cache_merge": "SELECT md5(text) AS content_hash, CASE WHEN bool_or(doc_id % 5 = 0) THEN 'new' WHEN bool_or(doc_id % 3 = 0) THEN 'shared' ELSE 'old' END AS origin FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0 GROUP BY 1",

@@ -6,6 +6,9 @@ import os
 import re
 from typing import NamedTuple
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 class Pattern(NamedTuple):
     regex: str
@@ -79,6 +82,15 @@ class Ignore:
         return found
 
 
+def ignored(rel_path: Column, rules: Ignore) -> Column:
+    """The same for files as a column: the last pattern that covers the path or a folder above it decides."""
+    found = F.lit(None).cast("boolean")
+    for p in rules.patterns:
+        below = "/.*" if p.folders_only else "(?:/.*)?"
+        found = F.when(F.rlike(rel_path, F.lit(f"(?s){p.regex[:-1]}{below}$")), F.lit(not p.negated)).otherwise(found)
+    return F.coalesce(found, F.lit(False))
+
+
 def load(root: str) -> Ignore:
     """The rules of .gitignore in the root; without the file, or if it can't be read, only .git/."""
     try:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.extract import erlang, java, python
 from codeloom.operators import units as U
@@ -64,5 +65,8 @@ def test_files_without_a_scanner_are_one_unit():
         (["f?o"], "foo", False, True), (["f?o"], "f/o", False, False), (["[a-c].x"], "b.x", False, True), (["[!a-c].x"], "b.x", False, False), (["#c", "", "  "], "#c", False, False), (["\\#c"], "#c", False, True), ([], ".git/config", False, True), ([], "a/.git/x", False, True), ([], ".gitignore", False, False), (["  pad.x  "], "pad.x", False, True),
     ],
 )
-def test_ignore_rules(lines, path, folder, hit):
-    assert ignore.Ignore(lines).matches(path, folder) is hit
+def test_ignore_rules(spark, lines, path, folder, hit):
+    rules = ignore.Ignore(lines)
+    assert rules.matches(path, folder) is hit
+    if not folder:
+        assert spark.createDataFrame([(path,)], "p string").select(ignore.ignored(F.col("p"), rules)).first()[0] is hit
