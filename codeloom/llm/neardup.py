@@ -1,13 +1,13 @@
 """Near-duplicate groups: MinHash bands, checked links, connected components.
 
 Documents with equal shingle sets are one class, so a text with thousands of copies is compared once.
-The bands of each class's signature deal it to buckets. No bucket is turned into pairs: its members are
-compared with one centre, the smallest; signatures sift these pairs, full shingle sets confirm them,
-and large-star and small-star steps join what is linked. A bucket whose members are then one
-component needs nothing more. In the others, members outside the bucket's main component are
-compared with new centres, drawn anew in each round, until so few pairs of members in different
-components are left that all of them can be compared. So no link that could join two components stays
-unchecked, and what is compared grows with the documents and not with the squares of the groups.
+The bands of each class's signature deal it to buckets. First the members of a bucket are compared
+with one centre, the smallest: signatures sift these pairs, full shingle sets confirm them, and
+large-star and small-star steps join what is linked. A bucket whose members are then one component
+needs nothing more. In the others, the members outside the bucket's main component are held against all its
+members, block by block: an index of the shingles in a block counts all intersections of a document
+at once, and only links that join components come out. So no link that could join two components stays
+unchecked, no pairs are made, and a task holds two blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -28,10 +28,8 @@ BAND_ROWS = 4
 PERCENT = 75
 #: Pairs whose signatures agree in a smaller share can't be links: 6.5 standard deviations below.
 SIFT = 0.5
-#: Rounds with new centres go on while more pairs than this for each class that shares a bucket (it may be in as
-#: many buckets as there are bands) would be left to compare.
-PAIRS_FOR_EACH = 16
-ROUNDS = 6
+#: Most documents, and about the most bytes of text, in a block of a bucket's members.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 32 << 20
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, minima binary, bands array<long>"
 
@@ -132,38 +130,62 @@ def linked_classes(sketch: DataFrame, docs: DataFrame, percent: int = PERCENT) -
     members = buckets.select("doc_id").distinct()
     minima = materialize(sketch.join(members, "doc_id", "left_semi").select("doc_id", "minima"), "minima")
     bodies = materialize(texts(docs).join(members, "doc_id", "left_semi"), "bodies")
-    n_members = minima.count()
-    links = materialize(confirmed(buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct(), minima, bodies, percent), "links")
-    for turn in range(ROUNDS + 1):
-        open_, pairs, others = _open(materialize(_components(buckets, links), "members"))
-        if not pairs:
-            break
-        last = pairs <= PAIRS_FOR_EACH * n_members or turn == ROUNDS
-        if last:
-            mine = others.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("component_a"))
-            theirs = open_.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), "main")
-            asked = mine.join(theirs, "bucket").where("component_a <> component_b and (main = component_b or a < b)")
-        else:
-            draw = lambda of, name: of.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(turn))).alias(name))  # noqa: E731, B023
-            asked = open_.join(draw(others, "new"), "bucket").join(draw(open_.where("component = main"), "old"), "bucket")
-            asked = asked.select(F.col("doc_id").alias("a"), "component", F.explode(F.array("new", "old")).alias("centre")).where("component <> centre.component").select("a", F.col("centre.doc_id").alias("b"))
-        asked = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.union(materialize(confirmed(asked, minima, bodies, percent), "links"))
-        if last:
-            break
+    star = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+    links = materialize(confirmed(star, minima, bodies, percent), "links")
+    links = links.union(materialize(links_across(_components(buckets.select("bucket", "doc_id"), links), bodies, percent), "links"))
     return connected_components(links)
 
 
-def _open(members: DataFrame) -> tuple[DataFrame, int, DataFrame]:
-    """Members of the buckets that hold several components, with the bucket's main one; how many pairs of
-    them are in different components; the members outside the main ones. A bucket of two has been
-    compared whole, as one of them is its centre."""
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("every"), F.count("*").alias("components")).where("components > 1 and every > 2")
-    several = materialize(several.select("bucket", F.col("top.component").alias("main"), (F.col("every") - F.col("top.n")).alias("outside"), "every"), "open")
-    pairs = several.agg(F.sum(F.col("outside").cast("double") * F.col("every"))).first()[0]
-    open_ = members.join(several.select("bucket", "main"), "bucket").select("bucket", "doc_id", "component", "main")
-    return open_, int(pairs or 0), open_.where("component <> main")
+def links_across(members: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: links that join components of members (bucket, doc_id, component) which share a bucket.
+
+    Buckets of two are left out: their only pair has been compared. Each row goes to the blocks that it is held against
+    or in; how many blocks a bucket has follows from its members' number and length.
+    """
+    members = members.join(bodies.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes")), "doc_id")
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    several = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("components")).where("components > 1 and n > 2")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    several = several.select("bucket", F.col("top.component").alias("main"), blocks(F.col("n"), F.col("bytes")).alias("wide"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("tall"))
+    rows = members.join(several, "bucket").withColumn("outside", F.col("component") != F.col("main"))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("doc_id"), "tall").cast("int")).withColumn("j", F.pmod(F.xxhash64("doc_id"), "wide").cast("int"))
+    # role 1: held against the block's members; 2: one of these; 3: both
+    dealt = F.expr("""if(tall = 1 and wide = 1, array(named_struct('i', 0, 'j', 0, 'role', if(outside, 3, 2))),
+        concat(transform(sequence(0, tall - 1), x -> named_struct('i', x, 'j', j, 'role', 2)),
+               if(outside, transform(sequence(0, wide - 1), x -> named_struct('i', i, 'j', x, 'role', 1)), array())))""")
+    rows = rows.select("bucket", "doc_id", "component", F.explode(dealt).alias("at")).select("bucket", "at.*", "doc_id", "component").join(bodies, "doc_id")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(lambda table: _across(percent, table), "a long, b long")
+
+
+def _across(percent: int, table: pa.Table) -> pa.Table:
+    ids, of, role = (table.column(c).to_numpy() for c in ("doc_id", "component", "role"))
+    sets = [S.shingle_set(text.as_py()) for text in table.column("text")]
+    inside = np.flatnonzero(role & 2)
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(inside)), size[inside])
+    every = np.concatenate([sets[i] for i in inside]) if len(inside) else np.empty(0, np.uint64)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in top:
+            x = top[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(role & 1).tolist():
+        first, last = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+        n = last - first
+        places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(owner[places], minlength=len(inside))
+        linked = (both > 0) & (100 * both >= percent * (size[i] + size[inside] - both)) & (of[inside] != of[i])
+        for k in inside[linked].tolist():
+            x, y = root(int(of[i])), root(int(of[k]))
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                out.append((int(ids[i]), int(ids[k])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

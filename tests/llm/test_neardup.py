@@ -69,10 +69,10 @@ def test_near_duplicates_of_the_tables(spark, sf_dir):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op10_near_dedup(spark, sf_dir).collect()} == want
 
 
-@pytest.mark.parametrize("pairs", [0, 1000])
-def test_groups_whose_members_are_not_all_alike(spark, pairs, monkeypatch):
+@pytest.mark.parametrize("rows", [5, 1024])
+def test_groups_whose_members_are_not_all_alike(spark, rows, monkeypatch):
     """Chains and clouds of copies: the centre of a bucket is linked with few of them."""
-    monkeypatch.setattr(neardup, "PAIRS_FOR_EACH", pairs)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows)
     rng = random.Random(7)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     texts = {}
