@@ -18,6 +18,8 @@ from codeloom.functions import vectors as V
 
 #: Most bytes of query vectors that go to every task; more queries are answered in several passes.
 QUERY_BYTES = 32 << 20
+#: Distances that a task holds at a time.
+DISTANCES = 1 << 21
 
 
 def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, *, key: str = "unit_id", vector: str = "vector") -> DataFrame:
@@ -64,6 +66,7 @@ def _nearest(asked: tuple[list, np.ndarray], k: int, query_key: str, key: str, b
     """k nearest vectors of the partition for each query."""
     ids, queries = asked
     width = queries.shape[1]
+    step = max(1, DISTANCES // len(ids))
     best_d = np.empty((len(ids), 0))
     best_k: np.ndarray | None = None
     kind = None
@@ -76,11 +79,11 @@ def _nearest(asked: tuple[list, np.ndarray], k: int, query_key: str, key: str, b
         kind = take.schema.field(0).type
         points = take.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
         keys = take.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(points), 4096):
-            here = points[at : at + 4096]
+        for at in range(0, len(points), step):
+            here = points[at : at + step]
             d = np.stack([np.square(here - q).sum(axis=1) for q in queries])
             all_d = np.concatenate([best_d, d], axis=1)
-            new = np.broadcast_to(keys[at : at + 4096], d.shape)
+            new = np.broadcast_to(keys[at : at + step], d.shape)
             all_k = new if best_k is None else np.concatenate([best_k, new], axis=1)
             order = np.lexsort((all_k, all_d), axis=1)[:, :k]
             best_d, best_k = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
