@@ -115,11 +115,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _components(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    found = materialize(connected_components(links), "components")
-    return buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-
 def linked_classes(sketch: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, component of the classes that have links with other classes. sketch: a written table."""
     least = sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"))
@@ -132,8 +127,14 @@ def linked_classes(sketch: DataFrame, docs: DataFrame, percent: int = PERCENT) -
     bodies = materialize(texts(docs).join(members, "doc_id", "left_semi"), "bodies")
     star = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialize(confirmed(star, minima, bodies, percent), "links")
-    links = links.union(materialize(links_across(_components(buckets.select("bucket", "doc_id"), links), bodies, percent), "links"))
-    return connected_components(links)
+    joined = connected_components(links)
+    components = materialize(joined.withColumnRenamed("node", "doc_id"), "components")
+    members = buckets.select("bucket", "doc_id").join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    across = materialize(links_across(members, bodies, percent), "links")
+    out = connected_components(links.union(across))
+    for table in (buckets, minima, bodies, links, joined, components, across):  # out reads none of them
+        drop_table(table)
+    return out
 
 
 def links_across(members: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
