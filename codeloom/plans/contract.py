@@ -216,7 +216,7 @@ def text_search(spark, sf_dir):
 
 
 def _registry(spark, sf_dir) -> DataFrame:
-    rows = _table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    rows = _table(spark, sf_dir, "events")
     commit = F.when(F.col("event_id") % 4 != 0, F.md5(F.col("event_id").cast("string")))
     return rows.select(F.col("event_id").cast("string").alias("index_name"), P.safe_name(F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string"))).alias("repo_name"), P.path_hash(F.concat(F.lit("/src/"), "event_type")).alias("path_hash"), commit.alias("commit"), (F.col("event_id") % 3 == 0).alias("is_modified"), F.col("ts").alias("indexed_on"))
 
