@@ -3,8 +3,10 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
+from codeloom.operators import index
 from codeloom.plans import contract
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +32,18 @@ def test_every_event_is_a_registry_row(spark, registry):
     last = max(x[4] for x in others)
     want = min(x[0] for x in others if x[4] == last)
     assert [(r.repo_name, r.index_name) for r in contract.catalog_reusable(spark, SF).collect()] == [(one[0], want)]
+
+
+def test_every_hundredth_vector_asks_all(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = rng.integers(-3, 4, (450, 6)).astype(float)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for q in range(0, len(points), 100):
+        d = np.square(points - points[q]).sum(axis=1)
+        want |= {(q, rank): (i, d[i]) for rank, i in enumerate(np.lexsort((np.arange(len(d)), d))[:5].tolist(), 1)}
+    for limit in (index.QUERY_BYTES, 2 * 6 * 8):  # one block of queries, and three
+        monkeypatch.setattr(index, "QUERY_BYTES", limit)
+        got = contract.knn_batch(spark, str(tmp_path)).collect()
+        assert len(got) == len(want) and {(r.query_id, r["rank"]): (r.vec_id, r.d2) for r in got} == want
