@@ -234,7 +234,7 @@ def catalog_display(spark, sf_dir):
 
 
 def query_history(spark, sf_dir):
-    log = _table(spark, sf_dir, "conversations").where("role = 'user'").select(F.lower(F.substring_index("text", " ", 2)).alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ts"))
+    log = _table(spark, sf_dir, "conversations").where("role = 'user'").select(F.lower("text").alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ts"))
     return history.latest(history.matching(log, "a"))
 
 

@@ -47,3 +47,12 @@ def test_every_hundredth_vector_asks_all(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(index, "QUERY_BYTES", limit)
         got = contract.knn_batch(spark, str(tmp_path)).collect()
         assert len(got) == len(want) and {(r.query_id, r["rank"]): (r.vec_id, r.d2) for r in got} == want
+
+
+def test_queries_are_whole_turns(spark):
+    last = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user' and text is not null").collect():
+        if "a" in r.text.lower():
+            last[r.text.lower()] = max(last.get(r.text.lower(), 0), r.conv_id * 1000 + r.turn)
+    want = sorted(last.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert [(r.query, r.ts) for r in contract.query_history(spark, SF).collect()] == want
