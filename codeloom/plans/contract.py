@@ -116,7 +116,7 @@ def cache_lookup(spark, sf_dir):
 
 def cache_merge(spark, sf_dir):
     units = _documents(spark, sf_dir).select("doc_id", T.content_hash("text").alias("content_hash"))
-    parts = [_cached(units, n).withColumn("origin", F.lit(name)) for n, name in ((2, "old"), (3, "shared"), (5, "new"))]
+    parts = [_cached(units, n).withColumn("origin", F.lit(name)) for n, name in ((1, "old"), (3, "shared"), (5, "new"))]
     return cache.merge(*parts, key=["content_hash"])
 
 

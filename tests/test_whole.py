@@ -56,3 +56,12 @@ def test_queries_are_whole_turns(spark):
             last[r.text.lower()] = max(last.get(r.text.lower(), 0), r.conv_id * 1000 + r.turn)
     want = sorted(last.items(), key=lambda x: (-x[1], x[0]))[:10]
     assert [(r.query, r.ts) for r in contract.query_history(spark, SF).collect()] == want
+
+
+def test_merged_caches_cover_all_documents(spark):
+    want = {}
+    for n, name in ((1, "old"), (3, "shared"), (5, "new")):
+        for r in spark.read.parquet(f"{SF}/documents.parquet").where(f"doc_id % {n} = 0").collect():
+            want[hashlib.md5(r.text.encode()).hexdigest()] = name
+    got = contract.cache_merge(spark, SF).collect()
+    assert len(got) == len(want) and {r.content_hash: r.origin for r in got} == want
