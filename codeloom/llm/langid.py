@@ -166,6 +166,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(lambda it: _predicted(sent.value, it), schema)
 
 
+def _with_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([has_letter(text.as_py() or "") for text in batch.column("text")], pa.bool_()))
+
+
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text has a letter."""
+    return docs.mapInArrow(_with_letters, docs.schema)
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the rows of docs that are not held out."""
     return fit(docs.select("doc_id", "text", "lang").where(~F.coalesce(held_out(), F.lit(False))), sample)

@@ -26,7 +26,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (null, or without a letter) go, all others stay as they are."""
     # the answer goes beside the columns of docs under a name that none of them has
     named = docs.select(*[F.col(c).alias(f"__{c}") for c in docs.columns], F.coalesce("text", F.lit("")).cast("string").alias("text"))
-    kept = langid.predict(named, langid.learn(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
+    model = langid.learn(docs)
+    if model.langs and langid.UNKNOWN not in model.langs:
+        kept = langid.predict(named, model).where(F.col("lang_pred") != langid.UNKNOWN)
+    else:  # the answer und doesn't tell texts without a language from others
+        kept = langid.lettered(named)
     return kept.select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
 
 

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codeloom.llm import bpe, fingerprints, langid, neardup, queries, secretscan
@@ -154,3 +155,11 @@ def test_pipeline(spark, sf_dir, odd, empty):
             assert now.columns == df.columns
         corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).collect()
     assert langid.UNKNOWN not in {r.lang_pred for r in langid.predict(corpus_pipeline.language_id(spark, odd, sf_dir), langid.learn(odd)).collect()}
+
+
+def test_pipeline_keeps_documents_without_usable_labels(spark, odd, sf_dir):
+    want = sorted(r.doc_id for r in odd.collect() if any(c.isalpha() for c in r.text or ""))
+    for label in (None, langid.UNKNOWN):
+        docs = odd.withColumn("lang", F.lit(label).cast("string"))
+        kept = corpus_pipeline.language_id(spark, docs, sf_dir)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
