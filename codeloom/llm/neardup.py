@@ -12,6 +12,7 @@ unchecked, no pairs are made, and a task holds two blocks of bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,19 +23,34 @@ from pyspark.sql import functions as F
 from codeloom.llm import shingles as S
 from codeloom.llm.common import drop_table, materialize, texts
 
-#: 32 bands of 4 minima: a pair at a similarity of 0.75 shares none with a chance of 5 in a million.
-BAND_ROWS = 4
+#: Most chance that a pair at the threshold shares no band; 32 bands of 4 minima miss 5 in a million at a similarity of 0.75.
+MISSED = 1e-5
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 75
-#: Pairs whose signatures agree in a smaller share can't be links: 6.5 standard deviations below.
-SIFT = 0.5
+#: Pairs whose signatures agree in a share so many standard deviations below the threshold can't be links.
+DEVIATIONS = 6.5
 #: Most documents, and about the most bytes of text, in a block of a bucket's members.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 32 << 20
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, minima binary, bands array<long>"
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def band_rows(percent: int) -> int:
+    """The most minima in a band that keep to MISSED for pairs at percent (4 for 75)."""
+    p = percent / 100
+    fit = [r for r in range(1, S.PERMUTATIONS + 1) if (1 - p**r) ** (S.PERMUTATIONS // r) <= MISSED] if 0 < p <= 1 else []
+    if not fit:
+        raise ValueError(f"{S.PERMUTATIONS} minima can't find links at {percent} percent")
+    return max(fit)
+
+
+def sift(percent: int) -> float:
+    """The least share of agreeing minima of a likely link (0.5 for 75)."""
+    p, n = percent / 100, S.PERMUTATIONS
+    return max(0, math.floor(n * p - DEVIATIONS * math.sqrt(n * p * (1 - p)))) / n
+
+
+def _sketched(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, a, b, minima, bands = [], [], [], [], []
         for text in batch.column("text"):
@@ -45,20 +61,21 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a.append(one)
             b.append(two)
             minima.append((values >> np.uint64(48)).astype("<u2").tobytes())
-            bands.append(S.bands(values, BAND_ROWS) if len(own) else [])
+            bands.append(S.bands(values, rows) if len(own) else [])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(minima, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "minima", "bands"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Size and digest of each document's shingle set, its signature and its bands (none if empty)."""
-    return texts(docs).mapInArrow(_sketched, SKETCH)
+    rows = band_rows(percent)
+    return texts(docs).mapInArrow(lambda it: _sketched(rows, it), SKETCH)
 
 
-def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sifted(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("minima_a", "minima_b"))
-            batch = batch.filter(pa.array((one == two).mean(axis=1) >= SIFT))
+            batch = batch.filter(pa.array((one == two).mean(axis=1) >= least))
         yield batch.select(["a", "b"])
 
 
@@ -82,7 +99,8 @@ def _linked(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def confirmed(pairs: DataFrame, minima: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs a, b that are links: sifted on signatures, confirmed on full sets."""
     side = lambda of, x: of.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in of.columns if c != "doc_id"])
-    likely = pairs.join(side(minima, "a"), "a").join(side(minima, "b"), "b").select("a", "b", "minima_a", "minima_b").mapInArrow(_sifted, "a long, b long")
+    least = sift(percent)
+    likely = pairs.join(side(minima, "a"), "a").join(side(minima, "b"), "b").select("a", "b", "minima_a", "minima_b").mapInArrow(lambda it: _sifted(least, it), "a long, b long")
     likely = likely.join(side(bodies, "a"), "a").join(side(bodies, "b"), "b").select("a", "b", "text_a", "text_b")
     return likely.mapInArrow(lambda it: _linked(percent, it), "a long, b long")
 
@@ -195,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     One row for each input row. Documents without shingles (null, empty or white text) are
     linked with nothing. Rows that share a doc_id are one node. Equal sets are linked whatever else.
     """
-    sketch = materialize(sketches(docs), "sketch")
+    sketch = materialize(sketches(docs, percent), "sketch")
     least = sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class"))
     linked = materialize(linked_classes(sketch, docs, percent).withColumnRenamed("node", "class"), "linked")
     classes = least.join(linked, "class", "left").select("set_a", "set_b", F.coalesce("component", "class").alias("component"))

@@ -163,3 +163,25 @@ def test_pipeline_keeps_documents_without_usable_labels(spark, odd, sf_dir):
         docs = odd.withColumn("lang", F.lit(label).cast("string"))
         kept = corpus_pipeline.language_id(spark, docs, sf_dir)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_bands_and_sift_follow_percent():
+    assert (neardup.band_rows(75), neardup.sift(75)) == (4, 0.5)
+    assert neardup.band_rows(50) < 4 < neardup.band_rows(90) and neardup.sift(50) < 0.3
+    with pytest.raises(ValueError):
+        neardup.band_rows(0)
+
+
+def test_links_at_a_lower_threshold(spark):
+    """Pairs that share 137 of 263 shingles, 52 percent."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = {}, {}
+    for i in range(0, 400, 2):
+        both = words(141)
+        for k in (i, i + 1):
+            texts[k], want[k] = " ".join(both + words(63)), (200, i, k == i)
+        one, two = plain_set(texts[i]), plain_set(texts[i + 1])
+        assert (len(one & two), len(one | two)) == (137, 263)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 50).collect()} == want
