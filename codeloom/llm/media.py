@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -98,10 +99,23 @@ def _jpeg(data: memoryview, at: int) -> int | None:
         return None
 
 
+_TRAILER = re.compile(rb"startxref\s+(\d{1,20})\s+%%EOF")
+_XREF = re.compile(rb"xref|\d+\s+\d+\s+obj")
+
+
 def _pdf(data: memoryview, at: int) -> int | None:
+    """Up to the last trailer before the next header. Beyond a header (of a file inside or behind this one) a trailer
+    counts if it points to a table of this file that was added after its first end."""
     body = bytes(data[at:])
-    end = body.find(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in body[:end] else None
+    first = body.find(b"%%EOF")
+    if first <= 0 or b"startxref" not in body[:first]:
+        return None
+    first = end = first + 5
+    header = body.find(b"%PDF-", first)
+    for trailer in _TRAILER.finditer(body, first):
+        if header < 0 or trailer.end() <= header or (first <= int(trailer[1]) < trailer.start() and _XREF.match(body, int(trailer[1]))):
+            end = trailer.end()
+    return end
 
 
 def _zip(data: memoryview, at: int) -> int | None:
@@ -115,17 +129,27 @@ def _zip(data: memoryview, at: int) -> int | None:
     return None
 
 
+def _members(data: memoryview, at: int) -> list[int]:
+    """Ends of the whole gzip members that follow each other from here."""
+    ends, place = [], at
+    while data[place : place + 3] == b"\x1f\x8b\x08":
+        unpack = zlib.decompressobj(31)
+        try:
+            while not unpack.eof:
+                if place >= len(data):
+                    return ends
+                unpack.decompress(data[place : place + 65536])
+                place += 65536
+        except zlib.error:
+            return ends
+        place = min(place, len(data)) - len(unpack.unused_data)
+        ends.append(place)
+    return ends
+
+
 def _gzip(data: memoryview, at: int) -> int | None:
-    unpack, place = zlib.decompressobj(31), at
-    try:
-        while not unpack.eof:
-            if place >= len(data):
-                return None
-            unpack.decompress(data[place : place + 65536])
-            place += 65536
-    except zlib.error:
-        return None
-    return min(place, len(data)) - len(unpack.unused_data) - at
+    ends = _members(data, at)
+    return ends[-1] - at if ends else None
 
 
 def _ogg(data: memoryview, at: int) -> int | None:
@@ -169,16 +193,18 @@ def _automaton():
 def sniff(data: bytes) -> list[Medium]:
     """Confirmed media by start, the longer first: those inside others too, each once. A medium that
     overlaps the end of another is left out."""
-    view, found, ends = memoryview(data), [], []
+    view, found, ends, members = memoryview(data), [], [], set()
     for last, (i, n) in _automaton().iter(data.decode("latin-1")):
         kind, _, ahead, validate = FORMATS[i]
         at = last - n + 1 - ahead
         while ends and ends[-1] <= at:
             ends.pop()
-        length = validate(view, at) if at >= 0 else None
+        length = validate(view[: ends[-1]] if ends else view, at) if at >= 0 and at not in members else None
         if length and not (ends and at + length > ends[-1]) and (not found or found[-1].start != at):
             found.append(Medium(kind, at, length))
             ends.append(at + length)
+            if kind == "application/gzip":  # its further members are no media inside it
+                members.update(_members(view[: at + length], at))
     return found
 
 

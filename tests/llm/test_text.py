@@ -195,6 +195,26 @@ def test_sniffs_validates_corrects_and_carves(spark):
     assert {(r.id, r.kind, bytes(r.carved)) for r in media.carve(out).collect()} == {(4, "image/png", png), (7, "image/png", png), (7, "audio/wav", wav)}
 
 
+def test_media_of_several_parts_are_whole(spark):
+    own, png = samples(), samples()["image/png"]
+    pdf, more = own["application/pdf"], b"\n1 0 obj\n" + png + b"\nendobj\nstartxref\n30\n%%EOF"
+    members = gzip.compress(b"hello") + gzip.compress(b"x" * 200000) + gzip.compress(b"")
+    for kind, data in (("application/pdf", pdf + more + more), ("application/gzip", members)):
+        assert media.sniff(data)[0] == (kind, 0, len(data))
+        assert (kind, 3, len(data)) in media.sniff(b"abc" + data + b"tail" + png)
+    assert media.sniff(members) == [("application/gzip", 0, len(members))]
+    assert media.sniff(members[:-1])[0] == ("application/gzip", 0, len(members) - len(gzip.compress(b"")))
+    assert media.sniff(pdf + more + pdf) == [("application/pdf", 0, len(pdf + more)), ("image/png", len(pdf) + 9, len(png)), ("application/pdf", len(pdf + more), len(pdf))]
+    inside = b"\n2 0 obj\n" + pdf + b"\nendobj\n"
+    table = len(pdf + inside)
+    whole = pdf + inside + b"xref\nstartxref\n%d\n%%%%EOF" % table
+    assert media.sniff(whole)[0] == ("application/pdf", 0, len(whole))
+    wav = media.as_wav(members + b"\0" * (len(members) % 2))
+    assert [m.kind for m in media.sniff(wav + members)] == ["audio/wav", "application/gzip", "application/gzip"]
+    out = media.sniff_column(spark.createDataFrame([(1, None, members), (2, None, pdf + more)], "id int, declared string, media binary"))
+    assert {(r.id, r.kind, bytes(r.carved)) for r in media.carve(out).collect()} == {(2, "image/png", png)}
+
+
 # secrets
 
 
