@@ -222,7 +222,7 @@ def _registry(spark, sf_dir) -> DataFrame:
 
 
 REGISTRY_SQL = """registry AS (SELECT event_id::VARCHAR AS index_name, regexp_replace(event_type || '-' || (user_id % 50), '[^\\p{L}\\p{N}]', '_', 'g') AS repo_name, left(md5('/src/' || event_type), 8) AS path_hash,
-    CASE WHEN event_id % 4 <> 0 THEN md5(event_id::VARCHAR) END AS commit, event_id % 3 = 0 AS is_modified, ts AS indexed_on FROM events WHERE event_id % 10 = 0)"""
+    CASE WHEN event_id % 4 <> 0 THEN md5(event_id::VARCHAR) END AS commit, event_id % 3 = 0 AS is_modified, ts AS indexed_on FROM events)"""
 
 
 def catalog_latest(spark, sf_dir):
@@ -360,7 +360,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT r.repo_name, index_name, r.commit FROM registry r JOIN one o ON r.repo_name = o.repo_name AND r.path_hash = o.path_hash AND r.commit <> o.commit ORDER BY indexed_on DESC, index_name LIMIT 1""",
     "stable_ids": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents",
     "cache_lookup": "WITH c AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 3 = 0) SELECT count(*) FILTER (h IS NOT NULL) AS hits, count(*) FILTER (h IS NULL) AS misses FROM documents LEFT JOIN c ON md5(text) = h",
-    "cache_merge": "SELECT md5(text) AS content_hash, CASE WHEN bool_or(doc_id % 5 = 0) THEN 'new' WHEN bool_or(doc_id % 3 = 0) THEN 'shared' ELSE 'old' END AS origin FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0 GROUP BY 1",
+    "cache_merge": "SELECT md5(text) AS content_hash, CASE WHEN bool_or(doc_id % 5 = 0) THEN 'new' WHEN bool_or(doc_id % 3 = 0) THEN 'shared' ELSE 'old' END AS origin FROM documents GROUP BY 1",
     "change_detection": f"WITH {LISTINGS_SQL} SELECT * FROM changed",
     "change_counts": f"WITH {LISTINGS_SQL} SELECT change, count(*) AS n FROM changed GROUP BY change",
     "incremental_units": f"""WITH {LISTINGS_SQL} SELECT rel_path AS path, 'kept' AS origin FROM old WHERE rel_path NOT IN (SELECT rel_path FROM changed WHERE change <> 'unchanged')
@@ -371,7 +371,7 @@ ORACLE_SQL: dict[str, str] = {
         round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm_80 FROM embeddings""",
     "knn_single": f"SELECT rank, vec_id, round(d, 6) AS d2, round(1 / (1 + d), 6) AS score, lang, source FROM (SELECT *, row_number() OVER (ORDER BY d, vec_id)::INT AS rank FROM ({ONE_SQL}) ORDER BY d, vec_id LIMIT 10) JOIN documents ON doc_id = vec_id",
     "knn_batch": f"""SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round({D2_SQL.format(a='v.embedding', b='q.embedding')}, 6) AS d2, round(1 / (1 + {D2_SQL.format(a='v.embedding', b='q.embedding')}), 6) AS score,
-        (row_number() OVER (PARTITION BY q.vec_id ORDER BY {D2_SQL.format(a='v.embedding', b='q.embedding')}, v.vec_id))::INT AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20) WHERE rank <= 5""",
+        (row_number() OVER (PARTITION BY q.vec_id ORDER BY {D2_SQL.format(a='v.embedding', b='q.embedding')}, v.vec_id))::INT AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE rank <= 5""",
     "knn_filtered": f"SELECT vec_id, round(d, 6) AS d2, round(1 / (1 + d), 6) AS score, row_number() OVER (ORDER BY d, vec_id)::INT AS rank FROM (SELECT * FROM ({ONE_SQL}) WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY d, vec_id LIMIT 10)",
     "hashed_embedding": f"""WITH texts AS (SELECT doc_id AS id, text FROM documents), {HASHED_SQL}
         SELECT doc_id, round(coalesce(sqrt(sum(x * x)), 0), 4) AS norm, round(coalesce(sum(x), 0), 3) AS total, round(coalesce(sum(x * i), 0), 2) AS moment FROM documents LEFT JOIN scaled ON id = doc_id GROUP BY doc_id""",
@@ -385,7 +385,7 @@ ORACLE_SQL: dict[str, str] = {
     "catalog_latest": f"WITH {REGISTRY_SQL} SELECT repo_name, path_hash, index_name, commit, is_modified FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, path_hash ORDER BY indexed_on DESC, index_name DESC) AS i FROM registry) WHERE i = 1",
     "catalog_display": f"""WITH {REGISTRY_SQL} SELECT repo_name AS name, repo_name || ' (' || path_hash || ')' || (CASE WHEN commit IS NULL THEN '' WHEN is_modified THEN ' @ ' || commit || ' (modified)' ELSE ' @ ' || left(commit, 8) END) AS full_name,
         left(commit, 8) || (CASE WHEN is_modified THEN ' (modified)' ELSE '' END) AS git_version, strftime(indexed_on, '%Y-%m-%dT%H:%M:%S') AS timestamp, index_name FROM registry""",
-    "query_history": f"""SELECT query, max(ts) AS ts FROM (SELECT lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS query, conv_id * 1000 + turn AS ts FROM conversations WHERE role = 'user')
+    "query_history": f"""SELECT query, max(ts) AS ts FROM (SELECT lower(text) AS query, conv_id * 1000 + turn AS ts FROM conversations WHERE role = 'user')
         WHERE contains(query, 'a') GROUP BY query ORDER BY ts DESC, query LIMIT {history.KEEP}""",
     "error_histogram": "SELECT 'Error' || (user_id % 7) AS error_type, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
     "result_rows": f"""SELECT rank, vec_id, left(text, {T.PREVIEW_JSON}) AS content, source, printf('%.2f', round(1 / (1 + d), 6)) AS shown
