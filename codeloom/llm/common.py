@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -69,5 +68,35 @@ def running_total(df: DataFrame, group: list[str], block: str, value: str, out:
     return df.withColumn(out, F.coalesce(F.sum(value).over(by.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
 
-def column_or_null(df: DataFrame, name: str, kind: str | T.DataType) -> Column:
-    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until no column of df has them in any case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Members of one block of an array whose running values are found block by block.
+ARRAY_BLOCK = 64
+
+
+def before(array: str, merge: str = "{a} + {b}", levels: int = 2) -> str:
+    """SQL: for each member of a bigint array, what merge makes of the members before it, beginning with 0.
+
+    Each member meets at most a block of others, and the blocks' own values are found in the same way, so the work
+    grows with the array and not with its square.
+    """
+    fold = lambda of, start, k: f"aggregate({of}, {start}, (s{k}, y{k}) -> {merge.format(a=f's{k}', b=f'y{k}')})"
+    within = lambda of, start, k: f"transform({of}, (x{k}, i{k}) -> {fold(f'slice({of}, 1, i{k})', start, k)})"
+    n = levels
+    if not n:
+        body = within(f"v{n}", "0L", n)
+    else:
+        blocks = f"transform(sequence(0L, (size(v{n}) - 1L) div {ARRAY_BLOCK}), k{n} -> slice(v{n}, cast(k{n} * {ARRAY_BLOCK} + 1 as int), {ARRAY_BLOCK}))"
+        totals = f"transform(b{n}, c{n} -> {fold(f'c{n}', '0L', f'{n}c')})"
+        body = f"flatten(element_at(transform(array({blocks}), b{n} -> zip_with(b{n}, {before(totals, merge, n - 1)}, (d{n}, t{n}) -> {within(f'd{n}', f't{n}', n)})), 1))"
+    # in a one-element array an argument is computed once
+    return f"element_at(transform(array({array}), v{n} -> {body}), 1)"

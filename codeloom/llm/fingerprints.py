@@ -2,8 +2,8 @@
 
 A fingerprint is 128 minima of universal hash functions over the document's shingle set, 16 bits of
 each, in hexadecimal. Its likeness to another is the share of minima that agree, which estimates the
-Jaccard similarity of the sets. similar() finds the pairs: bands of the signatures are joined in
-Spark, full sets verify what they bring together.
+Jaccard similarity of the sets. similar() finds the links between documents: bands of the signatures are joined in
+Spark, and Jaccard is verified on the full sets of what they bring together.
 """
 
 from __future__ import annotations
@@ -18,19 +18,20 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import neardup
 from codeloom.llm import shingles as S
-from codeloom.llm.common import materialize, shuffle_partitions, texts
+from codeloom.llm.common import shuffle_partitions
 
 #: Bounds that the ids are dealt by are read off a sketch of this relative error.
 ERROR = 0.001
 #: Ranges for each shuffle partition.
 RANGES = 3
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+KINDS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "class_id": pa.int64(), "component_id": pa.int64()}
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, component_id long"
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """16 bits of each minimum. A text without words has only zeros."""
-    return (S.signature(S.shingle_set(text)) >> np.uint64(48)).astype("<u2")
+    """The marks of the text's signature. A text without words has only zeros."""
+    return S.marks(S.signature(S.shingle_set(text)))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -44,67 +45,82 @@ def edited(text: str, other: str) -> str:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of part, then falling doc_id; each part ends with a guest, the first of the next."""
-    held: tuple[int, int, str, np.ndarray] | None = None
+    """Rows come in order of part, then falling id; what is known of an id's groups comes before its texts, and each part
+    ends with a guest, the first of the next."""
+    held: tuple | None = None
+    groups: dict[int, tuple[int, int]] = {}
+    near = None
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for part, doc_id, guest, text in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("guest").to_pylist(), batch.column("text")):
+        out: list[list] = [[] for _ in KINDS]
+        columns = [batch.column(c).to_pylist() for c in ("part", "at", "doc_id", "guest", "text_key", "class_id", "component_id")]
+        for part, at, doc_id, guest, key, class_id, component_id, text in zip(*columns, batch.column("text")):
+            if near != at:
+                near, groups = at, {}
+            if not text.is_valid:
+                groups[key] = class_id, component_id
+                continue
             text = text.as_py()
             own = fingerprint(text)
             if held and held[0] == part:
-                _, held_id, before, print_ = held
+                _, held_id, before, print_, group = held
                 changed = edited(before, text)
                 new = fingerprint(changed) if changed != before else print_
-                row = (held_id, len(before), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), print_.tobytes().hex(), new.tobytes().hex(), likeness(print_, new), likeness(print_, own))
+                row = (held_id, len(before), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), print_.tobytes().hex(), new.tobytes().hex(), likeness(print_, new), likeness(print_, own), *group)
                 for column, value in zip(out, row):
                     column.append(value)
-            held = None if guest else (part, doc_id, text, own)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=[x.split()[0] for x in OUT.split(", ")])
+            held = None if guest else (part, doc_id, text, own, groups.get(key, (doc_id, doc_id)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, KINDS.values())], names=list(KINDS))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likenesses.
+    """Fingerprints of every document and of its edited text, and their likenesses; its class and component of similar().
 
-    The next document is the one with the next smaller doc_id (after the smallest: the largest;
+    The next document is the one with the next smaller doc_id (after the smallest: the largest; a null is smaller than all;
     among rows with one doc_id: by length, then text); a lone document is its own next. Null is an
     empty text, which is like any other text without words and like nothing else. One row for each input row.
 
     Documents are dealt into ranges of ids, some ranges for each shuffle partition, and sorted; the
-    first of each range also goes to the end of the range before, as a guest. Texts move once.
+    first of each range also goes to the end of the range before, as a guest. Texts move once; the few
+    numbers of a document's groups go the same way and meet it there. All rows of one doc_id are in one range.
     """
-    spark, all_ = docs.sparkSession, texts(docs)
-    ids = docs.select(F.col("doc_id").cast("double").alias("doc_id"))
+    spark, at = docs.sparkSession, F.coalesce(F.col("doc_id").cast("long"), F.expr(f"-{(1 << 63) - 1}L - 1L")).alias("at")
+    groups = similar(docs).where("n_shingles > 0 and not (class_id <=> doc_id and component_id <=> doc_id)")
+    all_ = neardup.keyed_texts(docs).withColumn("at", at)
+    ids = docs.select(F.col("doc_id").cast("double").alias("doc_id")).where("doc_id is not null")
     n = shuffle_partitions(spark)
     cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / (RANGES * n) for i in range(1, RANGES * n)], ERROR / RANGES)})
     part = _range_of(cuts)
-    dealt = all_.withColumn("part", part).withColumn("guest", F.lit(False))
-    heads = docs.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("part", part).groupBy("part").agg(F.max("doc_id").alias("doc_id"))
-    heads = {r["part"]: r["doc_id"] for r in heads.collect()}  # one id for each part
+    none = [F.lit(None).cast("long").alias(c) for c in ("class_id", "component_id")]
+    dealt = all_.select("at", "doc_id", "text_key", "text", part.alias("part"), F.lit(False).alias("guest"), *none)
+    told = groups.withColumn("at", at).select("at", "doc_id", "text_key", F.lit(None).cast("string").alias("text"), part.alias("part"), F.lit(False).alias("guest"), "class_id", "component_id").distinct()
+    heads = docs.select(at).withColumn("part", part).groupBy("part").agg(F.max("at").alias("at"))
+    heads = {r["part"]: r["at"] for r in heads.collect()}  # one id for each part
     if not heads:
         return spark.createDataFrame([], OUT)
     filled = sorted(heads)
     ahead = [(filled[i - 1], heads[p]) for i, p in enumerate(filled)]
-    first = spark.createDataFrame(ahead, "to_part int, doc_id long")
-    guests = all_.join(F.broadcast(first), "doc_id")
-    guests = guests.groupBy("to_part", "doc_id").agg(F.max(F.struct(F.length("text"), "text")).alias("top"))
-    guests = guests.select("doc_id", F.col("top.text").alias("text"), F.col("to_part").alias("part"), F.lit(True).alias("guest"))
-    rows = dealt.unionByName(guests).repartition(n, "part").sortWithinPartitions("part", "guest", F.desc("doc_id"), F.length("text").desc(), F.desc("text"))
-    return rows.select("part", "doc_id", "guest", "text").mapInArrow(_rows, OUT)
+    first = spark.createDataFrame(ahead, "to_part int, at long")
+    guests = all_.join(F.broadcast(first), "at")
+    guests = guests.groupBy("to_part", "at").agg(F.max(F.struct(F.length("text"), "text")).alias("top"))
+    guests = guests.select("at", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), F.col("top.text").alias("text"), F.col("to_part").alias("part"), F.lit(True).alias("guest"), *none)
+    rows = dealt.unionByName(told).unionByName(guests)
+    rows = rows.repartition(n, "part").sortWithinPartitions("part", "guest", F.desc("at"), F.col("text").isNotNull(), F.length("text").desc(), F.desc("text"))
+    return rows.mapInArrow(_rows, OUT)
 
 
 def _range_of(cuts: list[int]) -> Column:
-    """Number of a doc_id's range, from the highest ids on, by halving the cuts."""
+    """Number of an id's range, from the highest ids on, by halving the cuts."""
 
     def nest(low: int, high: int) -> str:
         if low == high:
             return str(len(cuts) - low)
         mid = (low + high) // 2
-        return f"if(doc_id > {cuts[mid]}L, {nest(mid + 1, high)}, {nest(low, mid)})"
+        return f"if(at > {cuts[mid]}L, {nest(mid + 1, high)}, {nest(low, mid)})"
 
     return F.expr(nest(0, len(cuts)))
 
 
 def similar(docs: DataFrame, percent: int = neardup.PERCENT) -> DataFrame:
-    """class_id of each document (the smallest doc_id with an equal shingle set) and component_id over
-    verified links: bands joined in Spark, Jaccard verified on full sets."""
-    return neardup.near_duplicates(materialize(texts(docs), "texts"), percent)
+    """doc_id, text_key, n_shingles, class_id of each row (the smallest doc_id with an equal shingle set) and component_id
+    (the smallest reachable over verified links): bands of the signatures joined in Spark, Jaccard verified on full sets."""
+    return neardup.groups(docs, percent).drop("kept")

@@ -1,6 +1,7 @@
 """Near-duplicate groups: MinHash bands, checked links, connected components.
 
-Documents with equal shingle sets are one class, so a text with thousands of copies is compared once.
+Rows with equal shingle sets are one class, so a text with thousands of copies is compared once. A class is
+known by a number, the row of its first member.
 The bands of each class's signature deal it to buckets. First the members of a bucket are compared
 with one centre, the smallest: signatures sift these pairs, full shingle sets confirm them, and
 large-star and small-star steps join what is linked. A bucket whose members are then one component
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import shingles as S
-from codeloom.llm.common import drop_table, materialize, texts
+from codeloom.llm.common import drop_table, materialize, shuffle_partitions, texts
 
 #: Most chance that a pair at the threshold shares no band; 32 bands of 4 minima miss 5 in a million at a similarity of 0.75.
 MISSED = 1e-5
@@ -31,8 +32,10 @@ PERCENT = 75
 DEVIATIONS = 6.5
 #: Most documents, and about the most bytes of text, in a block of a bucket's members.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 32 << 20
+#: A set is hot if it has more than this share of a shuffle partition's rows, so at most 1 / HOT sets for each partition are.
+HOT = 0.25
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, minima binary, bands array<long>"
+SKETCH = "row long, doc_id long, text_key long, n_shingles long, set_a long, set_b long, marks binary"
 
 
 def band_rows(percent: int) -> int:
@@ -50,32 +53,46 @@ def sift(percent: int) -> float:
     return max(0, math.floor(n * p - DEVIATIONS * math.sqrt(n * p * (1 - p)))) / n
 
 
-def _sketched(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, a hash of the text: rows that agree in doc_id and text_key are repeated rows."""
+    return texts(docs).withColumn("text_key", F.xxhash64("text"))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, a, b, minima, bands = [], [], [], [], []
+        n, a, b, marks = [], [], [], []
         for text in batch.column("text"):
             own = S.shingle_set(text.as_py())
-            values = S.signature(own)
             n.append(len(own))
             one, two = S.digest(own)
             a.append(one)
             b.append(two)
-            minima.append((values >> np.uint64(48)).astype("<u2").tobytes())
-            bands.append(S.bands(values, rows) if len(own) else [])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(minima, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "minima", "bands"])
+            marks.append(S.marks(S.signature(own)).tobytes() if len(own) else b"")
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "text_key")), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(marks, pa.binary())], names=[x.split()[0] for x in SKETCH.split(", ")])
 
 
-def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Size and digest of each document's shingle set, its signature and its bands (none if empty)."""
-    rows = band_rows(percent)
-    return texts(docs).mapInArrow(lambda it: _sketched(rows, it), SKETCH)
+def sketches(docs: DataFrame) -> DataFrame:
+    """A number for each row, size and digest of its shingle set, and the marks of its signature (none if empty)."""
+    rows = keyed_texts(docs).withColumn("row", F.monotonically_increasing_id())
+    return rows.select("row", "doc_id", "text_key", "text").mapInArrow(_sketched, SKETCH)
+
+
+def _marks(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+
+
+def _dealt(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            found = S.bands(_marks(part.column("marks")), rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), found.shape[1])), pa.array(found.ravel())], names=["node", "bucket"])
 
 
 def _sifted(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("minima_a", "minima_b"))
-            batch = batch.filter(pa.array((one == two).mean(axis=1) >= least))
+            batch = batch.filter(pa.array((_marks(batch.column("marks_a")) == _marks(batch.column("marks_b"))).mean(axis=1) >= least))
         yield batch.select(["a", "b"])
 
 
@@ -96,11 +113,11 @@ def _linked(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def confirmed(pairs: DataFrame, minima: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, marks: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs a, b that are links: sifted on signatures, confirmed on full sets."""
-    side = lambda of, x: of.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in of.columns if c != "doc_id"])
+    side = lambda of, x: of.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in of.columns if c != "node"])
     least = sift(percent)
-    likely = pairs.join(side(minima, "a"), "a").join(side(minima, "b"), "b").select("a", "b", "minima_a", "minima_b").mapInArrow(lambda it: _sifted(least, it), "a long, b long")
+    likely = pairs.join(side(marks, "a"), "a").join(side(marks, "b"), "b").select("a", "b", "marks_a", "marks_b").mapInArrow(lambda it: _sifted(least, it), "a long, b long")
     likely = likely.join(side(bodies, "a"), "a").join(side(bodies, "b"), "b").select("a", "b", "text_a", "text_b")
     return likely.mapInArrow(lambda it: _linked(percent, it), "a long, b long")
 
@@ -133,51 +150,54 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def linked_classes(sketch: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, component of the classes that have links with other classes. sketch: a written table."""
-    least = sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"))
-    rep = sketch.join(least.select("doc_id"), "doc_id", "left_semi")
-    dealt = rep.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    shared = dealt.groupBy("band", "value").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre <> last").drop("last")
-    buckets = materialize(dealt.join(shared, ["band", "value"]).select("doc_id", "centre", F.xxhash64("band", "value").alias("bucket")), "buckets")
-    members = buckets.select("doc_id").distinct()
-    minima = materialize(sketch.join(members, "doc_id", "left_semi").select("doc_id", "minima"), "minima")
-    bodies = materialize(texts(docs).join(members, "doc_id", "left_semi"), "bodies")
-    star = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    links = materialize(confirmed(star, minima, bodies, percent), "links")
+def linked_classes(sketch: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, component of the classes that have links with other classes. sketch and classes: written tables."""
+    rows = band_rows(percent)
+    own = sketch.select(F.col("row").alias("node"), "marks").join(classes.select("node"), "node", "left_semi")
+    dealt = own.mapInArrow(lambda it: _dealt(rows, it), "node long, bucket long")
+    shared = dealt.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").drop("last")
+    buckets = materialize(dealt.join(shared, "bucket").select("node", "centre", "bucket"), "buckets")
+    members = buckets.select("node").distinct()
+    marks = materialize(sketch.select(F.col("row").alias("node"), "marks").join(members, "node", "left_semi"), "marks")
+    # the text of a class is that of the row that stands for it; rows repeated word for word give it once
+    where = classes.join(members, "node", "left_semi").select("node", F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_key"))
+    found = keyed_texts(docs).join(where, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_key")))
+    bodies = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "bodies")
+    star = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    links = materialize(confirmed(star, marks, bodies, percent), "links")
     joined = connected_components(links)
-    components = materialize(joined.withColumnRenamed("node", "doc_id"), "components")
-    members = buckets.select("bucket", "doc_id").join(components, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    components = materialize(joined, "components")
+    members = buckets.select("bucket", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     across = materialize(links_across(members, bodies, percent), "links")
     out = connected_components(links.union(across))
-    for table in (buckets, minima, bodies, links, joined, components, across):  # out reads none of them
+    for table in (buckets, marks, bodies, links, joined, components, across):  # out reads none of them
         drop_table(table)
     return out
 
 
 def links_across(members: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: links that join components of members (bucket, doc_id, component) which share a bucket.
+    """a, b: links that join components of members (bucket, node, component) which share a bucket.
 
     Buckets of two are left out: their only pair has been compared. Each row goes to the blocks that it is held against
     or in; how many blocks a bucket has follows from its members' number and length.
     """
-    members = members.join(bodies.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes")), "doc_id")
+    members = members.join(bodies.select("node", F.octet_length("text").alias("bytes")), "node")
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     several = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("components")).where("components > 1 and n > 2")
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
     several = several.select("bucket", F.col("top.component").alias("main"), blocks(F.col("n"), F.col("bytes")).alias("wide"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("tall"))
     rows = members.join(several, "bucket").withColumn("outside", F.col("component") != F.col("main"))
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("doc_id"), "tall").cast("int")).withColumn("j", F.pmod(F.xxhash64("doc_id"), "wide").cast("int"))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), "tall").cast("int")).withColumn("j", F.pmod(F.xxhash64("node"), "wide").cast("int"))
     # role 1: held against the block's members; 2: one of these; 3: both
     dealt = F.expr("""if(tall = 1 and wide = 1, array(named_struct('i', 0, 'j', 0, 'role', if(outside, 3, 2))),
         concat(transform(sequence(0, tall - 1), x -> named_struct('i', x, 'j', j, 'role', 2)),
                if(outside, transform(sequence(0, wide - 1), x -> named_struct('i', i, 'j', x, 'role', 1)), array())))""")
-    rows = rows.select("bucket", "doc_id", "component", F.explode(dealt).alias("at")).select("bucket", "at.*", "doc_id", "component").join(bodies, "doc_id")
+    rows = rows.select("bucket", "node", "component", F.explode(dealt).alias("at")).select("bucket", "at.*", "node", "component").join(bodies, "node")
     return rows.groupBy("bucket", "i", "j").applyInArrow(lambda table: _across(percent, table), "a long, b long")
 
 
 def _across(percent: int, table: pa.Table) -> pa.Table:
-    ids, of, role = (table.column(c).to_numpy() for c in ("doc_id", "component", "role"))
+    ids, of, role = (table.column(c).to_numpy() for c in ("node", "component", "role"))
     sets = [S.shingle_set(text.as_py()) for text in table.column("text")]
     inside = np.flatnonzero(role & 2)
     size = np.array([len(s) for s in sets])
@@ -207,17 +227,36 @@ def _across(percent: int, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is that one).
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key, n_shingles, class_id, component_id, kept, one row for each input row.
 
-    One row for each input row. Documents without shingles (null, empty or white text) are
-    linked with nothing. Rows that share a doc_id are one node. Equal sets are linked whatever else.
+    class_id is the smallest doc_id with an equal shingle set, component_id the smallest reachable over links. Each
+    row is a document, also if others have its doc_id; a null doc_id counts as the largest, so an id is null only if no
+    row that it stands for has one. Of a group the row with that smallest id is kept (of several, the one with the
+    smallest text_key), with what repeats it word for word. Rows without shingles (null, empty or
+    white text) are linked with nothing and kept. An empty table has no rows.
     """
-    sketch = materialize(sketches(docs, percent), "sketch")
-    least = sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class"))
-    linked = materialize(linked_classes(sketch, docs, percent).withColumnRenamed("node", "class"), "linked")
-    classes = least.join(linked, "class", "left").select("set_a", "set_b", F.coalesce("component", "class").alias("component"))
-    # a set that thousands share is a skewed key of the large side alone, which Spark splits
-    rows = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    sketch = materialize(sketches(docs), "sketch")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "row"))
+    classes = sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(first.alias("first"), F.count("*").alias("n"))
+    classes = materialize(classes.select("set_a", "set_b", F.col("first.row").alias("node"), "first.doc_id", "first.text_key", "n"), "classes")
+    linked = linked_classes(sketch, classes, docs, percent)
+    named = linked.join(classes.select("node", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key").alias("own")), "node")
+    named = named.join(named.groupBy("component").agg(F.min("own").alias("top")), "component").select("node", "top")
+    own = classes.join(named, "node", "left").select("set_a", "set_b", "n", F.col("doc_id").alias("class_id"), F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"), F.when(F.col("top").isNull(), F.col("text_key")).otherwise(F.col("top.text_key")).alias("keeper"))
+    own = materialize(own, "classes")
+    drop_table(classes)
+    rows = sketch.select("doc_id", "text_key", "n_shingles", "set_a", "set_b")
+    # rows of hot sets, few sets by this bound, meet them without a shuffle; no other set has many rows for one task
+    bound = (own.agg(F.sum("n")).first()[0] or 0) * HOT / shuffle_partitions(docs.sparkSession)
+    hot, rest = F.broadcast(own.where(F.col("n") > bound)), own.where(F.col("n") <= bound)
+    some = rows.where("n_shingles > 0")
+    met = some.join(hot, ["set_a", "set_b"]).unionByName(some.join(hot.select("set_a", "set_b"), ["set_a", "set_b"], "left_anti").join(rest, ["set_a", "set_b"]))
+    met = met.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keeper")))
+    alone = rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return met.select("doc_id", "text_key", "n_shingles", "class_id", "component_id", "kept").unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; see groups()."""
+    return groups(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")

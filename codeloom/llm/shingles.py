@@ -14,6 +14,8 @@ import numpy as np
 WIDTH = 5
 PERMUTATIONS = 128
 SEED = 20240607
+#: About the bytes of a text whose words are hashed at a time.
+SLICE = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,9 +54,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    if not len(data):
-        return np.empty(0, np.uint64)
+    """Hashes of the words in their order. Long texts are taken slice by slice, so what is needed beside
+    the text and the hashes doesn't grow with it (unless a single word is longer than a slice)."""
+    data, parts, at = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8), [], 0
+    while at < len(data):
+        end = at + SLICE
+        while end < len(data) and not (ends := WHITE[data[end : end + 4096]]).any():
+            end += 4096
+        if end < len(data):
+            end += int(ends.argmax())
+        parts.append(_hashed(data[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _hashed(data: np.ndarray) -> np.ndarray:
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~WHITE[data]
     edges = np.flatnonzero(np.diff(inside))
@@ -106,12 +120,18 @@ def signature(shingles: np.ndarray, n: int = PERMUTATIONS) -> np.ndarray:
     return out
 
 
-def bands(values: np.ndarray, rows: int) -> np.ndarray:
-    """One signed 64-bit hash for each band of so many minima."""
-    grouped = values[: len(values) // rows * rows].reshape(-1, rows)
-    total = np.zeros(len(grouped), np.uint64)
+def marks(values: np.ndarray) -> np.ndarray:
+    """16 bits of each minimum. Minima of large sets are all small, so their bits are spread first; 0 for an empty set."""
+    return (mix(values) & np.uint64(0xFFFF)).astype("<u2")
+
+
+def bands(table: np.ndarray, rows: int) -> np.ndarray:
+    """A signed 64-bit hash for each band of so many marks, by row of marks; equal marks in different bands differ."""
+    n = table.shape[1] // rows
+    grouped = table[:, : n * rows].reshape(len(table), n, rows).astype(np.uint64)
+    total = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64), (len(table), n)).copy()
     for i in range(rows):
-        total = mix(total * np.uint64(_constants()["word"]) + grouped[:, i])
+        total = mix(total * np.uint64(_constants()["word"]) + grouped[:, :, i])
     return total.view(np.int64)
 
 

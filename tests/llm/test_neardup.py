@@ -61,7 +61,31 @@ def test_signatures_estimate_similarity():
     both, union = S.jaccard(a, b)
     assert (both, union) == (1500, 3000)
     assert abs((S.signature(a, 2048) == S.signature(b, 2048)).mean() - 0.5) < 0.05
-    assert (S.bands(S.signature(a), 4) == S.bands(S.signature(a[::1].copy()), 4)).all() and len(S.bands(S.signature(a), 4)) == 32
+    own = np.stack([S.marks(S.signature(a))] * 2)
+    assert S.bands(own, 4).shape == (2, 32) and (S.bands(own, 4)[0] == S.bands(own, 4)[1]).all() and len(np.unique(S.bands(own, 4))) == 32
+
+
+@pytest.mark.parametrize("n", [200, 2_000, 20_000, 300_000])
+def test_likeness_is_that_of_the_sets_at_every_length(n):
+    """Sets of n words of which a share is common, from none to all."""
+    rng = np.random.default_rng(n)
+    words = [f"w{x}" for x in rng.integers(1 << 60, size=2 * n).tolist()]
+    text = " ".join(words[:n])
+    for common in (0, n // 2, n * 9 // 10, n):
+        other = " ".join(words[n - common : 2 * n - common])
+        both, union = S.jaccard(S.shingle_set(text), S.shingle_set(other))
+        assert abs(fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(other)) - both / union) < (0.05 if not common else 0.16)
+        if n < 3_000:
+            one, two = plain_set(text), plain_set(other)
+            assert (both, union) == (len(one & two), len(one | two))
+
+
+def test_words_of_long_texts_are_those_of_their_slices(monkeypatch):
+    text = " ".join("w" * (i % 97) + str(i) for i in range(3000)) + " " + "x" * 9000 + "\n y"
+    want = S.word_hashes(text), S.shingle_set(text)
+    for size in (1, 50, 5000):
+        monkeypatch.setattr(S, "SLICE", size)
+        assert (S.word_hashes(text) == want[0]).all() and (S.shingle_set(text) == want[1]).all()
 
 
 def test_near_duplicates_of_the_tables(spark, sf_dir):
@@ -108,20 +132,47 @@ def test_components(spark):
 
 def test_odd_rows(spark, odd, empty):
     rows = neardup.near_duplicates(odd).collect()
-    assert len(rows) == odd.count()
+    assert len(rows) == odd.count() > len({r.doc_id for r in rows})
     want = plain_components({r.doc_id: r.text for r in odd.collect()})
     assert all((r.n_shingles, r.component_id, r.kept) == want[r.doc_id] for r in rows)
     assert neardup.near_duplicates(empty).count() == 0
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_rows_are_documents_whatever_their_ids(spark):
+    text, other, third = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, text), (2, text), (2, other), (None, text), (None, third), (None, third), (3, third + " more"), (2, text), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = [(1, text, 1, 1, True), (2, text, 1, 1, False), (2, text, 1, 1, False), (2, other, 2, 2, True), (None, text, 1, 1, False), (None, third, None, 3, False), (None, third, None, 3, False), (3, third + " more", 3, 3, True), (4, "", 4, 4, True), (None, "", None, None, True)]
+    texts = {r.text_key: r.text for r in neardup.keyed_texts(docs).collect()}
+    got = [(r.doc_id, texts[r.text_key], r.class_id, r.component_id, r.kept) for r in neardup.groups(docs).collect()]
+    assert collections.Counter(got) == collections.Counter(want)
+    rows = fingerprints.fingerprints(docs).collect()
+    assert len(rows) == docs.count() and {(r.doc_id, r.class_id, r.component_id) for r in rows} == {(x[0], *x[2:4]) for x in want}
+    lost = spark.createDataFrame([(None, "a b c"), (None, "d e f"), (None, None)], "doc_id long, text string")
+    assert sorted(r.n_chars for r in fingerprints.fingerprints(lost).collect()) == [0, 5, 5]
+    assert neardup.near_duplicates(lost).where("kept").count() == 3
+
+
+@pytest.mark.parametrize("hot", [neardup.HOT, 0.0, 1e9])
+def test_sets_meet_their_classes_with_and_without_a_shuffle(spark, sf_dir, hot, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = plain_components({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()} == want
+
+
 def test_fingerprints(spark, sf_dir, odd):
     for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd.dropDuplicates(["doc_id"])):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}
         order = sorted(texts, reverse=True)
         rows = fingerprints.fingerprints(docs).collect()
         assert len(rows) == len(texts)
+        groups, first = plain_components(texts), {}
+        for i in sorted(texts):
+            first.setdefault(frozenset(plain_set(texts[i])) or i, i)
         for r in rows:
+            assert (r.component_id, r.class_id) == (groups[r.doc_id][1], first[frozenset(plain_set(texts[r.doc_id])) or r.doc_id])
             text, after = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % len(order)]]
             n = len(text) // 3
             changed = text[: len(text) - n] + after[:n]
@@ -130,8 +181,9 @@ def test_fingerprints(spark, sf_dir, odd):
             assert (r.fingerprint, r.edited_fingerprint) == (one.tobytes().hex(), two.tobytes().hex())
             assert (r.near_edited, r.near_next) == (float((one == two).mean()), float((one == three).mean()))
             a, b = plain_set(text), plain_set(changed)
-            if a and b:
-                assert abs(r.near_edited - len(a & b) / len(a | b)) < 0.25
+            c = plain_set(after)
+            for likeness, other in ((r.near_edited, b), (r.near_next, c)):
+                assert likeness == 0 if bool(a) != bool(other) else abs(likeness - (len(a & other) / len(a | other) if a else 1)) < 0.2
     assert fingerprints.fingerprints(odd).count() == odd.count()
     assert fingerprints.fingerprints(odd.where("doc_id = 3")).first()["near_next"] == 1.0
 
