@@ -118,7 +118,7 @@ def _spans_sql(rules: tuple[secretscan.Rule, ...]) -> str:
             SELECT r, {rank} AS rank, '{rule.kind}' AS kind, unnest(list_transform(range(1, len(whole) + 1), lambda i: {{
                 'start': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda m: length(m))), 0),
                 'size': length(whole[i]), 'own': length(own[i])}})) AS s
-            FROM (SELECT r, regexp_extract_all(text, '{pattern}', 0) AS whole, {f"regexp_extract_all(text, '{pattern}', {rule.group})" if rule.group else "whole"} AS own, string_split_regex(text, '{pattern}') AS gaps FROM docs WHERE regexp_matches(text, '{rule.probe or pattern}'))""")
+            FROM (SELECT r, regexp_extract_all(text, '{pattern}', 0) AS whole, {f"regexp_extract_all(text, '{pattern}', {rule.group})" if rule.group else "whole"} AS own, string_split_regex(text, '{pattern}') AS gaps FROM docs WHERE regexp_matches(text, '{pattern}'))""")
     least = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(rules))
     return f"SELECT r, rank, kind, s.start::BIGINT AS start, (s.start + s.size)::BIGINT AS stop FROM ({' UNION ALL '.join(parts)}) WHERE s.own >= CASE rank {least} END"
 

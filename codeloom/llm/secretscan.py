@@ -5,7 +5,8 @@ hold: an OR of sets, each of which is an AND. The index has postings (trigram, d
 that the queries ask for, in lower case; intersecting the postings gives each rule's candidates, and only these
 are verified with the expression. A rule that must hold no trigram is verified on every document.
 
-Places come from the text between the matches: the lengths of these parts and of the matches before add up.
+Places come from the text between the matches: the lengths of these parts and of the matches before add up, block by
+block, so a text with very many matches costs no more than its length.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import before, unused
+
 #: A character class with more members than this is anything; so are more strings than MOST_STRINGS.
 MOST_MEMBERS = 4
 MOST_STRINGS = 64
@@ -25,29 +28,32 @@ REDACTED = "[REDACTED]"
 
 
 class Rule(NamedTuple):
-    """kind, expression, group that is measured, characters that it must have, and an expression that
-    is quick to try and found in every text with a long enough match."""
+    """kind, expression, and if it can't say itself how long a match must be: the group that is measured and the
+    characters that it must have. A match that is too short still takes its characters."""
 
     kind: str
     pattern: str
-    group: int
-    least: int
-    probe: str = ""
+    group: int = 0
+    least: int = 0
 
 
+#: Runs are taken whole, so a run that is long enough is found whether or not shorter ones count as matches before.
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
 )
 RULES = (
     *BASE,
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
+SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+#: Code points of the parts that a text is cut into when spans are replaced.
+PART = 1024
 
 
 def _members(parts: list) -> set[str] | None:
@@ -116,62 +122,66 @@ def trigram_query(pattern: str) -> set[frozenset[str]] | None:
     return None if frozenset() in query else query
 
 
-def spans_of(rule: Rule, rank: int, when: Column | None = None) -> Column:
-    """array<struct<start, rank, kind, end>> of a rule's matches in text that are long enough, by start;
-    empty if the condition doesn't hold.
-
-    Matches are found first, leftmost and not overlapping, and measured then, so a short match still
-    takes its characters.
-    """
+def matches(rule: Rule, when: Column | None = None) -> Column:
+    """Lengths of a rule's matches in text, leftmost and not overlapping, of their measured groups, and of the gaps around
+    them: an array of one struct, or of none if there is no match or the condition doesn't hold."""
     text, pattern = F.col("text"), F.lit(rule.pattern)
-    total = lambda sizes, n: F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0), lambda s, x: s + x)
-    parts = F.struct(
-        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gaps"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("sizes"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("owns"),
-    )
-    placed = F.flatten(F.transform(F.array(parts), lambda f: F.transform(f["sizes"], lambda size, i: F.struct((total(f["gaps"], i + 1) + total(f["sizes"], i)).cast("long").alias("start"), size.alias("size"), f["owns"][i].alias("own")))))
-    spans = F.transform(F.filter(placed, lambda r: r["own"] >= rule.least), lambda r: F.struct(r["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (r["start"] + r["size"]).alias("end")))
-    test = F.regexp_like(text, F.lit(rule.probe or rule.pattern))
-    return F.when(test if when is None else when & test, spans).otherwise(F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint>>)"))
-
-
-def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
+    sizes = lambda parts: F.transform(parts, lambda x: F.length(x).cast("bigint"))
+    group = lambda n: sizes(F.regexp_extract_all(text, pattern, F.lit(n)))
+    owns = group(rule.group) if rule.least else F.array().cast("array<bigint>")
+    found = F.array(F.struct(sizes(F.split(text, rule.pattern, -1)).alias("gaps"), group(0).alias("sizes"), owns.alias("owns")))
+    test = F.regexp_like(text, pattern)
+    return F.when(test if when is None else when & test, found).otherwise(F.array().cast("array<struct<gaps:array<bigint>,sizes:array<bigint>,owns:array<bigint>>>"))
+
+
+def spans_of(rule: Rule, rank: int, found: str) -> str:
+    """SQL for array<struct<start, rank, kind, end>> of the matches in a column of matches() that are long enough, by start."""
+    # a match begins behind the first gap and all matches before it, each with the gap that follows
+    starts = before("zip_with(f.sizes, slice(f.gaps, 2, size(f.sizes)), (a, b) -> a + b)")
+    spans = f"transform({starts}, (t, i) -> named_struct('start', f.gaps[0] + t, 'rank', {rank}, 'kind', '{rule.kind}', 'end', f.gaps[0] + t + f.sizes[i]))"
+    if rule.least:
+        spans = f"filter({spans}, (m, i) -> f.owns[i] >= {rule.least})"
+    return f"flatten(transform({found}, f -> {spans}))"
+
+
+def postings(docs: DataFrame, grams: list[str], key: str) -> DataFrame:
     """The inverted index: gram (its number) and key of each document that holds it, for these trigrams."""
-    low = docs.select("__key", F.lower("text").alias("low"))
+    low = docs.select(key, F.lower("text").alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return low.select("__key", F.explode(held).alias("gram"))
+    return low.select(key, F.explode(held).alias("gram"))
 
 
-def candidates(posts: DataFrame, grams: list[str], queries: dict[int, set[frozenset[str]]]) -> DataFrame:
-    """__key and __rules, the numbers of the rules whose queries hold: postings intersected by document."""
+def candidates(posts: DataFrame, grams: list[str], queries: dict[int, set[frozenset[str]]], key: str, out: str) -> DataFrame:
+    """key and out, the numbers of the rules whose queries hold: postings intersected by document."""
     number = {g: i for i, g in enumerate(grams)}
     words = range(len(grams) // 60 + 1)
-    masks = posts.groupBy("__key").agg(*[F.bit_or(F.when(F.expr(f"gram div 60 = {w}"), F.expr("shiftleft(1L, gram % 60)")).otherwise(0)).alias(f"mask{w}") for w in words])
+    masks = posts.groupBy(key).agg(*[F.bit_or(F.when(F.expr(f"gram div 60 = {w}"), F.expr("shiftleft(1L, gram % 60)")).otherwise(0)).alias(f"mask{w}") for w in words])
 
     def holds(clause: frozenset[str]) -> str:
         need = [sum(1 << number[g] % 60 for g in clause if number[g] // 60 == w) for w in words]
         return "(" + " and ".join(f"mask{w} & {n}L = {n}L" for w, n in enumerate(need) if n) + ")"
 
     rules = F.array_compact(F.array(*[F.when(F.expr(" or ".join(sorted(map(holds, q)))), F.lit(i)) for i, q in queries.items()]))
-    return masks.select("__key", rules.alias("__rules")).where(F.size("__rules") > 0)
+    return masks.select(key, rules.alias(out)).where(F.size(out) > 0)
 
 
-def found_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs plus __spans, sorted by start and then by rule: array<struct<start, rank, kind, end>>.
+def found_spans(docs: DataFrame, spans: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs plus a column spans, sorted by start and then by rule: array<struct<start, rank, kind, end>>.
 
-    Null texts have none. Rows that share a doc_id share candidates, which verification sorts out.
+    Null texts have none. The index knows a row by a hash of its doc_id and text, so no id, null or not, is a hot key;
+    rows that share a hash share candidates, which verification sorts out.
     """
+    key, named, *each = unused(docs, "key", "rules", *(f"found{i}" for i in range(len(rules))))
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
     grams = sorted({g for q in queries.values() for clause in q for g in clause})
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     if queries:
-        found = candidates(postings(keyed, grams), grams, queries)
-        keyed = keyed.join(found, "__key", "left")
+        keyed = keyed.join(candidates(postings(keyed, grams, key), grams, queries, key, named), key, "left")
     else:
-        keyed = keyed.withColumn("__rules", F.lit(None).cast("array<int>"))
-    spans = [spans_of(r, i, F.coalesce(F.array_contains("__rules", i), F.lit(False)) if i in queries else None) for i, r in enumerate(rules)]
-    return keyed.withColumn("__spans", F.array_sort(F.concat(*spans))).drop("__key", "__rules")
+        keyed = keyed.withColumn(named, F.lit(None).cast("array<int>"))
+    keyed = keyed.withColumns({c: matches(r, F.coalesce(F.array_contains(named, i), F.lit(False)) if i in queries else None) for i, (r, c) in enumerate(zip(rules, each))})
+    every = F.array_sort(F.concat(*[F.expr(spans_of(r, i, f"`{c}`")) for i, (r, c) in enumerate(zip(rules, each))]))
+    return keyed.select(*docs.columns, every.alias(spans))
 
 
 def _listed(spans: str) -> str:
@@ -181,21 +191,31 @@ def _listed(spans: str) -> str:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 (of the base rules' spans), spans (of all rules).
 
-    Starts and ends count code points. Null text is empty and has none. One row for each input row.
+    Starts and ends count code points. Null text is empty and has none. One row for each input row,
+    repeated rows too, in no order; a null doc_id stays null; an empty table has no rows.
     """
-    rows = found_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), rules)
-    counts = [F.expr(f"cast(size(filter(__spans, s -> s.kind = '{r.kind}')) as bigint)").alias(f"n_{r.kind}") for r in BASE]
-    base = f"filter(__spans, s -> s.rank < {len(BASE)})"
-    return rows.select("doc_id", *counts, F.expr(f"sha2({_listed(base)}, 256)").alias("base_sha256"), F.expr(_listed("__spans")).alias("spans"))
+    rows = found_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "found", rules)
+    counts = [F.expr(f"cast(size(filter(found, s -> s.kind = '{r.kind}')) as bigint)").alias(f"n_{r.kind}") for r in BASE]
+    base = f"filter(found, s -> s.rank < {len(BASE)})"
+    return rows.select("doc_id", *counts, F.expr(f"sha2({_listed(base)}, 256)").alias("base_sha256"), F.expr(_listed("found")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every span of a rule replaced by REDACTED in text; overlapping spans by one. Null stays null."""
-    joined = f"""aggregate(__spans, named_struct('at', 0L, 'out', ''),
-        (a, s) -> if(s.start >= a.at, named_struct('at', s.end, 'out', concat(a.out, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{REDACTED}')),
-                  named_struct('at', greatest(a.at, s.end), 'out', a.out)),
-        a -> concat(a.out, substring(text, cast(a.at + 1 as int))))"""
-    return found_spans(docs, rules).withColumn("text", F.expr(f"if(size(__spans) > 0, {joined}, text)")).select(*docs.columns)
+    """docs with every span of a rule replaced by REDACTED in text; overlapping spans by one. Null stays null.
+
+    All columns and rows stay, whatever their names; only text changes.
+    """
+    (spans,) = unused(docs, "spans")
+    rows = found_spans(docs, spans, rules)
+    # the text in parts of PART code points; what lies between two places is put together from them
+    between = f"array_join(transform(if(from < to, sequence(from div {PART}, (to - 1) div {PART}), cast(array() as array<bigint>)), k -> substring(p[cast(k as int)], cast(greatest(from - k * {PART}, 0) + 1 as int), cast(least(to - k * {PART}, {PART}) - greatest(from - k * {PART}, 0) as int))), '')"
+    piece = lambda start, end: between.replace("from", start).replace("to", end)
+    kept = f"transform(e, (at, i) -> if(s[i].start >= at, concat({piece('at', 's[i].start')}, '{REDACTED}'), ''))"
+    last = "greatest(e[size(e) - 1], s[size(s) - 1].end)"
+    ends = before("transform(s, x -> x.end)", "greatest({a}, {b})")
+    whole = f"array_join(concat({kept}, array({piece(last, 'n')})), '')"
+    joined = f"transform(array(`{spans}`), s -> element_at(transform(array({ends}), e -> element_at(transform(array(regexp_extract_all(text, '(?s).{{1,{PART}}}', 0)), p -> element_at(transform(array(cast(length(text) as bigint)), n -> {whole}), 1)), 1)), 1))"
+    return rows.withColumn("text", F.expr(f"if(size(`{spans}`) > 0, element_at({joined}, 1), text)")).select(*docs.columns)
 
 
 def brute_force(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, str, int]]:

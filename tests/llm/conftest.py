@@ -33,9 +33,9 @@ def odd_texts():
 def odd(spark):
     """Nulls in every column, empty and long texts, ties, repeated rows, extra columns with clashing names."""
     rows = [(i, t, "en" if i % 3 else None, f"src{i % 2}" if i % 4 else None, len(t) if t else None) for i, t in enumerate(odd_texts())]
-    rows += [rows[9], rows[9], rows[5]]
+    rows += [rows[9], rows[9], rows[5], (None, "no id " * 20, "en", "src0", 120), (None, "no id " * 20, "en", "src0", 120), (None, None, None, None, None), (9, "another text with an id that is taken", "en", None, 1)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for name in ("row", "length", "block", "rank", "component", "part", "guest", "minima", "bands", "n_tokens", "key", "value", "line", "n", "a", "b", "score", "kept"):
+    for name in ("row", "length", "block", "rank", "component", "part", "guest", "minima", "bands", "n_tokens", "key", "value", "line", "n", "a", "b", "score", "kept", "n_lines", "n_dropped", "found", "found0", "rules", "spans", "at", "node", "class_id", "text_key", "gone", "key_a", "shard", "n_common", "__key", "__rules", "__spans", "__a", "__gone", "__n"):
         df = df.selectExpr("*", f"'clash' as {name}")
     return df
 
