@@ -10,7 +10,9 @@ and the arc it lost; an arc that is younger than its state exists there just if
 
 Every string has one path. encode() finds it from left to right: in the state reached at each
 position it tries the tokens that the bytes there spell, longest first, follows the first arc that
-exists, and steps back from a dead end. Words that were met before come from a bounded table of
+exists, and steps back from a dead end. The automaton is deterministic over tokens: a state has at most one arc with
+a label, and arcs are fixed when the last merge is compiled; they are only read off the tables when first met. Bytes don't say
+how long the next token is, so a walk may try several. Words that were met before come from a bounded table of
 whole paths. decode() emits the labels of arcs.
 """
 

@@ -7,11 +7,11 @@ characters that a loss counts, which are the words of assistant turns and their
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import before
+
 TRAINED = "assistant"
 NO_ROLE = "unknown"
 #: What stands before a turn's text (with its role between the two) and behind it.
@@ -24,18 +24,11 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(BEGIN), t["role"], F.lit(MIDDLE), t["text"], F.lit(END + CLOSE))), "")
 
 
-def mask(turns: Column) -> Column:
-    """array<struct<start, end>>: code points of the rendered turns that are trained on."""
-    frame = len(BEGIN + MIDDLE + END + CLOSE)
-    sizes: Callable[[Column], Column] = lambda ts: F.transform(ts, lambda t: F.length(t["role"]) + F.length(t["text"]) + frame)
-    # inside a one-element array the sizes are computed once for all turns
-    spans = F.flatten(F.transform(F.array(F.struct(turns.alias("turns"), sizes(turns).alias("sizes"))), lambda f: F.transform(f["turns"], lambda t, i: _span(f["sizes"], t, i))))
-    return F.transform(F.filter(spans, lambda s: s["trained"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-
-
-def _span(sizes: Column, turn: Column, i: Column) -> Column:
-    start = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, x: s + x) + len(BEGIN + MIDDLE) + F.length(turn["role"])
-    return F.struct((turn["role"] == TRAINED).alias("trained"), start.alias("start"), (start + F.length(turn["text"]) + len(END)).alias("end"))
+def mask(turns: str) -> Column:
+    """array<struct<start, end>>: code points of the rendered turns that are trained on. turns: SQL of an array of turns."""
+    starts = before(f"transform(ts, t -> length(t.role) + length(t.text) + {len(BEGIN + MIDDLE + END + CLOSE)}L)")
+    spans = f"zip_with(ts, {starts}, (t, at) -> named_struct('trained', t.role = '{TRAINED}', 'start', at + length(t.role) + {len(BEGIN + MIDDLE)}, 'end', at + length(t.role) + length(t.text) + {len(BEGIN + MIDDLE + END)}))"
+    return F.expr(f"element_at(transform(array({turns}), ts -> transform(filter({spans}, s -> s.trained), s -> named_struct('start', s.start, 'end', s.end))), 1)")
 
 
 def common_turns(chosen: Column, rejected: Column) -> Column:
@@ -60,7 +53,7 @@ def preferences(pairs: DataFrame) -> DataFrame:
     rows = pairs.drop(*new).withColumn("chosen", _clean(F.col("chosen"))).withColumn("rejected", _clean(F.col("rejected")))
     rows = rows.withColumn("n_common", common_turns(F.col("chosen"), F.col("rejected")))
     rest = lambda c: F.slice(F.col(c), F.col("n_common") + 1, F.size(c))
-    return rows.select("*", render(F.slice("chosen", F.lit(1), F.col("n_common"))).alias("prompt"), *[render(rest(c)).alias(f"{c}_text") for c in ("chosen", "rejected")], *[mask(rest(c)).alias(f"{c}_mask") for c in ("chosen", "rejected")])
+    return rows.select("*", render(F.slice("chosen", F.lit(1), F.col("n_common"))).alias("prompt"), *[render(rest(c)).alias(f"{c}_text") for c in ("chosen", "rejected")], *[mask(f"slice({c}, n_common + 1, size({c}))").alias(f"{c}_mask") for c in ("chosen", "rejected")])
 
 
 def paired(conversations: DataFrame) -> DataFrame:
@@ -70,14 +63,16 @@ def paired(conversations: DataFrame) -> DataFrame:
     its turns before its last assistant turn, followed by its partner's turns from the partner's last
     assistant turn on. Conversations 2k and 2k + 1 are partners; without one, or without an assistant turn there, only
     the turns before remain. A conversation without an assistant turn keeps all its turns. Turns with one
-    number are ordered by role and text; a null conv_id is a conversation of its own, without a partner.
+    number are ordered by role and text. A turn without a conv_id is a conversation of its own, without a partner. An
+empty table gives no rows.
 
     One shuffle, by pair; a task holds one pair of conversations at a time, which are rows of the result.
     """
     pair = F.expr("if(conv_id is null, null, floor(conv_id / 2))")
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(NO_ROLE)).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    both = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).withColumn("pair", pair)
-    both = both.groupBy("pair").agg(F.collect_list(F.struct("conv_id", "t")).alias("all"))
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    both = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"), lone.alias("lone")).withColumn("pair", pair)
+    both = both.groupBy("pair", "lone").agg(F.collect_list(F.struct("conv_id", "t")).alias("all"))
     own = lambda odd: F.transform(F.array_sort(F.filter("all", lambda x: F.coalesce(F.pmod(x["conv_id"], F.lit(2)), F.lit(0)) == odd)), lambda x: F.struct(x["t"]["role"].alias("role"), x["t"]["text"].alias("text")))
     both = both.select("pair", own(0).alias("even"), own(1).alias("odd"))
     sides = F.array(F.struct(F.lit(0).alias("k"), F.col("even").alias("chosen"), F.col("odd").alias("other")), F.struct(F.lit(1).alias("k"), F.col("odd").alias("chosen"), F.col("even").alias("other")))

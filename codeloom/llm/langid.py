@@ -3,7 +3,8 @@
 A text is its trigrams of lower-cased letters as UTF-8 bytes, hashed to DIMENSIONS; everything else is a space. Naive Bayes over
 trigrams tells the families apart. Within a family, a linear support vector machine for each pair of languages votes;
 the languages of a family that has one need none. Scores of a text are sums over a table of weights, so
-whole texts cost a few numpy passes. The fit takes a bounded sample: about SAMPLE texts for each language.
+whole texts cost a few numpy passes, slice by slice. The fit takes a bounded sample: about SAMPLE texts for each of at most
+LANGUAGES languages, and is dense only for two languages at a time.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 DIMENSIONS = 1 << 14
-#: Labelled texts of each language that the fit takes (drawn by a hash of doc_id; fewer if there are fewer).
+#: Labelled texts of each language that the fit takes (drawn by a hash of doc_id and text; fewer if there are fewer).
 SAMPLE = 400
+#: Most languages that are learned, those with the most labelled texts.
+LANGUAGES = 200
+#: Trigrams of a text that are scored at a time.
+SLICE = 1 << 19
 #: Families of language codes. A code that isn't here is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "fy", "lb", "sv", "da", "no", "nb", "nn", "is", "fo"),
@@ -57,21 +62,28 @@ def trigrams(text: str) -> np.ndarray:
 class Model:
     """Languages by family and one table of weights: a column for each family, then for each pair."""
 
-    def __init__(self, counts: np.ndarray, langs: list[str]):
-        self.langs = sorted(set(langs))
+    def __init__(self, rows: list[tuple[str, np.ndarray, np.ndarray]]):
+        """rows: language, trigrams and how often each occurs, of every text."""
+        by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for lang, at, times in rows:
+            by.setdefault(lang, []).append((at, times))
+        self.langs = sorted(by)
         self.families = sorted({family_of(x) for x in self.langs})
         self.within = {f: [x for x in self.langs if family_of(x) == f] for f in self.families}
         self.pairs = [p for f in self.families for p in itertools.combinations(self.within[f], 2)]
-        of = np.array(langs)
         columns = []
         for f in self.families:
-            total = counts[np.isin(of, self.within[f])].sum(0) + 0.5
-            columns.append(np.log(total / total.sum()))
+            total = np.full(DIMENSIONS, 0.5)
+            for lang in self.within[f]:
+                for at, times in by[lang]:
+                    total[at] += times
+            columns.append(np.log(total / total.sum()).astype(np.float32))
         self.bias = [0.0] * len(self.families)
-        share = counts / np.maximum(1, counts.sum(1, keepdims=True))
         for one, two in self.pairs:
-            chosen = (of == one) | (of == two)
-            w, b = linear_svm(share[chosen], np.where(of[chosen] == one, 1.0, -1.0))
+            share = np.zeros((len(by[one]) + len(by[two]), DIMENSIONS), np.float32)
+            for i, (at, times) in enumerate(by[one] + by[two]):
+                share[i, at] = times / max(1, times.sum())
+            w, b = linear_svm(share, np.where(np.arange(len(share)) < len(by[one]), 1.0, -1.0))
             columns.append(w)
             self.bias.append(b)
         self.weights = np.ascontiguousarray(np.array(columns, np.float32).T) if columns else np.zeros((DIMENSIONS, 0), np.float32)
@@ -82,7 +94,8 @@ class Model:
         grams = trigrams(text)
         if not len(grams):  # letters that no table of bytes knows
             return UNKNOWN, 0.0
-        scores = self.weights[grams].mean(0, dtype=np.float64) + self.bias
+        total = sum(self.weights[grams[i : i + SLICE]].sum(0, dtype=np.float64) for i in range(0, len(grams), SLICE))
+        scores = total / len(grams) + self.bias
         n = len(self.families)
         evidence = scores[:n] * min(len(grams), 50)
         best = int(evidence.argmax())
@@ -128,19 +141,16 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on labelled rows (doc_id, text, lang): those whose hashed id is under a bound set for each
-    language by its count, so about sample of them. What reaches the driver is at most DIMENSIONS numbers for each."""
+    """Fits on labelled rows (doc_id, text, lang) of the LANGUAGES most frequent languages: those whose hashed id and text are under a
+    bound set for each language by its count, so about sample of them. What reaches the driver is at most DIMENSIONS numbers for each."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not n:
-        return Model(np.zeros((0, DIMENSIONS)), [])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40))
+        return Model([])
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40))
     bound = F.create_map(*[F.lit(v) for lang, count in n.items() for v in (lang, int(min(1.0, sample / count) * (1 << 40)))])
     rows = labelled.where(draw < bound[F.col("lang")]).select("lang", "text").mapInArrow(_featured, "lang string, at array<int>, times array<int>").collect()
-    counts = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, r in enumerate(rows):
-        counts[i, r["at"]] = r["times"]
-    return Model(counts, [r["lang"] for r in rows])
+    return Model([(r["lang"], np.array(r["at"], np.int32), np.array(r["times"], np.int32)) for r in rows])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -6,10 +6,10 @@ shard of the keys. Inserting or deleting documents adds to or takes from the cou
 the limit enter or leave their shard's filter, so deleting what was inserted gives back the
 former index.
 
-Documents stay where they are while their lines are looked up: the filters go to the executors if
-they are within FILTER_BYTES (checked), with the few counted keys that the filters take for frequent
-though the counts say they aren't; so the answer is exact. Larger filters stay where they are,
-and lines go to the counts by a join on the key instead.
+Lines are looked up in the filters, at any size. Filters within FILTER_BYTES (checked) go to the executors and
+documents stay where they are; of larger ones each stays with its shard, and the keys of lines are shuffled to
+their shard's filter. A shard whose keys occur in very many lines is dealt in parts, each with the filter. The few counted keys that
+the filters take for frequent though the counts say they aren't are found in the same way; so the answer is exact.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.common import materialize
+from codeloom.llm.common import materialize, unused
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Lines with keys found in so many documents go.
@@ -37,8 +37,10 @@ LEAST = 1
 #: Keys in a shard's filter, and most bytes of all filters that are sent to executors.
 SHARD_KEYS = 200_000
 FILTER_BYTES = 64 << 20
-#: Most keys that filters may take wrongly for frequent before lines are joined instead.
+#: Most keys that filters may take wrongly for frequent and that are sent to executors with them.
 EXCEPTIONS = 100_000
+#: About the keys of one part of a shard.
+PART_KEYS = 1_000_000
 KEYS_AT_ONCE = 200_000
 
 
@@ -190,14 +192,14 @@ class LineIndex:
         full = out.filters.where((F.length("filter") == 0) | (F.col("n") > 2 * SHARD_KEYS)).limit(1).count()
         return out._sharded() if full else out
 
-    def dedup(self, docs: DataFrame) -> DataFrame:
-        """docs with the lines of frequent keys taken out of text, plus n_lines and n_dropped.
+    def dedup(self, docs: DataFrame, counts: bool = True) -> DataFrame:
+        """docs with the lines of frequent keys taken out of text, and n_lines and n_dropped if counts is true.
 
-        Other columns stay; n_lines and n_dropped of the input, if any, are replaced. The documents
+        Other columns stay, whatever their names; with counts, n_lines and n_dropped of the input are replaced. The documents
         must have been inserted. Null and empty texts are one empty line and come out empty; lines without
-        a key always stay; a document may lose all its lines and is then an empty text.
+        a key always stay; a document may lose all its lines and is then an empty text. Repeated rows stay repeated.
         """
-        docs = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
+        docs = _plain(docs, counts)
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
         if size <= FILTER_BYTES:
             tables = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}  # within FILTER_BYTES
@@ -207,22 +209,56 @@ class LineIndex:
             wrong = wrong.limit(EXCEPTIONS + 1).collect()
             if len(wrong) <= EXCEPTIONS:
                 not_frequent, least = send({np.array([tuple(r)], "<i8").tobytes() for r in wrong}), self.least
-                return docs.mapInArrow(lambda it: _without(filters.value, shards, not_frequent.value, least, it), _schema(docs))
-        return self.dedup_by_join(docs)
-
-    def dedup_by_join(self, docs: DataFrame) -> DataFrame:
-        """The same for filters of any size: lines meet the counts in a join, which Spark splits where a key is hot."""
-        least, docs = self.least, docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
-        frequent = self.refs.where(F.col("refs") >= self.limit).select("key_a", "key_b")
-        named = docs.withColumn("__a", F.xxhash64("text")).withColumn("__b", F.xxhash64(F.lit(1), "text"))
-        lines = named.select("__a", "__b", "text").mapInArrow(lambda it: _listed(least, it), "__a long, __b long, key_a long, key_b long")
-        gone = lines.join(frequent, ["key_a", "key_b"]).groupBy("__a", "__b").agg(F.collect_set(F.struct("key_a", "key_b")).alias("__gone"))
-        joined = named.join(gone, ["__a", "__b"], "left").select(*docs.columns, "__gone")
-        return joined.mapInArrow(lambda it: _without_listed(least, it), _schema(docs))
-
-
-def _schema(docs: DataFrame) -> T.StructType:
-    return T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+                return docs.mapInArrow(lambda it: _without(filters.value, shards, not_frequent.value, least, counts, it), _schema(docs, counts))
+        return self.dedup_by_shard(docs, counts)
+
+    def dedup_by_shard(self, docs: DataFrame, counts: bool = True) -> DataFrame:
+        """The same for filters of any size: each line's key goes to its shard's filter, what the filter holds comes back to the text."""
+        least, docs = self.least, _plain(docs, counts)
+        one, two, listed = unused(docs, "text_a", "text_b", "gone")
+        named = docs.withColumn(one, F.xxhash64("text")).withColumn(two, F.xxhash64(F.lit(1), "text"))
+        lines = named.select(F.col(one).alias("text_a"), F.col(two).alias("text_b"), "text").mapInArrow(lambda it: _listed(least, it), "text_a long, text_b long, key_a long, key_b long")
+        sizes = self.refs.groupBy(_shard(self.shards)).agg(F.greatest(F.sum("refs"), F.count("*")).alias("n")).collect()  # one number for each filter
+        parts = {r["shard"]: -(-r["n"] // PART_KEYS) for r in sizes}
+        wrong = self._held(self.refs.where(F.col("refs") < self.limit).select(F.lit(0).cast("long").alias("text_a"), F.lit(0).cast("long").alias("text_b"), "key_a", "key_b"), parts, "key_a")
+        held = self._held(lines, parts, "text_a").join(materialize(wrong.select("key_a", "key_b"), "wrong"), ["key_a", "key_b"], "left_anti")
+        gone = held.groupBy(F.col("text_a").alias(one), F.col("text_b").alias(two)).agg(F.collect_set(F.struct("key_a", "key_b")).alias(listed))
+        joined = named.join(gone, [one, two], "left").select(*docs.columns, listed)
+        return joined.mapInArrow(lambda it: _without_listed(least, listed, counts, it), _schema(docs, counts))
+
+    def _held(self, rows: DataFrame, parts: dict[int, int], salt: str) -> DataFrame:
+        """Those of the rows (text_a, text_b, key_a, key_b) whose key their shard's filter holds."""
+        sent = rows.sparkSession.sparkContext.broadcast(parts)
+        shards, names = self.shards, ["text_a", "text_b", "key_a", "key_b", "shard", "part"]
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shard = shard_of(np.column_stack([batch.column(c).to_numpy() for c in ("key_a", "key_b")]), shards)
+                of = np.array([sent.value.get(x, 1) for x in shard.tolist()], np.int64)
+                part = batch.column(salt).to_numpy() % np.maximum(of, 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard), pa.array(part)], names=names)
+
+        routed = rows.mapInArrow(route, ", ".join(f"{c} long" for c in names))
+        numbers = rows.sparkSession.createDataFrame(sorted(parts.items()) or [(0, 1)], "shard long, parts long")
+        copies = self.filters.select("shard", "filter").join(numbers, "shard").select("shard", "filter", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+        return routed.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_passed, "text_a long, text_b long, key_a long, key_b long")
+
+
+def _passed(lines: pa.Table, filters: pa.Table) -> pa.Table:
+    names = ["text_a", "text_b", "key_a", "key_b"]
+    if not lines.num_rows or not filters.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in names})
+    own = CuckooFilter(data=filters.column("filter")[0].as_py())
+    keys = np.column_stack([lines.column(c).to_numpy() for c in ("key_a", "key_b")])
+    return lines.select(names).filter(pa.array(own.holds(keys)))
+
+
+def _plain(docs: DataFrame, counts: bool) -> DataFrame:
+    return (docs.drop("n_lines", "n_dropped") if counts else docs).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def _schema(docs: DataFrame, counts: bool) -> T.StructType:
+    return T.StructType([*docs.schema.fields, *([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if counts else [])])
 
 
 def _references(docs: DataFrame, least: int) -> DataFrame:
@@ -271,13 +307,15 @@ def _taken(tables: dict[int, bytes], shards: int, batches: Iterator[pa.RecordBat
         yield batch.filter(pa.array(_positive(filters, shards, keys)))
 
 
-def _rewritten(batch: pa.RecordBatch, texts: list, lines: list, dropped: list) -> pa.RecordBatch:
-    i = batch.schema.get_field_index("text")
+def _rewritten(batch: pa.RecordBatch, texts: list, lines: list, dropped: list, counts: bool) -> pa.RecordBatch:
+    i = next(i for i, name in enumerate(batch.schema.names) if name.lower() == "text")
     batch = batch.set_column(i, batch.schema.field(i), pa.array(texts, pa.string()))
+    if not counts:
+        return batch
     return batch.append_column("n_lines", pa.array(lines, pa.int64())).append_column("n_dropped", pa.array(dropped, pa.int64()))
 
 
-def _without(tables: dict[int, bytes], shards: int, not_frequent: set[bytes], least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without(tables: dict[int, bytes], shards: int, not_frequent: set[bytes], least: int, counts: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     filters = _opened(tables)
     for batch in batches:
         split = [lines_and_keys(text.as_py(), least) for text in batch.column("text")]
@@ -289,29 +327,34 @@ def _without(tables: dict[int, bytes], shards: int, not_frequent: set[bytes], le
             texts.append(b"\n".join(line for line, stays in zip(lines, keep) if stays).decode("utf-8", "surrogatepass"))
             n.append(len(lines))
             dropped.append(len(lines) - sum(keep))
-        yield _rewritten(batch, texts, n, dropped)
+        yield _rewritten(batch, texts, n, dropped, counts)
 
 
 def _listed(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each text, once; a text that comes again in a batch is left out."""
     for batch in batches:
-        for a, b, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            keys = _keys(list({k for k in lines_and_keys(text, least)[1] if k}))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), x, np.int64)) for x in (a, b)] + [pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["__a", "__b", "key_a", "key_b"])
+        seen = set()
+        for a, b, text in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), batch.column("text")):
+            if (a, b) in seen:
+                continue
+            seen.add((a, b))
+            keys = _keys(list({k for k in lines_and_keys(text.as_py(), least)[1] if k}))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), x, np.int64)) for x in (a, b)] + [pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["text_a", "text_b", "key_a", "key_b"])
 
 
-def _without_listed(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without_listed(least: int, listed: str, counts: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, n, dropped = [], [], []
-        for text, found in zip(batch.column("text"), batch.column("__gone").to_pylist()):
+        for text, found in zip(batch.column("text"), batch.column(listed).to_pylist()):
             lines, own = lines_and_keys(text.as_py(), least)
             gone = {np.array([(d["key_a"], d["key_b"])], "<i8").tobytes() for d in found or ()}
             keep = [k not in gone for k in own]
             texts.append(b"\n".join(line for line, stays in zip(lines, keep) if stays).decode("utf-8", "surrogatepass"))
             n.append(len(lines))
             dropped.append(len(lines) - sum(keep))
-        yield _rewritten(batch.select([c for c in batch.schema.names if c != "__gone"]), texts, n, dropped)
+        yield _rewritten(batch.select([c for c in batch.schema.names if c != listed]), texts, n, dropped, counts)
 
 
-def deduplicate_lines(docs: DataFrame, limit: int = LIMIT, least: int = LEAST) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, limit: int = LIMIT, least: int = LEAST, counts: bool = True) -> DataFrame:
     """docs without the lines whose keys occur in at least limit of these documents; see dedup()."""
-    return LineIndex.of(docs, limit, least).dedup(docs)
+    return LineIndex.of(docs, limit, least).dedup(docs, counts)

@@ -8,6 +8,7 @@ prove to be; media inside other media are listed with their places.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -35,7 +36,42 @@ class Medium(NamedTuple):
     length: int
 
 
-def _wav(data: memoryview, at: int) -> int | None:
+class Places:
+    """Where marks lie in a value, each kind found in one pass when it is first asked for, so that no validator
+    reads on to the end of the value for every head."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._of: dict[bytes, list[int]] = {}
+
+    def of(self, mark: bytes) -> list[int]:
+        if mark not in self._of:
+            self._of[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self._of[mark]
+
+    def first(self, mark: bytes, start: int, end: int) -> int:
+        """The first whole mark between two places, -1 if there is none."""
+        places = self.of(mark)
+        i = bisect.bisect_left(places, start)
+        return places[i] if i < len(places) and places[i] + len(mark) <= end else -1
+
+    @functools.cached_property
+    def trailers(self) -> np.ndarray:
+        """Start, end and number of each trailer of a PDF."""
+        return np.array([(m.start(), m.end(), min(int(m[1]), 1 << 62)) for m in _TRAILER.finditer(self.data)], np.int64).reshape(-1, 3)
+
+    @functools.cached_property
+    def archives(self) -> dict[int, list[tuple[int, int, int]]]:
+        """By the start that an end record of a zip file implies: its directory's place and size, and where it ends."""
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for place in self.of(b"PK\x05\x06"):
+            if place + 22 <= len(self.data):
+                size, offset, note = struct.unpack_from("<IIH", self.data, place + 12)
+                out.setdefault(place - size - offset, []).append((place - size, size, place + 22 + note))
+        return out
+
+
+def _wav(data: memoryview, at: int, places: Places) -> int | None:
     if len(data) < at + 12 or data[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
@@ -47,7 +83,7 @@ def _wav(data: memoryview, at: int) -> int | None:
     return end - at if end <= len(data) and place in (end, end + 1) and {b"fmt ", b"data"} <= seen else None
 
 
-def _png(data: memoryview, at: int) -> int | None:
+def _png(data: memoryview, at: int, places: Places) -> int | None:
     place = at + 8
     while place + 12 <= len(data):
         size, name = int.from_bytes(data[place : place + 4]), bytes(data[place + 4 : place + 8])
@@ -60,7 +96,7 @@ def _png(data: memoryview, at: int) -> int | None:
     return None
 
 
-def _gif(data: memoryview, at: int) -> int | None:
+def _gif(data: memoryview, at: int, places: Places) -> int | None:
     try:
         place = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 0x80 else 0)
         while data[place] != 0x3B:
@@ -78,7 +114,7 @@ def _gif(data: memoryview, at: int) -> int | None:
         return None
 
 
-def _jpeg(data: memoryview, at: int) -> int | None:
+def _jpeg(data: memoryview, at: int, places: Places) -> int | None:
     try:
         place, scanned = at + 2, False
         while True:
@@ -103,29 +139,30 @@ _TRAILER = re.compile(rb"startxref\s+(\d{1,20})\s+%%EOF")
 _XREF = re.compile(rb"xref|\d+\s+\d+\s+obj")
 
 
-def _pdf(data: memoryview, at: int) -> int | None:
+def _pdf(data: memoryview, at: int, places: Places) -> int | None:
     """Up to the last trailer before the next header. Beyond a header (of a file inside or behind this one) a trailer
     counts if it points to a table of this file that was added after its first end."""
-    body = bytes(data[at:])
-    first = body.find(b"%%EOF")
-    if first <= 0 or b"startxref" not in body[:first]:
+    first = places.first(b"%%EOF", at, len(data))
+    if first < 0 or places.first(b"startxref", at, first) < 0:
         return None
     first = end = first + 5
-    header = body.find(b"%PDF-", first)
-    for trailer in _TRAILER.finditer(body, first):
-        if header < 0 or trailer.end() <= header or (first <= int(trailer[1]) < trailer.start() and _XREF.match(body, int(trailer[1]))):
-            end = trailer.end()
-    return end
-
-
-def _zip(data: memoryview, at: int) -> int | None:
-    body = bytes(data[at:])
-    end = body.find(b"PK\x05\x06")
-    while 0 <= end <= len(body) - 22:
-        size, offset, note = struct.unpack("<IIH", body[end + 12 : end + 22])
-        if offset + size == end and (not size or body[offset : offset + 4] == b"PK\x01\x02") and end + 22 + note <= len(body):
-            return end + 22 + note
-        end = body.find(b"PK\x05\x06", end + 1)
+    header = places.first(b"%PDF-", first, len(data))
+    start, stop, number = places.trailers.T
+    later = (start >= first) & (stop <= len(data))
+    before = np.flatnonzero(later & (stop <= header)) if header >= 0 else np.flatnonzero(later)
+    if len(before):
+        end = int(stop[before[-1]])
+    if header >= 0:
+        for i in np.flatnonzero(later & (stop > header) & (number >= first - at) & (number < start - at))[::-1].tolist():
+            if _XREF.match(data, at + int(number[i])):
+                return int(stop[i]) - at
+    return end - at
+
+
+def _zip(data: memoryview, at: int, places: Places) -> int | None:
+    for directory, size, end in places.archives.get(at, ()):
+        if directory >= at and end <= len(data) and (not size or data[directory : directory + 4] == b"PK\x01\x02"):
+            return end - at
     return None
 
 
@@ -147,12 +184,12 @@ def _members(data: memoryview, at: int) -> list[int]:
     return ends
 
 
-def _gzip(data: memoryview, at: int) -> int | None:
+def _gzip(data: memoryview, at: int, places: Places) -> int | None:
     ends = _members(data, at)
     return ends[-1] - at if ends else None
 
 
-def _ogg(data: memoryview, at: int) -> int | None:
+def _ogg(data: memoryview, at: int, places: Places) -> int | None:
     place = at
     while data[place : place + 4] == b"OggS" and place + 27 <= len(data):
         table = data[place + 27 : place + 27 + data[place + 26]]
@@ -166,7 +203,7 @@ def _ogg(data: memoryview, at: int) -> int | None:
 
 
 #: Kind, magic bytes, how far into the medium they lie, validator.
-FORMATS: tuple[tuple[str, bytes, int, Callable[[memoryview, int], int | None]], ...] = (
+FORMATS: tuple[tuple[str, bytes, int, Callable[[memoryview, int, Places], int | None]], ...] = (
     ("audio/wav", b"RIFF", 0, _wav),
     ("image/png", b"\x89PNG\r\n\x1a\n", 0, _png),
     ("image/gif", b"GIF87a", 0, _gif),
@@ -193,13 +230,13 @@ def _automaton():
 def sniff(data: bytes) -> list[Medium]:
     """Confirmed media by start, the longer first: those inside others too, each once. A medium that
     overlaps the end of another is left out."""
-    view, found, ends, members = memoryview(data), [], [], set()
+    view, places, found, ends, members = memoryview(data), Places(data), [], [], set()
     for last, (i, n) in _automaton().iter(data.decode("latin-1")):
         kind, _, ahead, validate = FORMATS[i]
         at = last - n + 1 - ahead
         while ends and ends[-1] <= at:
             ends.pop()
-        length = validate(view[: ends[-1]] if ends else view, at) if at >= 0 and at not in members else None
+        length = validate(view[: ends[-1]] if ends else view, at, places) if at >= 0 and at not in members else None
         if length and not (ends and at + length > ends[-1]) and (not found or found[-1].start != at):
             found.append(Medium(kind, at, length))
             ends.append(at + length)
@@ -208,7 +245,7 @@ def sniff(data: bytes) -> list[Medium]:
     return found
 
 
-def corrected(declared: str | None, media: list[Medium], size: int) -> str:
+def corrected(declared: str | None, media: list[Medium]) -> str:
     """The type of the medium that begins the value; else what was declared, unless that names a
     format that would have been recognised."""
     if media and media[0].start == 0:
@@ -257,7 +294,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, payload = payload_of(text.as_py())
             stored = as_wav(payload)
             media = sniff(stored)
-            kind = corrected(UNKNOWN, media, len(stored))
+            kind = corrected("text/plain", media)
             back = wav_samples(stored, media[0].start)
             inside = ",".join(f"{m.kind}:{m.start}:{m.length}" for m in media[1:])
             row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{kind};samples={len(back)};{features(back)};inside={inside}")
@@ -268,7 +305,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Stores each whole text as samples, sniffs what was stored and reads it back.
+    """Stores each whole text as samples, sniffs what was stored, whose type is declared as the text's, and reads it back.
 
     doc_id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 (read back), media_bytes,
     media_sha256, feature. Null and empty texts are ALIGN bytes 0. One row for each input row.
@@ -283,7 +320,7 @@ def _sniffed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for declared, data in zip(batch.column("declared").to_pylist(), batch.column("media")):
             data = data.as_py()
             found = sniff(data) if data is not None else None
-            kinds.append(None if found is None else corrected(declared, found, len(data)))
+            kinds.append(None if found is None else corrected(declared, found))
             media.append(None if found is None else [m._asdict() for m in found])
         out = batch.select([c for c in batch.schema.names if c not in ("kind", "found")])
         yield out.append_column("kind", pa.array(kinds, pa.string())).append_column("found", pa.array(media, part))

@@ -194,8 +194,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     """Packs all documents into as few sequences of at most capacity tokens as the plan finds.
 
     A document is its ids and id 0. Null and empty texts are the id 0 alone. Only documents longer
-    than a sequence are cut; their first piece may be shorter. Repeated rows are packed as often as
-    they occur. Returns for each piece doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    than a sequence are cut; their first piece may be shorter. Repeated rows and rows without a doc_id are packed as often as
+    they occur; an empty table gives no rows. Returns for each piece doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     The pieces (some 40 bytes each) are written once, as both the counts and the ranks need them.
     """

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.llm.bpe import default_path, library_encoder
-from codeloom.llm.common import running_total, texts
+from codeloom.llm.common import materialize, running_total, texts
 
 #: Lengths in a block of the two-step sums.
 BLOCK = 1024
@@ -74,4 +74,9 @@ def answers(sums: DataFrame, limits: Sequence[int] = (), quantiles: Sequence[flo
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return suffix_sums(length_histogram(docs, path))
+    """The histogram of whole texts with its suffix sums, one row for each length that occurs; see suffix_sums().
+
+    Null and empty texts have length 0, repeated rows count as often as they occur, an empty table gives no
+    rows. The histogram is written once, so texts are encoded once however often it is read.
+    """
+    return suffix_sums(materialize(length_histogram(docs, path), "histogram"))

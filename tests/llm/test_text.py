@@ -53,6 +53,9 @@ def test_preferences(spark):
     for r in chat.preferences(pairs).collect():
         got = (r.n_common, r.prompt, r.chosen_text, r.rejected_text, [tuple(x) for x in r.chosen_mask], [tuple(x) for x in r.rejected_mask])
         assert got == plain_preference(*rows[r.i])
+    many = [("assistant" if i % 2 else "user", f"turn {i}") for i in range(20_000)]
+    start, long = time.time(), spark.createDataFrame([(many, many[:5])], f"chosen {chat.TURNS}, rejected {chat.TURNS}")
+    assert [tuple(x) for x in chat.preferences(long).first()["chosen_mask"]] == plain_preference(many, many[:5])[4] and time.time() - start < 30
     nulls = spark.createDataFrame([(None, [(None, None)])], f"chosen {chat.TURNS}, rejected {chat.TURNS}")
     assert chat.preferences(nulls).first()["rejected_text"] == "<|im_start|>unknown\n<|im_end|>\n"
 
@@ -62,6 +65,8 @@ def test_paired_bears_odd_rows(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'clash' as pair", "'clash' as chosen")
     got = {r.conv_id: r for r in chat.preference_rows(df).collect()}
     assert set(got) == {0, 1, 2, None, 5}
+    lone = spark.createDataFrame([(None, i, "assistant", f"t{i}") for i in range(3)], "conv_id long, turn long, role string, text string")
+    assert sorted((r.chosen, r.chosen_mask) for r in chat.preference_rows(lone).collect()) == [(f"<|im_start|>assistant\nt{i}<|im_end|>\n", "22:34") for i in range(3)]
     assert (got[0].n_common, got[0].chosen, got[0].rejected) == (1, "<|im_start|>assistant\na<|im_end|>\n", "<|im_start|>assistant\nb<|im_end|>\n")
     assert got[1].n_common == 2 and got[5].rejected == ""
     assert chat.preference_rows(df.limit(0)).count() == 0
@@ -80,7 +85,7 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
-def test_languages_of_one_family_and_of_none(spark, odd, empty):
+def test_languages_of_one_family_and_of_none(spark, odd, empty, monkeypatch):
     rng = random.Random(2)
     words = {"fr": ["le", "chien", "où", "très"], "es": ["el", "perro", "niño", "muy"], "xx": ["zzq", "qqz"], "it": ["il", "cane", "perché"]}
     rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(3, 30))), lang) for i, lang in enumerate(["fr", "es", "xx", "it"] * 40)]
@@ -91,6 +96,13 @@ def test_languages_of_one_family_and_of_none(spark, odd, empty):
     want = collections.Counter((r.doc_id, any(c.isalpha() for c in r.text or "")) for r in odd.collect())
     assert collections.Counter((r.doc_id, r.lang_pred != "und") for r in got) == want
     assert langid.identify(empty).count() == 0
+    one = langid.learn(df)
+    text = " ".join(t for _, t, lang in rows if lang == "fr")
+    for size in (7, langid.SLICE):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert one.predict(text)[0] == "fr"
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert len(langid.learn(df).langs) == 2
     assert {r.lang_pred for r in langid.identify(df.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 
 
@@ -108,18 +120,23 @@ def plain_lines(texts, limit=10):
     return out
 
 
-@pytest.mark.parametrize("way", ["filters", "join"])
+@pytest.mark.parametrize("way", ["filters", "shards"])
 def test_line_dedup(spark, sf_dir, odd, empty, way, monkeypatch):
-    if way == "join":
-        monkeypatch.setattr(linededup, "FILTER_BYTES", -1)
+    if way == "shards":
+        for name, value in (("FILTER_BYTES", -1), ("SHARD_KEYS", 7), ("PART_KEYS", 30)):
+            monkeypatch.setattr(linededup, name, value)
+        assert linededup.LineIndex.of(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3).shards > 3
     for df, limit in ((spark.read.parquet(f"{sf_dir}/documents.parquet"), 3), (odd, 2)):
         rows = df.collect()
         want = collections.Counter((r.doc_id, *x) for r, x in zip(rows, plain_lines([r.text for r in rows], limit)))
         assert collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in linededup.deduplicate_lines(df, limit).collect()) == want
     assert linededup.deduplicate_lines(empty).count() == 0
+    left = linededup.deduplicate_lines(odd, 2, counts=False)
+    assert left.columns == odd.columns and collections.Counter(tuple(r) for r in left.drop("text").collect()) == collections.Counter(tuple(r) for r in odd.drop("text").collect())
 
 
-def test_filters_may_err_but_the_counts_do_not(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("way", ["filters", "shards"])
+def test_filters_may_err_but_the_counts_do_not(spark, sf_dir, way, monkeypatch):
     """Keys that a filter wrongly takes for frequent are found among the counts and left alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = linededup.LineIndex.of(docs, 3)
@@ -127,6 +144,8 @@ def test_filters_may_err_but_the_counts_do_not(spark, sf_dir, monkeypatch):
     own = linededup.CuckooFilter.of(np.array(stray + [tuple(r)[:2] for r in index.refs.where("refs >= 3").collect()]))
     index.filters = spark.createDataFrame([(0, len(stray), own.table.tobytes())], "shard long, n long, filter binary")
     want = collections.Counter(plain_lines([r.text for r in docs.collect()], 3))
+    if way == "shards":
+        monkeypatch.setattr(linededup, "FILTER_BYTES", -1)
     assert collections.Counter((r.n_lines, r.n_dropped, r.text) for r in index.dedup(docs).collect()) == want
 
 
@@ -218,6 +237,13 @@ def test_media_of_several_parts_are_whole(spark):
     assert {(r.id, r.kind, bytes(r.carved)) for r in media.carve(out).collect()} == {(2, "image/png", png)}
 
 
+def test_heads_without_a_medium_cost_no_more_than_their_bytes():
+    for part in (b"%PDF-", b"%PDF-%%EOF", b"PK\x03\x04", b"PK\x05\x06" + b"\0" * 18, b"%PDF-1 startxref\n9\n%%EOF "):
+        start = time.time()
+        media.sniff(part * (1_000_000 // len(part)))
+        assert time.time() - start < 20, part
+
+
 # secrets
 
 

@@ -39,6 +39,16 @@ def test_encodes_and_decodes_as_the_library(library):
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
 
 
+def test_the_other_library_gives_the_same_ids_for_all_characters(library):
+    own = bpe.LibraryEncoder(bpe.default_path())
+    for first in range(0, 0x110000, 4999):
+        text = "".join("a" + chr(c) + " " + chr(c) + "1" + chr(c) + "\n" for c in range(first, min(first + 4999, 0x110000)) if not 0xD800 <= c < 0xE000)
+        assert own.packed(text) == struct.pack(f"<{len(ids)}I", *ids) if (ids := library.encode(text, add_special_tokens=False).ids) else not text
+    for text in ("", " " * 100_000 + "x", "<|endoftext|> a", *(t for t in odd_texts() if t)):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.packed(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_query_digests(spark, sf_dir, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op1_bpe(spark, sf_dir).collect()
@@ -74,13 +84,13 @@ def test_length_histogram(spark, sf_dir, library, odd, empty):
 
 def check_packing(rows, docs, library, capacity=2048):
     """docs: Counter of (doc_id, text)."""
-    ids = {d: [*library.encode(t or "", add_special_tokens=False).ids, 0] for d, t in docs}
     want = collections.Counter()
-    for (d, _), times in docs.items():
-        n = len(ids[d])
+    for (d, text), times in docs.items():
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        n = len(ids)
         at, end, piece = 0, n % capacity or capacity, 0
         while at < n:
-            want[d, piece, at, end - at, zlib.crc32(struct.pack(f"<{end - at}I", *ids[d][at:end]))] += times
+            want[d, piece, at, end - at, zlib.crc32(struct.pack(f"<{end - at}I", *ids[at:end]))] += times
             at, end, piece = end, end + capacity, piece + 1
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     sequences = collections.defaultdict(list)
