@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import langid, linededup, neardup, packing, secretscan
-from codeloom.llm.common import materialize
+from codeloom.llm.common import materialize, unused
 
 
 def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -35,14 +35,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go; every document stays, if need be with an empty text."""
-    return _with_text(docs, linededup.deduplicate_lines(docs))
+    """Lines that many documents share go; every document stays, if need be with an empty text, also a null one."""
+    return _with_text(docs, linededup.deduplicate_lines(docs, counts=False))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """Of each group of near duplicates the document with the smallest doc_id stays; a null id counts as the largest.
+
+    Every row is a document: rows that share a doc_id but not the text stand for themselves, and of rows that agree in
+    doc_id and text one stays. Documents without words are in no group, and all stay. A kept row keeps all its columns.
+    """
+    found = materialize(neardup.groups(docs), "groups")
+    at_id, at_key, key = unused(docs, "at_id", "at_key", "text_key")
+    named = [F.col("doc_id").alias(at_id), F.col("text_key").alias(at_key)]
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(at_id)) & (F.col(key) == F.col(at_key))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = keyed.join(found.where("not kept").select(*named).distinct(), same, "left_anti")
+    again = found.where("kept and n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(*named)
+    if not again.isEmpty():  # rows that are repeated word for word
+        once = kept.join(again, same, "left_semi").groupBy("doc_id", key).agg(F.first(F.struct(*docs.columns)).alias(at_id)).select(f"{at_id}.*")
+        return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
