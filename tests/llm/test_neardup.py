@@ -133,7 +133,7 @@ def test_components(spark):
 def test_odd_rows(spark, odd, empty):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count() > len({r.doc_id for r in rows})
-    want = plain_components({r.doc_id: r.text for r in odd.where("doc_id <> 9 or length(text) > 70").collect()})
+    want = plain_components({r.doc_id: r.text for r in odd.where("doc_id is not null and (doc_id <> 9 or length(text) > 70)").collect()})
     assert all((r.n_shingles, r.component_id, r.kept) == want[r.doc_id] for r in rows if r.doc_id is not None and (r.doc_id != 9 or r.n_shingles == want[9][0]))
     assert neardup.near_duplicates(empty).count() == 0
     assert fingerprints.fingerprints(empty).count() == 0
@@ -209,6 +209,27 @@ def test_pipeline(spark, sf_dir, odd, empty):
     assert langid.UNKNOWN not in {r.lang_pred for r in langid.predict(corpus_pipeline.language_id(spark, odd, sf_dir), langid.learn(odd)).collect()}
 
 
+def test_near_duplicates_go_by_row(spark, sf_dir):
+    text, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, text, 7), (2, text, 8), (2, other, 9), (2, other, 9), (3, None, 1), (3, None, 1), (None, text, 5), (None, "c d e f g h", 6), (None, "c d e f g h", 6), (4, "C d e F g h", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines long").selectExpr("*", "'x' as text_key", "'y' as at_id", "map('k', n_lines) as more")
+    kept = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text, r.n_lines, r.text_key, r.at_id, r.more["k"]) for r in kept.collect()) == collections.Counter((i, t, n, "x", "y", n) for i, t, n in [rows[0], rows[2], rows[4], rows[4], rows[9]])
+    apart = corpus_pipeline.near_dedup(spark, docs.where("doc_id <> 2"), sf_dir)
+    assert sorted(r.doc_id for r in apart.collect()) == [1, 3, 3, 4]
+
+
+def test_stages_keep_rows_and_columns(spark, sf_dir, odd):
+    others = lambda df: collections.Counter(tuple(r) for r in df.drop("text", "n_chars").collect())
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.secret_scan):
+        assert others(stage(spark, odd, sf_dir)) == others(odd)
+    kept = corpus_pipeline.near_dedup(spark, odd, sf_dir)
+    assert not others(kept) - others(odd) and kept.columns == odd.columns
+    words = [r for r in kept.collect() if plain_set(r.text)]
+    assert len(words) == len({frozenset(plain_set(r.text)) for r in words}) and {frozenset(plain_set(r.text)) for r in words} <= {frozenset(plain_set(r.text)) for r in odd.collect()}
+
+
 def test_pipeline_keeps_documents_without_usable_labels(spark, odd, sf_dir):
     want = sorted(r.doc_id for r in odd.collect() if any(c.isalpha() for c in r.text or ""))
     for label in (None, langid.UNKNOWN):
