@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     numbers of a document's groups go the same way and meet it there. All rows of one doc_id are in one range.
     """
     spark, at = docs.sparkSession, F.coalesce(F.col("doc_id").cast("long"), F.expr(f"-{(1 << 63) - 1}L - 1L")).alias("at")
-    groups = similar(docs).where("n_shingles > 0 and not (class_id <=> doc_id and component_id <=> doc_id)")
+    groups = similar(docs, where="n_shingles > 0 and not (class_id <=> doc_id and component_id <=> doc_id)")
     all_ = neardup.keyed_texts(docs).withColumn("at", at)
     ids = docs.select(F.col("doc_id").cast("double").alias("doc_id")).where("doc_id is not null")
     n = shuffle_partitions(spark)
@@ -120,7 +120,8 @@ def _range_of(cuts: list[int]) -> Column:
     return F.expr(nest(0, len(cuts)))
 
 
-def similar(docs: DataFrame, percent: int = neardup.PERCENT) -> DataFrame:
+def similar(docs: DataFrame, percent: int = neardup.PERCENT, where: str = "true") -> DataFrame:
     """doc_id, text_key, n_shingles, class_id of each row (the smallest doc_id with an equal shingle set) and component_id
-    (the smallest reachable over verified links): bands of the signatures joined in Spark, Jaccard verified on full sets."""
-    return neardup.groups(docs, percent).drop("kept")
+    (the smallest reachable over verified links): bands of the signatures joined in Spark, Jaccard verified on full sets.
+    Only rows that meet the condition come out, as a written table."""
+    return neardup.written_groups(docs, percent, where).drop("kept")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import shingles as S
-from codeloom.llm.common import drop_table, materialize, shuffle_partitions, texts
+from codeloom.llm.common import drop_table, materialize, release, shuffle_partitions, texts
 
 #: Most chance that a pair at the threshold shares no band; 32 bands of 4 minima miss 5 in a million at a similarity of 0.75.
 MISSED = 1e-5
@@ -172,6 +172,7 @@ def linked_classes(sketch: DataFrame, classes: DataFrame, docs: DataFrame, perce
     out = connected_components(links.union(across))
     for table in (buckets, marks, bodies, links, joined, components, across):  # out reads none of them
         drop_table(table)
+    release(docs.sparkSession)
     return out
 
 
@@ -228,7 +229,7 @@ def _across(percent: int, table: pa.Table) -> pa.Table:
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_key, n_shingles, class_id, component_id, kept, one row for each input row.
+    """The groups that near duplicates form: doc_id, text_key, n_shingles, class_id, component_id, kept, one row for each input row.
 
     class_id is the smallest doc_id with an equal shingle set, component_id the smallest reachable over links. Each
     row is a document, also if others have its doc_id; a null doc_id counts as the largest, so an id is null only if no
@@ -236,6 +237,20 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     smallest text_key), with what repeats it word for word. Rows without shingles (null, empty or
     white text) are linked with nothing and kept. An empty table has no rows.
     """
+    return _grouped(docs, percent)[0]
+
+
+def written_groups(docs: DataFrame, percent: int = PERCENT, where: str = "true") -> DataFrame:
+    """The rows of groups() that meet a condition, written once; the tables that they come from are deleted."""
+    rows, tables = _grouped(docs, percent)
+    out = materialize(rows.where(where), "groups")
+    for table in tables:
+        drop_table(table)
+    release(docs.sparkSession)
+    return out
+
+
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     sketch = materialize(sketches(docs), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "row"))
     classes = sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(first.alias("first"), F.count("*").alias("n"))
@@ -254,7 +269,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     met = some.join(hot, ["set_a", "set_b"]).unionByName(some.join(hot.select("set_a", "set_b"), ["set_a", "set_b"], "left_anti").join(rest, ["set_a", "set_b"]))
     met = met.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keeper")))
     alone = rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return met.select("doc_id", "text_key", "n_shingles", "class_id", "component_id", "kept").unionByName(alone)
+    return met.select("doc_id", "text_key", "n_shingles", "class_id", "component_id", "kept").unionByName(alone), [sketch, own]
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
