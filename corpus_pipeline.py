@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is a document: rows that share a doc_id but not the text stand for themselves, and of rows that agree in
     doc_id and text one stays. Documents without words are in no group, and all stay. A kept row keeps all its columns.
     """
-    found = materialize(neardup.groups(docs), "groups")
+    found = neardup.written_groups(docs)
     at_id, at_key, key = unused(docs, "at_id", "at_key", "text_key")
     named = [F.col("doc_id").alias(at_id), F.col("text_key").alias(at_key)]
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(at_id)) & (F.col(key) == F.col(at_key))
