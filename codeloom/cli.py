@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import functools
+import importlib
 import os
 import sys
 from collections.abc import Sequence
@@ -33,10 +35,23 @@ def arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     p.add_argument("--index-name")
     p.add_argument("--store", default=os.environ.get("CODELOOM_STORE", os.path.expanduser("~/.codeloom")), help="folder of indexes")
     p.add_argument("--dimensions", type=int, default=256, help="of the hashing embedder")
-    p.add_argument("--api-key", help="for embedders that need one; the hashing embedder doesn't")
+    p.add_argument("--client", metavar="MODULE:FACTORY", help="embed with the client that FACTORY(api_key) makes; without it words are hashed")
+    p.add_argument("--model", default="text-embedding-3-small", help="name of the client's model")
+    p.add_argument("--api-key", default=os.environ.get("CODELOOM_API_KEY"), help="for the client")
     return p.parse_args(argv)
 
 
+def chosen_embedder(a: argparse.Namespace) -> embed.Embedder | None:
+    """The client's embedder, if a client is named."""
+    if not a.client:
+        return None
+    if not a.api_key:
+        raise ValueError("--client needs --api-key or CODELOOM_API_KEY")
+    module, _, factory = a.client.partition(":")
+    make = getattr(importlib.import_module(module), factory)
+    return embed.RemoteEmbedder(functools.partial(make, a.api_key), a.model, a.dimensions)
+
+
 def show(results: DataFrame) -> None:
     lines = [r["line"] for r in S.console_lines(results).collect()]
     print("\n\n".join(lines) or "no results")
@@ -44,6 +59,7 @@ def show(results: DataFrame) -> None:
 
 def show_summary(report: dict) -> None:
     units, folders = report["code_units"], report["folders"]
+    print(f"{report['file_processing']['total']} files")
     for row in report["file_processing"]["counts"]:
         print(f"{row['status']}{' (' + row['skip_reason'] + ')' if row['skip_reason'] else ''}: {row['n']} files")
     print(f"{units['n']} units, {units['size']} characters")
@@ -69,12 +85,12 @@ def choose(spark: SparkSession, store: str, ask=input) -> str | None:
             return rows[int(answer) - 1]["index_name"]
 
 
-def interactive(spark: SparkSession, store: str, index_name: str | None, ask=input) -> None:
+def interactive(spark: SparkSession, store: str, index_name: str | None, ask=input, embedder: embed.Embedder | None = None) -> None:
     name = index_name or choose(spark, store, ask)
     if name is None:
         print("no index")
         return
-    engine = S.open_index(spark, store, name)
+    engine = S.open_index(spark, store, name, embedder)
     engine.vectors.cache()
     while (query := ask("query (exit to end): ").strip()) != "exit":
         if query:
@@ -91,12 +107,12 @@ def main(argv: Sequence[str] | None = None) -> int:
         elif a.index and a.dry_run:
             show_summary(build.summary(spark, a.repo))
         elif a.index:
-            built = build.build_index(spark, a.repo, a.store, embed.HashingEmbedder(a.dimensions), incremental_build=a.incremental, with_report=not a.no_report)
+            built = build.build_index(spark, a.repo, a.store, chosen_embedder(a) or embed.HashingEmbedder(a.dimensions), incremental_build=a.incremental, with_report=not a.no_report)
             print(f"{built.index_name}: {built.units.count()} units in {built.location}")
         elif a.search is not None:
-            show(S.search(spark, a.store, a.search, a.top_k, a.index_name))
+            show(S.search(spark, a.store, a.search, a.top_k, a.index_name, chosen_embedder(a)))
         else:
-            interactive(spark, a.store, a.index_name)
+            interactive(spark, a.store, a.index_name, embedder=chosen_embedder(a))
     except (LookupError, ValueError) as why:
         print(why, file=sys.stderr)
         return 1

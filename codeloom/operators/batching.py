@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import TOKENS_PER_TEXT
 
 BATCH = 100
 TOKENS_PER_BATCH = 6_000
-#: Rows of one block when positions are counted.
-BLOCK = 10_000
+#: Rows of one block when positions are counted, if no more than MOST_BLOCKS are needed.
+BLOCK, MOST_BLOCKS = 10_000, 512
+#: Values of the sample for each bound of a block.
+PER_CUT = 20
 
 
-def positions(rows: DataFrame, order: str, out: str = "pos") -> DataFrame:
-    """Adds each row's place, from 0, in the order of a unique number.
+def cuts(rows: DataFrame, order: str) -> list:
+    """Bounds that cut the values of a column into blocks of about equal size, from a sample by hash of at most about
+    PER_CUT values for each block."""
+    n = rows.count()
+    blocks = min(MOST_BLOCKS, -(-n // BLOCK))
+    if blocks < 2:
+        return []
+    one_in = max(1, n // (blocks * PER_CUT))
+    sample = rows.where(F.col(order).isNotNull() & (F.pmod(F.xxhash64(order), F.lit(one_in)) == 0)).select(order).distinct()
+    values = sorted(r[0] for r in sample.collect())
+    step = max(1, len(values) // blocks)
+    return values[step::step]
 
-    Rows are counted by blocks of the number, so no task sees more than the rows of a block.
+
+def block_of(order: str, bounds: list) -> Column:
+    """How many bounds a value has reached, by halving them; null comes first."""
+    if not bounds:
+        return F.lit(0)
+    mid = len(bounds) // 2
+    low = 0 if not mid else block_of(order, bounds[:mid])
+    high = block_of(order, bounds[mid + 1 :]) + (mid + 1)
+    return F.when(F.col(order) >= F.lit(bounds[mid]), high).otherwise(low)
+
+
+def positions(rows: DataFrame, order: str, out: str = "pos", then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds each row's place, from 0, in the order of a column (and of others within one value, of which a block holds all rows).
+
+    Rows are counted by blocks of values that hold about equally many, so no task sees more than the rows of a block,
+    however the values are spread.
     """
-    block = F.floor(F.col(order) / BLOCK)
-    rows = rows.withColumn("__block", block)
-    counts = rows.groupBy("__block").agg(F.count("*").alias("__n"))
+    rows = rows.withColumn("__block", block_of(order, cuts(rows, order)))
+    counts = rows.groupBy("__block").agg(F.count("*").alias("__n"))  # one row for each block
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    rows = rows.join(before, "__block").withColumn(out, (F.col("__before") + F.row_number().over(Window.partitionBy("__block").orderBy(order)) - 1).cast("long"))
+    rows = rows.join(F.broadcast(before), "__block").withColumn(out, (F.col("__before") + F.row_number().over(Window.partitionBy("__block").orderBy(order, *then)) - 1).cast("long"))
     return rows.drop("__block", "__before")
 
 

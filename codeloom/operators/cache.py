@@ -36,7 +36,8 @@ def merge(*caches: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 
 def distinct_contents(units: DataFrame) -> DataFrame:
-    return units.dropDuplicates(["content_hash"])
+    """content_hash, first_seq, copies of each content."""
+    return units.groupBy("content_hash").agg(F.min("seq").alias("first_seq"), F.count("*").alias("copies"))
 
 
 def identity_dedup(units: DataFrame, identity: list[str], *, order: str = "seq") -> DataFrame:

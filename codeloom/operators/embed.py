@@ -44,17 +44,18 @@ class HashingEmbedder:
     def __init__(self, dimensions: int = 64):
         self.model, self.dimensions = f"hashing-{dimensions}", dimensions
 
-    def vector(self, text: Column) -> Column:
-        """The words' buckets are counted in one pass over the sorted buckets for each dimension's place."""
-        words = F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
-        buckets = F.transform(words, lambda w: bucket(w, self.dimensions))
-        # in a one-element array the buckets are found once, not once for each dimension
-        counts = F.flatten(F.transform(F.array(buckets), lambda b: F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))))
-        scaled = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
-        return F.flatten(F.transform(scaled, lambda s: F.transform(s["c"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(F.lit(0.0)).cast("float"))))
+    def vectors(self, rows: DataFrame, key: str, text: Column) -> DataFrame:
+        """key, vector of rows with a unique key. Each word is hashed once; what is shuffled is at most one count for each
+        place of a vector."""
+        word = F.explode_outer(F.split(F.lower(text), r"[^a-z0-9]+"))
+        words = rows.select(key, word.alias("w")).select(key, F.when(F.col("w") != "", bucket(F.col("w"), self.dimensions)).alias("i"))
+        counts = words.groupBy(key, "i").agg(F.count("i").cast("double").alias("c"))
+        own = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "c")))).alias("at"))
+        place = lambda i: F.when(F.col("n") > 0, F.coalesce(F.try_element_at("at", i), F.lit(0.0)) / F.col("n")).otherwise(F.lit(0.0)).cast("float")
+        return own.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(self.dimensions - 1).cast("long")), place).alias("vector"))
 
     def embed(self, contents: DataFrame) -> DataFrame:
-        return contents.select("content_hash", self.vector(T.prepare("content")).alias("vector"), F.lit(OK).alias("status"))
+        return self.vectors(contents, "content_hash", T.prepare("content")).withColumn("status", F.lit(OK))
 
     def embed_query(self, query: str) -> list[float]:
         import hashlib

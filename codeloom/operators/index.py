@@ -1,8 +1,8 @@
 """Flat vector index: exact nearest neighbours by squared L2 distance.
 
 One query is a literal in a projection, and the top k a sort that keeps k rows for each partition.
-Many queries are sent to the vectors; each task keeps k neighbours for each query before anything
-is shuffled. Ties go to the smaller id.
+Many queries are sent to the vectors, or, if they are more than fit, both are cut into blocks that meet in the cells of a
+grid; a task or a cell keeps k neighbours for each query before anything more is shuffled. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codeloom.functions import vectors as V
 
-#: Most bytes of query vectors that go to every task; more queries are answered in several passes.
-QUERY_BYTES = 32 << 20
+#: Most bytes of query vectors that go to every task or are in a block, and bytes of a block of vectors.
+QUERY_BYTES, VECTOR_BYTES = 32 << 20, 128 << 20
 #: Distances that a task holds at a time.
 DISTANCES = 1 << 21
 
@@ -32,37 +33,45 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, *, key: str = "
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "unit_id", vector: str = "vector", query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """query key, key, d2, score, rank: k nearest of each query.
+    """query key, key, d2, score, rank: k nearest of each query, of those vectors that are as long as the queries.
 
-    Queries go to the driver block by block of at most QUERY_BYTES and from there to all tasks, which compare them with a
-    batch of vectors at a time and keep k of each; the few that are left meet by query.
+    Queries of at most QUERY_BYTES (checked) go to all tasks, which compare them with a batch of vectors at a time and keep
+    k of each. More queries are cut into blocks of that size, vectors into blocks of VECTOR_BYTES, and each pair of
+    blocks is a cell that does the same; so no block passes through the driver.
     """
+    spark = vectors.sparkSession
     asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(query_vector).alias("v"))
-    kind, found = queries.schema[query_key].dataType.simpleString(), None
-    rows, width = asked.toLocalIterator(), 0
-    schema = f"{query_key} {kind}, {key} {vectors.schema[key].dataType.simpleString()}, d2 double"
     data = vectors.where(F.col(vector).isNotNull()).select(key, vector)
-
-    def part(block: list) -> DataFrame:
-        ids, matrix = [r["q"] for r in block], np.array([r["v"] for r in block], np.float64)
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-        return data.mapInArrow(lambda it: _nearest(sent.value, k, query_key, key, it), schema)
-
-    block: list = []
-    for r in rows:
-        block.append(r)
-        width = len(r["v"])
-        if len(block) * width * 8 >= QUERY_BYTES:
-            found, block = (part(block) if found is None else found.union(part(block))), []
-    if block:
-        found = part(block) if found is None else found.union(part(block))
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], schema + ", score double, rank int")
+    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, d2 double"
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if not n:
+        return spark.createDataFrame([], schema + ", score double, rank int")
+    asked = asked.where(F.size("v") == width)
+    if n * width * 8 <= QUERY_BYTES:
+        rows = asked.collect()
+        sent = spark.sparkContext.broadcast((pa.array([r["q"] for r in rows], to_arrow_type(queries.schema[query_key].dataType)), np.array([r["v"] for r in rows], np.float64)))
+        found = data.mapInArrow(lambda it: _nearest(sent.value, k, query_key, key, it), schema)
+    else:
+        tall, wide = -(-n * width * 8 // QUERY_BYTES), max(1, -(-data.count() * width * 8 // VECTOR_BYTES))
+        block = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+        every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+        left = asked.select("q", "v", block("q", tall).alias("i"), every(wide).alias("j"))
+        right = data.select(F.col(key), F.col(vector), block(key, wide).alias("j"), every(tall).alias("i"))
+
+        def cell(own: pa.Table, points: pa.Table) -> pa.Table:
+            empty = pa.schema([(query_key, own.schema.field("q").type), (key, points.schema.field(key).type), ("d2", pa.float64())])
+            if not own.num_rows:
+                return empty.empty_table()
+            these = own.column("q").combine_chunks(), np.array(own.column("v").to_pylist(), np.float64)
+            near = list(_nearest(these, k, query_key, key, points.select([key, vector]).to_batches()))
+            return pa.Table.from_batches(near).cast(empty) if near else empty.empty_table()
+
+        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, schema)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy("d2", key))).where(F.col("rank") <= k)
     return ranked.select(query_key, key, "d2", V.similarity("d2").alias("score"), "rank")
 
 
-def _nearest(asked: tuple[list, np.ndarray], k: int, query_key: str, key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nearest(asked: tuple[pa.Array, np.ndarray], k: int, query_key: str, key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """k nearest vectors of the partition for each query."""
     ids, queries = asked
     width = queries.shape[1]
@@ -89,17 +98,12 @@ def _nearest(asked: tuple[list, np.ndarray], k: int, query_key: str, key: str, b
             best_d, best_k = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
     if best_k is not None:
         n = best_d.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), pa.array(best_k.ravel(), kind), pa.array(best_d.ravel())], names=[query_key, key, "d2"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), n))), pa.array(best_k.ravel(), kind), pa.array(best_d.ravel())], names=[query_key, key, "d2"])
 
 
 def with_units(hits: DataFrame, units: DataFrame, key: str = "unit_id") -> DataFrame:
-    """The units of the hits, which are at most k for each query; Spark sends them to the units."""
-    return units.join(F.broadcast(hits) if _small(hits) else hits, key)
-
-
-def _small(hits: DataFrame) -> bool:
-    """Whether the plan itself proves that there are few: it ends with a limit."""
-    return "GlobalLimit" in hits._jdf.queryExecution().optimizedPlan().toString()
+    """The units of the hits. Spark knows from a limit how few the hits are, and sends them to the units if so."""
+    return units.join(hits, key)
 
 
 def build_vectors(units: DataFrame, embedded: DataFrame, dimensions: int) -> DataFrame:

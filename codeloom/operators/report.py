@@ -38,6 +38,11 @@ def file_counts(audit: DataFrame) -> DataFrame:
     return audit.groupBy("status", "skip_reason").agg(F.count("*").alias("n"))
 
 
+def total_files(audit: DataFrame) -> int:
+    """Files in the folders that weren't pruned, before any of them is skipped."""
+    return audit.count()
+
+
 def errors(audit: DataFrame) -> DataFrame:
     return audit.where("error_type is not null").groupBy("error_type").agg(F.count("*").alias("n"))
 
@@ -53,7 +58,7 @@ def document(repository: str, timestamp: str, timings: Mapping[str, float], audi
     shown = audit.orderBy("rel_path")
     return {
         "repository": repository, "timestamp": timestamp, "timings": dict(timings),
-        "file_processing": {"counts": rows(file_counts(audit).orderBy("status", "skip_reason")), "extensions": rows(files_by_extension(audit).orderBy("extension")), "processed_files": rows(shown.where("status = 'processed'").select("rel_path", "extension", "size", "n_units").limit(FILES_SHOWN)), "error_files": rows(shown.where("status = 'error'").select("rel_path", "extension", "size", "error", "error_type").limit(FILES_SHOWN)), "errors": rows(errors(audit).orderBy("error_type"))},
+        "file_processing": {"total": total_files(audit), "counts": rows(file_counts(audit).orderBy("status", "skip_reason")), "extensions": rows(files_by_extension(audit).orderBy("extension")), "processed_files": rows(shown.where("status = 'processed'").select("rel_path", "extension", "size", "n_units").limit(FILES_SHOWN)), "error_files": rows(shown.where("status = 'error'").select("rel_path", "extension", "size", "error", "error_type").limit(FILES_SHOWN)), "errors": rows(errors(audit).orderBy("error_type"))},
         "code_units": {**rows(totals(units))[0], "by_type": rows(by(units, "unit_type").orderBy("unit_type")), "by_language": rows(by(units, "language").orderBy("language")), "largest_units": rows(largest(units).select("path", "name", "unit_type", "size", "package", "class_name", "content"))},
         "folders": {"counts": rows(folders.groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason")), "skipped": [r["rel_path"] for r in folders.select("rel_path").distinct().orderBy("rel_path").limit(FOLDERS_SHOWN).collect()]},
     }

@@ -6,12 +6,13 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.extract import erlang, java, python
 from codeloom.functions import paths as P
 from codeloom.functions import text as T
+from codeloom.operators import batching
 from codeloom.sources import repository
 
 #: Scanner by extension; other files are one unit each.
@@ -91,16 +92,11 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 
 def numbered(parsed: DataFrame) -> DataFrame:
-    """Units with seq and unit_id: their place by folder, file and position.
-
-    Places add up in two steps, over the folders and within each, so no task sees all units.
-    """
-    rows = parsed.where("unit_type is not null").withColumn("__folder", F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1))
-    folders = rows.groupBy("__folder").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__folder").rowsBetween(Window.unboundedPreceding, -1))
-    folders = folders.withColumn("__start", F.coalesce(before, F.lit(0))).drop("__n")
-    within = F.row_number().over(Window.partitionBy("__folder").orderBy("rel_path", "pos"))
-    rows = rows.join(folders, "__folder").withColumn("seq", (F.col("__start") + within - 1).cast("long"))
+    """Units with seq and unit_id: their place by folder, file and position."""
+    folder = F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)
+    # U+0001 keeps the units of a folder together, before those of folders whose names go on
+    rows = parsed.where("unit_type is not null").withColumn("__at", F.concat(folder, F.lit("\x01"), "rel_path"))
+    rows = batching.positions(rows, "__at", "seq", ("pos",))
     return rows.select(F.col("seq").alias("unit_id"), "seq", F.col("rel_path").alias("path"), "content", "unit_type", "name", "package", "class_name", T.content_hash("content").alias("content_hash"))
 
 
@@ -110,5 +106,3 @@ def audit(files: DataFrame, parsed: DataFrame) -> DataFrame:
     rows = files.join(got, "rel_path", "left")
     status = F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("error_type").isNotNull(), "error").otherwise("processed")
     return rows.select("path", "rel_path", "extension", "size", status.alias("status"), "skip_reason", F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), "error", "error_type")
-
-

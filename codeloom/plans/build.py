@@ -53,6 +53,11 @@ class Store:
         done = self._snapshots()
         return self.spark.read.schema(schemas.CACHE).parquet(f"{self.path}/cache/{done[-1]}") if done else self.spark.createDataFrame([], schemas.CACHE)
 
+    def cache_ref(self) -> str | None:
+        """The folder of the newest snapshot."""
+        done = self._snapshots()
+        return f"{self.path}/cache/{done[-1]}" if done else None
+
     def put_cache(self, merged: DataFrame) -> None:
         """A new snapshot beside the one that is being read; the one before that goes."""
         done = self._snapshots()
@@ -131,7 +136,7 @@ def build_index(spark: SparkSession, root: str, store: str, embedder: embed.Embe
     vectors = spark.read.parquet(f"{location}/vectors")
     n = own.count()
     index_name = f"{name['name']}.{name['hash']}/{version}"
-    row = (index_name, name["name"], name["hash"], commit, dirty, root, datetime.datetime.now(), n, embedder.dimensions, bool(previous), embedder.model, location)
+    row = (index_name, name["name"], name["hash"], commit, dirty, root, datetime.datetime.now(), n, embedder.dimensions, bool(previous), embedder.model, location, place.cache_ref(), place.cache().count())
     spark.createDataFrame([row], schemas.CATALOG).coalesce(1).write.mode("append").parquet(f"{place.path}/catalog")
     began["indexed"] = time.time()
 
@@ -149,3 +154,10 @@ def list_indexes(spark: SparkSession, store: str) -> DataFrame:
     """The newest row of each index name, newest first."""
     latest = Store(spark, store).catalog().groupBy("index_name").agg(F.max_by(F.struct(*schemas.names(schemas.CATALOG)), "indexed_on").alias("r")).select("r.*")
     return K.newest_first(latest)
+
+
+def write_index_list(spark: SparkSession, store: str) -> str:
+    """A text file with one index name in a line, newest first, for other tools; nothing here reads it."""
+    names = list_indexes(spark, store).select(F.concat("index_name", F.lit("\t"), F.col("indexed_on").cast("string")).alias("value"))
+    names.coalesce(1).write.mode("overwrite").text(f"{store.rstrip('/')}/indexes")
+    return f"{store.rstrip('/')}/indexes"

@@ -7,8 +7,12 @@ of indexes, and paths are made up from documents.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ from codeloom.functions import paths as P
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
 from codeloom.operators import batching, cache, catalog, embed, history, incremental, index, report, units
+from codeloom.plans import build, search
 from codeloom.sources import ignore, repository
 
 DIMENSIONS = 64
@@ -63,7 +68,7 @@ def largest_units(spark, sf_dir):
 
 def content_hash_dedup(spark, sf_dir):
     units = _documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), T.content_hash("text").alias("content_hash"))
-    return units.groupBy("content_hash").agg(F.min("seq").alias("first_seq"), F.count("*").alias("copies"))
+    return cache.distinct_contents(units)
 
 
 def path_parts(spark, sf_dir):
@@ -194,25 +199,47 @@ def knn_filtered(spark, sf_dir):
 D2_SQL = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
 ONE_SQL = f"""SELECT vec_id, {D2_SQL.format(a="embedding", b="(SELECT embedding FROM embeddings WHERE vec_id = 0)")} AS d FROM embeddings"""
 
+def _prepared_sql(rows: str) -> str:
+    """Rows (id, text) as an embedder gets them."""
+    return f"""SELECT id, CASE WHEN {TOKENS_SQL.format(t='f')} <= {T.TOKENS_PER_TEXT} THEN f WHEN {BLANK_SQL.format(t='a')} THEN '{T.EMPTY}' ELSE a END AS text FROM (
+        SELECT *, {ASCII_SQL.format(t='f')} AS a FROM (SELECT *, CASE WHEN {BLANK_SQL.format(t='c')} THEN '{T.PLACEHOLDER}' ELSE c END AS f FROM (SELECT id, {CLEAN_SQL.format(t=f"left(coalesce(text, ''), {T.TEXT_CUT})")} AS c FROM ({rows}))))"""
+
+
+TOKENS_SQL = "CASE WHEN length({t}) = 0 THEN 0 ELSE length({t}) // 3 + 2 END"
+CLEAN_SQL = "regexp_replace(regexp_replace({t}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g'), '[\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{FEFF}}]', '', 'g')"
+BLANK_SQL = "regexp_full_match({t}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]*')"
+ASCII_SQL = "regexp_replace(regexp_replace(regexp_replace({t}, '[^\\x00-\\x7F]', ' ', 'g'), '[\\s\\x0b]+', ' ', 'g'), '[\\\\\"''\\x00-\\x1f\\x7f]', ' ', 'g')"
+
 #: Term counts by bucket, scaled to length 1, for rows (id, text).
 HASHED_SQL = f"""
 words AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM texts),
 counted AS (SELECT id, ('0x' || left(md5(w), 7))::BIGINT % {DIMENSIONS} AS i, count(*) AS c FROM words GROUP BY 1, 2),
-scaled AS (SELECT id, i, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS x FROM counted)"""
+scaled AS (SELECT id, i, (c / sqrt((sum(c * c) OVER (PARTITION BY id))::DOUBLE))::FLOAT AS x FROM counted)"""
+#: The k nearest of the units (id >= 0) to each query (id < 0): q, id, d2, rank. Products are added exactly, so equal vectors tie.
+NEAREST_SQL = """
+dots AS (SELECT q.id AS q, d.id AS d, sum((q.x::DOUBLE * d.x::DOUBLE)::DECIMAL(28, 20)) AS dot FROM scaled q JOIN scaled d USING (i) WHERE q.id < 0 AND d.id >= 0 GROUP BY 1, 2),
+norms AS (SELECT t.id, coalesce(sum((x::DOUBLE * x::DOUBLE)::DECIMAL(28, 20)), 0) AS s FROM texts t LEFT JOIN scaled x ON x.id = t.id GROUP BY t.id),
+near AS (SELECT q.id AS q, d.id AS id, q.s + d.s - 2 * coalesce(dot, 0) AS d2 FROM norms q JOIN norms d ON q.id < 0 AND d.id >= 0 LEFT JOIN dots ON dots.q = q.id AND dots.d = d.id),
+nearest AS (SELECT q, id, round(greatest(d2, 0)::DOUBLE, 4) AS d2, (row_number() OVER (PARTITION BY q ORDER BY d2, id))::INT AS rank FROM near)"""
 
 
 def hashed_embedding(spark, sf_dir):
-    """Of each text as it is, the sum of the vector's parts and of its parts times their places."""
-    docs = _documents(spark, sf_dir).select("doc_id", embed.HashingEmbedder(DIMENSIONS).vector(F.col("text")).alias("v"))
-    return docs.select("doc_id", F.round(V.norm("v"), 4).alias("norm"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 3).alias("total"), F.round(F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x), 2).alias("moment"))
+    """The vector of each text as it is, in ten-thousandths."""
+    docs = embed.HashingEmbedder(DIMENSIONS).vectors(_documents(spark, sf_dir), "doc_id", F.col("text"))
+    return docs.select("doc_id", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string")), ",").alias("vector"))
+
+
+def _questions(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def text_search(spark, sf_dir):
-    """The three documents nearest to each benchmark text."""
+    """The three documents nearest to each benchmark text, by way of a search engine over all documents."""
     embedder = embed.HashingEmbedder(DIMENSIONS)
-    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), embedder.vector(F.col("text")).alias("vector"))
-    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), embedder.vector(F.col("text")).alias("query_vector"))
-    return index.knn_batch(docs, asked, 3).select("query_id", "rank", F.round("d2", 4).alias("d2"))
+    own = _documents(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), F.col("text").alias("content"), T.content_hash("text").alias("content_hash"))
+    embedded = embedder.embed(own.groupBy("content_hash").agg(F.first("content").alias("content")))
+    engine = search.SearchEngine(embedder, own.select("unit_id"), index.build_vectors(own, embedded, DIMENSIONS))
+    return engine.search_all(_questions(spark, sf_dir), 3).select("query_id", "rank", "unit_id", F.round("d2", 4).alias("d2"))
 
 
 def _registry(spark, sf_dir) -> DataFrame:
@@ -266,19 +293,44 @@ def sanitize_extreme(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.md5(T.sanitize_extreme("text")).alias("clean"))
 
 
+#: Files by the remainder of doc_id, of which {d} is the id, {w} the whole text with letters, digits and spaces only, {t} the whole text.
+FILES = (
+    ("P", ".py", '@registered(name="é")\nclass P{d}(Base, metaclass=Meta):\n    """{w}"""\n    size = {d}\n    text: str = "ü"\n\n    def grow(self, by=(1, 2), *, unit="(m,2)"):\n        return "é"\n\n    class Inner:\n        def hidden(self): ...\n\nasync def make{d}(a,  b): return "{w}"\n'),
+    ("B", ".py", "def broken(:\n# {t}"),
+    ("J", ".java", 'package x;\n\n/** class Fake { void no() {} } */\n@Deprecated(since = "1")\npublic final class J{d}<T extends List<? super T>> extends Base<T> implements One, Two<String, T> {\n  private static final String SQL = "class X { }", OTHER = "}";\n  private final String block = """\n    class Inside { {w} }\n    """;\n\n  public J{d}(String name) { this.name = name; }\n\n  @Override\n  public <R> Map<String, R> parse(final String text, List<R> out) throws Exception {\n    // {w}\n    return null;\n  }\n  void add(int a) { char c = \'}\'; }\n  static class Nested { void inner() { } }\n}\n\ninterface Alone { void x(); }\n'),
+    ("I", ".java", "package x;\ninterface I{d} { void x(); }\nenum E { A, B }\n// {w}\n"),
+    ("X", ".xml", "<a>{t}</a>\n"),
+    ("L", ".java", "class K{d} { int n; }\nclass L{d} extends K{d} {\n  void run() { int x = {d}; }\n  void run(int a, int b) { }\n}\n// {w}\n"),
+)
+#: What each file must give: position, type, name, class, content; no type stands for a file without units.
+FOUND = (
+    ((0, "file", "P{d}.py", None, FILES[0][2]), (1, "class", "P{d}", None, 'class P{d}(Base, metaclass=Meta): ... {\n  size\n  text\n  grow(self, by=(1, 2), *, unit="(m,2)")\n}'), (2, "method", "grow", "P{d}", 'def grow(self, by=(1, 2), *, unit="(m,2)"):\n        return "é"'), (3, "function", "make{d}", None, 'async def make{d}(a,  b): return "{w}"')),
+    ((0, "file", "B{d}.py", None, FILES[1][2]), (1, None, None, None, None)),
+    ((0, "class", "J{d}", None, "class J{d} extends Base<T> implements One, Two<String, T>: ... {\n  String SQL\n  String OTHER\n  String block\n  Map<String, R> parse(String text, List<R> out)\n  void add(int a)\n}"), (1, "method", "parse", "J{d}", "@Override\n  public <R> Map<String, R> parse(final String text, List<R> out) throws Exception {\n    // {w}\n    return null;\n  }"), (2, "method", "add", "J{d}", "void add(int a) { char c = '}'; }")),
+    ((0, None, None, None, None),),
+    ((0, "file", "X{d}.xml", None, FILES[4][2]),),
+    ((0, "class", "K{d}", None, "class K{d}: ... {\n  int n\n}"), (1, "class", "L{d}", None, "class L{d} extends K{d}: ... {\n  void run()\n  void run(int a, int b)\n}"), (2, "method", "run", "L{d}", "void run() { int x = {d}; }"), (3, "method", "run", "L{d}", "void run(int a, int b) { }")),
+)
+
+
 def _sources(spark, sf_dir) -> DataFrame:
-    """A Python or a Java file for each document."""
-    d = F.col("doc_id").cast("string")
-    python = F.concat(F.lit("class P"), d, F.lit("(Base):\n    size = "), d, F.lit('\n\n    def grow(self, by=(1, 2)):\n        return "'), "source", F.lit('"\n\ndef make'), d, F.lit('(): return "é"\n'))
-    java = F.concat(F.lit("package x;\n// class No { }\npublic class J"), d, F.lit(" extends Base implements One, Two {\n  int size = "), d, F.lit(";\n  public String name(final int a) { return \"}"), "source", F.lit("\"; }\n}\n"))
-    even = F.col("doc_id") % 2 == 0
-    rows = _table(spark, sf_dir, "documents")
-    return rows.select(F.concat(F.lit("src/"), "lang", F.when(even, F.lit("/P")).otherwise(F.lit("/J")), d, F.when(even, F.lit(".py")).otherwise(F.lit(".java"))).alias("rel_path"), F.when(even, python).otherwise(java).alias("content"))
+    """A Python, Java or XML file for each document, with its whole text in it."""
+    text = F.coalesce("text", F.lit(""))
+    values = (("{d}", F.col("doc_id").cast("string")), ("{w}", F.regexp_replace(text, "[^A-Za-z0-9 ]", " ")), ("{t}", text))
+    path = content = None
+    for i, (letter, ext, body) in enumerate(FILES):
+        own = F.lit(body)
+        for mark, value in values:
+            own = F.replace(own, F.lit(mark), value) if mark in body else own
+        name = F.concat(F.lit("src/"), F.coalesce("lang", F.lit("none")), F.lit(f"/{letter}"), F.col("doc_id").cast("string"), F.lit(ext))
+        here = F.col("doc_id") % len(FILES) == i
+        path, content = (F.when(here, name), F.when(here, own)) if path is None else (path.when(here, name), content.when(here, own))
+    return _table(spark, sf_dir, "documents").select(path.alias("rel_path"), content.alias("content"))
 
 
 def code_units(spark, sf_dir):
     parsed = units.parse_texts(_sources(spark, sf_dir))
-    return parsed.select("rel_path", F.col("pos").cast("long").alias("pos"), "unit_type", "name", "package", "class_name", F.md5("content").alias("content_hash"))
+    return parsed.select("rel_path", F.col("pos").cast("long").alias("pos"), "unit_type", "name", "package", "class_name", F.md5("content").alias("content_hash"), "error_type")
 
 
 def code_unit_ids(spark, sf_dir):
@@ -286,13 +338,53 @@ def code_unit_ids(spark, sf_dir):
     return units.numbered(units.parse_texts(_sources(spark, sf_dir))).select("unit_id", "path", "unit_type", "name")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder that the lister and all executors see by the same path."""
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="codeloom-")
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file:")
+    if not shared.startswith("/"):
+        raise ValueError("files of a repository need a folder that is mounted on all machines as spark.checkpoint.dir")
+    return f"/{shared.lstrip('/')}/codeloom-{uuid.uuid4().hex}"
+
+
+def _written(root: str, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for row in part.itertuples(index=False):
+            path = os.path.join(root, row.rel_path)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as file:
+                file.write(row.content.encode("utf-8", "surrogatepass"))
+        yield pd.DataFrame({"n": [len(part)]})
+
+
+def build_and_search(spark, sf_dir):
+    """Files on disk, an index of them in a store, and the three units nearest to each benchmark text."""
+    root = _shared_folder(spark)
+    _sources(spark, sf_dir).mapInPandas(lambda it: _written(f"{root}/repo", it), "n long").agg(F.sum("n")).collect()
+    os.makedirs(f"{root}/repo", exist_ok=True)
+    build.build_index(spark, f"{root}/repo", f"{root}/store", embed.HashingEmbedder(DIMENSIONS), with_report=False)
+    found = search.open_index(spark, f"{root}/store").search_all(_questions(spark, sf_dir), 3)
+    return found.select("query_id", "rank", "path", "unit_type", "name", F.round("d2", 4).alias("d2"))
+
+
+def build_report(spark, sf_dir):
+    """Files, units and characters by extension and status, from the audit of a listing on disk."""
+    root = _shared_folder(spark)
+    _sources(spark, sf_dir).mapInPandas(lambda it: _written(root, it), "n long").agg(F.sum("n")).collect()
+    files = build.scan(spark, root)
+    audit = units.audit(files, units.parse(files.where("skip_reason is null")))
+    return audit.groupBy("extension", "status", "error_type").agg(F.count("*").alias("files"), F.sum("n_units").alias("units"))
+
+
 def catalog_reusable(spark, sf_dir):
-    """The newest version of one repository at another commit."""
+    """The newest version of one repository at another commit: of the repository with most commits."""
     rows = _registry(spark, sf_dir)
-    one = rows.where("commit is not null").agg(F.min(F.struct("repo_name", "path_hash", "commit")).alias("r")).select("r.*").head()
-    if one is None:
+    many = rows.where("commit is not null").groupBy("repo_name", "path_hash").agg(F.count_distinct("commit").alias("n"), F.min("commit").alias("commit"))
+    one = many.orderBy(F.desc("n"), "repo_name", "path_hash").limit(1).collect()
+    if not one:
         return rows.limit(0).select("repo_name", "index_name", "commit")
-    return catalog.reusable(rows, one["repo_name"], one["path_hash"], one["commit"]).select("repo_name", "index_name", "commit")
+    return catalog.reusable(rows, one[0]["repo_name"], one[0]["path_hash"], one[0]["commit"]).select("repo_name", "index_name", "commit")
 
 
 def stable_ids(spark, sf_dir):
@@ -305,26 +397,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         knn_single, knn_batch, knn_filtered, units_by_type, units_by_language, corpus_totals, largest_units, content_hash_dedup, path_parts, skip_reason_counts, files_by_extension, token_estimate, sanitize_basic, sanitize_aggressive, prepare_text,
         truncate_unit, preview, batch_plan, stable_ids, cache_lookup, cache_merge, change_detection, change_counts, incremental_units, identity_dedup, vector_resize, hashed_embedding, text_search, catalog_latest, catalog_display, query_history, error_histogram, result_rows,
-        ignored_paths, sanitize_extreme, code_units, code_unit_ids, catalog_reusable,
+        ignored_paths, sanitize_extreme, code_units, code_unit_ids, catalog_reusable, build_and_search, build_report,
     )
 }
 
-#: The files of _sources, and the units that each must give.
-SOURCES_SQL = """docs AS (SELECT doc_id AS d, lang, source, 'src/' || lang || (CASE WHEN doc_id % 2 = 0 THEN '/P' || doc_id || '.py' ELSE '/J' || doc_id || '.java' END) AS rel_path FROM documents),
-found AS (
-    SELECT rel_path, lang, 0 AS pos, 'file' AS unit_type, 'P' || d || '.py' AS name, NULL AS class_name,
-        'class P' || d || '(Base):' || chr(10) || '    size = ' || d || chr(10) || chr(10) || '    def grow(self, by=(1, 2)):' || chr(10) || '        return "' || source || '"' || chr(10) || chr(10) || 'def make' || d || '(): return "é"' || chr(10) AS content FROM docs WHERE d % 2 = 0
-    UNION ALL SELECT rel_path, lang, 1, 'class', 'P' || d, NULL, 'class P' || d || '(Base): ... {' || chr(10) || '  size' || chr(10) || '  grow(self, by=(1, 2))' || chr(10) || '}' FROM docs WHERE d % 2 = 0
-    UNION ALL SELECT rel_path, lang, 2, 'method', 'grow', 'P' || d, 'def grow(self, by=(1, 2)):' || chr(10) || '        return "' || source || '"' FROM docs WHERE d % 2 = 0
-    UNION ALL SELECT rel_path, lang, 3, 'function', 'make' || d, NULL, 'def make' || d || '(): return "é"' FROM docs WHERE d % 2 = 0
-    UNION ALL SELECT rel_path, lang, 0, 'class', 'J' || d, NULL, 'class J' || d || ' extends Base implements One, Two: ... {' || chr(10) || '  int size' || chr(10) || '  String name(int a)' || chr(10) || '}' FROM docs WHERE d % 2 = 1
-    UNION ALL SELECT rel_path, lang, 1, 'method', 'name', 'J' || d, 'public String name(final int a) { return "}' || source || '"; }' FROM docs WHERE d % 2 = 1
-)"""
+def _quoted(body: str | None, mark: str = "") -> str:
+    """SQL for a text of FILES or FOUND; mark cuts it as methods and functions are."""
+    if body is None:
+        return "NULL"
+    out = "'" + body.replace("'", "''") + "'"
+    for name, value in (("{d}", "d::VARCHAR"), ("{w}", "w"), ("{t}", "t")):
+        out = f"replace({out}, '{name}', {value})" if name in body else out
+    return f"(CASE WHEN length({out}) > {T.UNIT_CUT} THEN left({out}, {T.UNIT_CUT}) || '{mark}' ELSE {out} END)" if mark else out
+
+
+def _found_sql() -> str:
+    """The files of _sources, and the units that each must give."""
+    rows = []
+    for i, (letter, ext, _) in enumerate(FILES):
+        for pos, kind, name, owner, content in FOUND[i]:
+            cut = "... [content truncated]" if kind in ("method", "function") else ""
+            error = "'SyntaxError'" if letter == "B" and kind is None else "NULL"
+            rows.append(f"SELECT 'src/' || lang AS folder, 'src/' || lang || '/{letter}' || d || '{ext}' AS rel_path, {pos} AS pos, {_quoted(kind)} AS unit_type, {_quoted(name)} AS name, {_quoted(owner)} AS class_name, {_quoted(content, cut)} AS content, {error} AS error_type FROM docs WHERE d % {len(FILES)} = {i}")
+    return f"docs AS (SELECT doc_id AS d, coalesce(lang, 'none') AS lang, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g') AS w, coalesce(text, '') AS t FROM documents), found AS ({' UNION ALL '.join(rows)})"
 
-TOKENS_SQL = "CASE WHEN length({t}) = 0 THEN 0 ELSE length({t}) // 3 + 2 END"
-CLEAN_SQL = "regexp_replace(regexp_replace({t}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g'), '[\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{FEFF}}]', '', 'g')"
-BLANK_SQL = "regexp_full_match({t}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]*')"
-ASCII_SQL = "regexp_replace(regexp_replace(regexp_replace({t}, '[^\\x00-\\x7F]', ' ', 'g'), '[\\s\\x0b]+', ' ', 'g'), '[\\\\\"''\\x00-\\x1f\\x7f]', ' ', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
     "units_by_type": _by_sql("source"),
@@ -354,9 +450,14 @@ ORACLE_SQL: dict[str, str] = {
         ELSE path LIKE '%/src1/%' OR path LIKE '%.tar.gz' OR path LIKE 'repo/src2/en/%' OR regexp_matches(path, '^repo/(.*/)?d[^/]*7\\.py$') END AS ignored FROM ({PATHS_SQL})""",
     "sanitize_extreme": f"""SELECT doc_id, md5(CASE WHEN c = '' THEN '{T.PLACEHOLDER}' ELSE c END) AS clean FROM (
         SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s\\p{{Z}}]', ' ', 'g'), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS c FROM documents)""",
-    "code_units": f"WITH {SOURCES_SQL} SELECT rel_path, pos, unit_type, name, 'src.' || lang AS package, class_name, md5(content) AS content_hash FROM found",
-    "code_unit_ids": f"WITH {SOURCES_SQL} SELECT row_number() OVER (ORDER BY 'src/' || lang, rel_path, pos) - 1 AS unit_id, rel_path AS path, unit_type, name FROM found",
-    "catalog_reusable": f"""WITH {REGISTRY_SQL}, one AS (SELECT repo_name, path_hash, commit FROM registry WHERE commit IS NOT NULL ORDER BY repo_name, path_hash, commit LIMIT 1)
+    "code_units": f"WITH {_found_sql()} SELECT rel_path, pos, unit_type, name, replace(folder, '/', '.') AS package, class_name, md5(content) AS content_hash, error_type FROM found",
+    "code_unit_ids": f"WITH {_found_sql()} SELECT row_number() OVER (ORDER BY folder, rel_path, pos) - 1 AS unit_id, rel_path AS path, unit_type, name FROM found WHERE unit_type IS NOT NULL",
+    "build_and_search": f"""WITH {_found_sql()}, own AS (SELECT *, row_number() OVER (ORDER BY folder, rel_path, pos) - 1 AS id, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM found WHERE unit_type IS NOT NULL),
+        texts AS ({_prepared_sql("SELECT id, text FROM own UNION ALL SELECT -1 - item_id, text FROM benchmark")}), {HASHED_SQL}, {NEAREST_SQL}
+        SELECT -1 - q AS query_id, rank, rel_path AS path, unit_type, name, d2 FROM nearest JOIN own USING (id) WHERE rank <= 3""",
+    "build_report": f"""WITH {_found_sql()}, files AS (SELECT rel_path, count(unit_type) AS n, max(error_type) AS error_type FROM found GROUP BY rel_path)
+        SELECT regexp_extract(rel_path, '[.][a-z]+$') AS extension, CASE WHEN error_type IS NULL THEN 'processed' ELSE 'error' END AS status, error_type, count(*) AS files, sum(n)::BIGINT AS units FROM files GROUP BY 1, 2, 3""",
+    "catalog_reusable": f"""WITH {REGISTRY_SQL}, one AS (SELECT repo_name, path_hash, min(commit) AS commit FROM registry WHERE commit IS NOT NULL GROUP BY 1, 2 ORDER BY count(DISTINCT commit) DESC, repo_name, path_hash LIMIT 1)
         SELECT r.repo_name, index_name, r.commit FROM registry r JOIN one o ON r.repo_name = o.repo_name AND r.path_hash = o.path_hash AND r.commit <> o.commit ORDER BY indexed_on DESC, index_name LIMIT 1""",
     "stable_ids": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents",
     "cache_lookup": "WITH c AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 3 = 0) SELECT count(*) FILTER (h IS NOT NULL) AS hits, count(*) FILTER (h IS NULL) AS misses FROM documents LEFT JOIN c ON md5(text) = h",
@@ -374,14 +475,10 @@ ORACLE_SQL: dict[str, str] = {
         (row_number() OVER (PARTITION BY q.vec_id ORDER BY {D2_SQL.format(a='v.embedding', b='q.embedding')}, v.vec_id))::INT AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE rank <= 5""",
     "knn_filtered": f"SELECT vec_id, round(d, 6) AS d2, round(1 / (1 + d), 6) AS score, row_number() OVER (ORDER BY d, vec_id)::INT AS rank FROM (SELECT * FROM ({ONE_SQL}) WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY d, vec_id LIMIT 10)",
     "hashed_embedding": f"""WITH texts AS (SELECT doc_id AS id, text FROM documents), {HASHED_SQL}
-        SELECT doc_id, round(coalesce(sqrt(sum(x * x)), 0), 4) AS norm, round(coalesce(sum(x), 0), 3) AS total, round(coalesce(sum(x * i), 0), 2) AS moment FROM documents LEFT JOIN scaled ON id = doc_id GROUP BY doc_id""",
-    "text_search": f"""WITH texts AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), {HASHED_SQL},
-        dots AS (SELECT q.id AS q, d.id AS d, sum(q.x * d.x) AS dot FROM scaled q JOIN scaled d USING (i) WHERE q.id < 0 AND d.id >= 0 GROUP BY 1, 2),
-        norms AS (SELECT id, sum(x * x) AS s FROM scaled GROUP BY id),
-        near AS (SELECT b.item_id, d.doc_id, coalesce(nq.s, 0) + coalesce(nd.s, 0) - 2 * coalesce(dot, 0) AS d2 FROM benchmark b CROSS JOIN documents d LEFT JOIN dots ON q = -1 - b.item_id AND d = d.doc_id
-            LEFT JOIN norms nq ON nq.id = -1 - b.item_id LEFT JOIN norms nd ON nd.id = d.doc_id),
-        ranked AS (SELECT item_id AS query_id, (row_number() OVER (PARTITION BY item_id ORDER BY d2, doc_id))::INT AS rank, round(greatest(d2, 0), 4) AS d2 FROM near)
-        SELECT * FROM ranked WHERE rank <= 3""",
+        SELECT doc_id, string_agg(round(coalesce(x, 0)::DOUBLE * 10000)::BIGINT::VARCHAR, ',' ORDER BY places.i) AS vector
+        FROM documents CROSS JOIN range({DIMENSIONS}) places(i) LEFT JOIN scaled s ON s.id = doc_id AND s.i = places.i GROUP BY doc_id""",
+    "text_search": f"""WITH texts AS ({_prepared_sql("SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark")}), {HASHED_SQL}, {NEAREST_SQL}
+        SELECT -1 - q AS query_id, rank, id AS unit_id, d2 FROM nearest WHERE rank <= 3""",
     "catalog_latest": f"WITH {REGISTRY_SQL} SELECT repo_name, path_hash, index_name, commit, is_modified FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, path_hash ORDER BY indexed_on DESC, index_name DESC) AS i FROM registry) WHERE i = 1",
     "catalog_display": f"""WITH {REGISTRY_SQL} SELECT repo_name AS name, repo_name || ' (' || path_hash || ')' || (CASE WHEN commit IS NULL THEN '' WHEN is_modified THEN ' @ ' || commit || ' (modified)' ELSE ' @ ' || left(commit, 8) END) AS full_name,
         left(commit, 8) || (CASE WHEN is_modified THEN ' (modified)' ELSE '' END) AS git_version, strftime(indexed_on, '%Y-%m-%dT%H:%M:%S') AS timestamp, index_name FROM registry""",

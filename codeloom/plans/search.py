@@ -28,6 +28,14 @@ class SearchEngine:
         return index.with_units(hits, self.units).orderBy("rank")
 
 
+    def search_all(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+        """The same for rows query_id, query: units with query_id, d2, score and rank. Queries that can't be embedded have none."""
+        hashed = queries.select("query_id", F.md5("query").alias("content_hash"), F.col("query").alias("content"))
+        embedded = self.embedder.embed(hashed.groupBy("content_hash").agg(F.first("content").alias("content"))).select("content_hash", F.col("vector").alias("query_vector"))
+        asked = hashed.select("query_id", "content_hash").join(embedded, "content_hash").drop("content_hash")
+        return index.with_units(index.knn_batch(self.vectors, asked, top_k), self.units)
+
+
 def open_index(spark: SparkSession, store: str, index_name: str | None = None, embedder: embed.Embedder | None = None) -> SearchEngine:
     """The named index, or the newest. A hashing embedder is made as the index says; others are passed in."""
     rows = build.list_indexes(spark, store)

@@ -56,6 +56,14 @@ def test_build_and_search(spark, repo, tmp_path):
     built = build.build_index(spark, str(repo), store)
     assert built.vectors.count() == built.units.count() > 10
     assert built.report["code_units"]["n"] == built.units.count()
+    assert built.report["file_processing"]["total"] == sum(r["n"] for r in built.report["file_processing"]["counts"])
+    entry = build.list_indexes(spark, store).first()
+    assert spark.read.parquet(entry["cache_ref"]).count() == entry["cache_entries"] == built.units.select("content_hash").distinct().count()
+    assert [r.value.split("\t")[0] for r in spark.read.text(build.write_index_list(spark, store)).collect()] == [entry["index_name"]]
+    asked = spark.createDataFrame([(1, "def cafe return"), (2, "class Second"), (3, "def cafe return")], "query_id int, query string")
+    engine = S.open_index(spark, store)
+    many = {(r.query_id, r["rank"]): r.unit_id for r in engine.search_all(asked, 3).collect()}
+    assert many == {(i, r["rank"]): r["unit_id"] for i, q in ((1, "def cafe return"), (2, "class Second"), (3, "def cafe return")) for r in engine.search(q, 3).collect()}
     hits = S.search(spark, store, "def cafe return", 3).collect()
     assert hits[0]["path"] == "latin.py" and [h["rank"] for h in hits] == [1, 2, 3] and all(0 < h["score"] <= 1 for h in hits)
     only = S.open_index(spark, store).search("def cafe", 100, where="unit_type = 'method'").collect()
@@ -167,3 +175,20 @@ def test_stream_of_file_events(spark, tmp_path):
     stream_files.follow(stream_files.events(spark, str(folder)), str(tmp_path / "cp"), on_batch).awaitTermination(60)
     assert seen == [({"a": 2.0, "c": 1.0}, {"a": "new", "b": "deleted", "c": "unchanged"})]
     assert stream_files.counts(stream_files.events(spark, str(folder))).isStreaming
+
+
+def client_of(key):
+    def client(texts):
+        assert key == "secret"
+        return [[float(len(t)), 1.0] for t in texts]
+
+    return client
+
+
+def test_cli_takes_a_client(repo, tmp_path, capsys, spark):
+    from codeloom import cli
+
+    store, common = str(tmp_path / "store"), ["--client", "tests.test_build:client_of", "--api-key", "secret", "--dimensions", "2"]
+    assert cli.main(["--index", "--repo", str(repo), "--store", store, "--no-report", *common]) == 0
+    assert cli.main(["--search", "x" * 14, "--store", store, "--top-k", "1", *common]) == 0 and "1. " in capsys.readouterr().out
+    assert cli.main(["--search", "x", "--store", store, *common[:2], "--api-key", ""]) == 1

@@ -10,7 +10,7 @@ from codeloom.operators import batching, cache, catalog, embed, history, increme
 from codeloom import schemas
 
 
-def test_knn_is_brute_force(spark):
+def test_knn_is_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     data = np.round(rng.normal(size=(300, 8)), 1).astype("float32")
     data[50:60] = data[0]
@@ -22,10 +22,10 @@ def test_knn_is_brute_force(spark):
         assert [r.unit_id for r in got] == [i for _, i in w] and [r.rank for r in got] == list(range(1, 13))
         assert all(0 < r.score <= 1 and r.d2 == pytest.approx(d, abs=1e-5) for r, (d, _) in zip(got, w))
     queries = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(asked)] + [(5, None)], "query_id long, query_vector array<float>")
-    for size in (index.QUERY_BYTES, 1):
-        index.QUERY_BYTES, before = size, index.QUERY_BYTES
+    for size, block in ((index.QUERY_BYTES, index.VECTOR_BYTES), (64, 5000)):  # sent to all tasks, and a grid of 2 by 4 blocks
+        monkeypatch.setattr(index, "QUERY_BYTES", size)
+        monkeypatch.setattr(index, "VECTOR_BYTES", block)
         got = {(r.query_id, r["rank"]): r.unit_id for r in index.knn_batch(rows, queries, 12).collect()}
-        index.QUERY_BYTES = before
         assert got == {(q, n + 1): i for q, w in enumerate(want) for n, (_, i) in enumerate(w)}
     assert index.knn(rows, asked[0].tolist(), 1000).count() == 300
     assert index.knn_batch(rows, queries.limit(0), 3).count() == 0 and index.knn_batch(rows.limit(0), queries, 3).count() == 0
@@ -56,6 +56,20 @@ def test_batches(spark):
     assert [(r.k, r.pos, r.batch, r.chunk, r.single) for r in got] == want
 
 
+@pytest.mark.parametrize("block", [7, 10_000])
+def test_positions_in_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(batching, "BLOCK", block)
+    rng = random.Random(4)
+    keys = rng.sample(range(-(10**15), 10**15), 300) + [None]
+    got = batching.positions(spark.createDataFrame([(k,) for k in keys], "k long").repartition(4), "k").collect()
+    assert {r.k: r.pos for r in got} == {k: i for i, k in enumerate(sorted(keys, key=lambda k: (k is not None, k or 0)))}
+    names = [(f"{rng.choice('abé')}/{i % 40}", n) for i in range(200) for n in range(3)]
+    rows = spark.createDataFrame(sorted({(a, b) for a, b in names}), "name string, n int").repartition(3)
+    assert len(batching.cuts(rows, "name")) == (0 if block > 300 else -(-rows.count() // 7) - 1) or block == 7
+    assert [(r["name"], r.n) for r in sorted(batching.positions(rows, "name", "at", ("n",)).collect(), key=lambda r: r.at)] == sorted({(a, b) for a, b in names})
+    assert batching.positions(rows.limit(0), "name").count() == 0
+
+
 def units(spark, contents):
     return spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "seq long, content string").withColumn("unit_id", F.col("seq")).withColumn("content_hash", T.content_hash("content"))
 
@@ -114,7 +128,7 @@ def test_failures_are_rows_without_vector_and_not_indexed(spark):
 def test_hashing_embedder_of_columns_and_queries_agree(spark):
     e = embed.HashingEmbedder(16)
     for text in ("parse the erlang file", "", "é!", "A a b"):
-        got = spark.createDataFrame([(text,)], "t string").select(e.vector(F.col("t"))).first()[0]
+        got = e.vectors(spark.createDataFrame([(1, text)], "k int, t string"), "k", F.col("t")).first()["vector"]
         assert got == pytest.approx(e.embed_query(text), abs=1e-6)
 
 
@@ -147,7 +161,7 @@ def test_history(spark):
 
 def test_catalog(spark):
     at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
-    row = lambda name, commit, dirty, s: (name, "r", "h", commit, dirty, "/r", at(s), 1, 2, False, "m", "l")
+    row = lambda name, commit, dirty, s: (name, "r", "h", commit, dirty, "/r", at(s), 1, 2, False, "m", "l", None, 0)
     rows = spark.createDataFrame([row("a", "c1", False, 1), row("b", "c2", True, 2), row("c", None, False, 3)], schemas.CATALOG)
     assert catalog.reusable(rows, "r", "h", "c2").first()["index_name"] == "a"
     assert catalog.reusable(rows, "r", "h", None).count() == 0
