@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used, also in branches."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def content_hash(text: Column | str) -> Column:
     return F.md5(_c(text))
 
@@ -47,20 +54,20 @@ def sanitize_aggressive(text: Column | str) -> Column:
     """Printable ASCII without quotes and backslashes, single spaces."""
     ascii_ = F.regexp_replace(sanitize(text), r"[^\x00-\x7F]", " ")
     plain = F.regexp_replace(F.regexp_replace(ascii_, r"[\s\x0b]+", " "), r"""[\\"'\x00-\x1f\x7f-\x9f]""", " ")
-    return F.when(is_blank(plain), F.lit(EMPTY)).otherwise(plain)
+    return _once(plain, lambda p: F.when(is_blank(p), F.lit(EMPTY)).otherwise(p))
 
 
 def sanitize_extreme(text: Column | str) -> Column:
     """Letters, numbers and single spaces."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"[^\p{L}\p{N}\s\p{Z}]", " "), r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", " "))
-    return F.when(plain == "", F.lit(PLACEHOLDER)).otherwise(plain)
+    return _once(plain, lambda p: F.when(p == "", F.lit(PLACEHOLDER)).otherwise(p))
 
 
 def prepare(text: Column | str) -> Column:
     """What is sent to an embedder: cut, sanitized, a placeholder if blank, plain ASCII if still long."""
     clean = sanitize(F.substring(to_text(text), 1, TEXT_CUT))
-    filled = F.when(is_blank(clean), F.lit(PLACEHOLDER)).otherwise(clean)
-    return F.when(token_estimate(filled) > TOKENS_PER_TEXT, sanitize_aggressive(filled)).otherwise(filled)
+    filled = _once(clean, lambda c: F.when(is_blank(c), F.lit(PLACEHOLDER)).otherwise(c))
+    return _once(filled, lambda f: F.when(token_estimate(f) > TOKENS_PER_TEXT, sanitize_aggressive(f)).otherwise(f))
 
 
 def truncate(text: Column | str, limit: int, mark: str) -> Column:
