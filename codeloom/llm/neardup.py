@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import shingles as S
-from codeloom.llm.common import drop_table, materialize, release, shuffle_partitions, texts
+from codeloom.llm.common import drop_table, materialize, release, shuffle_partitions, texts, unused
 
 #: Most chance that a pair at the threshold shares no band; 32 bands of 4 minima miss 5 in a million at a similarity of 0.75.
 MISSED = 1e-5
@@ -34,6 +34,8 @@ DEVIATIONS = 6.5
 BLOCK_ROWS, BLOCK_BYTES = 1024, 32 << 20
 #: A set is hot if it has more than this share of a shuffle partition's rows, so at most 1 / HOT sets for each partition are.
 HOT = 0.25
+#: Bits of the mask that holds rows back from a shuffle: 4 MB at most. With more keys than that it holds fewer rows back.
+MASK_BITS = 1 << 24
 
 SKETCH = "row long, doc_id long, text_key long, n_shingles long, set_a long, set_b long, marks binary"
 
@@ -150,6 +152,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def masked(rows: DataFrame, wanted: DataFrame, keys: list[str], wanted_keys: list[str]) -> DataFrame:
+    """Those rows whose keys may be among the wanted ones: all that are, and of others the few that meet a set bit.
+
+    The mask has at most MASK_BITS / 64 rows whatever the number of keys, so it can go to all executors, and most of the
+    rows that a join would only drop aren't shuffled for it.
+    """
+    bit = lambda names: F.pmod(F.xxhash64(*names), F.lit(MASK_BITS))
+    mask = wanted.select(bit(wanted_keys).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+    word, bits, place = unused(rows, "word", "bits", "place")
+    found = rows.withColumn(place, bit(keys)).join(F.broadcast(mask.select(F.col("word").alias(word), F.col("bits").alias(bits))), F.shiftright(place, 6) == F.col(word))
+    return found.where(F.getbit(bits, F.col(place).bitwiseAND(63).cast("int")) == 1).select(*rows.columns)
+
+
 def linked_classes(sketch: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, component of the classes that have links with other classes. sketch and classes: written tables."""
     rows = band_rows(percent)
@@ -160,9 +175,10 @@ def linked_classes(sketch: DataFrame, classes: DataFrame, docs: DataFrame, perce
     members = buckets.select("node").distinct()
     marks = materialize(sketch.select(F.col("row").alias("node"), "marks").join(members, "node", "left_semi"), "marks")
     # the text of a class is that of the row that stands for it; rows repeated word for word give it once
-    where = classes.join(members, "node", "left_semi").select("node", F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_key"))
-    found = keyed_texts(docs).join(where, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_key")))
+    where = materialize(classes.join(members, "node", "left_semi").select("node", F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_key")), "places")
+    found = masked(keyed_texts(docs), where, ["doc_id", "text_key"], ["at_id", "at_key"]).join(where, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_key")))
     bodies = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "bodies")
+    drop_table(where)
     star = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialize(confirmed(star, marks, bodies, percent), "links")
     joined = connected_components(links)

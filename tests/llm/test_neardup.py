@@ -54,6 +54,20 @@ def test_shingle_sets_are_those_of_the_words():
     assert len(S.shingle_set("word " * 5 + "z")) == 2 and len(S.shingle_set("ab c")) == 1 and S.shingle_set("ab c")[0] != S.shingle_set("a bc")[0]
 
 
+def test_mask_lets_all_wanted_rows_through(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("if(id = 7, null, id) as doc_id", "id * 3 as text_key", "'clash' as word", "'clash' as bits")
+    wanted = rows.where("text_key % 7 = 0").selectExpr("doc_id as at_id", "text_key as at_key")
+    for bits in (neardup.MASK_BITS, 64):
+        monkeypatch.setattr(neardup, "MASK_BITS", bits)
+        through = neardup.masked(rows, wanted, ["doc_id", "text_key"], ["at_id", "at_key"])
+        assert through.columns == rows.columns
+        keys = [r["text_key"] for r in through.collect()]
+        assert len(keys) == len(set(keys)) and {k for k in range(0, 15000, 3) if k % 7 == 0} <= set(keys)
+    monkeypatch.undo()
+    assert neardup.masked(rows, wanted, ["doc_id", "text_key"], ["at_id", "at_key"]).count() < 1000
+    assert not neardup.masked(rows, wanted.limit(0), ["doc_id", "text_key"], ["at_id", "at_key"]).count()
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(1 << 63, size=3000, dtype=np.uint64)
