@@ -51,7 +51,7 @@ def parse(files: DataFrame, *, erlang_too: bool = False) -> DataFrame:
             return _rows(row, [], why)
         return _rows(row, *of_text(row.rel_path, text, scanners))
 
-    return _cut(files.select("path", "rel_path", "extension", "size").mapInPandas(lambda it: _scanned(scan, it), UNIT))
+    return _cut(repository.dealt(files.select("path", "rel_path", "extension", "size")).mapInPandas(lambda it: _scanned(scan, it), UNIT))
 
 
 def parse_texts(texts: DataFrame, *, erlang_too: bool = False) -> DataFrame:

@@ -1,14 +1,18 @@
 """Repositories as tables: every file with its size and time, and the reason why a file is skipped.
 
-The lister walks folders and never reads contents. It is a data source of its own because Spark's file sources leave
-out names that begin with a dot or an underscore. Rules that prune folders apply while it walks, all
-others are columns, so skipped files are never opened.
+The lister walks folders, in tasks, and never reads contents. It is a data source of its own because
+Spark's file sources leave out names that begin with a dot or an underscore. Rules that prune folders
+apply while it walks, all others are columns, so skipped files are never opened.
 """
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import os
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,70 +31,112 @@ BINARY = (
     ".exe", ".bin", ".o", ".obj", ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".mp3", ".mp4", ".avi", ".mov", ".flv", ".wav",
 )
 
-#: Files of one task of the lister.
-SLICE = 500
+#: Tasks of the lister for each core.
+TASKS = 2
 
 
-def walk(root: str, prune: bool = True) -> tuple[list[tuple[str, bool]], list[tuple[str, str]]]:
-    """Files (relative path, whether a rule ignores it) and pruned folders (relative path, reason)."""
-    rules, files, folders = ignore.load(root), [], []
-    for here, names, found in os.walk(root):
-        below = os.path.relpath(here, root).replace(os.sep, "/")
-        rel = lambda name: name if below == "." else f"{below}/{name}"  # noqa: B023, E731
+class Part(NamedTuple):
+    """A folder to list, with or without what is below it; of its entries those whose name falls to one of several shares."""
+
+    folder: str
+    below: bool
+    share: int
+    shares: int
+
+
+def _pruned(rules: ignore.Ignore, rel: str) -> str | None:
+    """Why a folder isn't entered."""
+    return "git" if os.path.basename(rel) == ".git" else "ignored" if rules.matches(rel, folder=True) else None
+
+
+def _folders(root: str, level: list[str], rules: ignore.Ignore, prune: bool) -> Iterator[str]:
+    for here in level:
+        try:
+            with os.scandir(os.path.join(root, here)) as entries:
+                for entry in entries:
+                    rel = f"{here}/{entry.name}" if here else entry.name
+                    if entry.is_dir(follow_symlinks=False) and not (prune and _pruned(rules, rel)):
+                        yield rel
+        except OSError:
+            continue
+
+
+def parts(root: str, prune: bool, tasks: int) -> list[list[Part]]:
+    """What each task lists: the folders of the deepest level that has fewer than so many, in shares, with all below them,
+    and the folders above without. Only the names of these folders are held, however large the repository is."""
+    rules, above, level = ignore.load(root), [], [""]
+    while (below := list(itertools.islice(_folders(root, level, rules, prune), tasks))) and len(below) < tasks:
+        above, level = above + level, below
+    shares = -(-tasks // len(level))
+    every = [Part(f, False, 0, 1) for f in above] + [Part(f, True, i, shares) for f in level for i in range(shares)]
+    return [every[i::tasks] for i in range(min(tasks, len(every)))]
+
+
+def walk(root: str, prune: bool, part: Part) -> Iterator[tuple[str, bool, str | None]]:
+    """Relative path, whether a rule ignores it, no reason: of each file; of each pruned folder with the reason."""
+    rules, top = ignore.load(root), os.path.join(root, part.folder)
+    for here, names, found in os.walk(top):
+        at = os.path.relpath(here, root).replace(os.sep, "/")
+        rel = lambda name: name if at == "." else f"{at}/{name}"  # noqa: B023, E731
+        own = lambda name: here != top or zlib.crc32(os.fsencode(name)) % part.shares == part.share  # noqa: B023, E731
         keep = []
-        for name in sorted(names):
-            reason = "git" if name == ".git" else "ignored" if rules.matches(rel(name), folder=True) else None
-            if reason and prune:
-                folders.append((rel(name), reason))
-            else:
+        for name in filter(own, names):
+            reason = _pruned(rules, rel(name)) if prune else None
+            if reason:
+                yield rel(name), True, reason
+            elif part.below:
                 keep.append(name)
         names[:] = keep
-        files += [(rel(name), rules.matches(rel(name))) for name in sorted(found)]
-    return sorted(files), folders
+        for name in filter(own, found):
+            yield rel(name), rules.matches(rel(name)), None
 
 
-class _Slice(InputPartition):
-    def __init__(self, files: list[tuple[str, bool]]):
-        self.files = files
+class _Parts(InputPartition):
+    def __init__(self, parts: list[Part]):
+        self.parts = parts
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, prune: bool):
-        self.root, self.prune = root, prune
+    def __init__(self, root: str, prune: bool, tasks: int):
+        self.root, self.prune, self.tasks = root, prune, tasks
 
     def partitions(self):
-        files = walk(self.root, self.prune)[0]
-        return [_Slice(files[i : i + SLICE]) for i in range(0, len(files), SLICE)] or [_Slice([])]
+        return [_Parts(p) for p in parts(self.root, self.prune, self.tasks)]
 
-    def read(self, part: _Slice) -> Iterator[tuple]:
-        for rel, ignored in part.files:
-            path = os.path.join(self.root, rel)
-            try:
-                stat = os.stat(path)
-                yield path, rel, int(stat.st_size), float(stat.st_mtime), ignored
-            except OSError:
-                yield path, rel, None, None, ignored
+    def read(self, partition: _Parts) -> Iterator[tuple]:
+        for rel, ignored, reason in itertools.chain.from_iterable(walk(self.root, self.prune, p) for p in partition.parts):
+            path, size, mtime = os.path.join(self.root, rel), None, None
+            if reason is None:
+                with contextlib.suppress(OSError):
+                    stat = os.stat(path)
+                    size, mtime = int(stat.st_size), float(stat.st_mtime)
+            yield path, rel, size, mtime, ignored, reason
 
 
 class RepositorySource(DataSource):
-    """format("repository"), options path and prune ("false": every file, .git and ignored ones too)."""
+    """format("repository"), options path, prune ("false": every file, .git and ignored ones too) and tasks. Pruned folders
+    are rows with a reason."""
 
     @classmethod
     def name(cls) -> str:
         return "repository"
 
     def schema(self) -> str:
-        return "path string, rel_path string, size long, mtime double, ignored boolean"
+        return "path string, rel_path string, size long, mtime double, ignored boolean, reason string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("prune", "true") != "false")
+        return _Reader(self.options["path"], self.options.get("prune", "true") != "false", int(self.options.get("tasks", "8")))
+
+
+def _rows(spark: SparkSession, root: str, prune: bool) -> DataFrame:
+    spark.dataSource.register(RepositorySource)
+    tasks = TASKS * spark.sparkContext.defaultParallelism
+    return spark.read.format("repository").option("path", root).option("prune", str(prune).lower()).option("tasks", str(tasks)).load()
 
 
 def listing(spark: SparkSession, root: str, prune: bool = True) -> DataFrame:
     """path, rel_path, extension, size, mtime, ignored of the files below root."""
-    spark.dataSource.register(RepositorySource)
-    rows = spark.read.format("repository").option("path", root).option("prune", str(prune).lower()).load()
-    return rows.withColumn("extension", P.extension("rel_path"))
+    return _rows(spark, root, prune).where("reason is null").drop("reason").withColumn("extension", P.extension("rel_path"))
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
@@ -100,7 +146,12 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
 
 def folders(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, reason of the pruned folders."""
-    return spark.createDataFrame(walk(root)[1], schemas.FOLDERS)
+    return _rows(spark, root, True).where("reason is not null").select(*schemas.names(schemas.FOLDERS))
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """Listed files dealt evenly to tasks: folders differ in size, and moving names costs little beside reading files."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rel_path")
 
 
 def skip_reason(extension: Column | str, ignored: Column | str | None = None) -> Column:
@@ -134,4 +185,4 @@ def contents(files: DataFrame) -> DataFrame:
                     error, kind = str(why), type(why).__name__
                 yield pd.DataFrame({"path": [row.path], "rel_path": [row.rel_path], "extension": [row.extension], "size": [row.size], "content": [text], "error": [error], "error_type": [kind]})
 
-    return files.select("path", "rel_path", "extension", "size").mapInPandas(run, "path string, rel_path string, extension string, size long, content string, error string, error_type string")
+    return dealt(files.select("path", "rel_path", "extension", "size")).mapInPandas(run, "path string, rel_path string, extension string, size long, content string, error string, error_type string")

@@ -30,6 +30,31 @@ def test_listing_and_reasons(spark, repo):
     assert {".git/config", "build/gen.py", "logo.PNG"} < every
 
 
+@pytest.mark.parametrize("tasks", [1, 2, 3, 7, 40])
+@pytest.mark.parametrize("prune", [True, False])
+def test_every_file_falls_to_one_task(tmp_path, tasks, prune):
+    root = tmp_path / "wide"
+    for path in [*(f"a/b{i}/c{j}/d/f{k}.py" for i in range(3) for j in range(i) for k in range(4)), *(f"flat/f{i}.py" for i in range(30)), *(f"many/m{i}/x.py" for i in range(20)), ".git/config", "a/.git/x", "out/gen.py", "top.py", "run.log"]:
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("x")
+    (root / "empty").mkdir()
+    (root / ".gitignore").write_text("out/\n*.log\n")
+    dealt = repository.parts(str(root), prune, tasks)
+    assert 1 <= len(dealt) <= tasks
+    assert len({p.folder for part in dealt for p in part if p.below}) <= max(1, tasks - 1)
+    found = [row for part in dealt for p in part for row in repository.walk(str(root), prune, p)]
+    own = {p.relative_to(root).as_posix() for p in root.rglob("*") if p.is_file()}
+    hidden = {p for p in own if prune and (".git/" in p or p.startswith("out/"))}
+    assert sorted(rel for rel, _, reason in found if reason is None) == sorted(own - hidden)
+    assert sorted((rel, reason) for rel, _, reason in found if reason) == ([(".git", "git"), ("a/.git", "git"), ("out", "ignored")] if prune else [])
+    assert [rel for rel, ignored, reason in found if reason is None and ignored and prune] == (["run.log"] if prune else [])
+
+
+def test_lister_of_no_files(spark, tmp_path):
+    assert repository.listing(spark, str(tmp_path)).count() == repository.folders(spark, str(tmp_path)).count() == 0
+    assert repository.listing(spark, str(tmp_path / "absent")).count() == 0
+
+
 def test_parse_audit_and_report(spark, repo):
     files = build.scan(spark, str(repo))
     parsed = U.parse(files.where("skip_reason is null")).cache()
