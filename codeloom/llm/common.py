@@ -75,6 +75,23 @@ def running_total(df: DataFrame, group: list[str], block: str, value: str, out:
     return df.withColumn(out, F.coalesce(F.sum(value).over(by.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
 
+#: Keys that hold more than this share of a table's rows are met by a broadcast.
+HOT_KEYS = 4096
+
+
+def met(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """rows left-joined with a table that has each key once. weight, a column of the table: how many of the rows hold the
+    key (or more); total: all rows (or more).
+
+    Keys with more than total / HOT_KEYS rows are HOT_KEYS at most, whatever the size of the data, so they can go to all
+    executors; their rows aren't shuffled. No other key has many rows for one task.
+    """
+    hot, rest = table.where(F.col(weight) > total / HOT_KEYS), table.where(F.col(weight) <= total / HOT_KEYS)
+    near = rows.join(F.broadcast(hot), on)
+    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, "left")
+    return near.select(*far.columns).unionByName(far)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, lengthened until no column of df has them in any case."""
     have, out = {c.lower() for c in df.columns}, []

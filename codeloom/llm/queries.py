@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, fingerprints, langid, linededup, media, neardup, packing, secretscan, tokencounts
+from codeloom.llm import bpe, chat, exactdedup, fingerprints, langid, lexical, linededup, media, neardup, packing, prefixtrie, secretscan, tokencounts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_chat, op3_language_id, op4_packing, op5_line_dedup, op6_media, op7_fingerprints, op8_token_counts, op9_secrets, op10_near_dedup)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_chat, op3_language_id, op4_packing, op5_line_dedup, op6_media, op7_fingerprints, op8_token_counts, op9_secrets, op10_near_dedup, op11_prefix_trie, op12_lexical_search, op13_exact_dedup)}
 
 ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -150,5 +162,52 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.node) AS component_id, s.
 FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
 """
 
+#: The unsigned CRC-32 of a list of bytes, bit by bit.
+NEXT_SQL = "xor(s, CASE WHEN i % 8 = 0 THEN bytes[i // 8 + 1] ELSE 0 END)"
+CRC32_SQL = f"xor(4294967295::BIGINT, list_reduce(range(0, 8 * len(bytes)), lambda s, i: xor({NEXT_SQL} >> 1, CASE WHEN {NEXT_SQL} & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT))"
+
+OP11_SQL = f"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, {CRC32_SQL} % {prefixtrie.HEADS} AS h FROM (
+        SELECT conv_id, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda k: ascii(substr(conv_id::VARCHAR, k, 1))::BIGINT) AS bytes FROM (SELECT DISTINCT conv_id FROM turns))
+), rebuilt AS (
+    SELECT c.conv_id, t.i, t.role, t.text, 0 AS part FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % {prefixtrie.SPREAD} AND t.i <= c.h
+    UNION ALL SELECT c.conv_id, t.i, t.role, t.text, 1 FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h
+), lists AS (
+    SELECT c.conv_id, coalesce(list({{'role': r.role, 'text': r.text}} ORDER BY part, i) FILTER (r.conv_id IS NOT NULL), []) AS s FROM convs c LEFT JOIN rebuilt r USING (conv_id) GROUP BY c.conv_id
+), prefixes AS (SELECT conv_id, unnest(range(0, len(s) + 1)) AS d, s FROM lists),
+nodes AS (
+    SELECT s[1:d] AS seq, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '') AS ends FROM prefixes GROUP BY 1, 2
+), counted AS (
+    SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(regexp_split_to_array(seq[depth].text, '[ \\x09-\\x0D]+'), lambda w: w <> '')) END AS saved FROM nodes
+), children AS (SELECT seq[1:depth - 1] AS up, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+    SELECT b.seq[1:u] AS top, u, sum(saved) AS saved, count(*) FILTER (c.n IS NULL) AS leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS u FROM counted) b LEFT JOIN children c ON c.up = b.seq GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.seq = n.seq[1:n.depth - 1] LEFT JOIN children c ON c.up = n.seq JOIN below b ON b.top = n.seq
+"""
+
+OP12_SQL = f"""
+WITH found AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, {ASCII_LOWER}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)),
+tf AS (SELECT r, doc_id, t, count(*) AS tf FROM found GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+docs AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r), whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+asked AS (SELECT i, item_id, unnest(regexp_extract_all(translate(text, {ASCII_LOWER}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM (SELECT item_id, text, row_number() OVER () AS i FROM benchmark)),
+weighted AS (SELECT i, item_id, t, count(*) * floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM asked JOIN df USING (t), whole GROUP BY i, item_id, t, df, n_docs),
+scored AS (
+    SELECT i, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM weighted JOIN tf USING (t) JOIN docs USING (r), whole GROUP BY i, item_id, r, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INT AS rank FROM scored WHERE score > 0) WHERE rank <= {lexical.TOP}
+"""
+
+OP13_SQL = """
+WITH docs AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size, row_number() OVER (PARTITION BY body ORDER BY doc_id) = 1 AS kept, sha256(body) AS text_sha256 FROM docs
+"""
+
 #: Encoding, learning, packing, media files and signatures are beyond SQL; tests/llm holds those queries against plain Python.
-ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_secrets": OP9_SQL, "op10_near_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_secrets": OP9_SQL, "op10_near_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_exact_dedup": OP13_SQL}

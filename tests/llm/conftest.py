@@ -43,3 +43,28 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def same_as_sql(spark):
+    """Holds a query, or a table made by it, against its SQL over views of these tables."""
+    import duckdb
+
+    def rows(columns, found):
+        order = sorted(range(len(columns)), key=lambda i: columns[i])
+        return sorted(repr(tuple(r[i] for i in order)) for r in found)
+
+    def same(name, tables):
+        from codeloom.llm import queries
+
+        con = duckdb.connect()
+        for table in os.listdir(tables):
+            files = f"{tables}/{table}" if os.path.isfile(f"{tables}/{table}") else f"{tables}/{table}/*.parquet"
+            con.execute(f"CREATE VIEW {table.split('.')[0]} AS SELECT * FROM read_parquet('{files}')")
+        want = con.execute(queries.ORACLE_SQL[name])
+        columns = [c[0] for c in want.description]
+        own = queries.QUERIES[name](spark, str(tables))
+        assert sorted(own.columns) == sorted(columns)
+        assert rows(own.columns, own.collect()) == rows(columns, want.fetchall())
+
+    return same
