@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays; a null id counts as the largest.
 
     Every row is a document: rows that share a doc_id but not the text stand for themselves, and of rows that agree in
-    doc_id and text one stays. Documents without words are in no group, and all stay. A kept row keeps all its columns.
+    doc_id and text the one whose columns come first in order stays. Documents without words are in no group, and all stay. A kept row keeps all its columns.
     """
     found = neardup.written_groups(docs)
     at_id, at_key, key = unused(docs, "at_id", "at_key", "text_key")
@@ -53,7 +53,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = keyed.join(found.where("not kept").select(*named).distinct(), same, "left_anti")
     again = found.where("kept and n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(*named)
     if not again.isEmpty():  # rows that are repeated word for word
-        once = kept.join(again, same, "left_semi").groupBy("doc_id", key).agg(F.first(F.struct(*docs.columns)).alias(at_id)).select(f"{at_id}.*")
+        ordered = F.struct(*[c for c, kind in docs.dtypes if "map<" not in kind])
+        once = kept.join(again, same, "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*docs.columns), ordered).alias(at_id)).select(f"{at_id}.*")
         return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(once)
     return kept.select(*docs.columns)
 
