@@ -64,16 +64,16 @@ def paired(conversations: DataFrame) -> DataFrame:
     assistant turn on. Conversations 2k and 2k + 1 are partners; without one, or without an assistant turn there, only
     the turns before remain. A conversation without an assistant turn keeps all its turns. Turns with one
     number are ordered by role and text. A turn without a conv_id is a conversation of its own, without a partner. An
-empty table gives no rows.
+    empty table gives no rows.
 
     One shuffle, by pair; a task holds one pair of conversations at a time, which are rows of the result.
     """
-    pair = F.expr("if(conv_id is null, null, floor(conv_id / 2))")
+    pair = F.expr("shiftright(conv_id, 1)")
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(NO_ROLE)).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     both = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"), lone.alias("lone")).withColumn("pair", pair)
     both = both.groupBy("pair", "lone").agg(F.collect_list(F.struct("conv_id", "t")).alias("all"))
-    own = lambda odd: F.transform(F.array_sort(F.filter("all", lambda x: F.coalesce(F.pmod(x["conv_id"], F.lit(2)), F.lit(0)) == odd)), lambda x: F.struct(x["t"]["role"].alias("role"), x["t"]["text"].alias("text")))
+    own = lambda odd: F.transform(F.array_sort(F.filter("all", lambda x: F.coalesce(x["conv_id"].bitwiseAND(1), F.lit(0)) == odd)), lambda x: F.struct(x["t"]["role"].alias("role"), x["t"]["text"].alias("text")))
     both = both.select("pair", own(0).alias("even"), own(1).alias("odd"))
     sides = F.array(F.struct(F.lit(0).alias("k"), F.col("even").alias("chosen"), F.col("odd").alias("other")), F.struct(F.lit(1).alias("k"), F.col("odd").alias("chosen"), F.col("even").alias("other")))
     rows = both.select("pair", F.inline(sides)).where(F.size("chosen") > 0)
@@ -81,7 +81,7 @@ empty table gives no rows.
     has = lambda c: F.expr(f"array_contains(transform({c}, t -> t.role), '{TRAINED}')")
     head = F.when(has("chosen"), F.slice("chosen", F.lit(1), (last("chosen") - 1).cast("int"))).otherwise(F.col("chosen"))
     tail = F.when(has("chosen") & has("other"), F.slice("other", last("other").cast("int"), F.size("other"))).otherwise(F.expr(f"cast(array() as {TURNS})"))
-    return rows.select((F.col("pair") * 2 + F.col("k")).cast("long").alias("conv_id"), "chosen", F.concat(head, tail).alias("rejected"))
+    return rows.select(F.expr("shiftleft(pair, 1) | k").alias("conv_id"), "chosen", F.concat(head, tail).alias("rejected"))
 
 
 def spans_text(spans: str) -> Column:
