@@ -36,6 +36,102 @@ class Medium(NamedTuple):
     length: int
 
 
+#: Bytes between two stored sums.
+SUMS = 8192
+
+
+@functools.cache
+def _zero_operators() -> list[list[int]]:
+    """What 1, 2, 4, ... bytes 0 behind some bytes make of their CRC-32: a matrix over bits, by columns."""
+    square = lambda m: [_times(m, x) for x in m]
+    out = [square(square(square([0xEDB88320, *(1 << i for i in range(31))])))]
+    while len(out) < 48:
+        out.append(square(out[-1]))
+    return out
+
+
+def _times(matrix: list[int], bits: int) -> int:
+    total = 0
+    for column in matrix:
+        if bits & 1:
+            total ^= column
+        bits >>= 1
+    return total
+
+
+def _with_zeros(crc: int, n: int) -> int:
+    for matrix in _zero_operators():
+        if n & 1:
+            crc = _times(matrix, crc)
+        n >>= 1
+    return crc
+
+
+class Chains:
+    """Where walks over the parts of one format's media have led, by part: to an end, or nowhere. A walk that comes to a
+    part which an earlier one has passed goes no further, so all walks together pass each part once.
+
+    Media are sought from left to right, each within the medium around it, so what didn't end there ends nowhere.
+    """
+
+    def __init__(self, places: int):
+        self.walk = np.zeros(places, np.uint32)  # untouched pages take no memory
+        self.ends: list[int | None] = [None, None]
+
+    def end(self, part: int, step: Callable[[int], tuple[int | None, int | None]]) -> int | None:
+        """step(part): the next part and None, or None and where the medium ends (None: nowhere)."""
+        passed, at = [], part
+        while True:
+            if at >= len(self.walk):
+                end = None
+                break
+            if known := int(self.walk[at]):
+                end = self.ends[known]
+                break
+            passed.append(at)
+            at, end = step(at)
+            if at is None:
+                break
+        number = 1
+        if end is not None:
+            number = len(self.ends)
+            self.ends.append(end)
+        self.walk[passed] = number
+        return end
+
+
+class Riff:
+    """Chains of RIFF chunks. How far a file's chain goes is told by its head, so chains are kept as lists of places; one that
+    comes to a place of another goes on there."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.at: dict[int, tuple[int, int]] = {}  # the chain that a place belongs to, and its number there
+        self.chains: list[tuple[list[int], list[int], list[int]]] = []  # places; format and data chunks before each
+
+    def whole(self, place: int, end: int) -> bool:
+        """Whether the chunks from a place on end where they should, with a format and samples among them."""
+        formats = samples = 0
+        while True:
+            if place not in self.at:
+                self.at[place] = len(self.chains), 0
+                self.chains.append(([place], [0], [0]))
+            number, first = self.at[place]
+            places, fmt, data = self.chains[number]
+            while (last := places[-1]) + 8 <= end and self.at[last] == (number, len(places) - 1):
+                name, size = self.data[last : last + 4], int.from_bytes(self.data[last + 4 : last + 8], "little")
+                fmt.append(fmt[-1] + (name == b"fmt "))
+                data.append(data[-1] + (name == b"data"))
+                places.append(last + 8 + size + size % 2)
+                self.at.setdefault(places[-1], (number, len(places) - 1))
+            k = bisect.bisect_left(places, end - 7, first)
+            i = min(k, len(places) - 1)
+            formats, samples = formats + fmt[i] - fmt[first], samples + data[i] - data[first]
+            if k < len(places):
+                return places[k] in (end, end + 1) and formats > 0 and samples > 0
+            place = places[-1]
+
+
 class Places:
     """Where marks lie in a value, each kind found in one pass when it is first asked for, so that no validator
     reads on to the end of the value for every head."""
@@ -43,6 +139,8 @@ class Places:
     def __init__(self, data: bytes):
         self.data = data
         self._of: dict[bytes, list[int]] = {}
+        self._chains: dict[str, Chains] = {}
+        self.inflated: dict[int, int | None] = {}
 
     def of(self, mark: bytes) -> list[int]:
         if mark not in self._of:
@@ -60,6 +158,36 @@ class Places:
         """Start, end and number of each trailer of a PDF."""
         return np.array([(m.start(), m.end(), min(int(m[1]), 1 << 62)) for m in _TRAILER.finditer(self.data)], np.int64).reshape(-1, 3)
 
+    @functools.cached_property
+    def stops(self) -> np.ndarray:
+        """Where a JPEG's scan may end: markers other than stuffed bytes and restarts."""
+        return np.array([m.start() for m in _STOP.finditer(self.data)], np.int64)
+
+    def chains(self, kind: str, states: int = 1) -> Chains:
+        if kind not in self._chains:
+            self._chains[kind] = Chains(states * (len(self.data) + 1))
+        return self._chains[kind]
+
+    @functools.cached_property
+    def riff(self) -> Riff:
+        return Riff(self.data)
+
+    @functools.cached_property
+    def sums(self) -> list[int]:
+        """CRC-32 of the bytes before each multiple of SUMS."""
+        out, view = [0], memoryview(self.data)
+        for at in range(0, len(view), SUMS):
+            out.append(zlib.crc32(view[at : at + SUMS], out[-1]))
+        return out
+
+    def crc32(self, start: int, end: int) -> int:
+        """Of the bytes between two places; long ranges by the sums of what lies before their ends."""
+        view = memoryview(self.data)
+        if end - start <= 2 * SUMS:
+            return zlib.crc32(view[start:end])
+        before, whole = (zlib.crc32(view[x - x % SUMS : x], self.sums[x // SUMS]) for x in (start, end))
+        return whole ^ _with_zeros(before, end - start)
+
     @functools.cached_property
     def archives(self) -> dict[int, list[tuple[int, int, int]]]:
         """By the start that an end record of a zip file implies: its directory's place and size, and where it ends."""
@@ -75,64 +203,69 @@ def _wav(data: memoryview, at: int, places: Places) -> int | None:
     if len(data) < at + 12 or data[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
-    place, seen = at + 12, set()
-    while place + 8 <= end <= len(data):
-        name, size = bytes(data[place : place + 4]), int.from_bytes(data[place + 4 : place + 8], "little")
-        seen.add(name)
-        place += 8 + size + size % 2
-    return end - at if end <= len(data) and place in (end, end + 1) and {b"fmt ", b"data"} <= seen else None
+    return end - at if end <= len(data) and at + 12 <= end and places.riff.whole(at + 12, end) else None
 
 
 def _png(data: memoryview, at: int, places: Places) -> int | None:
-    place = at + 8
-    while place + 12 <= len(data):
+    def step(place: int) -> tuple[int | None, int | None]:
+        if place + 12 > len(data):
+            return None, None
         size, name = int.from_bytes(data[place : place + 4]), bytes(data[place + 4 : place + 8])
         end = place + 12 + size
-        if end > len(data) or zlib.crc32(data[place + 4 : end - 4]) != int.from_bytes(data[end - 4 : end]) or (place == at + 8) != (name == b"IHDR"):
-            return None
-        if name == b"IEND":
-            return end - at
-        place = end
-    return None
+        if end > len(data) or name == b"IHDR" or places.crc32(place + 4, end - 4) != int.from_bytes(data[end - 4 : end]):
+            return None, None
+        return (None, end) if name == b"IEND" else (end, None)
+
+    head = data[at + 8 : at + 33]  # always of 13 bytes
+    if len(head) < 25 or head[:8] != b"\0\0\0\x0dIHDR" or zlib.crc32(head[4:21]) != int.from_bytes(head[21:]):
+        return None
+    end = places.chains("png").end(at + 33, step)
+    return end - at if end is not None and end <= len(data) else None
 
 
 def _gif(data: memoryview, at: int, places: Places) -> int | None:
-    try:
-        place = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 0x80 else 0)
-        while data[place] != 0x3B:
+    def step(part: int) -> tuple[int | None, int | None]:
+        place, inside = divmod(part, 2)  # a block, or one of the pieces of its data
+        try:
+            if inside:
+                return 2 * (place + data[place] + 1) + (data[place] > 0), None
+            if data[place] == 0x3B:
+                return None, place + 1
             if data[place] == 0x2C:
-                place += 10 + (3 << (data[place + 9] & 7) + 1 if data[place + 9] & 0x80 else 0) + 1
-            elif data[place] == 0x21:
-                place += 2
-            else:
-                return None
-            while data[place]:
-                place += data[place] + 1
-            place += 1
-        return place + 1 - at
-    except IndexError:
+                return 2 * (place + 10 + (3 << (data[place + 9] & 7) + 1 if data[place + 9] & 0x80 else 0) + 1) + 1, None
+            return (2 * (place + 2) + 1, None) if data[place] == 0x21 else (None, None)
+        except IndexError:
+            return None, None
+
+    if at + 13 > len(data):
         return None
+    end = places.chains("gif", 2).end(2 * (at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 0x80 else 0)), step)
+    return end - at if end is not None and end <= len(data) else None
+
+
+#: Ends of a scan: bytes 0 are stuffed behind 0xFF, and D0 to D7 are restarts.
+_STOP = re.compile(rb"\xff(?=[^\x00\xd0-\xd7])", re.DOTALL)
 
 
 def _jpeg(data: memoryview, at: int, places: Places) -> int | None:
-    try:
-        place, scanned = at + 2, False
-        while True:
-            if data[place] != 0xFF:
-                return None
-            mark = data[place + 1]
-            if mark == 0xD9:
-                return place + 2 - at if scanned else None
-            size = int.from_bytes(data[place + 2 : place + 4])
-            if size < 2:
-                return None
-            place += 2 + size
-            if mark == 0xDA:
-                scanned = True
-                while not (data[place] == 0xFF and data[place + 1] not in (0, *range(0xD0, 0xD8))):
-                    place += 1
-    except IndexError:
-        return None
+    def step(part: int) -> tuple[int | None, int | None]:
+        place, scanned = divmod(part, 2)
+        if place + 2 > len(data) or data[place] != 0xFF:
+            return None, None
+        mark = data[place + 1]
+        if mark == 0xD9:
+            return None, place + 2 if scanned else None
+        size = int.from_bytes(data[place + 2 : place + 4])
+        if place + 4 > len(data) or size < 2:
+            return None, None
+        place += 2 + size
+        if mark == 0xDA:
+            i = int(np.searchsorted(places.stops, place))
+            return (2 * int(places.stops[i]) + 1, None) if i < len(places.stops) else (None, None)
+        return 2 * place + scanned, None
+
+    end = places.chains("jpeg", 2).end(2 * (at + 2), step)
+    return end - at if end is not None and end <= len(data) else None
 
 
 _TRAILER = re.compile(rb"startxref\s+(\d{1,20})\s+%%EOF")
@@ -166,40 +299,66 @@ def _zip(data: memoryview, at: int, places: Places) -> int | None:
     return None
 
 
-def _members(data: memoryview, at: int) -> list[int]:
+def _inflated(data: memoryview, start: int) -> int | None:
+    """Where a gzip member ends whose compressed data begin here."""
+    unpack, place, crc, n = zlib.decompressobj(-15), start, 0, 0
+    try:
+        while not unpack.eof:
+            if place >= len(data):
+                return None
+            out = unpack.decompress(data[place : place + 65536])
+            crc, n, place = zlib.crc32(out, crc), n + len(out), place + 65536
+    except zlib.error:
+        return None
+    end = min(place, len(data)) - len(unpack.unused_data) + 8
+    return end if end <= len(data) and bytes(data[end - 8 : end]) == struct.pack("<II", crc, n & 0xFFFFFFFF) else None
+
+
+def _member(data: memoryview, at: int, places: Places) -> int | None:
+    """Where a gzip member ends. Heads whose names end at one byte 0 share what follows it."""
+    flags, start = data[at + 3] if at + 10 <= len(data) else 0xFF, at + 10
+    if flags & 0xE0:
+        return None
+    if flags & 4:
+        start += 2 + int.from_bytes(data[start : start + 2], "little")
+    for text in (8, 16):
+        if flags & text:
+            start = places.first(b"\0", start, len(data)) + 1
+            if not start:
+                return None
+    start += 2 * bool(flags & 2)
+    if start not in places.inflated:
+        places.inflated[start] = _inflated(data, start)
+    end = places.inflated[start]
+    return end if end is not None and end <= len(data) else None
+
+
+def _members(data: memoryview, at: int, places: Places) -> list[int]:
     """Ends of the whole gzip members that follow each other from here."""
-    ends, place = [], at
-    while data[place : place + 3] == b"\x1f\x8b\x08":
-        unpack = zlib.decompressobj(31)
-        try:
-            while not unpack.eof:
-                if place >= len(data):
-                    return ends
-                unpack.decompress(data[place : place + 65536])
-                place += 65536
-        except zlib.error:
-            return ends
-        place = min(place, len(data)) - len(unpack.unused_data)
-        ends.append(place)
+    ends = []
+    while data[at : at + 3] == b"\x1f\x8b\x08" and (end := _member(data, at, places)):
+        ends.append(end)
+        at = end
     return ends
 
 
 def _gzip(data: memoryview, at: int, places: Places) -> int | None:
-    ends = _members(data, at)
+    ends = _members(data, at, places)
     return ends[-1] - at if ends else None
 
 
 def _ogg(data: memoryview, at: int, places: Places) -> int | None:
-    place = at
-    while data[place : place + 4] == b"OggS" and place + 27 <= len(data):
+    def step(place: int) -> tuple[int | None, int | None]:
+        if data[place : place + 4] != b"OggS" or place + 27 > len(data):
+            return None, None
         table = data[place + 27 : place + 27 + data[place + 26]]
-        last = data[place + 5] & 4
-        place += 27 + len(table) + sum(table)
-        if place > len(data):
-            return None
-        if last:
-            return place - at
-    return None
+        end = place + 27 + len(table) + sum(table)
+        if end > len(data):
+            return None, None
+        return (None, end) if data[place + 5] & 4 else (end, None)
+
+    end = places.chains("ogg").end(at, step)
+    return end - at if end is not None and end <= len(data) else None
 
 
 #: Kind, magic bytes, how far into the medium they lie, validator.
@@ -241,7 +400,7 @@ def sniff(data: bytes) -> list[Medium]:
             found.append(Medium(kind, at, length))
             ends.append(at + length)
             if kind == "application/gzip":  # its further members are no media inside it
-                members.update(_members(view[: at + length], at))
+                members.update(_members(view[: at + length], at, places))
     return found
 
 

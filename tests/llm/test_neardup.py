@@ -234,6 +234,16 @@ def test_near_duplicates_go_by_row(spark, sf_dir):
     assert sorted(r.doc_id for r in apart.collect()) == [1, 3, 3, 4]
 
 
+def test_the_same_one_of_repeated_rows_stays(spark, sf_dir):
+    """Rows with one id and text that differ in another column only."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", f"src{i}", i) for i in range(9, 0, -1)] + [(2, text, "en", "src0", 0), (3, "other words " * 5, "en", "b", 1), (3, "other words " * 5, "en", "a", 2)]
+    for n in (1, 4):
+        for way in (1, -1):
+            docs = spark.createDataFrame(rows[::way], "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+            assert sorted((r.doc_id, r.source, r.n_chars) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == [(1, "src1", 1), (3, "a", 2)]
+
+
 def test_stages_keep_rows_and_columns(spark, sf_dir, odd):
     others = lambda df: collections.Counter(tuple(r) for r in df.drop("text", "n_chars").collect())
     for stage in (corpus_pipeline.line_dedup, corpus_pipeline.secret_scan):

@@ -60,6 +60,15 @@ def test_preferences(spark):
     assert chat.preferences(nulls).first()["rejected_text"] == "<|im_start|>unknown\n<|im_end|>\n"
 
 
+def test_ids_of_any_size(spark, tmp_path, same_as_sql):
+    ids = [2**55 + 1, 2**55 + 3, 2**55 + 4, 2**55 + 5, 2**62, 2**63 - 1, 2**63 - 2, 2**53 + 1, -1, -2, -3, -(2**55) - 1, -(2**63), 0, 1, 7]
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t} of {c}") for c in ids for t in range(1 + c % 4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.op2_chat(spark, str(tmp_path))
+    assert sorted(r.conv_id for r in out.select("conv_id").collect()) == sorted(ids)
+    same_as_sql("op2_chat", tmp_path)
+
+
 def test_paired_bears_odd_rows(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (2, None, None, None), (None, 0, "user", "x"), (5, 0, "user", "only")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'clash' as pair", "'clash' as chosen")
@@ -237,11 +246,100 @@ def test_media_of_several_parts_are_whole(spark):
     assert {(r.id, r.kind, bytes(r.carved)) for r in media.carve(out).collect()} == {(2, "image/png", png)}
 
 
-def test_heads_without_a_medium_cost_no_more_than_their_bytes():
-    for part in (b"%PDF-", b"%PDF-%%EOF", b"PK\x03\x04", b"PK\x05\x06" + b"\0" * 18, b"%PDF-1 startxref\n9\n%%EOF "):
+def png_chunk(name, body, sum_of=None):
+    return len(body).to_bytes(4, "big") + name + body + zlib.crc32(name + (body if sum_of is None else sum_of)).to_bytes(4, "big")
+
+
+HEADER = b"\x89PNG\r\n\x1a\n" + png_chunk(b"IHDR", b"\0" * 13)
+#: What media begin with, over and over: chains of parts that lead nowhere, or only at the end of the value.
+HEADS = (
+    b"%PDF-", b"%PDF-%%EOF", b"PK\x03\x04", b"PK\x05\x06" + b"\0" * 18, b"%PDF-1 startxref\n9\n%%EOF ", b"\x1f\x8b\x08", b"\x1f\x8b\x08" + b"\0" * 7, b"\x1f\x8b\x08\x08abcdefg",
+    b"OggS" + b"\0" * 23, b"OggS\0\0" + b"\0" * 20 + b"\x01\x05" + b"OggS\0", b"GIF89a", b"GIF87a" + b"\0" * 7 + b"!\xfe\x01a\0", b"GIF89a" + b"\0" * 7 + b"!\xfe\x14",
+    b"\x89PNG\r\n\x1a\n", HEADER, HEADER + (900_000).to_bytes(4, "big") + b"IDAT", b"\xff\xd8\xff", b"\xff\xd8\xff\xe0\0\x02", b"\xff\xd8\xff\xda\0\x02", b"\xff\xd8\xff\xda\0\x09abcdefg",
+    b"RIFF\x10\0\0\0WAVE", b"RIFF\0\0\x08\0WAVE", b"RIFF\0\0\x08\0WAVEfmt \0\0\0\0data\0\0\0\0",
+)
+
+
+@pytest.mark.parametrize("part", HEADS)
+def test_heads_without_a_medium_cost_no_more_than_their_bytes(part):
+    start = time.time()
+    media.sniff(part * (1_000_000 // len(part)))
+    assert time.time() - start < 15
+
+
+@pytest.mark.parametrize("last", [b"", b"\x3b", b"OggS\0\x04" + b"\0" * 21])
+def test_media_of_very_many_parts(last):
+    """One valid medium whose parts are themselves heads."""
+    page = b"OggS\0\0" + b"\0" * 20 + b"\x01\x04OggS"
+    values = [page * 20_000 + b"OggS\0\x04" + b"\0" * 21, b"GIF89a" + b"\0" * 7 + b"!\xfe" + b"\x06GIF89a" * 100_000 + b"\0\x3b", HEADER + png_chunk(b"IDAT", HEADER * 20_000) + png_chunk(b"IEND", b"")]
+    for value in values:
         start = time.time()
-        media.sniff(part * (1_000_000 // len(part)))
-        assert time.time() - start < 20, part
+        found = media.sniff(value + last)
+        assert found[0].start == 0 and found[0].length == len(value)
+        assert time.time() - start < 15
+
+
+def walked(data, at):
+    """The length of a medium by a walk of its own, part by part."""
+    data = memoryview(data)
+    if data[at : at + 4] == b"OggS":
+        place = at
+        while data[place : place + 4] == b"OggS" and place + 27 <= len(data):
+            table = data[place + 27 : place + 27 + data[place + 26]]
+            final, place = data[place + 5] & 4, place + 27 + len(table) + sum(table)
+            if place > len(data):
+                return None
+            if final:
+                return place - at
+        return None
+    if data[at : at + 3] == b"GIF":
+        try:
+            place = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 0x80 else 0)
+            while data[place] != 0x3B:
+                if data[place] == 0x2C:
+                    place += 10 + (3 << (data[place + 9] & 7) + 1 if data[place + 9] & 0x80 else 0) + 1
+                elif data[place] == 0x21:
+                    place += 2
+                else:
+                    return None
+                while data[place]:
+                    place += data[place] + 1
+                place += 1
+            return place + 1 - at
+        except IndexError:
+            return None
+    if data[at : at + 4] == b"RIFF":
+        end, place, seen = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little"), at + 12, set()
+        if len(data) < at + 12 or data[at + 8 : at + 12] != b"WAVE":
+            return None
+        while place + 8 <= end <= len(data):
+            seen.add(bytes(data[place : place + 4]))
+            size = int.from_bytes(data[place + 4 : place + 8], "little")
+            place += 8 + size + size % 2
+        return end - at if end <= len(data) and place in (end, end + 1) and {b"fmt ", b"data"} <= seen else None
+    return None
+
+
+def test_chains_end_where_walks_end():
+    rng, hits = random.Random(8), 0
+    parts = [b"OggS\0\0" + b"\0" * 20, b"OggS\0\x04" + b"\0" * 20, b"\0", b"\x01\x02ab", b"GIF89a" + b"\0" * 7, b"!\xfe", b"\x02ab", b"\x3b", b",", b"RIFF\x14\0\0\0WAVE", b"RIFF\x1c\0\0\0WAVE", b"fmt \0\0\0\0", b"data\0\0\0\0", b"data\x02\0\0\0ab"]
+    for _ in range(3000):
+        data = b"".join(rng.choices(parts, k=rng.randrange(2, 14)))
+        places = media.Places(data)
+        for i in range(len(data)):
+            for magic, validate in ((b"OggS", media._ogg), (b"GIF89a", media._gif), (b"RIFF", media._wav)):
+                if data.startswith(magic, i):
+                    want = walked(data, i)
+                    hits += want is not None
+                    assert validate(memoryview(data), i, places) == want, (data, i)
+    assert hits > 300
+
+
+def test_sums_of_long_ranges():
+    data = random.Random(9).randbytes(100_000)
+    places = media.Places(data)
+    for start, end in ((0, 100_000), (1, 99_999), (8191, 90_000), (8192, 8192 * 9), (5, 30_000), (7, 7)):
+        assert places.crc32(start, end) == zlib.crc32(data[start:end])
 
 
 # secrets
