@@ -2,66 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.tables import materialize, unused
 from codeloom.functions.text import TOKENS_PER_TEXT
 
 BATCH = 100
 TOKENS_PER_BATCH = 6_000
-#: Rows of one block when positions are counted, if no more than MOST_BLOCKS are needed.
-BLOCK, MOST_BLOCKS = 10_000, 512
-#: Values of the sample for each bound of a block.
-PER_CUT = 20
-
-
-def cuts(rows: DataFrame, order: str) -> list:
-    """Bounds that cut the values of a column into blocks of about equal size, from a sample by hash of at most about
-    PER_CUT values for each block."""
-    n = rows.count()
-    blocks = min(MOST_BLOCKS, -(-n // BLOCK))
-    if blocks < 2:
-        return []
-    one_in = max(1, n // (blocks * PER_CUT))
-    sample = rows.where(F.col(order).isNotNull() & (F.pmod(F.xxhash64(order), F.lit(one_in)) == 0)).select(order).distinct()
-    values = sorted(r[0] for r in sample.collect())
-    step = max(1, len(values) // blocks)
-    return values[step::step]
-
-
-def block_of(order: str, bounds: list) -> Column:
-    """How many bounds a value has reached, by halving them; null comes first."""
-    if not bounds:
-        return F.lit(0)
-    mid = len(bounds) // 2
-    low = 0 if not mid else block_of(order, bounds[:mid])
-    high = block_of(order, bounds[mid + 1 :]) + (mid + 1)
-    return F.when(F.col(order) >= F.lit(bounds[mid]), high).otherwise(low)
+#: About the rows of one block when positions are counted.
+BLOCK = 100_000
+#: monotonically_increasing_id() has the partition in the bits from here on, the row's place in it below.
+PART = 33
 
 
 def positions(rows: DataFrame, order: str, out: str = "pos", then: tuple[str, ...] = ()) -> DataFrame:
-    """Adds each row's place, from 0, in the order of a column (and of others within one value, of which a block holds all rows).
+    """Adds each row's place, from 0, in the order of a column (and of others within one value); replaces a column of that name.
 
-    Rows are counted by blocks of values that hold about equally many, so no task sees more than the rows of a block,
-    however the values are spread.
+    Rows are dealt to ranges of about BLOCK rows, as many as they need, sorted there, numbered in their range and written
+    once; the sums of the ranges' sizes, one row for each, then go to all tasks. Rows that agree in order and then are told
+    apart by a hash of all columns, so only rows that agree in everything must share a range.
     """
-    rows = rows.withColumn("__block", block_of(order, cuts(rows, order)))
-    counts = rows.groupBy("__block").agg(F.count("*").alias("__n"))  # one row for each block
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    rows = rows.join(F.broadcast(before), "__block").withColumn(out, (F.col("__before") + F.row_number().over(Window.partitionBy("__block").orderBy(order, *then)) - 1).cast("long"))
-    return rows.drop("__block", "__before")
+    rows = rows.drop(out)
+    tie, index, block, before, n = unused(rows, "tie", "index", "block", "before", "n")
+    plain = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    keys = [order, *then, tie]
+    ranged = rows.withColumn(tie, F.xxhash64(*plain)).repartitionByRange(max(1, -(-rows.count() // BLOCK)), *keys).sortWithinPartitions(*keys)
+    written = materialize(ranged.withColumn(index, F.monotonically_increasing_id()).drop(tie), "positions")
+    sizes = written.groupBy(F.shiftright(index, PART).alias(block)).agg(F.count("*").alias(n))
+    above = Window.partitionBy(F.lit(0)).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(block, F.coalesce(F.sum(n).over(above), F.lit(0)).alias(before))
+    place = F.col(before) + F.col(index).bitwiseAND((1 << PART) - 1)
+    return written.withColumn(block, F.shiftright(index, PART)).join(F.broadcast(sizes), block).withColumn(out, place.cast("long")).drop(index, block, before)
 
 
 def plan(rows: DataFrame, order: str, tokens: str, *, batch: int = BATCH, limit: int = TOKENS_PER_BATCH) -> DataFrame:
-    """Adds pos, batch, chunk (within the batch) and single (texts of this chunk go one by one).
+    """Adds pos, batch, chunk (within the batch), chunk_tokens and single (texts of this chunk go one by one).
 
     A batch over the limit is cut into chunks of n // (2 * (tokens // limit) + 1) rows, at least one;
     a chunk over what a call takes goes item by item.
     """
     rows = positions(rows, order).withColumn("batch", F.expr(f"pos div {batch}"))
+    total, n, size = unused(rows, "total", "n", "size")
     within = Window.partitionBy("batch")
-    rows = rows.withColumn("__total", F.sum(tokens).over(within)).withColumn("__n", F.count("*").over(within))
-    size = F.when(F.col("__total") > limit, F.greatest(F.lit(1), F.expr(f"__n div (__total div {limit} * 2 + 1)"))).otherwise(F.col("__n"))
-    rows = rows.withColumn("__size", size.cast("long")).withColumn("chunk", F.expr(f"(pos % {batch}) div __size"))
+    rows = rows.withColumn(total, F.sum(tokens).over(within)).withColumn(n, F.count("*").over(within))
+    cut = F.when(F.col(total) > limit, F.greatest(F.lit(1), F.expr(f"{n} div ({total} div {limit} * 2 + 1)"))).otherwise(F.col(n))
+    rows = rows.withColumn(size, cut.cast("long")).withColumn("chunk", F.expr(f"(pos % {batch}) div {size}"))
     rows = rows.withColumn("chunk_tokens", F.sum(tokens).over(Window.partitionBy("batch", "chunk")))
-    return rows.withColumn("single", F.col("chunk_tokens") > TOKENS_PER_TEXT).drop("__total", "__n", "__size")
+    return rows.withColumn("single", F.col("chunk_tokens") > TOKENS_PER_TEXT).drop(total, n, size)

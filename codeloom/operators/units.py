@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.extract import erlang, java, python
 from codeloom.functions import paths as P
 from codeloom.functions import text as T
+from codeloom.functions.tables import unused
 from codeloom.operators import batching
 from codeloom.sources import repository
 
@@ -95,8 +96,9 @@ def numbered(parsed: DataFrame) -> DataFrame:
     """Units with seq and unit_id: their place by folder, file and position."""
     folder = F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)
     # U+0001 keeps the units of a folder together, before those of folders whose names go on
-    rows = parsed.where("unit_type is not null").withColumn("__at", F.concat(folder, F.lit("\x01"), "rel_path"))
-    rows = batching.positions(rows, "__at", "seq", ("pos",))
+    rows = parsed.where("unit_type is not null")
+    (at,) = unused(rows, "at")
+    rows = batching.positions(rows.withColumn(at, F.concat(folder, F.lit("\x01"), "rel_path")), at, "seq", ("pos",))
     return rows.select(F.col("seq").alias("unit_id"), "seq", F.col("rel_path").alias("path"), "content", "unit_type", "name", "package", "class_name", T.content_hash("content").alias("content_hash"))
 
 

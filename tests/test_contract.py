@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from codeloom.plans import contract
+from codeloom.plans import contract, contract_jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,11 +19,14 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", contract.QUERIES)
+QUERIES, ORACLE_SQL = contract.QUERIES | contract_jobs.QUERIES, contract.ORACLE_SQL | contract_jobs.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, db, name):
-    df = contract.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    want = db.execute(f"SELECT * FROM ({contract.ORACLE_SQL[name]})")
+    want = db.execute(f"SELECT * FROM ({ORACLE_SQL[name]})")
     assert sorted(c[0] for c in want.description) == columns
     order = [[c[0] for c in want.description].index(c) for c in columns]
     assert sorted(repr(tuple(r[i] for i in order)) for r in want.fetchall()) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())

@@ -1,5 +1,7 @@
 import datetime
 import random
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -65,11 +67,27 @@ def test_positions_in_blocks(spark, block, monkeypatch):
     assert {r.k: r.pos for r in got} == {k: i for i, k in enumerate(sorted(keys, key=lambda k: (k is not None, k or 0)))}
     names = [(f"{rng.choice('abé')}/{i % 40}", n) for i in range(200) for n in range(3)]
     rows = spark.createDataFrame(sorted({(a, b) for a, b in names}), "name string, n int").repartition(3)
-    assert len(batching.cuts(rows, "name")) == (0 if block > 300 else -(-rows.count() // 7) - 1) or block == 7
     assert [(r["name"], r.n) for r in sorted(batching.positions(rows, "name", "at", ("n",)).collect(), key=lambda r: r.at)] == sorted({(a, b) for a, b in names})
     assert batching.positions(rows.limit(0), "name").count() == 0
 
 
+def test_positions_of_hot_values_and_clashing_names(spark, monkeypatch):
+    """Equal values are dealt to several ranges, and no column of the caller's is lost."""
+    monkeypatch.setattr(batching, "BLOCK", 50)
+    rows = spark.createDataFrame([(1, i) for i in range(400)] + [(0, -1), (2, -2)], "k int, v int")
+    for name in ("tie", "index", "block", "before", "n", "total", "size"):
+        rows = rows.withColumn(name, F.col("v"))
+    out = batching.positions(rows.repartition(3), "k")
+    assert set(out.columns) == {*rows.columns, "pos"}
+    got = out.collect()
+    assert sorted(r.pos for r in got) == list(range(402)) and {r.pos: r.k for r in got}[0] == 0 and {r.pos: r.k for r in got}[401] == 2
+    assert all(r.block == r.v == r.n for r in got)
+    sizes = [spark.read.parquet(f).count() for f in out.inputFiles()]
+    assert len([n for n in sizes if n > 1]) > 4 and max(sizes) < 200
+    plan = batching.plan(rows.withColumn("t", F.lit(1)), "k", "t")
+    assert {*rows.columns, "pos", "batch", "chunk", "single"} <= set(plan.columns)
+
+
 def units(spark, contents):
     return spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "seq long, content string").withColumn("unit_id", F.col("seq")).withColumn("content_hash", T.content_hash("content"))
 
@@ -101,6 +119,57 @@ def test_only_misses_are_embedded_and_each_content_once(spark):
     assert cache.hit_counts(cache.lookup(rows, known)).first()[:] == (2, 3)
 
 
+def test_calls_in_flight_are_bounded_and_in_order():
+    running, most, begun, lock = 0, 0, 0, threading.Lock()
+
+    def jobs():
+        nonlocal begun
+        for i in range(60):
+            begun += 1
+            yield i
+
+    def work(i):
+        nonlocal running, most
+        with lock:
+            running += 1
+            most = max(most, running)
+        time.sleep(0.002 * (i % 5))
+        with lock:
+            running -= 1
+        return i
+
+    ahead = []
+    for i, got in enumerate(embed.in_order(work, jobs(), 4)):
+        assert got == i
+        ahead.append(begun - i)
+    assert 2 <= most <= 4 and max(ahead) <= 5
+    with pytest.raises(ZeroDivisionError):
+        list(embed.in_order(lambda i: 1 // (i - 3), range(9), 2))
+
+
+def test_waits_as_asked(monkeypatch):
+    waits = []
+    monkeypatch.setattr(embed.time, "sleep", waits.append)
+    turns = iter([embed.Busy(after=7.0), OSError(), OSError(), embed.Busy(after=99.0)])
+
+    def client(texts):
+        for why in turns:
+            raise why
+        return [[1.0]] * len(texts)
+
+    ladder = embed.Ladder(client, embed.Calls(retries=4, wait=0.5, longest=30))
+    assert ladder.chunk(["x", "y"]) == [([1.0], "ok")] * 2
+    assert waits == [7.0, 1.0, 2.0, 30] and ladder.asked == 1
+
+
+def test_rows_that_failed_have_a_status_and_answers_are_by_key(spark):
+    rows = spark.createDataFrame([(i, "bad" if i % 50 == 7 else f"text {i}") for i in range(450)], "id long, content string").repartition(7)
+    got = {r.id: r for r in embed.RemoteEmbedder(lambda: Client(refuse=["bad"]), "m", 3).answers(rows, "id", F.col("content")).collect()}
+    assert len(got) == 450 and all((r.vector is None) == (i % 50 == 7) for i, r in got.items())
+    assert all(list(r.vector) == [len(f"text {i}"), 1, 0] for i, r in got.items() if r.vector)
+    assert {(r.batch, r.chunk) for r in got.values()} == {(b, 0) for b in range(5)} and {r.asked for r in got.values()} <= {2 + 98 + 2 * 3, 2 + 49 + 3}
+
+
 def test_ladder():
     client = Client(refuse=["é"])
     assert embed.called(client, ["x", "é"]) == [([1.0, 1.0], "plain"), ([13.0, 1.0], "plain")]
