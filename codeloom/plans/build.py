@@ -1,15 +1,17 @@
 """Build of an index: list, parse, embed what is new, write a version, report.
 
-Layout below the store: cache/<n> (snapshots of the embedding cache, the highest number counts), catalog/
-(one small file for each version) and versions/<repository>/<version>-<time> with units, vectors, files and audit.
-A version becomes visible when its row is added to the catalog, after all its tables are written.
+A version's tables lie in one folder of the store: listing, parsed, units, audit, file_meta, embedded and vectors. The repository is
+listed once, and all else is made from that table, so a file that changes meanwhile is new to the next build. A version becomes
+visible, with what it adds to the cache, by one commit after all its tables are written; see store.py.
 """
 
 from __future__ import annotations
 
 import datetime
+import json
 import os
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,53 +22,10 @@ from codeloom.functions import paths as P
 from codeloom.operators import cache as C
 from codeloom.operators import catalog as K
 from codeloom.operators import embed, incremental, index, report, units
+from codeloom.plans.store import Store, added
 from codeloom.sources import git, repository
 
 
-class Store:
-    """Folders of the store, by way of Spark's file systems."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _folder(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def exists(self, path: str) -> bool:
-        at, fs = self._folder(path)
-        return fs.exists(at)
-
-    def names(self, path: str) -> list[str]:
-        at, fs = self._folder(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-
-    def catalog(self) -> DataFrame:
-        path = f"{self.path}/catalog"
-        return self.spark.read.schema(schemas.CATALOG).parquet(path) if self.exists(path) else self.spark.createDataFrame([], schemas.CATALOG)
-
-    def _snapshots(self) -> list[str]:
-        """Finished snapshots of the cache, oldest first."""
-        return [n for n in self.names(f"{self.path}/cache") if self.exists(f"{self.path}/cache/{n}/_SUCCESS")]
-
-    def cache(self) -> DataFrame:
-        done = self._snapshots()
-        return self.spark.read.schema(schemas.CACHE).parquet(f"{self.path}/cache/{done[-1]}") if done else self.spark.createDataFrame([], schemas.CACHE)
-
-    def cache_ref(self) -> str | None:
-        """The folder of the newest snapshot."""
-        done = self._snapshots()
-        return f"{self.path}/cache/{done[-1]}" if done else None
-
-    def put_cache(self, merged: DataFrame) -> None:
-        """A new snapshot beside the one that is being read; the one before that goes."""
-        done = self._snapshots()
-        merged.write.parquet(f"{self.path}/cache/{time.time_ns():020d}")
-        for old in done[:-1]:
-            at, fs = self._folder(f"{self.path}/cache/{old}")
-            fs.delete(at, True)
-
-
 @dataclass
 class Built:
     location: str
@@ -78,7 +37,7 @@ class Built:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """The listing with the reason why a file is skipped."""
+    """The files with the reason why a file is skipped."""
     return repository.listing(spark, root).withColumn("skip_reason", repository.skip_reason("extension", "ignored"))
 
 
@@ -102,49 +61,62 @@ def build_index(spark: SparkSession, root: str, store: str, embedder: embed.Embe
     commit, dirty = git.version(root)
     name = spark.range(1).select(P.safe_name(F.lit(os.path.basename(os.path.abspath(root)))).alias("name"), P.path_hash(F.lit(root)).alias("hash")).first()
     version = f"{commit}-latest" if commit and dirty else commit or "flat"
-    location = f"{place.path}/versions/{name['name']}.{name['hash']}/{version}-{time.time_ns()}"
+    location = f"{place.path}/versions/{name['name']}.{name['hash']}/{version}-{uuid.uuid4().hex}"
 
-    files = scan(spark, root)
+    def written(table: DataFrame, part: str) -> DataFrame:
+        table.write.parquet(f"{location}/{part}")
+        return spark.read.parquet(f"{location}/{part}")
+
+    listed = written(repository.walked(spark, root), "listing")
+    files = repository.files(listed).withColumn("skip_reason", repository.skip_reason("extension", "ignored"))
     eligible = files.where("skip_reason is null")
+    file_meta = written(eligible.select("rel_path", "mtime", "size"), "file_meta")
     previous = K.newest_first(place.catalog().where((F.col("repo_name") == name["name"]) & (F.col("path_hash") == name["hash"]) & (F.col("model") == embedder.model) & (F.col("dimensions") == embedder.dimensions))).limit(1).collect() if incremental_build else []
     fresh = eligible
     if previous:
         old = spark.read.parquet(f"{previous[0]['location']}/parsed")
-        changed = incremental.changes(eligible.select("rel_path", "mtime", "size"), spark.read.schema(schemas.FILE_META).parquet(f"{previous[0]['location']}/file_meta"))
+        changed = incremental.changes(file_meta, spark.read.schema(schemas.FILE_META).parquet(f"{previous[0]['location']}/file_meta"))
         fresh = eligible.join(changed.where("change in ('new', 'modified')").select("rel_path"), "rel_path", "left_semi")
     parsed = units.parse(fresh, erlang_too=erlang_too)
     if previous:
         parsed = incremental.merged_units(old, changed, parsed.select(*old.columns), unit_key="rel_path")
-    parsed.write.parquet(f"{location}/parsed")
-    parsed = spark.read.parquet(f"{location}/parsed")
-    units.numbered(parsed).write.parquet(f"{location}/units")
-    own = spark.read.parquet(f"{location}/units")
-    units.audit(files, parsed).write.parquet(f"{location}/audit")
-    audit = spark.read.parquet(f"{location}/audit")
-    eligible.select("rel_path", "mtime", "size").write.parquet(f"{location}/file_meta")
+    parsed = written(parsed, "parsed")
+    own = written(units.numbered(parsed), "units")
+    audit = written(units.audit(files, parsed), "audit")
     began["parsed"] = time.time()
 
-    cached = place.cache()
-    embed.embed_units(own, embedder, cached).write.parquet(f"{location}/embedded")
-    new = spark.read.parquet(f"{location}/embedded")
-    merged = C.merge(cached, new.where("vector is not null").select(*cached.columns))
-    place.put_cache(merged)
+    # what is cached now stays as it is here, whatever other builds add or merge meanwhile
+    base = place.deltas()
+    mine = (F.col("model") == embedder.model) & (F.col("dimensions") == embedder.dimensions)
+    cached = place.entries(base, own.select("content_hash")).where(mine)
+    new = written(embed.embed_units(own, embedder, cached), "embedded")
+    good = new.where("vector is not null").select(*schemas.names(schemas.CACHE))
+    delta = place.write_delta(good)
     began["embedded"] = time.time()
 
-    known = place.cache().where((F.col("model") == embedder.model) & (F.col("dimensions") == embedder.dimensions))
-    index.build_vectors(own, known, embedder.dimensions).write.parquet(f"{location}/vectors")
-    vectors = spark.read.parquet(f"{location}/vectors")
+    vectors = written(index.build_vectors(own, cached.unionByName(good), embedder.dimensions), "vectors")
     n = own.count()
+    failed = own.join(new.where("vector is null").select("content_hash"), "content_hash", "left_semi").count()
+    if vectors.count() + failed != n:
+        raise RuntimeError(f"{n} units, but {vectors.count()} vectors and {failed} failures; the version is not added")
     index_name = f"{name['name']}.{name['hash']}/{version}"
-    row = (index_name, name["name"], name["hash"], commit, dirty, root, datetime.datetime.now(), n, embedder.dimensions, bool(previous), embedder.model, location, place.cache_ref(), place.cache().count())
-    spark.createDataFrame([row], schemas.CATALOG).coalesce(1).write.mode("append").parquet(f"{place.path}/catalog")
+    now = int(datetime.datetime.now(datetime.timezone.utc).timestamp() * 1_000_000)
+
+    def make(number: int) -> list[dict]:
+        entries = place.entries([*place.deltas(number - 1), delta._replace(turn=number)]).select(*C.KEY).count()
+        row = (index_name, name["name"], name["hash"], commit, dirty, root, now, n, embedder.dimensions, bool(previous), embedder.model, location, place.commit_file(number), entries)
+        info = json.dumps(dict(zip(schemas.names(schemas.CATALOG), row)))
+        return [added(delta, number), {"action": "add", "kind": "version", "path": location, "turn": number, "rows": n, "info": info}]
+
+    place.commit(make)
+    place.compact()
     began["indexed"] = time.time()
 
     out = Built(location, index_name, own, vectors, audit)
     if with_report:
         names = list(began)
         timings = {b: began[b] - began[a] for a, b in zip(names, names[1:])} | {"total": time.time() - began["start"]}
-        out.report = report.document(root, datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S"), timings, audit, repository.folders(spark, root), own)
+        out.report = report.document(root, datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S"), timings, audit, repository.pruned(listed), own)
         for suffix, body in (("json", report.as_json(out.report)), ("html", report.as_html(out.report))):
             spark.createDataFrame([(body,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{location}/report_{suffix}")
     return out

@@ -8,7 +8,6 @@ of indexes, and paths are made up from documents.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
+from codeloom.functions import tables
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
 from codeloom.operators import batching, cache, catalog, embed, history, incremental, index, report, units
@@ -340,9 +340,7 @@ def code_unit_ids(spark, sf_dir):
 
 def _shared_folder(spark: SparkSession) -> str:
     """A new folder that the lister and all executors see by the same path."""
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="codeloom-")
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file:")
+    shared = tables.shared_dir(spark).removeprefix("file:")
     if not shared.startswith("/"):
         raise ValueError("files of a repository need a folder that is mounted on all machines as spark.checkpoint.dir")
     return f"/{shared.lstrip('/')}/codeloom-{uuid.uuid4().hex}"

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import contextlib
+import os
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import batching, embed
+from codeloom.plans import build, search, store
 from codeloom.plans import contract as C
 
 #: What the client of embed_ladder takes in one call, in characters, and what it refuses in any text.
@@ -61,6 +65,93 @@ def _ladder_sql() -> str:
         SELECT doc_id, batch, chunk, status, asked::BIGINT AS asked, length(sent_text) AS sent, (length(sent_text) - length(replace(sent_text, 'e', ''))) AS e FROM g"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder,)}
-
-ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql()}
+#: Additions to the cache: a document's content is in round r if its id is divisible by r; in one round contents are forgotten.
+ROUNDS, FORGETS, FORGOTTEN = 7, 5, 3
+
+
+def cache_deltas(spark, sf_dir):
+    """The embedding cache after several builds: which round each content comes from that isn't forgotten. Rounds are deltas of
+    a store, merged by size on the way."""
+    place = store.Store(spark, f"{C._shared_folder(spark)}/store")
+    docs = C._table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("content_hash"), F.lit("m").alias("model"), F.lit(1).alias("dimensions"))
+    for r in range(1, ROUNDS + 1):
+        if r == FORGETS:
+            place.forget(docs.where(F.col("doc_id") % FORGOTTEN == 0))
+        else:
+            rows = docs.where(F.col("doc_id") % r == 0).drop("doc_id").distinct()
+            delta = place.write_delta(rows.withColumn("vector", F.array(F.lit(r).cast("float"))))
+            place.commit(lambda number, delta=delta: [store.added(delta, number)])
+        place.compact()
+    return place.cache().select("content_hash", F.col("vector")[0].cast("long").alias("round"))
+
+
+CACHE_DELTAS_SQL = f"""
+    SELECT content_hash, max(round) AS round FROM (SELECT md5(text) AS content_hash, r AS round, max(CASE WHEN doc_id % {FORGOTTEN} = 0 THEN {FORGETS} ELSE 0 END) OVER (PARTITION BY text) AS forgotten, doc_id FROM documents, range(1, {ROUNDS + 1}) t(r))
+    WHERE round <> {FORGETS} AND doc_id % round = 0 AND round > forgotten GROUP BY content_hash"""
+
+
+def _repository(docs: DataFrame, version: int) -> DataFrame:
+    """rel_path, content (bytes) of the files that are written before a build: of each document by the remainder of its id one
+    that stays, one that is changed, one that goes and one that is new, and two that are never indexed."""
+    d, lang = F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("none"))
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", " ")
+    xml = F.concat(F.lit("<a>"), F.coalesce("text", F.lit("")), F.lit("</a>"))
+    source = lambda name: F.concat(F.lit(f"def {name}"), d, F.lit('(): return "'), words, F.lit('"\n'))
+    at = lambda folder, letter, ext: F.concat(F.lit(folder), lang, F.lit(f"/{letter}"), d, F.lit(ext))
+    i = F.col("doc_id") % 4
+    if version == 1:
+        files = [(i != 3, F.when(i == 1, at("src/", "U", ".py")).otherwise(at("src/", "U", ".xml")), F.when(i == 1, source("f")).otherwise(xml)), (F.lit(True), at("build/", "I", ".py"), source("ignored")), (F.lit(True), at("lib/.git/", "G", ".py"), source("git"))]
+    else:  # in Latin-1
+        files = [(i == 1, at("src/", "U", ".py"), source("g")), (i == 3, at("src/", "U", ".py"), F.concat(F.lit("# é\n"), source("n")))]
+    rows = F.explode(F.array(*[F.struct(keep.alias("keep"), path.alias("rel_path"), F.encode(content, "UTF-8" if version == 1 else "ISO-8859-1").alias("content")) for keep, path, content in files]))
+    return docs.select(rows.alias("r")).select("r.*").where("keep").drop("keep")
+
+
+def _put(root: str, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Writes files; one without content is deleted."""
+    for part in parts:
+        for row in part.itertuples(index=False):
+            path = os.path.join(root, row.rel_path)
+            if row.content is None:
+                with contextlib.suppress(FileNotFoundError):  # by an attempt before this one
+                    os.remove(path)
+            else:
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as file:
+                    file.write(row.content)
+        yield pd.DataFrame({"n": [len(part)]})
+
+
+def build_twice(spark, sf_dir):
+    """A full build, changes to the files, and an incremental build: the units of the newer version, opened by its name, and
+    whether their contents had to be embedded again."""
+    folder, docs = C._shared_folder(spark), C._table(spark, sf_dir, "documents")
+    root, embedder = f"{folder}/repo", embed.HashingEmbedder(C.DIMENSIONS)
+    put = lambda rows: rows.mapInPandas(lambda it: _put(root, it), "n long").agg(F.sum("n")).collect()
+    os.makedirs(root, exist_ok=True)
+    put(spark.createDataFrame([(".gitignore", bytearray(b"# not indexed\nbuild/\n"))], "rel_path string, content binary"))
+    put(_repository(docs, 1))
+    build.build_index(spark, root, f"{folder}/store", embedder, with_report=False)
+    put(_repository(docs, 2))
+    put(docs.where("doc_id % 4 = 2").select(F.concat(F.lit("src/"), F.coalesce("lang", F.lit("none")), F.lit("/U"), "doc_id", F.lit(".xml")).alias("rel_path"), F.lit(None).cast("binary").alias("content")))
+    built = build.build_index(spark, root, f"{folder}/store", embedder, incremental_build=True, with_report=False)
+    engine = search.open_index(spark, f"{folder}/store", built.index_name)
+    again = spark.read.parquet(f"{built.location}/embedded").select("content_hash", F.lit(True).alias("embedded"))
+    found = engine.units.join(engine.vectors.select("unit_id"), "unit_id", "left_semi").join(again, "content_hash", "left")
+    return found.select("path", "unit_type", "name", "package", "content_hash", F.coalesce("embedded", F.lit(False)).alias("embedded"))
+
+
+BUILD_TWICE_SQL = f"""
+    WITH docs AS (SELECT doc_id AS d, doc_id % 4 AS i, coalesce(lang, 'none') AS lang, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g') AS w FROM documents),
+    files AS (SELECT *, v, 'src/' || lang || '/U' || d || (CASE WHEN i IN (1, 3) THEN '.py' ELSE '.xml' END) AS path,
+        CASE WHEN i IN (0, 2) THEN '<a>' || t || '</a>' WHEN i = 1 THEN 'def ' || (CASE WHEN v = 1 THEN 'f' ELSE 'g' END) || d || '(): return "' || w || '"' || chr(10) ELSE '# é' || chr(10) || 'def n' || d || '(): return "' || w || '"' || chr(10) END AS content
+        FROM docs, range(1, 3) t(v) WHERE NOT (v = 1 AND i = 3) AND NOT (v = 2 AND i = 2)),
+    units AS (SELECT v, path, 'file' AS unit_type, split_part(path, '/', -1) AS name, lang, content FROM files
+        UNION ALL SELECT v, path, 'function', (CASE WHEN i = 3 THEN 'n' WHEN v = 1 THEN 'f' ELSE 'g' END) || d, lang, rtrim(CASE WHEN i = 3 THEN content[5:] ELSE content END, chr(10)) FROM files WHERE i IN (1, 3)),
+    hashed AS (SELECT *, md5(CASE WHEN unit_type = 'function' AND length(content) > {T.UNIT_CUT} THEN left(content, {T.UNIT_CUT}) || '... [content truncated]' ELSE content END) AS content_hash FROM units)
+    SELECT path, unit_type, name, 'src.' || lang AS package, content_hash, content_hash NOT IN (SELECT content_hash FROM hashed WHERE v = 1) AS embedded FROM hashed WHERE v = 2"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice)}
+
+ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL}

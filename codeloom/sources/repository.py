@@ -134,9 +134,24 @@ def _rows(spark: SparkSession, root: str, prune: bool) -> DataFrame:
     return spark.read.format("repository").option("path", root).option("prune", str(prune).lower()).option("tasks", str(tasks)).load()
 
 
+def walked(spark: SparkSession, root: str) -> DataFrame:
+    """One walk: a row for each file, and, with a reason, for each folder that isn't entered."""
+    return _rows(spark, root, True)
+
+
+def files(walk: DataFrame) -> DataFrame:
+    """path, rel_path, extension, size, mtime, ignored of the files of a walk."""
+    return walk.where("reason is null").drop("reason").withColumn("extension", P.extension("rel_path"))
+
+
+def pruned(walk: DataFrame) -> DataFrame:
+    """rel_path, reason of the folders that a walk didn't enter."""
+    return walk.where("reason is not null").select(*schemas.names(schemas.FOLDERS))
+
+
 def listing(spark: SparkSession, root: str, prune: bool = True) -> DataFrame:
     """path, rel_path, extension, size, mtime, ignored of the files below root."""
-    return _rows(spark, root, prune).where("reason is null").drop("reason").withColumn("extension", P.extension("rel_path"))
+    return files(_rows(spark, root, prune))
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
@@ -146,7 +161,7 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
 
 def folders(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, reason of the pruned folders."""
-    return _rows(spark, root, True).where("reason is not null").select(*schemas.names(schemas.FOLDERS))
+    return pruned(walked(spark, root))
 
 
 def dealt(files: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 import shutil
 import subprocess
 import threading
@@ -7,11 +9,13 @@ import urllib.request
 
 import pytest
 
-from codeloom import cli, server
+from codeloom import cli, schemas, server
 from codeloom.operators import embed, report
 from codeloom.operators import units as U
 from codeloom.plans import build
 from codeloom.plans import search as S
+from codeloom.plans import store as store_module
+from codeloom.plans.store import Conflict, Store
 from codeloom.sources import git, repository
 from codeloom.streaming import files as stream_files
 
@@ -76,6 +80,11 @@ def test_parse_audit_and_report(spark, repo):
     assert out["folders"]["skipped"] == [".git", "build", "lib/.git"]
 
 
+def opened(spark, store, entry):
+    """The cache that a catalog row names."""
+    return Store(spark, store).cache(int(entry["cache_ref"].rsplit("/", 1)[1].removesuffix(".json")))
+
+
 def test_build_and_search(spark, repo, tmp_path):
     store = str(tmp_path / "store")
     built = build.build_index(spark, str(repo), store)
@@ -83,7 +92,7 @@ def test_build_and_search(spark, repo, tmp_path):
     assert built.report["code_units"]["n"] == built.units.count()
     assert built.report["file_processing"]["total"] == sum(r["n"] for r in built.report["file_processing"]["counts"])
     entry = build.list_indexes(spark, store).first()
-    assert spark.read.parquet(entry["cache_ref"]).count() == entry["cache_entries"] == built.units.select("content_hash").distinct().count()
+    assert opened(spark, store, entry).count() == entry["cache_entries"] == built.units.select("content_hash").distinct().count()
     assert [r.value.split("\t")[0] for r in spark.read.text(build.write_index_list(spark, store)).collect()] == [entry["index_name"]]
     asked = spark.createDataFrame([(1, "def cafe return"), (2, "class Second"), (3, "def cafe return")], "query_id int, query string")
     engine = S.open_index(spark, store)
@@ -121,6 +130,184 @@ def test_incremental_build_equals_full_build(spark, repo, tmp_path):
     assert build.list_indexes(spark, store).count() == 1
 
 
+def test_a_file_that_changes_while_it_is_indexed_is_new_to_the_next_build(spark, repo, tmp_path, monkeypatch):
+    """Between the parse and the end of the build, and between the listing and the parse."""
+    store, path = str(tmp_path / "store"), repo / "src/top.py"
+    embedded, parsed = embed.embed_units, U.parse
+
+    def then(*args, **kw):
+        path.write_text("def late(): return 'after the parse'\n")
+        return embedded(*args, **kw)
+
+    monkeypatch.setattr(embed, "embed_units", then)
+    first = build.build_index(spark, str(repo), store, with_report=False)
+    assert first.units.where("path = 'src/top.py' and name = 'f'").count() == 1
+    monkeypatch.setattr(embed, "embed_units", embedded)
+
+    def before(*args, **kw):
+        path.write_text("def later_still(): return 'before the parse'\n")
+        return parsed(*args, **kw)
+
+    monkeypatch.setattr(U, "parse", before)
+    second = build.build_index(spark, str(repo), store, incremental_build=True, with_report=False)
+    monkeypatch.setattr(U, "parse", parsed)
+    third = build.build_index(spark, str(repo), store, incremental_build=True, with_report=False)
+    full = build.build_index(spark, str(repo), str(tmp_path / "other"), with_report=False)
+    assert second.units.where("path = 'src/top.py'").count() == 2
+    assert rows_of(third.units) == rows_of(full.units)
+
+
+def test_two_builders_lose_nothing(spark, repo, tmp_path):
+    """Both at once, on one store; every version opens with the cache that it names."""
+    store = str(tmp_path / "store")
+    other = tmp_path / "other-repo"
+    shutil.copytree(repo, other)
+    (other / "own.py").write_text("def only_here(): return 'other'\n")
+    found, errors = {}, []
+
+    def builder(root):
+        try:
+            for turn in range(2):
+                (root / f"turn{turn}.py").write_text(f"def turn_{turn}_of_{root.name.replace('-', '_')}(): pass\n")
+                found[root.name, turn] = build.build_index(spark, str(root), store, with_report=False)
+        except Exception as why:
+            errors.append(why)
+
+    threads = [threading.Thread(target=builder, args=(root,)) for root in (repo, other)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    place = Store(spark, store)
+    rows = place.catalog().collect()
+    assert len(rows) == 4 and {r["location"] for r in rows} == {b.location for b in found.values()}
+    for row in rows:
+        held = opened(spark, store, row)
+        assert held.count() == row["cache_entries"] == held.select("content_hash").distinct().count()
+        own = spark.read.parquet(f"{row['location']}/units")
+        assert own.join(held, "content_hash", "left_anti").count() == 0
+        assert spark.read.parquet(f"{row['location']}/vectors").count() == own.count() == row["n_units"]
+
+
+def test_a_version_without_all_its_vectors_is_not_added(spark, repo, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    whole = embed.embed_units
+    monkeypatch.setattr(embed, "embed_units", lambda *args: whole(*args).where("content_hash not like '0%' and content_hash not like '1%' and content_hash not like '2%'"))
+    with pytest.raises(RuntimeError, match="vectors"):
+        build.build_index(spark, str(repo), store, with_report=False)
+    assert Store(spark, store).catalog().count() == 0 and Store(spark, store).cache().count() == 0
+    monkeypatch.setattr(embed, "embed_units", whole)
+    build.build_index(spark, str(repo), store, with_report=False)
+    assert len(Store(spark, store).vacuum(older_than=-1)) == 2  # what the failed build had written
+    assert S.search(spark, store, "cafe", 1).count() == 1
+
+
+def test_failures_are_rows_and_are_never_cached(spark, repo, tmp_path):
+    store, embedder = str(tmp_path / "store"), embed.RemoteEmbedder(Refuses, "refuses", 2)
+    built = build.build_index(spark, str(repo), store, embedder, with_report=False)
+    failed = spark.read.parquet(f"{built.location}/embedded").where("vector is null")
+    assert failed.count() == 1 and failed.first()["status"].startswith("failed")
+    assert built.vectors.count() == built.units.count() - 1
+    assert Store(spark, store).cache().join(failed, "content_hash").count() == 0
+    again = build.build_index(spark, str(repo), store, embedder, with_report=False)
+    assert rows_of(spark.read.parquet(f"{again.location}/embedded").drop("vector")) == rows_of(failed.drop("vector"))
+
+
+class Refuses:
+    def __call__(self, texts):
+        if any("cafe" in t for t in texts if "def" in t and "#" not in t):
+            raise ValueError("$.input")
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def delta_rows(spark, rows):
+    return spark.createDataFrame([(h, "m", 2, [float(x), 0.0]) for h, x in rows], schemas.CACHE)
+
+
+def test_deltas_are_the_cache_that_merging_gives(spark, tmp_path, monkeypatch):
+    """Any order of additions, tombstones and merges equals a plain dict; old commits open as they were."""
+    monkeypatch.setattr(store_module, "SMALL", 8)
+    place, want, seen, rng = Store(spark, str(tmp_path / "store")), {}, {}, random.Random(6)
+    for turn in range(10):
+        if turn % 5 == 4:
+            gone = rng.sample(sorted(want), 3)
+            number = place.forget(spark.createDataFrame([(h, "m", 2) for h in gone], "content_hash string, model string, dimensions int"))
+            want = {k: v for k, v in want.items() if k not in gone}
+        else:
+            new = {f"h{rng.randrange(40)}": turn for _ in range(6)}
+            delta = place.write_delta(delta_rows(spark, new.items()))
+            number = place.commit(lambda n, delta=delta: [store_module.added(delta, n)])
+            want |= new
+        seen[number] = dict(want)
+        place.compact()
+        assert {r.content_hash: r.vector[0] for r in place.cache().collect()} == want
+    assert len(place.deltas()) < 7
+    for number, then in list(seen.items())[::3]:
+        assert {r.content_hash: r.vector[0] for r in place.cache(number).collect()} == then
+    some = sorted(want)[:2]
+    asked = place.cache(keys=spark.createDataFrame([(h,) for h in some], "content_hash string"))
+    assert {r.content_hash for r in asked.collect()} == set(some)
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ (IN \(\d+,\d+\)|= \d+)", plan), plan  # only these buckets are read
+    assert place.vacuum(older_than=-1)  # no version names a commit, so merged deltas go
+    assert {r.content_hash: r.vector[0] for r in place.cache().collect()} == want
+
+
+def test_a_build_writes_in_proportion_to_what_is_new(spark, tmp_path, monkeypatch):
+    place, size = Store(spark, str(tmp_path / "store")), []
+    monkeypatch.setattr(store_module, "FANOUT", 3)
+    monkeypatch.setattr(store_module, "SMALL", 100)
+    for turn in range(9):
+        delta = place.write_delta(delta_rows(spark, [(f"{turn}-{i}", i) for i in range(50)]))
+        place.commit(lambda n, delta=delta: [store_module.added(delta, n)])
+        size.append(delta.rows)
+        place.compact()
+    assert size == [50] * 9 and place.cache().count() == 450
+    written = sum(r["rows"] for r in place.actions().where("action = 'add'").select("rows").collect())
+    assert written <= 450 * 4  # once, and once for each of a few sizes
+
+
+def test_versions_pin_what_they_name(spark, repo, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "FANOUT", 2)
+    store = str(tmp_path / "store")
+    place = Store(spark, store)
+    for turn in range(4):
+        (repo / f"turn{turn}.py").write_text(f"def turn{turn}(): pass\n")
+        build.build_index(spark, str(repo), store, incremental_build=turn > 0, with_report=False)
+    rows = place.catalog().orderBy("indexed_on").collect()
+    place.vacuum(older_than=-1)
+    for row in rows:
+        assert opened(spark, store, row).count() == row["cache_entries"]
+    place.drop_versions([r["location"] for r in rows[:3]])
+    gone = place.vacuum(older_than=-1)
+    assert {r["location"] for r in rows[:3]} <= set(gone) and any("/cache/" in path for path in gone)
+    assert opened(spark, store, rows[3]).count() == rows[3]["cache_entries"]
+    assert S.search(spark, store, "turn3", 1).first()["name"] == "turn3.py" and place.catalog().count() == 1
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    place = Store(spark, str(tmp_path / "store"))
+    numbers, errors = [], []
+
+    def writer(i):
+        try:
+            for k in range(5):
+                numbers.append(place.commit(lambda n: [{"action": "add", "kind": "other", "path": f"{i}/{k}", "turn": n}]))
+        except Exception as why:
+            errors.append(why)
+
+    threads = [threading.Thread(target=writer, args=(i,)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and sorted(numbers) == list(range(20)) and place.live("other").count() == 20
+    assert not place._made(place.commit_file(3), "again") and place.live("other").count() == 20
+    with pytest.raises(Conflict):
+        place.commit(lambda n: (_ for _ in ()).throw(Conflict("changed")))
+
+
 def test_empty_repository(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     built = build.build_index(spark, str(tmp_path / "empty"), str(tmp_path / "store"))
