@@ -14,6 +14,7 @@ from codeloom.functions import text as T
 from codeloom.operators import batching, embed
 from codeloom.plans import build, search, store
 from codeloom.plans import contract as C
+from codeloom.sources import repository
 
 #: What the client of embed_ladder takes in one call, in characters, and what it refuses in any text.
 MOST_CHARS = 15_000
@@ -152,6 +153,21 @@ BUILD_TWICE_SQL = f"""
     SELECT path, unit_type, name, 'src.' || lang AS package, content_hash, content_hash NOT IN (SELECT content_hash FROM hashed WHERE v = 1) AS embedded FROM hashed WHERE v = 2"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice)}
+def listing_filtered(spark, sf_dir):
+    """Files of one language that are longer than most, by a walk that opens no folder of another one."""
+    root = f"{C._shared_folder(spark)}/repo"
+    os.makedirs(f"{root}/src/en", exist_ok=True)
+    _repository(C._table(spark, sf_dir, "documents"), 1).mapInPandas(lambda it: _put(root, it), "n long").agg(F.sum("n")).collect()
+    found = repository.listing(spark, root).where("rel_path like 'src/en/%' and extension in ('.xml', '.py') and size > 1000 and not ignored")
+    return found.select("rel_path", "extension", "size")
 
-ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL}
+
+LISTING_SQL = """
+    SELECT 'src/en/U' || doc_id || ext AS rel_path, ext AS extension, strlen(content) AS size FROM (
+        SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN '.py' ELSE '.xml' END AS ext, CASE WHEN doc_id % 4 = 1 THEN 'def f' || doc_id || '(): return "' || regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g') || '"' || chr(10) ELSE '<a>' || coalesce(text, '') || '</a>' END AS content
+        FROM documents WHERE lang = 'en' AND doc_id % 4 <> 3) WHERE strlen(content) > 1000"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered)}
+
+ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL}

@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import re
 import shutil
@@ -54,6 +55,38 @@ def test_every_file_falls_to_one_task(tmp_path, tasks, prune):
     assert [rel for rel, ignored, reason in found if reason is None and ignored and prune] == (["run.log"] if prune else [])
 
 
+CONDITIONS = [
+    "rel_path like 'src/app/%'", "rel_path like 'src/a%'", "rel_path = 'src/top.py'", "extension in ('.py', '.xml')", "extension = '.png'", "extension <> '.py'", "size > 10", "size >= 5 and size < 40", "size <= 0", "mtime > 1.5", "mtime < 0", "rel_path like '%.py' and not ignored",
+    "rel_path like '%app%'", "ignored", "rel_path like 'no/such/%'", "rel_path like 'build/%'", "rel_path like 'lib/.git/%'", "rel_path = 'src'", "size is null", "size <> 3", "rel_path like 'src/%' and rel_path like 'src/app/s%' and size > 0", "extension in ('.py', null)", "size > 5 or ignored",
+]
+
+
+@pytest.mark.parametrize("prune", [True, False])
+def test_conditions_act_while_walking(spark, repo, prune):
+    every = repository._rows(spark, str(repo), prune)
+    known = spark.createDataFrame(every.collect(), every.schema).cache()
+    for condition in CONDITIONS:
+        assert rows_of(every.where(condition)) == rows_of(known.where(condition)), condition
+
+
+def test_a_prefix_opens_no_other_folder(repo, monkeypatch):
+    opened, asked = [], []
+    scandir, stat = os.scandir, os.stat
+    monkeypatch.setattr(os, "scandir", lambda path=".": (opened.append(os.path.relpath(path, repo)), scandir(path))[1])
+    reader = repository._Reader(str(repo), True, 4)
+    left = list(reader.pushFilters([repository.StringStartsWith(("rel_path",), "src/app/sh"), repository.EqualTo(("extension",), ".py"), repository.EqualTo(("a", "b"), 1)]))
+    assert len(left) == 1
+    monkeypatch.setattr(os, "stat", lambda path, **kw: (asked.append(os.path.relpath(path, repo)), stat(path, **kw))[1])
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[1] for r in rows] == ["src/app/shapes.py"] and set(opened) == {"src/app"}
+    assert "src/app/__init__.py" not in asked
+
+
+def test_plan_of_pushed_conditions(spark, repo):
+    plan = repository.listing(spark, str(repo)).where("extension = '.py' and size > 10 and rel_path like 'src/%'")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan repository" in plan and not re.search(r"\bFilter \(", plan), plan  # the lister has taken all of it over
+
+
 def test_lister_of_no_files(spark, tmp_path):
     assert repository.listing(spark, str(tmp_path)).count() == repository.folders(spark, str(tmp_path)).count() == 0
     assert repository.listing(spark, str(tmp_path / "absent")).count() == 0
