@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions import tables
 from codeloom.functions import text as T
 from codeloom.operators import batching, embed
 from codeloom.plans import build, search, store
 from codeloom.plans import contract as C
 from codeloom.sources import repository
+from codeloom.streaming import files
 
 #: What the client of embed_ladder takes in one call, in characters, and what it refuses in any text.
 MOST_CHARS = 15_000
@@ -168,6 +170,37 @@ LISTING_SQL = """
         FROM documents WHERE lang = 'en' AND doc_id % 4 <> 3) WHERE strlen(content) > 1000"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered)}
+#: Batches that the events of change_stream come in.
+PARTS = 3
 
-ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL}
+
+def change_stream(spark, sf_dir):
+    """All events as events of files, through a stream in several batches in which many come after newer ones: how each file
+    differs at the end from a listing of what was first seen of some."""
+    folder = C._shared_folder(spark)
+    rows = C._table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 5).cast("string"), F.lit(".py")).alias("rel_path"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).cast("double").alias("mtime"), F.floor(F.col("value")).cast("long").alias("size"),
+        F.col("ts").cast("timestamp").alias("event_time"), (F.col("event_type") == "error").alias("deleted"), F.col("event_id").alias("seq"),
+    )
+    first = rows.groupBy("rel_path").agg(F.min_by(F.struct("mtime", "size", "seq"), F.struct("event_time", "seq")).alias("r")).where("r.seq % 2 = 0")
+    previous = tables.materialize(first.select("rel_path", "r.mtime", "r.size"), "previous")
+    for part in range(PARTS):  # each is a batch; events of all times are in all of them
+        rows.where(F.col("seq") % PARTS == part).write.mode("append").json(f"{folder}/events")
+    schema = f"{files.EVENTS}, seq long"
+    each = -(-len(spark.read.schema(schema).json(f"{folder}/events").inputFiles()) // PARTS)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, each)).json(f"{folder}/events")
+    files.kept(files.tracked(stream, previous, late="100000 days"), f"{folder}/checkpoint", f"{folder}/changes").awaitTermination()
+    return files.latest_changes(spark, f"{folder}/changes").select("rel_path", F.col("n").alias("n_events"), "change", "mtime", "size")
+
+
+STREAM_SQL = """
+    WITH e AS (SELECT 'u' || user_id || '/' || (event_id % 5) || '.py' AS rel_path, floor(epoch_us(ts) / 60000000)::DOUBLE AS mtime, floor(value)::BIGINT AS size, event_type = 'error' AS deleted, ts, event_id FROM events),
+    p AS (SELECT rel_path, arg_max(mtime, (ts, event_id)) AS mtime, arg_max(size, (ts, event_id)) AS size, arg_max(deleted, (ts, event_id)) AS deleted, count(*) AS n,
+        arg_min(event_id, (ts, event_id)) % 2 = 0 AS known, arg_min(mtime, (ts, event_id)) AS was, arg_min(size, (ts, event_id)) AS had FROM e GROUP BY rel_path)
+    SELECT rel_path, n AS n_events, CASE WHEN deleted THEN CASE WHEN known THEN 'deleted' ELSE 'gone' END WHEN NOT known THEN 'new' WHEN mtime = was AND size = had THEN 'unchanged' ELSE 'modified' END AS change,
+        CASE WHEN NOT deleted THEN mtime END AS mtime, CASE WHEN NOT deleted THEN size END AS size FROM p"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream)}
+
+ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL, "change_stream": STREAM_SQL}

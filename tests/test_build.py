@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 import random
@@ -422,6 +423,44 @@ def test_stream_of_file_events(spark, tmp_path):
     assert stream_files.counts(stream_files.events(spark, str(folder))).isStreaming
 
 
+def test_tracked_changes_whatever_the_order(spark, tmp_path):
+    """Late and repeated events, a path that expires and comes back, and a restart between batches."""
+    folder, out, checkpoint = tmp_path / "events", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    folder.mkdir()
+    previous = spark.createDataFrame([("known", 1.0, 10), ("going", 2.0, 20), ("same", 3.0, 30), ("silent", 4.0, 40)], "rel_path string, mtime double, size long")
+    batches = [
+        [("known", 5.0, 11, 3, False), ("brief", 1.0, 1, 1, False), ("brief", None, None, 2, True), ("going", None, None, 5, True), ("same", 9.0, 9, 2, False), (None, 1.0, 1, 1, False)],
+        [("known", 4.0, 12, 1, False), ("going", 2.0, 20, 4, False), ("same", 3.0, 30, 6, False), ("other", 1.0, 1, 40 * 24, False)],
+        [("known", 7.0, 13, 40 * 24 + 2, False), ("other", 2.0, 1, 40 * 24 + 1, False)],
+        [("brief", 8.0, 8, 40 * 24 + 3, False), ("stray", 1.0, 1, 40 * 24 - 20, False)],
+    ]
+
+    def run():
+        stream = spark.readStream.schema(f"{stream_files.EVENTS}, seq long").option("maxFilesPerTrigger", 1).json(str(folder))
+        stream_files.kept(stream_files.tracked(stream, previous, late="1 hour"), checkpoint, out).awaitTermination(240)
+
+    number = 0
+    for i, batch in enumerate(batches):
+        lines = []
+        for path, mtime, size, hour, deleted in batch:
+            number += 1
+            at = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(hours=hour)
+            lines.append(json.dumps({"rel_path": path, "mtime": mtime, "size": size, "event_time": at.isoformat(), "deleted": deleted, "seq": number}))
+        (folder / f"{i}.json").write_text("\n".join(lines))
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+        if i in (1, 3):  # the second run goes on where the first stopped
+            run()
+            rows = spark.read.parquet(out).collect()
+            if i == 1:
+                assert {(r.rel_path, r.n, r.change) for r in stream_files.latest_changes(spark, out).collect()} >= {("known", 2, "modified"), ("going", 2, "deleted"), ("same", 2, "unchanged"), ("other", 1, "new")}
+    assert ("brief", "expired") in {(r.rel_path, r.change) for r in rows}
+    got = {r.rel_path: (r.n, r.change, r.mtime, r.size) for r in stream_files.latest_changes(spark, out).collect()}
+    assert got["known"] == (3, "modified", 7.0, 13) and got["going"][:2] == (2, "deleted") and got["same"] == (2, "unchanged", 3.0, 30) and got["other"] == (2, "new", 2.0, 1)
+    assert "silent" not in got and None not in got
+    assert ("brief", 1, "new") in {(r.rel_path, r.n, r.change) for r in rows if r.mtime == 8.0}  # its state was freed
+    assert "stray" not in got  # later than the watermark allows
+
+
 def client_of(key):
     def client(texts):
         assert key == "secret"
