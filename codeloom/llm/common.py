@@ -3,52 +3,12 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session (tests) may leave it unset; a cluster that does is an error, as a
-    machine-local folder would lose rows there.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = f"{LOCAL_CHECKPOINTS}/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs only the tasks that ran on it, and what was
-    costly (tokenizing, hashing) or drawn from a sample is never computed a second time.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "codeloom-" in folder.getName():
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
+from codeloom.functions.tables import drop_table, materialize, shared_dir, unused  # noqa: F401
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files that no DataFrame needs any more: its cleaner acts when the driver collects garbage."""
@@ -92,17 +52,6 @@ def met(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: in
     return near.select(*far.columns).unionByName(far)
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """These names, lengthened until no column of df has them in any case."""
-    have, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in have:
-            name += "_"
-        have.add(name.lower())
-        out.append(name)
-    return out
-
-
 #: Members of one block of an array whose running values are found block by block.
 ARRAY_BLOCK = 64
 

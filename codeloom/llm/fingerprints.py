@@ -20,8 +20,8 @@ from codeloom.llm import neardup
 from codeloom.llm import shingles as S
 from codeloom.llm.common import shuffle_partitions
 
-#: Bounds that the ids are dealt by are read off a sketch of this relative error.
-ERROR = 0.001
+#: Values of the sample for each bound of a range of ids.
+PER_CUT = 20
 #: Ranges for each shuffle partition.
 RANGES = 3
 
@@ -81,15 +81,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Documents are dealt into ranges of ids, some ranges for each shuffle partition, and sorted; the
     first of each range also goes to the end of the range before, as a guest. Texts move once; the few
-    numbers of a document's groups go the same way and meet it there. All rows of one doc_id are in one range.
+    numbers of a document's groups go the same way and meet it there. All rows of one doc_id are in one range, and so are those without one.
     """
     spark, at = docs.sparkSession, F.coalesce(F.col("doc_id").cast("long"), F.expr(f"-{(1 << 63) - 1}L - 1L")).alias("at")
     groups = similar(docs, where="n_shingles > 0 and not (class_id <=> doc_id and component_id <=> doc_id)")
     all_ = neardup.keyed_texts(docs).withColumn("at", at)
-    ids = docs.select(F.col("doc_id").cast("double").alias("doc_id")).where("doc_id is not null")
     n = shuffle_partitions(spark)
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / (RANGES * n) for i in range(1, RANGES * n)], ERROR / RANGES)})
-    part = _range_of(cuts)
+    part = _range_of(cuts_of(docs.where("doc_id is not null").select(at), RANGES * n))
     none = [F.lit(None).cast("long").alias(c) for c in ("class_id", "component_id")]
     dealt = all_.select("at", "doc_id", "text_key", "text", part.alias("part"), F.lit(False).alias("guest"), *none)
     told = groups.withColumn("at", at).select("at", "doc_id", "text_key", F.lit(None).cast("string").alias("text"), part.alias("part"), F.lit(False).alias("guest"), "class_id", "component_id").distinct()
@@ -108,16 +106,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_rows, OUT)
 
 
-def _range_of(cuts: list[int]) -> Column:
-    """Number of an id's range, from the highest ids on, by halving the cuts."""
+def cuts_of(at: DataFrame, parts: int) -> list[int]:
+    """Bounds that cut the column at into about so many ranges of equal size, from a sample by hash of at most about PER_CUT values for
+    each bound; the error falls as the number of ranges grows."""
+    n = at.count()
+    one_in = max(1, n // (PER_CUT * parts))
+    sample = at.where(F.pmod(F.xxhash64("at"), F.lit(one_in)) == 0).distinct().collect()
+    values = sorted(r["at"] for r in sample)
+    return sorted({values[len(values) * i // parts] for i in range(1, parts)}) if values else []
 
-    def nest(low: int, high: int) -> str:
-        if low == high:
-            return str(len(cuts) - low)
-        mid = (low + high) // 2
-        return f"if(at > {cuts[mid]}L, {nest(mid + 1, high)}, {nest(low, mid)})"
 
-    return F.expr(nest(0, len(cuts)))
+def _range_of(cuts: list[int]) -> Column:
+    """Number of an id's range, from the highest ids on: how many of the sorted cuts are not below it, found by halving."""
+    if not cuts:
+        return F.lit(0)
+    table, steps = f"cast(split('{','.join(map(str, cuts))}', ',') as array<bigint>)", [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    below = f"aggregate(array({', '.join(map(str, steps))}), 0, (k, s) -> if(k + s <= {len(cuts)}, if(element_at({table}, least(k + s, {len(cuts)})) < at, k + s, k), k))"
+    return F.expr(f"{len(cuts)} - {below}")
 
 
 def similar(docs: DataFrame, percent: int = neardup.PERCENT, where: str = "true") -> DataFrame:

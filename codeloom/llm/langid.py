@@ -3,8 +3,9 @@
 A text is its trigrams of lower-cased letters as UTF-8 bytes, hashed to DIMENSIONS; everything else is a space. Naive Bayes over
 trigrams tells the families apart. Within a family, a linear support vector machine for each pair of languages votes;
 the languages of a family that has one need none. Scores of a text are sums over a table of weights, so
-whole texts cost a few numpy passes, slice by slice. The fit takes a bounded sample: about SAMPLE texts for each of at most
-LANGUAGES languages, and is dense only for two languages at a time.
+whole texts cost a few numpy passes, slice by slice. The fit takes a bounded sample, about SAMPLE texts for each language, and runs in
+one task for each family, dense only for two languages at a time. All languages are learned: the driver gets, and sends out, 64 KB for
+each family and for each pair of languages within one.
 """
 
 from __future__ import annotations
@@ -22,9 +23,7 @@ UNKNOWN = "und"
 DIMENSIONS = 1 << 14
 #: Labelled texts of each language that the fit takes (drawn by a hash of doc_id and text; fewer if there are fewer).
 SAMPLE = 400
-#: Most languages that are learned, those with the most labelled texts.
-LANGUAGES = 200
-#: Trigrams of a text that are scored at a time.
+#: Characters of a text whose trigrams are made at a time.
 SLICE = 1 << 19
 #: Families of language codes. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -52,52 +51,76 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text[64:]))
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Hashed trigrams of the text between two spaces, one for each byte."""
-    data = _LETTERS[np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", np.uint8)].astype(np.uint32)
-    code = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
-    return (code[code != 0x202020] * np.uint32(0x9E3779B1)) >> np.uint32(18)
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Hashed trigrams of the text between two spaces, one for each byte, slice by slice."""
+    low, last = text.lower(), b" "
+    for at in range(0, len(low) + 1, SLICE):
+        data = last + low[at : at + SLICE].encode("utf-8", "surrogatepass") + (b" " if at + SLICE > len(low) else b"")
+        last = data[-2:]
+        data = _LETTERS[np.frombuffer(data, np.uint8)].astype(np.uint32)
+        code = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
+        yield (code[code != 0x202020] * np.uint32(0x9E3779B1)) >> np.uint32(18)
+
+
+#: The columns that a family adds to the table of weights: its own, without two languages, and one for each pair.
+COLUMNS = "family string, langs array<string>, one string, two string, bias double, weights binary"
+
+
+def fitted(rows: pa.Table) -> pa.Table:
+    """COLUMNS of one family, from its sampled texts: family, lang, draw (their order), at and times (trigrams)."""
+    rows = rows.sort_by([("lang", "ascending"), ("draw", "ascending")])
+    by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for lang, at, times in zip(rows.column("lang").to_pylist(), rows.column("at"), rows.column("times")):
+        by.setdefault(lang, []).append(tuple(np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in (at, times)))
+    total = np.full(DIMENSIONS, 0.5)
+    for at, times in itertools.chain.from_iterable(by.values()):
+        total[at] += times
+    found = [(None, None, 0.0, np.log(total / total.sum()).astype(np.float32))]
+    for one, two in itertools.combinations(by, 2):
+        share = np.zeros((len(by[one]) + len(by[two]), DIMENSIONS), np.float32)
+        for i, (at, times) in enumerate(by[one] + by[two]):
+            share[i, at] = times / max(1, times.sum())
+        w, b = linear_svm(share, np.where(np.arange(len(share)) < len(by[one]), 1.0, -1.0))
+        found.append((one, two, b, w.astype(np.float32)))
+    ones, twos, bias, tables = zip(*found)
+    return pa.table({"family": [rows.column("family")[0].as_py()] * len(found), "langs": pa.array([list(by)] * len(found), pa.list_(pa.string())), "one": pa.array(ones, pa.string()), "two": pa.array(twos, pa.string()), "bias": pa.array(bias, pa.float64()), "weights": pa.array([w.tobytes() for w in tables], pa.binary())})
+
+
+def counted(text: str) -> np.ndarray:
+    """How often each hashed trigram occurs."""
+    total = np.zeros(DIMENSIONS, np.int64)
+    for grams in trigrams(text):
+        total += np.bincount(grams, minlength=DIMENSIONS)
+    return total
 
 
 class Model:
     """Languages by family and one table of weights: a column for each family, then for each pair."""
 
-    def __init__(self, rows: list[tuple[str, np.ndarray, np.ndarray]]):
-        """rows: language, trigrams and how often each occurs, of every text."""
-        by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for lang, at, times in rows:
-            by.setdefault(lang, []).append((at, times))
-        self.langs = sorted(by)
-        self.families = sorted({family_of(x) for x in self.langs})
-        self.within = {f: [x for x in self.langs if family_of(x) == f] for f in self.families}
-        self.pairs = [p for f in self.families for p in itertools.combinations(self.within[f], 2)]
-        columns = []
-        for f in self.families:
-            total = np.full(DIMENSIONS, 0.5)
-            for lang in self.within[f]:
-                for at, times in by[lang]:
-                    total[at] += times
-            columns.append(np.log(total / total.sum()).astype(np.float32))
-        self.bias = [0.0] * len(self.families)
-        for one, two in self.pairs:
-            share = np.zeros((len(by[one]) + len(by[two]), DIMENSIONS), np.float32)
-            for i, (at, times) in enumerate(by[one] + by[two]):
-                share[i, at] = times / max(1, times.sum())
-            w, b = linear_svm(share, np.where(np.arange(len(share)) < len(by[one]), 1.0, -1.0))
-            columns.append(w)
-            self.bias.append(b)
-        self.weights = np.ascontiguousarray(np.array(columns, np.float32).T) if columns else np.zeros((DIMENSIONS, 0), np.float32)
+    def __init__(self, columns: list[tuple[str, list[str], str | None, str | None, float, bytes]]):
+        """columns: see COLUMNS."""
+        columns = sorted(columns, key=lambda c: (c[2] is not None, c[0], c[2] or "", c[3] or ""))
+        whole = [c for c in columns if c[2] is None]
+        self.families = [c[0] for c in whole]
+        self.within = {c[0]: list(c[1]) for c in whole}
+        self.langs = sorted(x for langs in self.within.values() for x in langs)
+        self.pairs = [(c[2], c[3]) for c in columns[len(whole) :]]
+        self.bias = [c[4] for c in columns]
+        self.weights = np.zeros((DIMENSIONS, len(columns)), np.float32)
+        for i, c in enumerate(columns):
+            self.weights[:, i] = np.frombuffer(c[5], np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
-        grams = trigrams(text)
-        if not len(grams):  # letters that no table of bytes knows
+        times = counted(text)
+        size = int(times.sum())
+        if not size:  # letters that no table of bytes knows
             return UNKNOWN, 0.0
-        total = sum(self.weights[grams[i : i + SLICE]].sum(0, dtype=np.float64) for i in range(0, len(grams), SLICE))
-        scores = total / len(grams) + self.bias
+        held = np.flatnonzero(times)
+        scores = times[held] @ self.weights[held] / size + self.bias
         n = len(self.families)
-        evidence = scores[:n] * min(len(grams), 50)
+        evidence = scores[:n] * min(size, 50)
         best = int(evidence.argmax())
         chance = 1 / np.exp(evidence - evidence[best]).sum()
         langs = self.within[self.families[best]]
@@ -131,26 +154,24 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 12
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, at, n = [], [], []
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-            grams, times = np.unique(trigrams(text.as_py()), return_counts=True)
-            langs.append(lang)
-            at.append(grams.astype(np.int32))
-            n.append(times.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "at", "times"])
+        at, times = [], []
+        for text in batch.column("text"):
+            own = counted(text.as_py())
+            held = np.flatnonzero(own)
+            at.append(held.astype(np.int32))
+            times.append(own[held])
+        families = [family_of(x) for x in batch.column("lang").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(families, pa.string()), batch.column("lang"), batch.column("draw"), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int64()))], names=["family", "lang", "draw", "at", "times"])
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on labelled rows (doc_id, text, lang) of the LANGUAGES most frequent languages: those whose hashed id and text are under a
-    bound set for each language by its count, so about sample of them. What reaches the driver is at most DIMENSIONS numbers for each."""
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not n:
-        return Model([])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40))
-    bound = F.create_map(*[F.lit(v) for lang, count in n.items() for v in (lang, int(min(1.0, sample / count) * (1 << 40)))])
-    rows = labelled.where(draw < bound[F.col("lang")]).select("lang", "text").mapInArrow(_featured, "lang string, at array<int>, times array<int>").collect()
-    return Model([(r["lang"], np.array(r["at"], np.int32), np.array(r["times"], np.int32)) for r in rows])
+    """Fits on labelled rows (doc_id, text, lang), on those of a language whose hashed id and text are under a bound set by its
+    count, so about sample of them. The bounds, one number for each language, go to all tasks, as the model itself does."""
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40)).alias("draw"))
+    bounds = labelled.groupBy("lang").agg((F.least(F.lit(1.0), sample / F.count("*")) * (1 << 40)).cast("long").alias("bound"))
+    drawn = labelled.join(F.broadcast(bounds), "lang").where("draw < bound").select("lang", "text", "draw")
+    features = drawn.mapInArrow(_featured, "family string, lang string, draw long, at array<int>, times array<long>")
+    return Model([tuple(r) for r in features.groupBy("family").applyInArrow(fitted, COLUMNS).collect()])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.common import materialize, unused
+from codeloom.llm.common import HOT_KEYS, materialize, unused
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Lines with keys found in so many documents go.
@@ -187,8 +187,12 @@ class LineIndex:
         merged = materialize(merged.groupBy("key_a", "key_b").agg(F.sum("old").alias("old"), (F.sum("old") + F.sum("more")).alias("refs")), "refs")
         up = F.col("refs") >= self.limit
         crossed = merged.where(up != (F.col("old") >= self.limit)).select("key_a", "key_b", up.alias("up"), _shard(self.shards))
+        rest = merged.where("refs > 0").select("key_a", "key_b", "refs")
+        more = crossed.where("up").groupBy("shard").agg(F.count("*").alias("more")).join(self.filters.select("shard", "n"), "shard", "left")
+        if not more.where(F.col("more") + F.coalesce("n", F.lit(0)) > 2 * SHARD_KEYS).isEmpty():  # a task would fill one filter with all of them
+            return LineIndex(rest, rest, 1, self.limit, self.least)._sharded()
         new = self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(_updated, "shard long, n long, filter binary")
-        out = LineIndex(merged.where("refs > 0").select("key_a", "key_b", "refs"), materialize(new, "filters"), self.shards, self.limit, self.least)
+        out = LineIndex(rest, materialize(new, "filters"), self.shards, self.limit, self.least)
         full = out.filters.where((F.length("filter") == 0) | (F.col("n") > 2 * SHARD_KEYS)).limit(1).count()
         return out._sharded() if full else out
 
@@ -215,7 +219,7 @@ class LineIndex:
     def dedup_by_shard(self, docs: DataFrame, counts: bool = True) -> DataFrame:
         """The same for filters of any size: each line's key goes to its shard's filter, what the filter holds comes back to the text."""
         least, docs = self.least, _plain(docs, counts)
-        one, two, listed = unused(docs, "text_a", "text_b", "gone")
+        one, two, listed, salts = unused(docs, "text_a", "text_b", "gone", "salts")
         named = docs.withColumn(one, F.xxhash64("text")).withColumn(two, F.xxhash64(F.lit(1), "text"))
         lines = named.select(F.col(one).alias("text_a"), F.col(two).alias("text_b"), "text").mapInArrow(lambda it: _listed(least, it), "text_a long, text_b long, key_a long, key_b long")
         sizes = self.refs.groupBy(_shard(self.shards)).agg(F.greatest(F.sum("refs"), F.count("*")).alias("n")).collect()  # one number for each filter
@@ -223,7 +227,14 @@ class LineIndex:
         wrong = self._held(self.refs.where(F.col("refs") < self.limit).select(F.lit(0).cast("long").alias("text_a"), F.lit(0).cast("long").alias("text_b"), "key_a", "key_b"), parts, "key_a")
         held = self._held(lines, parts, "text_a").join(materialize(wrong.select("key_a", "key_b"), "wrong"), ["key_a", "key_b"], "left_anti")
         gone = held.groupBy(F.col("text_a").alias(one), F.col("text_b").alias(two)).agg(F.collect_set(F.struct("key_a", "key_b")).alias(listed))
-        joined = named.join(gone, [one, two], "left").select(*docs.columns, listed)
+        # rows of a text that very many share go to several tasks, and so does what is gone from it; few texts are as common
+        (salt,) = unused(named, "salt")
+        count = named.groupBy(one, two).agg(F.count("*").alias("n"))
+        bound = docs.count() / HOT_KEYS
+        hot = materialize(count.where(F.col("n") > bound).select(one, two, F.ceil(F.col("n") / max(1.0, bound)).cast("long").alias(salts)), "hot")
+        dealt = named.join(F.broadcast(hot), [one, two], "left").withColumn(salt, F.coalesce(F.pmod(F.monotonically_increasing_id(), salts), F.lit(0))).drop(salts)
+        gone = gone.join(F.broadcast(hot), [one, two], "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
+        joined = dealt.join(gone, [one, two, salt], "left").select(*docs.columns, listed)
         return joined.mapInArrow(lambda it: _without_listed(least, listed, counts, it), _schema(docs, counts))
 
     def _held(self, rows: DataFrame, parts: dict[int, int], salt: str) -> DataFrame:

@@ -202,6 +202,19 @@ def test_fingerprints(spark, sf_dir, odd):
     assert fingerprints.fingerprints(odd.where("doc_id = 3")).first()["near_next"] == 1.0
 
 
+def test_ranges_of_ids_are_even_however_many(spark):
+    ids = spark.range(0, 400_000).select((F.col("id") * F.col("id") - 7_000_000_000).alias("at"))
+    cuts = fingerprints.cuts_of(ids, 10_000)
+    assert len(cuts) > 9_000
+    sizes = [r["count"] for r in ids.groupBy(fingerprints._range_of(cuts).alias("r")).count().collect()]
+    assert max(sizes) < 4 * sorted(sizes)[len(sizes) // 2] and sum(sizes) == 400_000
+    some = [-9, -2, 0, 5, 5, 7, 1 << 62, -(1 << 63)]
+    for few in ([], [5], [-2, 5], [-2, 0, 5, 6, 100]):
+        got = {r.at: r.p for r in spark.createDataFrame([(x,) for x in some], "at long").select("at", fingerprints._range_of(few).alias("p")).collect()}
+        assert got == {x: sum(c >= x for c in few) for x in some}
+    assert fingerprints.cuts_of(ids.limit(0), 5) == []
+
+
 def test_pipeline(spark, sf_dir, odd, empty):
     library = tokenizers.Tokenizer.from_file(bpe.default_path())
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

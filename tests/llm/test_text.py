@@ -9,11 +9,13 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zipfile
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import chat, langid, linededup, media, queries, secretscan
 from codeloom.llm.common import before
@@ -110,11 +112,35 @@ def test_languages_of_one_family_and_of_none(spark, odd, empty, monkeypatch):
     for size in (7, langid.SLICE):
         monkeypatch.setattr(langid, "SLICE", size)
         assert one.predict(text)[0] == "fr"
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
-    assert len(langid.learn(df).langs) == 2
     assert {r.lang_pred for r in langid.identify(df.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_all_languages_are_learned(spark):
+    rng = random.Random(4)
+    sound = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 6)))
+    names = [f"l{i}" for i in range(240)] + ["fr", "es", "it", "pt", "en", "de", "nl", "sv", "da", "fr-CA"]
+    words = {name: [sound() for _ in range(40)] for name in names}
+    rows = [(i, " ".join(rng.choices(words[name], k=40)), name) for i, name in enumerate(names * 8)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert len(model.langs) == 250 and len(model.families) == 242 and ("fr", "fr-CA") in model.pairs
+    asked = [(name, " ".join(rng.choices(words[name], k=60))) for name in names]
+    assert sum(model.predict(text)[0] == name for name, text in asked) >= 245
+
+
+def test_a_long_text_takes_bounded_memory(monkeypatch):
+    model = langid.Model([("x", ["x"], None, None, 0.0, np.zeros(langid.DIMENSIONS, np.float32).tobytes())])
+    text = "some words of a long text " * 1_000_000
+    tracemalloc.start()
+    assert model.predict(text) == ("x", 1.0)
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(text)
+    tracemalloc.stop()
+    some = "Ünïted wörds, in 日本語 and ΣΑΣ: " * 50
+    whole = langid.counted(some)
+    for size in (1, 2, 7, 100):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert (langid.counted(some) == whole).all()
+
+
 # line dedup
 
 
@@ -175,6 +201,40 @@ def test_index_is_reversible(spark, sf_dir, monkeypatch):
     assert collections.Counter((r.n_lines, r.n_dropped, r.text) for r in whole.dedup(docs).collect()) == want
 
 
+def test_a_large_insert_fills_shards_in_several_tasks(spark, monkeypatch):
+    """A small index gets many keys at once: no filter is filled with all of them before the keys are dealt anew."""
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 50)
+    first = spark.createDataFrame([(i, "a\nb\nc") for i in range(3)], "doc_id long, text string")
+    lines = "\n".join(f"line {i}" for i in range(2000))
+    second = spark.createDataFrame([(10 + i, lines) for i in range(3)], "doc_id long, text string")
+    index = linededup.LineIndex.of(first, limit=2)
+    assert index.shards == 1
+    filled = []
+    updated = linededup.materialize
+
+    def watched(df, name):
+        out = updated(df, name)
+        if name == "filters":
+            filled.append(out.agg(F.max("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", watched)
+    index = index.insert(second)
+    assert index.shards == 41 and len(filled) == 1 and filled[0] < 200
+    assert {r.text for r in index.dedup(first.union(second)).collect()} == {""}
+    again = index.delete(second)
+    assert {r.text for r in again.dedup(first).collect()} == {""} and again.refs.count() == 3
+
+
+def test_equal_texts_go_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT_KEYS", 8)
+    rows = [(i, "hot line\nown" if i % 2 else f"line {i}\nhot line") for i in range(200)] + [(i, None) for i in range(200, 260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    index = linededup.LineIndex.of(docs)
+    key = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert key(index.dedup_by_shard(docs)) == key(index.dedup(docs))
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys = rng.integers(-(1 << 62), 1 << 62, (5000, 2))
