@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.tables import unused
+
 KEY = ["content_hash", "model", "dimensions"]
 
 
@@ -27,12 +29,13 @@ def hit_counts(looked_up: DataFrame) -> DataFrame:
 def merge(*caches: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Union of caches in which a later one wins."""
     key = key or [c for c in KEY if c in caches[0].columns]
+    turn, row = unused(caches[0], "turn", "row")
     every = None
     for i, cache in enumerate(caches):
-        part = cache.withColumn("__turn", F.lit(i))
+        part = cache.withColumn(turn, F.lit(i))
         every = part if every is None else every.unionByName(part)
     rest = [c for c in caches[0].columns if c not in key]
-    return every.groupBy(*key).agg(F.max_by(F.struct(*rest), "__turn").alias("__row")).select(*key, "__row.*").select(*caches[0].columns)
+    return every.groupBy(*key).agg(F.max_by(F.struct(*rest), turn).alias(row)).select(*key, f"{row}.*").select(*caches[0].columns)
 
 
 def distinct_contents(units: DataFrame) -> DataFrame:
@@ -43,5 +46,6 @@ def distinct_contents(units: DataFrame) -> DataFrame:
 def identity_dedup(units: DataFrame, identity: list[str], *, order: str = "seq") -> DataFrame:
     """The first row of each identity, by order. Nulls are equal. Combines before it shuffles."""
     rest = [c for c in units.columns if c not in identity]
-    first = units.groupBy(*identity).agg(F.min_by(F.struct(*rest), order).alias("__row"))
-    return first.select(*identity, "__row.*").select(*units.columns)
+    (row,) = unused(units, "row")
+    first = units.groupBy(*identity).agg(F.min_by(F.struct(*rest), order).alias(row))
+    return first.select(*identity, f"{row}.*").select(*units.columns)

@@ -33,7 +33,8 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, *, key: str = "
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str = "unit_id", vector: str = "vector", query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """query key, key, d2, score, rank: k nearest of each query, of those vectors that are as long as the queries.
+    """query key, key, d2, score, rank: k nearest of each query, of those vectors that are as long as the queries, which must be of
+    one length.
 
     Queries of at most QUERY_BYTES (checked) go to all tasks, which compare them with a batch of vectors at a time and keep
     k of each. More queries are cut into blocks of that size, vectors into blocks of VECTOR_BYTES, and each pair of
@@ -43,10 +44,11 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str =
     asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(query_vector).alias("v"))
     data = vectors.where(F.col(vector).isNotNull()).select(key, vector)
     schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, d2 double"
-    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n, width, least = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.min(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], schema + ", score double, rank int")
-    asked = asked.where(F.size("v") == width)
+    if least != width:
+        raise ValueError(f"queries of {least} to {width} numbers; ask for those of each length")
     if n * width * 8 <= QUERY_BYTES:
         rows = asked.collect()
         sent = spark.sparkContext.broadcast((pa.array([r["q"] for r in rows], to_arrow_type(queries.schema[query_key].dataType)), np.array([r["v"] for r in rows], np.float64)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
+from codeloom.functions import text as T
 from codeloom.functions import vectors as V
 
 LARGEST, FILES_SHOWN, FOLDERS_SHOWN = 50, 50, 10
@@ -59,7 +60,7 @@ def document(repository: str, timestamp: str, timings: Mapping[str, float], audi
     return {
         "repository": repository, "timestamp": timestamp, "timings": dict(timings),
         "file_processing": {"total": total_files(audit), "counts": rows(file_counts(audit).orderBy("status", "skip_reason")), "extensions": rows(files_by_extension(audit).orderBy("extension")), "processed_files": rows(shown.where("status = 'processed'").select("rel_path", "extension", "size", "n_units").limit(FILES_SHOWN)), "error_files": rows(shown.where("status = 'error'").select("rel_path", "extension", "size", "error", "error_type").limit(FILES_SHOWN)), "errors": rows(errors(audit).orderBy("error_type"))},
-        "code_units": {**rows(totals(units))[0], "by_type": rows(by(units, "unit_type").orderBy("unit_type")), "by_language": rows(by(units, "language").orderBy("language")), "largest_units": rows(largest(units).select("path", "name", "unit_type", "size", "package", "class_name", "content"))},
+        "code_units": {**rows(totals(units))[0], "by_type": rows(by(units, "unit_type").orderBy("unit_type")), "by_language": rows(by(units, "language").orderBy("language")), "largest_units": rows(largest(units).select("path", "name", "unit_type", "size", "package", "class_name", F.substring("content", 1, T.PREVIEW_JSON).alias("content")))},
         "folders": {"counts": rows(folders.groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason")), "skipped": [r["rel_path"] for r in folders.select("rel_path").distinct().orderBy("rel_path").limit(FOLDERS_SHOWN).collect()]},
     }
 

@@ -261,8 +261,8 @@ def catalog_display(spark, sf_dir):
 
 
 def query_history(spark, sf_dir):
-    log = _table(spark, sf_dir, "conversations").where("role = 'user'").select(F.lower("text").alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ts"))
-    return history.latest(history.matching(log, "a"))
+    log = _table(spark, sf_dir, "conversations").where("role = 'user'").select(F.lower("text").alias("query"), F.struct("conv_id", "turn").alias("ts"))
+    return history.latest(history.matching(log, "a")).select("query", "ts.conv_id", "ts.turn")
 
 
 def error_histogram(spark, sf_dir):
@@ -480,8 +480,8 @@ ORACLE_SQL: dict[str, str] = {
     "catalog_latest": f"WITH {REGISTRY_SQL} SELECT repo_name, path_hash, index_name, commit, is_modified FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, path_hash ORDER BY indexed_on DESC, index_name DESC) AS i FROM registry) WHERE i = 1",
     "catalog_display": f"""WITH {REGISTRY_SQL} SELECT repo_name AS name, repo_name || ' (' || path_hash || ')' || (CASE WHEN commit IS NULL THEN '' WHEN is_modified THEN ' @ ' || commit || ' (modified)' ELSE ' @ ' || left(commit, 8) END) AS full_name,
         left(commit, 8) || (CASE WHEN is_modified THEN ' (modified)' ELSE '' END) AS git_version, strftime(indexed_on, '%Y-%m-%dT%H:%M:%S') AS timestamp, index_name FROM registry""",
-    "query_history": f"""SELECT query, max(ts) AS ts FROM (SELECT lower(text) AS query, conv_id * 1000 + turn AS ts FROM conversations WHERE role = 'user')
-        WHERE contains(query, 'a') GROUP BY query ORDER BY ts DESC, query LIMIT {history.KEEP}""",
+    "query_history": f"""SELECT query, ts.conv_id AS conv_id, ts.turn AS turn FROM (SELECT query, max(ts) AS ts FROM (SELECT lower(text) AS query, {{'conv_id': conv_id, 'turn': turn}} AS ts FROM conversations WHERE role = 'user')
+        WHERE contains(query, 'a') GROUP BY query ORDER BY ts DESC, query LIMIT {history.KEEP})""",
     "error_histogram": "SELECT 'Error' || (user_id % 7) AS error_type, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
     "result_rows": f"""SELECT rank, vec_id, left(text, {T.PREVIEW_JSON}) AS content, source, printf('%.2f', round(1 / (1 + d), 6)) AS shown
         FROM (SELECT *, row_number() OVER (ORDER BY d, vec_id)::INT AS rank FROM ({ONE_SQL.replace('vec_id = 0', 'vec_id = 1')}) ORDER BY d, vec_id LIMIT 10) JOIN documents ON doc_id = vec_id""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import tables
 from codeloom.functions import text as T
-from codeloom.operators import batching, embed
+from codeloom.operators import batching, cells, embed, index
 from codeloom.plans import build, search, store
 from codeloom.plans import contract as C
 from codeloom.sources import repository
@@ -201,6 +202,19 @@ STREAM_SQL = """
         CASE WHEN NOT deleted THEN mtime END AS mtime, CASE WHEN NOT deleted THEN size END AS size FROM p"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream)}
+def knn_cells(spark, sf_dir):
+    """The five nearest of every vector whose id is divisible by 100, by way of a written index in cells, and for each of these
+    queries the share of its true neighbours that it found. Cells are learned, so no SQL says the same; tests hold the recall."""
+    vectors, names = C._table(spark, sf_dir, "embeddings"), {"key": "vec_id", "vector": "embedding"}
+    codebook, path = cells.learn(vectors, 5, **names), f"{tables.shared_dir(spark)}/codeloom-cells-{uuid.uuid4().hex}"
+    cells.write_cells(vectors, codebook, path, **names)
+    held = spark.read.schema("vec_id long, embedding array<float>, cell int").parquet(path)
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = tables.materialize(cells.knn_batch(held, codebook, queries, 5, **names), "found")
+    right = cells.recall(found, index.knn_batch(vectors, queries, 5, **names), key="vec_id")
+    return C._hits(found.join(right, "query_id"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream, knn_cells)}
 
 ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL, "change_stream": STREAM_SQL}

@@ -22,7 +22,7 @@ def db():
 QUERIES, ORACLE_SQL = contract.QUERIES | contract_jobs.QUERIES, contract.ORACLE_SQL | contract_jobs.ORACLE_SQL
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query(spark, db, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -35,3 +35,8 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert 0 < entry.entry(spark).count() <= 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_cells_have_the_recall_that_is_wanted(spark):
+    rows = QUERIES["knn_cells"](spark, SF.replace("0.001", "0.1")).select("query_id", "recall").distinct().collect()
+    assert len(rows) == 20 and sum(r.recall for r in rows) / len(rows) >= 0.9

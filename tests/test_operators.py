@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import batching, cache, catalog, embed, history, incremental, index
+from codeloom.operators import batching, cache, catalog, cells, embed, history, incremental, index
 from codeloom import schemas
 
 
@@ -92,6 +92,40 @@ def units(spark, contents):
     return spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "seq long, content string").withColumn("unit_id", F.col("seq")).withColumn("content_hash", T.content_hash("content"))
 
 
+def test_cells_find_what_the_flat_index_finds(spark, tmp_path, monkeypatch):
+    """Recall is as wanted, all vectors are reachable, and a hot cell is dealt to several tasks."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    points = np.concatenate([(centres[rng.integers(30, size=1500)] + 0.3 * rng.normal(size=(1500, 16))), np.tile(rng.normal(size=16), (600, 1))]).astype(np.float32)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(9001, None), (9002, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "unit_id long, vector array<float>").repartition(5)
+    queries = vectors.where("unit_id % 50 = 0 and size(vector) = 16").selectExpr("unit_id as query_id", "vector as query_vector")
+    book = cells.learn(vectors, 10)
+    assert 1 <= book.probes < len(book.centres) == 45
+    held = cells.assigned(vectors, book).cache()
+    assert held.count() == 2100 and held.select("unit_id").distinct().count() == 2100
+    exact = index.knn_batch(vectors, queries, 10)
+    few = cells.knn_batch(held, book, queries, 10)
+    assert cells.recall(few, exact).agg(F.avg("recall")).first()[0] >= 0.9
+    same = lambda df: sorted((r.query_id, r["rank"], r.unit_id, round(r.d2, 6)) for r in df.collect())
+    monkeypatch.setattr(cells, "ROWS", 70)
+    monkeypatch.setattr(cells, "QUERIES", 3)
+    assert same(cells.knn_batch(held, book, queries, 10, probes=len(book.centres))) == same(exact)
+    assert same(cells.knn_batch(held, book, queries, 10)) == same(few)
+    cells.write_cells(vectors, book, str(tmp_path / "cells"))
+    written = spark.read.schema("unit_id long, vector array<float>, cell int").parquet(str(tmp_path / "cells"))
+    one = cells.knn(written, book, points[3].tolist(), 10, probes=2)
+    assert "PartitionFilters: [cell" in one._jdf.queryExecution().executedPlan().toString() and one.orderBy("rank").first()["unit_id"] == 3
+    nothing = cells.learn(vectors.limit(0), 3)
+    assert cells.knn_batch(held, nothing, queries, 3).count() == 0 and cells.assigned(vectors, nothing).count() == 0
+
+
+def test_queries_of_several_lengths_are_an_error(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0])], "unit_id long, vector array<float>")
+    with pytest.raises(ValueError, match="1 to 2"):
+        index.knn_batch(rows, spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "query_id long, query_vector array<float>"))
+
+
 class Client:
     def __init__(self, refuse=(), fail=0):
         self.refuse, self.fail, self.calls = refuse, fail, []
@@ -107,6 +141,12 @@ class Client:
         return [[float(len(t)), 1.0] for t in texts]
 
 
+def test_merged_caches_keep_columns_of_any_name(spark):
+    one = spark.createDataFrame([("a", 1, 2)], "content_hash string, turn int, row int")
+    assert [tuple(r) for r in cache.merge(one, one.withColumn("turn", F.lit(5)), key=["content_hash"]).collect()] == [("a", 5, 2)]
+    assert [tuple(r) for r in cache.identity_dedup(one.unionByName(one), ["content_hash"], order="turn").collect()] == [("a", 1, 2)]
+
+
 def test_only_misses_are_embedded_and_each_content_once(spark):
     rows = units(spark, ["a", "bb", "a", "ccc", "bb"])
     embedder = embed.RemoteEmbedder(Client, "m", 2)
