@@ -16,6 +16,21 @@ BLOCK = 100_000
 PART = 33
 
 
+def _ranged(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """rows, written in ranges of about BLOCK rows by the keys, with their number in their range and the range's number above it."""
+    (tie,) = unused(rows, "tie")
+    plain = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    keys = [*keys, tie]
+    ranged = rows.withColumn(tie, F.xxhash64(*plain)).repartitionByRange(max(1, -(-rows.count() // BLOCK)), *keys).sortWithinPartitions(*keys)
+    return materialize(ranged.withColumn(index, F.monotonically_increasing_id()).drop(tie), "ranges")
+
+
+def _above(blocks: DataFrame, block: str, values: dict[str, str]) -> DataFrame:
+    """block and, under new names, the sums of the values of the blocks before it."""
+    window = Window.partitionBy(F.lit(0)).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select(block, *[F.coalesce(F.sum(c).over(window), F.lit(0)).alias(new) for c, new in values.items()])
+
+
 def positions(rows: DataFrame, order: str, out: str = "pos", then: tuple[str, ...] = ()) -> DataFrame:
     """Adds each row's place, from 0, in the order of a column (and of others within one value); replaces a column of that name.
 
@@ -24,18 +39,25 @@ def positions(rows: DataFrame, order: str, out: str = "pos", then: tuple[str, ..
     apart by a hash of all columns, so only rows that agree in everything must share a range.
     """
     rows = rows.drop(out)
-    tie, index, block, before, n = unused(rows, "tie", "index", "block", "before", "n")
-    plain = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
-    keys = [order, *then, tie]
-    ranged = rows.withColumn(tie, F.xxhash64(*plain)).repartitionByRange(max(1, -(-rows.count() // BLOCK)), *keys).sortWithinPartitions(*keys)
-    written = materialize(ranged.withColumn(index, F.monotonically_increasing_id()).drop(tie), "positions")
-    sizes = written.groupBy(F.shiftright(index, PART).alias(block)).agg(F.count("*").alias(n))
-    above = Window.partitionBy(F.lit(0)).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(block, F.coalesce(F.sum(n).over(above), F.lit(0)).alias(before))
+    index, block, before, n = unused(rows, "index", "block", "before", "n")
+    written = _ranged(rows, [order, *then], index)
+    sizes = _above(written.groupBy(F.shiftright(index, PART).alias(block)).agg(F.count("*").alias(n)), block, {n: before})
     place = F.col(before) + F.col(index).bitwiseAND((1 << PART) - 1)
     return written.withColumn(block, F.shiftright(index, PART)).join(F.broadcast(sizes), block).withColumn(out, place.cast("long")).drop(index, block, before)
 
 
+def running(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each column of whole numbers in sums, under the name given there, its sum over all rows before this one in the order
+    of some columns; in two steps, as positions()."""
+    names = unused(rows, "index", "block", *[f"before_{out}" for out in sums.values()])
+    index, block, before = names[0], names[1], dict(zip(sums, names[2:]))
+    written = _ranged(rows.drop(*sums.values()), order, index).withColumn(block, F.shiftright(index, PART))
+    blocks = _above(written.groupBy(block).agg(*[F.sum(c).alias(c) for c in sums]), block, before)
+    within = Window.partitionBy(block).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+    rows = written.join(F.broadcast(blocks), block)
+    return rows.withColumns({out: (F.col(before[c]) + F.coalesce(F.sum(c).over(within), F.lit(0))).cast("long") for c, out in sums.items()}).drop(index, block, *before.values())
+
+
 def plan(rows: DataFrame, order: str, tokens: str, *, batch: int = BATCH, limit: int = TOKENS_PER_BATCH) -> DataFrame:
     """Adds pos, batch, chunk (within the batch), chunk_tokens and single (texts of this chunk go one by one).
 

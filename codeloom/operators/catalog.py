@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
+from codeloom.functions.tables import materialize
 
 
 def newest_first(catalog: DataFrame) -> DataFrame:
@@ -31,3 +34,26 @@ def latest_by_repository(catalog: DataFrame) -> DataFrame:
     """The newest row of each repository; ties by index name."""
     newest = F.max_by(F.struct(*catalog.columns), F.struct("indexed_on", "index_name"))
     return catalog.groupBy("repo_name", "path_hash").agg(newest.alias("r")).select("r.*")
+
+
+def nearest_indexed(graph: DataFrame, indexed: DataFrame, asked: DataFrame) -> DataFrame:
+    """commit, ancestor, steps: of each asked commit the ancestor with an index to which the fewest steps lead; of several the one
+    indexed last, then the smaller commit. Commits without such an ancestor have no row.
+
+    graph: commit, parent (a merge has several rows). indexed: commit, indexed_on. All asked commits go up the graph together, a step at
+    a time, each until it meets an index; a commit that is reached in two ways goes on once.
+    """
+    newest = materialize(indexed.groupBy(F.col("commit").alias("at")).agg(F.max("indexed_on").alias("indexed_on")), "indexed")
+    edges = graph.where("commit is not null and parent is not null").select(F.col("commit").alias("at"), "parent").distinct()
+    up = asked.where("commit is not null").select("commit", F.col("commit").alias("at")).distinct()
+    seen, found = up, None
+    for steps in itertools.count(1):
+        up = materialize(up.join(edges, "at").select("commit", F.col("parent").alias("at")).distinct().join(seen, ["commit", "at"], "left_anti"), "up")
+        if up.isEmpty():
+            break
+        best = F.min_by(F.col("at"), F.struct(-F.unix_micros(F.col("indexed_on").cast("timestamp")), "at"))
+        met = materialize(up.join(newest, "at").groupBy("commit").agg(best.alias("ancestor")).withColumn("steps", F.lit(steps)), "met")
+        found = met if found is None else found.unionByName(met)
+        seen = materialize(seen.join(met, "commit", "left_anti").unionByName(up.join(met, "commit", "left_anti")), "seen")
+        up = up.join(met, "commit", "left_anti")
+    return found if found is not None else asked.sparkSession.createDataFrame([], f"commit {asked.schema['commit'].dataType.simpleString()}, ancestor {asked.schema['commit'].dataType.simpleString()}, steps int")

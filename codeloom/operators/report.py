@@ -7,7 +7,7 @@ import json
 import string
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
@@ -34,6 +34,30 @@ def largest(units: DataFrame, n: int = LARGEST, *, size: str = "size", order: st
     return units.orderBy(F.col(size).desc(), order).limit(n)
 
 
+def rolled(units: DataFrame, keys: list[str], k: int = 5, *, size: str = "size", order: str = "seq") -> DataFrame:
+    """keys, level, n, size, top, more: for each group, for the groups above it and for all units how many there are, their size, the k
+    largest (order and size, the largest first), and how many more there are.
+
+    level has a bit for each key that is left out, the last key's lowest; such keys are null. The k largest of a group are among the k
+    largest of its parts, so tasks send k rows of each of their groups, and each level is made from the one below.
+    """
+    rows = units.select(*keys, F.col(size).cast("long").alias("own"), F.col(order).alias("at"))
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("own").alias("size"))
+    totals = totals.rollup(*[F.col(c) for c in keys]).agg(F.grouping_id().cast("long").alias("level"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    tops, best = None, rows
+    for kept in range(len(keys), -1, -1):
+        ranked = F.row_number().over(Window.partitionBy(*(keys[:kept] or [F.lit(0)])).orderBy(F.desc("own"), "at"))
+        best = best.withColumn("place", ranked).where(F.col("place") <= k).select(*keys[:kept], *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in keys[kept:]], "own", "at")
+        level = best.withColumn("level", F.lit((1 << (len(keys) - kept)) - 1).cast("long"))
+        tops = level if tops is None else tops.unionByName(level)
+    tops = tops.groupBy("level", *keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("own")).alias("less"), "at"))).alias("top"))
+    tops = tops.select(F.col("level").alias("at_level"), *[F.col(c).alias(f"at_{c}") for c in keys], F.transform("top", lambda x: F.struct(x["at"].alias("at"), (-x["less"]).alias("size"))).alias("top"))
+    same = F.col("level") == F.col("at_level")
+    for c in keys:
+        same &= F.col(c).eqNullSafe(F.col(f"at_{c}"))
+    return totals.join(tops, same).select(*keys, "level", "n", "size", "top", (F.col("n") - F.size("top")).alias("more"))
+
+
 def file_counts(audit: DataFrame) -> DataFrame:
     """status, skip_reason, n."""
     return audit.groupBy("status", "skip_reason").agg(F.count("*").alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import tables
 from codeloom.functions import text as T
-from codeloom.operators import batching, cells, embed, index
+from codeloom.operators import batching, catalog, cells, embed, incremental, index, report
 from codeloom.plans import build, search, store
 from codeloom.plans import contract as C
 from codeloom.sources import repository
@@ -215,6 +215,61 @@ def knn_cells(spark, sf_dir):
     return C._hits(found.join(right, "query_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream, knn_cells)}
+def unit_changes(spark, sf_dir):
+    """Documents as units of two versions: some went, some came, some have another content, some another path."""
+    docs = C._table(spark, sf_dir, "documents")
 
-ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL, "change_stream": STREAM_SQL}
+    def version(old: bool) -> DataFrame:
+        d = F.col("doc_id")
+        place = F.when(d % 7 == 0, d + 1).otherwise(d) if old else d
+        body = F.when(d % 5 == 0, F.concat("text", F.lit("old"))).otherwise(F.col("text")) if old else F.col("text")
+        path = F.concat(F.lit("src/"), "source", F.lit("/"), (place % 40).cast("string"), F.lit(".py"))
+        return docs.where(d % 9 != 0 if old else d % 8 != 0).select(path.alias("path"), F.col("lang").alias("name"), F.lit("file").alias("unit_type"), F.when(d % 4 != 0, F.col("source")).alias("package"), F.lit(None).cast("string").alias("class_name"), T.content_hash(body).alias("content_hash"))
+
+    return incremental.unit_changes(version(False), version(True))
+
+
+UNIT_CHANGES_SQL = """
+    WITH u AS (SELECT 'src/' || source || '/' || ((CASE WHEN v = 0 AND doc_id % 7 = 0 THEN doc_id + 1 ELSE doc_id END) % 40) || '.py' AS path, lang AS name, CASE WHEN doc_id % 4 <> 0 THEN source END AS package,
+        md5(CASE WHEN v = 0 AND doc_id % 5 = 0 THEN text || 'old' ELSE text END) AS h, v FROM documents, range(2) t(v) WHERE (v = 0 AND doc_id % 9 <> 0) OR (v = 1 AND doc_id % 8 <> 0)),
+    b AS (SELECT path, name, package, h, count(*) FILTER (v = 1) AS now, count(*) FILTER (v = 0) AS was FROM u GROUP BY ALL),
+    s AS (SELECT *, least(now, was) AS same, now - least(now, was) AS plus, was - least(now, was) AS minus FROM b),
+    c AS (SELECT *, least(sum(plus) OVER i, sum(minus) OVER i) AS common, coalesce(sum(plus) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pb, coalesce(sum(minus) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mb
+        FROM s WINDOW i AS (PARTITION BY path, name, package), o AS (PARTITION BY path, name, package ORDER BY h)),
+    d AS (SELECT *, greatest(0, least(plus, common - pb)) AS changed, plus - greatest(0, least(plus, common - pb)) AS plus2, minus - greatest(0, least(minus, common - mb)) AS minus2 FROM c),
+    e AS (SELECT *, least(sum(plus2) OVER i, sum(minus2) OVER i) AS common2, coalesce(sum(plus2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pb2, coalesce(sum(minus2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mb2
+        FROM d WINDOW i AS (PARTITION BY h), o AS (PARTITION BY h ORDER BY path NULLS FIRST, name NULLS FIRST, package NULLS FIRST)),
+    f AS (SELECT *, greatest(0, least(plus2, common2 - pb2)) AS moved, greatest(0, least(minus2, common2 - mb2)) AS off FROM e),
+    g AS (SELECT path, name, package, h, unnest([{'change': 'unchanged', 'n': same}, {'change': 'changed', 'n': changed}, {'change': 'moved', 'n': moved}, {'change': 'new', 'n': plus2 - moved}, {'change': 'gone', 'n': minus2 - off}]) AS k FROM f)
+    SELECT path, name, 'file' AS unit_type, package, NULL::VARCHAR AS class_name, h AS content_hash, k.change AS change, k.n::BIGINT AS n FROM g WHERE k.n > 0"""
+
+
+def catalog_ancestor(spark, sf_dir):
+    """All events as commits, each with one or two made-up parents; of each the nearest ancestor that has an index."""
+    events, e = C._table(spark, sf_dir, "events"), F.col("event_id")
+    graph = events.where("event_id > 0").select(e.alias("commit"), F.expr("event_id div 2").alias("parent")).union(events.where("event_id > 0 and event_id % 7 = 0").select(e, F.expr("event_id div 3")))
+    return catalog.nearest_indexed(graph, events.where("event_type = 'signup'").select(e.alias("commit"), F.col("ts").alias("indexed_on")), events.select(e.alias("commit")))
+
+
+ANCESTOR_SQL = """
+    WITH RECURSIVE graph AS (SELECT event_id AS commit, event_id // 2 AS parent FROM events WHERE event_id > 0 UNION SELECT event_id, event_id // 3 FROM events WHERE event_id > 0 AND event_id % 7 = 0),
+    indexed AS (SELECT event_id AS commit, ts FROM events WHERE event_type = 'signup'),
+    up AS (SELECT commit, parent AS node, 1 AS steps FROM graph WHERE parent IN (SELECT event_id FROM events)
+        UNION SELECT up.commit, g.parent, steps + 1 FROM up JOIN graph g ON g.commit = up.node WHERE up.node NOT IN (SELECT commit FROM indexed))
+    SELECT commit, node AS ancestor, steps FROM (SELECT up.commit, node, steps, row_number() OVER (PARTITION BY up.commit ORDER BY steps, ts DESC, node) AS i FROM up JOIN indexed x ON x.commit = node) WHERE i = 1"""
+
+
+def units_rollup(spark, sf_dir):
+    """Documents by language and source, by language, and all: counts, sizes, the five longest and how many more."""
+    found = report.rolled(C._documents(spark, sf_dir), ["lang", "source"], order="doc_id")
+    return found.select("lang", "source", "level", "n", "size", F.array_join(F.transform("top", lambda x: F.concat_ws(":", x["at"].cast("string"), x["size"].cast("string"))), ",").alias("top"), F.col("more").cast("long").alias("more"))
+
+
+ROLLUP_SQL = """
+    SELECT lang, source, grouping(lang, source)::BIGINT AS level, count(*) AS n, sum(length(text))::BIGINT AS size, array_to_string(list(doc_id || ':' || length(text) ORDER BY length(text) DESC, doc_id)[1:5], ',') AS top, greatest(0, count(*) - 5) AS more
+    FROM documents GROUP BY ROLLUP(lang, source)"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream, knn_cells, unit_changes, catalog_ancestor, units_rollup)}
+
+ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL, "change_stream": STREAM_SQL, "unit_changes": UNIT_CHANGES_SQL, "catalog_ancestor": ANCESTOR_SQL, "units_rollup": ROLLUP_SQL}

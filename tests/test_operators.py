@@ -1,3 +1,4 @@
+import collections
 import datetime
 import random
 import threading
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import batching, cache, catalog, cells, embed, history, incremental, index
+from codeloom.operators import batching, cache, catalog, cells, embed, history, incremental, index, report
 from codeloom import schemas
 
 
@@ -126,6 +127,71 @@ def test_queries_of_several_lengths_are_an_error(spark):
         index.knn_batch(rows, spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "query_id long, query_vector array<float>"))
 
 
+def plain_changes(now, was):
+    """The same by lists: what both have, then by identity, then by content."""
+    same = collections.Counter(now) & collections.Counter(was)
+    plus, minus, out = collections.Counter(now) - same, collections.Counter(was) - same, collections.Counter()
+    out.update({(u, "unchanged"): n for u, n in same.items()})
+    order = lambda x: (x is not None, x or "")
+    for by, sort, kind in ((lambda u: u[:-1], lambda u: u[-1], "changed"), (lambda u: u[-1], lambda u: [order(x) for x in u[:-1]], "moved")):
+        for group in {by(u) for u in plus} & {by(u) for u in minus}:
+            sides = [[u for u in sorted((u for u in side if by(u) == group), key=sort) for _ in range(side[u])] for side in (plus, minus)]
+            n = min(map(len, sides))
+            out.update(((u, kind) for u in sides[0][:n]))
+            plus -= collections.Counter(sides[0][:n])
+            minus -= collections.Counter(sides[1][:n])
+    out.update({(u, "new"): n for u, n in plus.items()})
+    out.update({(u, "gone"): n for u, n in minus.items()})
+    return {k: n for k, n in out.items() if n}
+
+
+@pytest.mark.parametrize("block", [9, 100_000])
+def test_unit_changes_by_lists(spark, monkeypatch, block):
+    monkeypatch.setattr(batching, "BLOCK", block)
+    rng = random.Random(7)
+    unit = lambda: (rng.choice("abcdef"), rng.choice(["n", "m"]), "file", rng.choice([None, "p", ""]), None, rng.choice("xyzwv"))
+    schema = "path string, name string, unit_type string, package string, class_name string, content_hash string"
+    now, was = [unit() for _ in range(150)], [unit() for _ in range(130)]
+    now += [("hot", "n", "file", None, None, "x")] * 90 + [("new", "n", "file", None, None, "x")] * 30
+    was += [("hot", "n", "file", None, None, "y")] * 50 + [("old", "n", "file", None, None, "x")] * 70
+    got = incremental.unit_changes(spark.createDataFrame(now, schema).repartition(3), spark.createDataFrame(was, schema).repartition(4)).collect()
+    assert {(tuple(r)[:6], r.change): r.n for r in got} == plain_changes(now, was)
+    assert incremental.unit_changes(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(batching, "BLOCK", 10)
+    rows = [(i % 4, i, i % 3) for i in range(95)]
+    got = batching.running(spark.createDataFrame(rows, "k int, i int, v int").repartition(3), ["k", "i"], {"v": "before"}).collect()
+    total, want = 0, {}
+    for k, i, v in sorted(rows):
+        want[k, i] = total
+        total += v
+    assert {(r.k, r.i): r.before for r in got} == want
+
+
+def test_nearest_indexed_ancestor(spark):
+    edges = [("c", "b"), ("b", "a"), ("m", "c"), ("m", "x"), ("x", "y"), ("y", "a"), ("lone", None), ("loop1", "loop2"), ("loop2", "loop1")]
+    t = lambda day: datetime.datetime(2024, 1, day)
+    indexed = [("a", t(1)), ("x", t(2)), ("c", t(3)), ("c", t(1)), ("m", t(9))]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    asked = frame([(x,) for x in ("m", "c", "x", "a", "lone", "loop1", "none", None, "m")], "commit string")
+    got = catalog.nearest_indexed(frame(edges, "commit string, parent string"), frame(indexed, "commit string, indexed_on timestamp"), asked)
+    assert {r.commit: (r.ancestor, r.steps) for r in got.collect()} == {"m": ("c", 1), "c": ("a", 2), "x": ("a", 2)}
+    assert catalog.nearest_indexed(frame([], "commit string, parent string"), frame(indexed, "commit string, indexed_on timestamp"), asked).count() == 0
+
+
+def test_rolled_up_with_the_largest(spark):
+    rows = [("py", None, 5, 1), ("py", None, 9, 2), ("py", "file", 9, 3), ("xml", "file", 1, 4), (None, "file", 9, 5), ("py", "file", 7, 6), ("py", "file", 7, 7)]
+    df = spark.createDataFrame(rows, "language string, unit_type string, size int, seq int").repartition(3)
+    got = {(r.language, r.unit_type, r.level): (r.n, r["size"], [(x["at"], x["size"]) for x in r.top], r.more) for r in report.rolled(df, ["language", "unit_type"], 2).collect()}
+    assert got == {
+        ("py", None, 0): (2, 14, [(2, 9), (1, 5)], 0), ("py", "file", 0): (3, 23, [(3, 9), (6, 7)], 1), ("xml", "file", 0): (1, 1, [(4, 1)], 0), (None, "file", 0): (1, 9, [(5, 9)], 0),
+        ("py", None, 1): (5, 37, [(2, 9), (3, 9)], 3), ("xml", None, 1): (1, 1, [(4, 1)], 0), (None, None, 1): (1, 9, [(5, 9)], 0), (None, None, 3): (7, 47, [(2, 9), (3, 9)], 5),
+    }
+    assert "WindowGroupLimit" in report.rolled(df, ["language", "unit_type"], 2)._jdf.queryExecution().executedPlan().toString()
+
+
 class Client:
     def __init__(self, refuse=(), fail=0):
         self.refuse, self.fail, self.calls = refuse, fail, []
