@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import paths as P
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
+from codeloom.operators.metrics import Seen
 
 LARGEST, FILES_SHOWN, FOLDERS_SHOWN = 50, 50, 10
 
@@ -76,15 +77,18 @@ def files_by_extension(audit: DataFrame) -> DataFrame:
     return audit.groupBy("extension").agg(F.count("*").alias("n"))
 
 
-def document(repository: str, timestamp: str, timings: Mapping[str, float], audit: DataFrame, folders: DataFrame, units: DataFrame) -> dict:
-    """The report as nested lists and maps: aggregates, and lists that end at their limits."""
+def document(repository: str, timestamp: str, timings: Mapping[str, float], audit: DataFrame, folders: DataFrame, units: DataFrame, seen: Seen | None = None) -> dict:
+    """The report as nested lists and maps: aggregates, and lists that end at their limits. seen: counts that were taken when audit and
+    units were written, which then need no job."""
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     units = sized(units)
     shown = audit.orderBy("rel_path")
+    total, states = (seen["files"]["total"], seen.file_counts()) if seen else (total_files(audit), rows(file_counts(audit).orderBy("status", "skip_reason")))
+    whole, kinds = ({"n": seen["units"]["n"], "size": seen["units"]["size"]}, seen.unit_counts()) if seen else (rows(totals(units))[0], rows(by(units, "unit_type").orderBy("unit_type")))
     return {
         "repository": repository, "timestamp": timestamp, "timings": dict(timings),
-        "file_processing": {"total": total_files(audit), "counts": rows(file_counts(audit).orderBy("status", "skip_reason")), "extensions": rows(files_by_extension(audit).orderBy("extension")), "processed_files": rows(shown.where("status = 'processed'").select("rel_path", "extension", "size", "n_units").limit(FILES_SHOWN)), "error_files": rows(shown.where("status = 'error'").select("rel_path", "extension", "size", "error", "error_type").limit(FILES_SHOWN)), "errors": rows(errors(audit).orderBy("error_type"))},
-        "code_units": {**rows(totals(units))[0], "by_type": rows(by(units, "unit_type").orderBy("unit_type")), "by_language": rows(by(units, "language").orderBy("language")), "largest_units": rows(largest(units).select("path", "name", "unit_type", "size", "package", "class_name", F.substring("content", 1, T.PREVIEW_JSON).alias("content")))},
+        "file_processing": {"total": total, "counts": states, "extensions": rows(files_by_extension(audit).orderBy("extension")), "processed_files": rows(shown.where("status = 'processed'").select("rel_path", "extension", "size", "n_units").limit(FILES_SHOWN)), "error_files": rows(shown.where("status = 'error'").select("rel_path", "extension", "size", "error", "error_type").limit(FILES_SHOWN)), "errors": rows(errors(audit).orderBy("error_type"))},
+        "code_units": {**whole, "by_type": kinds, "by_language": rows(by(units, "language").orderBy("language")), "largest_units": rows(largest(units).select("path", "name", "unit_type", "size", "package", "class_name", F.substring("content", 1, T.PREVIEW_JSON).alias("content")))},
         "folders": {"counts": rows(folders.groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason")), "skipped": [r["rel_path"] for r in folders.select("rel_path").distinct().orderBy("rel_path").limit(FOLDERS_SHOWN).collect()]},
     }
 

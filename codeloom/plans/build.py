@@ -21,7 +21,7 @@ from codeloom import schemas
 from codeloom.functions import paths as P
 from codeloom.operators import cache as C
 from codeloom.operators import catalog as K
-from codeloom.operators import embed, incremental, index, report, units
+from codeloom.operators import embed, incremental, index, metrics, report, units
 from codeloom.plans.store import Store, added
 from codeloom.sources import git, repository
 
@@ -52,6 +52,15 @@ def summary(spark: SparkSession, root: str, *, erlang_too: bool = False) -> dict
     return out
 
 
+def _base(versions: DataFrame, root: str) -> list:
+    """The version that an incremental build goes on from: of the checked-out commit or the nearest ancestor that has one, the
+    newest; without such a version the newest of all. One row, or none."""
+    rows = K.newest_first(versions).collect()  # of one repository
+    behind = {c: git.behind(root, c) for c in {r["commit"] for r in rows} if c}
+    near = [r for r in rows if behind.get(r["commit"]) is not None]
+    return sorted(near, key=lambda r: behind[r["commit"]])[:1] or rows[:1]
+
+
 def build_index(spark: SparkSession, root: str, store: str, embedder: embed.Embedder | None = None, *, incremental_build: bool = False, erlang_too: bool = False, with_report: bool = True) -> Built:
     """Builds a version of the index of a repository. An incremental build parses only files that are new
     or changed since the newest version of the repository; its result equals that of a full build."""
@@ -71,7 +80,7 @@ def build_index(spark: SparkSession, root: str, store: str, embedder: embed.Embe
     files = repository.files(listed).withColumn("skip_reason", repository.skip_reason("extension", "ignored"))
     eligible = files.where("skip_reason is null")
     file_meta = written(eligible.select("rel_path", "mtime", "size"), "file_meta")
-    previous = K.newest_first(place.catalog().where((F.col("repo_name") == name["name"]) & (F.col("path_hash") == name["hash"]) & (F.col("model") == embedder.model) & (F.col("dimensions") == embedder.dimensions))).limit(1).collect() if incremental_build else []
+    previous = _base(place.catalog().where((F.col("repo_name") == name["name"]) & (F.col("path_hash") == name["hash"]) & (F.col("model") == embedder.model) & (F.col("dimensions") == embedder.dimensions)), root) if incremental_build else []
     fresh = eligible
     if previous:
         old = spark.read.parquet(f"{previous[0]['location']}/parsed")
@@ -81,8 +90,9 @@ def build_index(spark: SparkSession, root: str, store: str, embedder: embed.Embe
     if previous:
         parsed = incremental.merged_units(old, changed, parsed.select(*old.columns), unit_key="rel_path")
     parsed = written(parsed, "parsed")
-    own = written(units.numbered(parsed), "units")
-    audit = written(units.audit(files, parsed), "audit")
+    seen = metrics.Seen()
+    own = written(seen.units(units.numbered(parsed)), "units")
+    audit = written(seen.files(units.audit(files, parsed)), "audit")
     began["parsed"] = time.time()
 
     # what is cached now stays as it is here, whatever other builds add or merge meanwhile
@@ -116,7 +126,7 @@ def build_index(spark: SparkSession, root: str, store: str, embedder: embed.Embe
     if with_report:
         names = list(began)
         timings = {b: began[b] - began[a] for a, b in zip(names, names[1:])} | {"total": time.time() - began["start"]}
-        out.report = report.document(root, datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S"), timings, audit, repository.pruned(listed), own)
+        out.report = report.document(root, datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S"), timings, audit, repository.pruned(listed), own, seen)
         for suffix, body in (("json", report.as_json(out.report)), ("html", report.as_html(out.report))):
             spark.createDataFrame([(body,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{location}/report_{suffix}")
     return out

@@ -270,6 +270,39 @@ ROLLUP_SQL = """
     FROM documents GROUP BY ROLLUP(lang, source)"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream, knn_cells, unit_changes, catalog_ancestor, units_rollup)}
-
-ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL, "change_stream": STREAM_SQL, "unit_changes": UNIT_CHANGES_SQL, "catalog_ancestor": ANCESTOR_SQL, "units_rollup": ROLLUP_SQL}
+def report_document(spark, sf_dir):
+    """The counts and the lists of a build's report, a row for each: of files by state, folders that weren't entered, units by kind and
+    language, and the files listed first."""
+    folder = C._shared_folder(spark)
+    root = f"{folder}/repo"
+    os.makedirs(root, exist_ok=True)
+    put = lambda rows: rows.mapInPandas(lambda it: _put(root, it), "n long").agg(F.sum("n")).collect()
+    put(spark.createDataFrame([(".gitignore", bytearray(b"build/\n*.xml.bak\n"))], "rel_path string, content binary"))
+    put(_repository(C._table(spark, sf_dir, "documents"), 1))
+    out = build.build_index(spark, root, f"{folder}/store", embed.HashingEmbedder(C.DIMENSIONS)).report
+    files, code, folders = out["file_processing"], out["code_units"], out["folders"]
+    rows = [("files", "total", files["total"], None)] + [("state", f"{r['status']} {r['skip_reason'] or ''}".strip(), r["n"], None) for r in files["counts"]]
+    rows += [("extension", r["extension"], r["n"], None) for r in files["extensions"]] + [("processed", r["rel_path"], r["n_units"], r["size"]) for r in files["processed_files"]]
+    rows += [("more", "processed", sum(r["n"] for r in files["counts"] if r["status"] == "processed") - len(files["processed_files"]), None), ("units", "total", code["n"], code["size"])]
+    rows += [("kind", r["unit_type"], r["n"], r["size"]) for r in code["by_type"]] + [("language", r["language"], r["n"], r["size"]) for r in code["by_language"]]
+    rows += [("folder", r["reason"], r["n"], None) for r in folders["counts"]] + [("skipped", path, i, None) for i, path in enumerate(folders["skipped"])]
+    return spark.createDataFrame(rows, "section string, name string, n long, size long")
+
+
+REPORT_SQL = f"""
+    WITH docs AS (SELECT doc_id AS d, doc_id % 4 AS i, coalesce(lang, 'none') AS lang, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g') AS w FROM documents),
+    files AS (SELECT 'src/' || lang || '/U' || d || (CASE WHEN i = 1 THEN '.py' ELSE '.xml' END) AS path, CASE WHEN i = 1 THEN '.py' ELSE '.xml' END AS ext, i, CASE WHEN i = 1 THEN 'def f' || d || '(): return "' || w || '"' || chr(10) ELSE '<a>' || t || '</a>' END AS content FROM docs WHERE i <> 3),
+    units AS (SELECT 'file' AS kind, ext, length(replace(content, chr(13) || chr(10), chr(10))) AS size FROM files UNION ALL SELECT 'function', ext, CASE WHEN length(content) - 1 > {T.UNIT_CUT} THEN {T.UNIT_CUT + len("... [content truncated]")} ELSE length(content) - 1 END FROM files WHERE i = 1),
+    listed AS (SELECT path, 1 + (i = 1)::INT AS n, strlen(content) AS size, row_number() OVER (ORDER BY path) AS k FROM files)
+    SELECT 'files' AS section, 'total' AS name, count(*) + 1 AS n, NULL::BIGINT AS size FROM files
+    UNION ALL SELECT 'state', 'processed', count(*), NULL FROM files UNION ALL SELECT 'state', 'skipped unsupported', 1, NULL
+    UNION ALL SELECT 'extension', ext, count(*), NULL FROM files GROUP BY ext UNION ALL SELECT 'extension', '', 1, NULL
+    UNION ALL SELECT 'processed', path, n, size FROM listed WHERE k <= {report.FILES_SHOWN} UNION ALL SELECT 'more', 'processed', greatest(0, count(*) - {report.FILES_SHOWN}), NULL FROM files
+    UNION ALL SELECT 'units', 'total', count(*), sum(size)::BIGINT FROM units UNION ALL SELECT 'kind', kind, count(*), sum(size)::BIGINT FROM units GROUP BY kind
+    UNION ALL SELECT 'language', ext[2:], count(*), sum(size)::BIGINT FROM units GROUP BY ext
+    UNION ALL SELECT * FROM (VALUES ('folder', 'git', 1, NULL), ('folder', 'ignored', 1, NULL), ('skipped', 'build', 0, NULL), ('skipped', 'lib/.git', 1, NULL))"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream, knn_cells, unit_changes, catalog_ancestor, units_rollup, report_document)}
+
+ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL, "change_stream": STREAM_SQL, "unit_changes": UNIT_CHANGES_SQL, "catalog_ancestor": ANCESTOR_SQL, "units_rollup": ROLLUP_SQL, "report_document": REPORT_SQL}

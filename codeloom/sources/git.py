@@ -15,3 +15,12 @@ def version(root: str) -> tuple[str | None, bool]:
         return run("rev-parse", "HEAD"), bool(run("status", "--porcelain"))
     except (OSError, subprocess.SubprocessError):
         return None, False
+
+
+def behind(root: str, commit: str) -> int | None:
+    """How many commits the checked-out one has beyond this ancestor; None if it isn't one."""
+    run = lambda *args: subprocess.run(["git", "-C", root, *args], capture_output=True, text=True)
+    if run("merge-base", "--is-ancestor", commit, "HEAD").returncode:
+        return None
+    found = run("rev-list", "--count", f"{commit}..HEAD")
+    return int(found.stdout) if found.returncode == 0 else None

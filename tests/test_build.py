@@ -12,7 +12,7 @@ import urllib.request
 import pytest
 
 from codeloom import cli, schemas, server
-from codeloom.operators import embed, report
+from codeloom.operators import embed, metrics, report
 from codeloom.operators import units as U
 from codeloom.plans import build
 from codeloom.plans import search as S
@@ -342,6 +342,53 @@ def test_a_number_is_given_once(spark, tmp_path):
         place.commit(lambda n: (_ for _ in ()).throw(Conflict("changed")))
 
 
+def test_counts_taken_on_the_way_cost_no_job(spark, repo, tmp_path):
+    built = build.build_index(spark, str(repo), str(tmp_path / "store"))
+    dry = build.summary(spark, str(repo))
+    assert {k: v for k, v in built.report.items() if k not in ("timestamp", "timings")} == {k: v for k, v in dry.items() if k not in ("timestamp", "timings")}
+
+    def jobs(work):
+        group = f"jobs-{random.random()}"
+        spark.sparkContext.setJobGroup(group, group)
+        work()
+        spark.sparkContext.setJobGroup("other", "other")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    seen = metrics.Seen()
+    spark.sparkContext.setJobGroup("write", "write")
+    seen.files(built.audit).write.format("noop").mode("overwrite").save()
+    seen.units(built.units).write.format("noop").mode("overwrite").save()
+    assert jobs(lambda: (seen.file_counts(), seen.unit_counts(), seen["files"]["total"])) == 0
+    assert seen.file_counts() == built.report["file_processing"]["counts"] and seen.unit_counts() == built.report["code_units"]["by_type"]
+    folders = spark.createDataFrame([], schemas.FOLDERS)
+    with_counts, without = (jobs(lambda: report.document("r", "t", {}, built.audit, folders, built.units, s)) for s in (seen, None))
+    assert with_counts <= without - 4
+
+
+def test_an_incremental_build_goes_on_from_the_nearest_ancestor(spark, repo, tmp_path):
+    store, run = str(tmp_path / "store"), lambda *args: subprocess.run(["git", "-C", str(repo), "-c", "user.name=n", "-c", "user.email=e@x", *args], check=True, capture_output=True)
+    shutil.rmtree(repo / ".git")
+    run("init", "-q", "-b", "main")
+
+    def committed(name):
+        (repo / f"{name}.py").write_text(f"def {name}(): pass\n")
+        run("add", "-A")
+        run("commit", "-q", "-m", name)
+
+    committed("one")
+    first = build.build_index(spark, str(repo), store, with_report=False)
+    run("checkout", "-q", "-b", "side")
+    committed("side")
+    build.build_index(spark, str(repo), store, with_report=False)
+    run("checkout", "-q", "main")
+    committed("two")
+    chosen = build._base(Store(spark, store).catalog(), str(repo))
+    assert [r["location"] for r in chosen] == [first.location]
+    again = build.build_index(spark, str(repo), store, incremental_build=True, with_report=False)
+    assert rows_of(again.units) == rows_of(build.build_index(spark, str(repo), str(tmp_path / "other"), with_report=False).units)
+    assert git.behind(str(repo), "0" * 40) is None and git.behind(str(repo), "HEAD") == 0
+
+
 def test_empty_repository(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     built = build.build_index(spark, str(tmp_path / "empty"), str(tmp_path / "store"))
