@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions import paths as P
 from codeloom.functions import tables
 from codeloom.functions import text as T
-from codeloom.operators import batching, catalog, cells, embed, incremental, index, report
+from codeloom.functions import vectors as V
+from codeloom.operators import batching, catalog, cells, embed, incremental, index, report, units
 from codeloom.plans import build, search, store
 from codeloom.plans import contract as C
 from codeloom.sources import repository
@@ -303,6 +305,76 @@ REPORT_SQL = f"""
     UNION ALL SELECT * FROM (VALUES ('folder', 'git', 1, NULL), ('folder', 'ignored', 1, NULL), ('skipped', 'build', 0, NULL), ('skipped', 'lib/.git', 1, NULL))"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream, knn_cells, unit_changes, catalog_ancestor, units_rollup, report_document)}
+#: An Erlang file for each document, of which {d} is the id and {w} the text with letters, digits and spaces only.
+ERLANG = '-module(m{d}).\n-export([start/1]).\n\n%% stop(never). {w}\nstart(X) when X > {d} ->\n    io:format("a. b(~p). {w}", [$., X]),\n    stop();\nstart(_) -> {error, "no. {w}"}.\n\n\'Quoted Name\'() ->\n    ok.\n'
 
-ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL, "change_stream": STREAM_SQL, "unit_changes": UNIT_CHANGES_SQL, "catalog_ancestor": ANCESTOR_SQL, "units_rollup": ROLLUP_SQL, "report_document": REPORT_SQL}
+
+def erlang_units(spark, sf_dir):
+    """Units of Erlang files, whose scanner is asked for; without it they are one unit each."""
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", " ")
+    content = F.replace(F.replace(F.lit(ERLANG), F.lit("{d}"), F.col("doc_id").cast("string")), F.lit("{w}"), words)
+    rows = C._table(spark, sf_dir, "documents").select(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".erl")).alias("rel_path"), content.alias("content"))
+    both = [units.parse_texts(rows, erlang_too=asked).withColumn("scanned", F.lit(asked)) for asked in (True, False)]
+    return both[0].unionByName(both[1]).select("scanned", "rel_path", F.col("pos").cast("long").alias("pos"), "unit_type", "name", F.md5("content").alias("content_hash"))
+
+
+def _erlang_sql() -> str:
+    start, quoted = ERLANG.index("start(X)"), ERLANG.index("'Quoted")
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    made = lambda text: f"replace(replace({quote(text)}, '{{d}}', doc_id::VARCHAR), '{{w}}', w)"
+    cut = lambda text: f"CASE WHEN length({made(text)}) > {T.UNIT_CUT} THEN left({made(text)}, {T.UNIT_CUT}) || '... [content truncated]' ELSE {made(text)} END"
+    rows = [("true", 0, "file", "'m' || doc_id || '.erl'", made(ERLANG)), ("true", 1, "function", "'start'", cut(ERLANG[start : quoted - 2])), ("true", 2, "function", quote("'Quoted Name'"), cut(ERLANG[quoted:-1])), ("false", 0, "file", "'m' || doc_id || '.erl'", made(ERLANG))]
+    parts = " UNION ALL ".join(f"SELECT {scanned} AS scanned, 'src/m' || doc_id || '.erl' AS rel_path, {pos}::BIGINT AS pos, '{kind}' AS unit_type, {name} AS name, md5({content}) AS content_hash FROM docs" for scanned, pos, kind, name, content in rows)
+    return f"WITH docs AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g') AS w FROM documents) {parts}"
+
+
+def highlight_languages(spark, sf_dir):
+    """The highlighter's language for the extension of a path of each document, all extensions in turn and some that have none."""
+    every = [*P.HIGHLIGHT, "", "txt", "java.bak", "PY"]
+    name = F.element_at(F.array(*[F.lit(x) for x in every]), (F.col("doc_id") % len(every) + 1).cast("int"))
+    return C._table(spark, sf_dir, "documents").select("doc_id", P.highlight_language(F.concat(F.lit("a.b/c"), F.col("doc_id").cast("string"), F.when(name != "", F.concat(F.lit("."), name)).otherwise(F.lit("")))).alias("language"))
+
+
+HIGHLIGHT_SQL = f"""SELECT doc_id, coalesce(map_extract(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in P.HIGHLIGHT.items())}, 'PY': 'python'}}, x)[1], '') AS language
+    FROM (SELECT doc_id, ([{", ".join(f"'{x}'" for x in (*P.HIGHLIGHT, "", "txt", "java.bak", "PY"))}])[doc_id % {len(P.HIGHLIGHT) + 4} + 1] AS x FROM documents)"""
+
+
+def resized_vectors(spark, sf_dir):
+    """Every vector cut to 48 and filled to 80 numbers, in millionths."""
+    shown = lambda n: F.array_join(F.transform(V.resize("embedding", n), lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string")), ",")
+    return C._table(spark, sf_dir, "embeddings").select("vec_id", shown(48).alias("cut"), shown(80).alias("filled"))
+
+
+RESIZED_SQL = """SELECT vec_id, array_to_string(v[1:48], ',') AS cut, array_to_string(v, ',') || repeat(',0', 16) AS filled
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 1000000)::BIGINT::VARCHAR) AS v FROM embeddings)"""
+
+
+def search_by_name(spark, sf_dir):
+    """The ten units nearest to the first benchmark text in an index that is opened by its name, as a console and a service show them."""
+    folder = C._shared_folder(spark)
+    root, embedder = f"{folder}/repo", embed.HashingEmbedder(C.DIMENSIONS)
+    os.makedirs(root, exist_ok=True)
+    docs = C._table(spark, sf_dir, "documents")
+    rows = docs.select(F.concat(F.lit("src/"), F.coalesce("lang", F.lit("none")), F.lit("/U"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("rel_path"), F.encode(F.concat(F.lit("<a>"), F.coalesce("text", F.lit("")), F.lit("</a>")), "UTF-8").alias("content"))
+    rows.mapInPandas(lambda it: _put(root, it), "n long").agg(F.sum("n")).collect()
+    named = build.build_index(spark, root, f"{folder}/store", embedder, with_report=False).index_name
+    asked = C._questions(spark, sf_dir).orderBy("query_id").limit(1).collect()
+    if not asked:
+        return spark.createDataFrame([], "rank int, line string, path string, content string, language string")
+    found = search.search(spark, f"{folder}/store", asked[0]["query"], 10, named, embedder)
+    shown = search.json_rows(found).select("path", "content", "language")
+    return search.console_lines(found).join(found.select("rank", "path"), "rank").join(shown, "path").select("rank", "line", "path", "content", "language")
+
+
+SEARCH_SQL = f"""
+    WITH files AS (SELECT doc_id AS d, 'src/' || coalesce(lang, 'none') AS folder, '<a>' || replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) || '</a>' AS content FROM documents),
+    own AS (SELECT *, row_number() OVER (ORDER BY folder, folder || '/U' || d || '.xml') - 1 AS id FROM files),
+    asked AS (SELECT -1 AS id, text FROM benchmark ORDER BY item_id LIMIT 1),
+    texts AS ({C._prepared_sql("SELECT id, content AS text FROM own")} UNION ALL SELECT id, text FROM asked), {C.HASHED_SQL}, {C.NEAREST_SQL}
+    SELECT rank, rank || '. ' || folder || '/U' || d || '.xml (score ' || printf('%.2f', 1 / (1 + d2)) || ')' || chr(10) || '   file U' || d || '.xml' || chr(10) || '   package: ' || replace(folder, '/', '.') || chr(10) || (CASE WHEN length(content) > {T.PREVIEW_CONSOLE} THEN left(content, {T.PREVIEW_CONSOLE}) || '...' ELSE content END) AS line,
+        folder || '/U' || d || '.xml' AS path, left(content, {T.PREVIEW_JSON}) AS content, 'xml' AS language FROM nearest JOIN own USING (id) WHERE rank <= 10"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream, knn_cells, unit_changes, catalog_ancestor, units_rollup, report_document, erlang_units, highlight_languages, resized_vectors, search_by_name)}
+
+ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL, "change_stream": STREAM_SQL, "unit_changes": UNIT_CHANGES_SQL, "catalog_ancestor": ANCESTOR_SQL, "units_rollup": ROLLUP_SQL, "report_document": REPORT_SQL, "erlang_units": _erlang_sql(), "highlight_languages": HIGHLIGHT_SQL, "resized_vectors": RESIZED_SQL, "search_by_name": SEARCH_SQL}
