@@ -372,7 +372,7 @@ SEARCH_SQL = f"""
     asked AS (SELECT -1 AS id, text FROM benchmark ORDER BY item_id LIMIT 1),
     texts AS ({C._prepared_sql("SELECT id, content AS text FROM own")} UNION ALL SELECT id, text FROM asked), {C.HASHED_SQL}, {C.NEAREST_SQL}
     SELECT rank, rank || '. ' || folder || '/U' || d || '.xml (score ' || printf('%.2f', 1 / (1 + d2)) || ')' || chr(10) || '   file U' || d || '.xml' || chr(10) || '   package: ' || replace(folder, '/', '.') || chr(10) || (CASE WHEN length(content) > {T.PREVIEW_CONSOLE} THEN left(content, {T.PREVIEW_CONSOLE}) || '...' ELSE content END) AS line,
-        folder || '/U' || d || '.xml' AS path, left(content, {T.PREVIEW_JSON}) AS content, 'xml' AS language FROM nearest JOIN own USING (id) WHERE rank <= 10"""
+        folder || '/U' || d || '.xml' AS path, left(content, {T.PREVIEW_JSON}) AS content, 'xml' AS language FROM (SELECT id, greatest(d2, 0)::DOUBLE AS d2, (row_number() OVER (ORDER BY d2, id))::INT AS rank FROM near) JOIN own USING (id) WHERE rank <= 10"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream, knn_cells, unit_changes, catalog_ancestor, units_rollup, report_document, erlang_units, highlight_languages, resized_vectors, search_by_name)}
