@@ -15,7 +15,7 @@ from codeloom.functions import paths as P
 from codeloom.functions import tables
 from codeloom.functions import text as T
 from codeloom.functions import vectors as V
-from codeloom.operators import batching, catalog, cells, embed, incremental, index, report, units
+from codeloom.operators import batching, catalog, cells, embed, history, incremental, index, report, units
 from codeloom.plans import build, search, store
 from codeloom.plans import contract as C
 from codeloom.sources import repository
@@ -375,6 +375,34 @@ SEARCH_SQL = f"""
         folder || '/U' || d || '.xml' AS path, left(content, {T.PREVIEW_JSON}) AS content, 'xml' AS language FROM (SELECT id, greatest(d2, 0)::DOUBLE AS d2, (row_number() OVER (ORDER BY d2, id))::INT AS rank FROM near) JOIN own USING (id) WHERE rank <= 10"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream, knn_cells, unit_changes, catalog_ancestor, units_rollup, report_document, erlang_units, highlight_languages, resized_vectors, search_by_name)}
+def metadata_scan(spark, sf_dir):
+    """Size of every file of a repository, ignored ones and those of .git too."""
+    root = f"{C._shared_folder(spark)}/repo"
+    os.makedirs(root, exist_ok=True)
+    put = lambda rows: rows.mapInPandas(lambda it: _put(root, it), "n long").agg(F.sum("n")).collect()
+    put(spark.createDataFrame([(".gitignore", bytearray(b"build/\n"))], "rel_path string, content binary"))
+    put(_repository(C._table(spark, sf_dir, "documents"), 1))
+    return repository.metadata(spark, root).select("rel_path", "size")
+
+
+METADATA_SQL = """
+    WITH docs AS (SELECT doc_id AS d, doc_id % 4 AS i, coalesce(lang, 'none') AS lang, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g') AS w FROM documents)
+    SELECT 'src/' || lang || '/U' || d || (CASE WHEN i = 1 THEN '.py' ELSE '.xml' END) AS rel_path, strlen(CASE WHEN i = 1 THEN 'def f' || d || '(): return "' || w || '"' || chr(10) ELSE '<a>' || t || '</a>' END) AS size FROM docs WHERE i <> 3
+    UNION ALL SELECT 'build/' || lang || '/I' || d || '.py', strlen('def ignored' || d || '(): return "' || w || '"' || chr(10)) FROM docs
+    UNION ALL SELECT 'lib/.git/' || lang || '/G' || d || '.py', strlen('def git' || d || '(): return "' || w || '"' || chr(10)) FROM docs UNION ALL SELECT '.gitignore', 7"""
+
+
+def history_record(spark, sf_dir):
+    """The query log of one half of the conversations with those of the other half put in front, each query once."""
+    log = C._table(spark, sf_dir, "conversations").where("role = 'user'")
+    part = lambda odd: log.where(F.col("conv_id").bitwiseAND(1) == odd).select(F.col("text").alias("query"), F.struct(F.lit(odd).alias("new"), "conv_id", "turn").alias("ts"))
+    return history.record(part(0), part(1)).select("query", "ts.new", "ts.conv_id", "ts.turn")
+
+
+HISTORY_SQL = f"""
+    SELECT query, ts.new AS new, ts.conv_id AS conv_id, ts.turn AS turn FROM (SELECT text AS query, max({{'new': (conv_id & 1)::INT, 'conv_id': conv_id, 'turn': turn}}) AS ts FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY text ORDER BY ts DESC, query LIMIT {history.KEEP})"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (embed_ladder, cache_deltas, build_twice, listing_filtered, change_stream, knn_cells, unit_changes, catalog_ancestor, units_rollup, report_document, erlang_units, highlight_languages, resized_vectors, search_by_name, metadata_scan, history_record)}
 
-ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL, "change_stream": STREAM_SQL, "unit_changes": UNIT_CHANGES_SQL, "catalog_ancestor": ANCESTOR_SQL, "units_rollup": ROLLUP_SQL, "report_document": REPORT_SQL, "erlang_units": _erlang_sql(), "highlight_languages": HIGHLIGHT_SQL, "resized_vectors": RESIZED_SQL, "search_by_name": SEARCH_SQL}
+ORACLE_SQL: dict[str, str] = {"embed_ladder": _ladder_sql(), "cache_deltas": CACHE_DELTAS_SQL, "build_twice": BUILD_TWICE_SQL, "listing_filtered": LISTING_SQL, "change_stream": STREAM_SQL, "unit_changes": UNIT_CHANGES_SQL, "catalog_ancestor": ANCESTOR_SQL, "units_rollup": ROLLUP_SQL, "report_document": REPORT_SQL, "erlang_units": _erlang_sql(), "highlight_languages": HIGHLIGHT_SQL, "resized_vectors": RESIZED_SQL, "search_by_name": SEARCH_SQL, "metadata_scan": METADATA_SQL, "history_record": HISTORY_SQL}

@@ -27,7 +27,7 @@ from codeloom.operators import cache as C
 ACTIONS = "action string, kind string, path string, turn long, rows long, at double, info string"
 #: Rows of a delta beside its partition, the bucket: gone is a tombstone.
 DELTA = f"{schemas.CACHE}, gone boolean"
-BUCKETS = 64
+BUCKETS = 16
 #: So many deltas of a size that follow each other are merged; sizes differ by this factor, and the smallest end here.
 FANOUT, SMALL = 4, 10_000
 #: Times that a writer looks for the next number.
