@@ -58,9 +58,9 @@ def test_queries_are_whole_turns(spark):
     last = {}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user' and text is not null").collect():
         if "a" in r.text.lower():
-            last[r.text.lower()] = max(last.get(r.text.lower(), 0), r.conv_id * 1000 + r.turn)
-    want = sorted(last.items(), key=lambda x: (-x[1], x[0]))[:10]
-    assert [(r.query, r.ts) for r in contract.query_history(spark, SF).collect()] == want
+            last[r.text.lower()] = max(last.get(r.text.lower(), (-1, -1)), (r.conv_id, r.turn))
+    want = sorted(last.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))[:10]
+    assert [(r.query, (r.conv_id, r.turn)) for r in contract.query_history(spark, SF).collect()] == want
 
 
 def test_merged_caches_cover_all_documents(spark):
