@@ -158,6 +158,12 @@ class Places:
         """Start, end and number of each trailer of a PDF."""
         return np.array([(m.start(), m.end(), min(int(m[1]), 1 << 62)) for m in _TRAILER.finditer(self.data)], np.int64).reshape(-1, 3)
 
+    @functools.cached_property
+    def by_number(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the trailers in order, and which trailers have them."""
+        order = np.argsort(self.trailers[:, 2], kind="stable")
+        return self.trailers[order, 2], order
+
     @functools.cached_property
     def stops(self) -> np.ndarray:
         """Where a JPEG's scan may end: markers other than stuffed bytes and restarts."""
@@ -281,12 +287,14 @@ def _pdf(data: memoryview, at: int, places: Places) -> int | None:
     first = end = first + 5
     header = places.first(b"%PDF-", first, len(data))
     start, stop, number = places.trailers.T
-    later = (start >= first) & (stop <= len(data))
-    before = np.flatnonzero(later & (stop <= header)) if header >= 0 else np.flatnonzero(later)
-    if len(before):
-        end = int(stop[before[-1]])
+    low, high = np.searchsorted(start, first), np.searchsorted(stop, min(header, len(data)) if header >= 0 else len(data), "right")
+    if high > low:
+        end = int(stop[high - 1])
     if header >= 0:
-        for i in np.flatnonzero(later & (stop > header) & (number >= first - at) & (number < start - at))[::-1].tolist():
+        numbers, order = places.by_number
+        far = np.sort(order[np.searchsorted(numbers, first - at) :])
+        far = far[(start[far] >= first) & (stop[far] <= len(data)) & (stop[far] > header) & (number[far] < start[far] - at)]
+        for i in far[::-1].tolist():
             if _XREF.match(data, at + int(number[i])):
                 return int(stop[i]) - at
     return end - at
