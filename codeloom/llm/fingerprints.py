@@ -25,8 +25,8 @@ PER_CUT = 20
 #: Ranges for each shuffle partition.
 RANGES = 3
 
-KINDS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "class_id": pa.int64(), "component_id": pa.int64()}
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, component_id long"
+KINDS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "class_id": pa.int64(), "component_id": pa.int64(), "near_component": pa.float64()}
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, component_id long, near_component double"
 
 
 def fingerprint(text: str) -> np.ndarray:
@@ -44,36 +44,45 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
+def _shared(text: str) -> int:
+    """How many of the text's shingles come first in its edited text too: those of words that end within what stays."""
+    return max(0, S.count_words(text[: len(text) - len(text) // 3]) - S.WIDTH)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of part, then falling id; what is known of an id's groups comes before its texts, and each part
     ends with a guest, the first of the next."""
     held: tuple | None = None
-    groups: dict[int, tuple[int, int]] = {}
+    groups: dict[int, tuple[int, int, float]] = {}
     near = None
     for batch in batches:
         out: list[list] = [[] for _ in KINDS]
-        columns = [batch.column(c).to_pylist() for c in ("part", "at", "doc_id", "guest", "text_key", "class_id", "component_id")]
-        for part, at, doc_id, guest, key, class_id, component_id, text in zip(*columns, batch.column("text")):
+        columns = [batch.column(c).to_pylist() for c in ("part", "at", "doc_id", "guest", "text_key", "class_id", "component_id", "near_component")]
+        for part, at, doc_id, guest, key, *group, text in zip(*columns, batch.column("text")):
             if near != at:
                 near, groups = at, {}
             if not text.is_valid:
-                groups[key] = class_id, component_id
+                groups[key] = tuple(group)
                 continue
             text = text.as_py()
-            own = fingerprint(text)
+            own = S.shingles(text)
+            shared = 0 if guest else _shared(text)
+            start = S.signature(np.unique(own[:shared])) if shared else None
+            own = S.marks(S.signature(np.unique(own[shared:]), start=start))
             if held and held[0] == part:
-                _, held_id, before, print_, group = held
+                _, held_id, before, print_, group, first, minima = held
                 changed = edited(before, text)
-                new = fingerprint(changed) if changed != before else print_
+                new = S.marks(S.signature(np.unique(S.shingles(changed)[first:]), start=minima)) if changed != before else print_
                 row = (held_id, len(before), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), print_.tobytes().hex(), new.tobytes().hex(), likeness(print_, new), likeness(print_, own), *group)
                 for column, value in zip(out, row):
                     column.append(value)
-            held = None if guest else (part, doc_id, text, own, groups.get(key, (doc_id, doc_id)))
+            held = None if guest else (part, doc_id, text, own, groups.get(key, (doc_id, doc_id, 1.0)), shared, start)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, KINDS.values())], names=list(KINDS))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likenesses; its class and component of similar().
+    """Fingerprints of every document and of its edited text, and their likenesses; its class and component of similar(),
+    and near_component, its set's verified Jaccard similarity to that of the row which stands for the component.
 
     The next document is the one with the next smaller doc_id (after the smallest: the largest; a null is smaller than all;
     among rows with one doc_id: by length, then text); a lone document is its own next. Null is an
@@ -84,13 +93,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     numbers of a document's groups go the same way and meet it there. All rows of one doc_id are in one range, and so are those without one.
     """
     spark, at = docs.sparkSession, F.coalesce(F.col("doc_id").cast("long"), F.expr(f"-{(1 << 63) - 1}L - 1L")).alias("at")
-    groups = similar(docs, where="n_shingles > 0 and not (class_id <=> doc_id and component_id <=> doc_id)")
+    groups = similar(docs, where="n_shingles > 0 and not (class_id <=> doc_id and component_id <=> doc_id and near = 1)").withColumnRenamed("near", "near_component")
     all_ = neardup.keyed_texts(docs).withColumn("at", at)
     n = shuffle_partitions(spark)
     part = _range_of(cuts_of(docs.where("doc_id is not null").select(at), RANGES * n))
-    none = [F.lit(None).cast("long").alias(c) for c in ("class_id", "component_id")]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("class_id", "long"), ("component_id", "long"), ("near_component", "double"))]
     dealt = all_.select("at", "doc_id", "text_key", "text", part.alias("part"), F.lit(False).alias("guest"), *none)
-    told = groups.withColumn("at", at).select("at", "doc_id", "text_key", F.lit(None).cast("string").alias("text"), part.alias("part"), F.lit(False).alias("guest"), "class_id", "component_id").distinct()
+    told = groups.withColumn("at", at).select("at", "doc_id", "text_key", F.lit(None).cast("string").alias("text"), part.alias("part"), F.lit(False).alias("guest"), "class_id", "component_id", "near_component").distinct()
     heads = docs.select(at).withColumn("part", part).groupBy("part").agg(F.max("at").alias("at"))
     heads = {r["part"]: r["at"] for r in heads.collect()}  # one id for each part
     if not heads:
@@ -126,7 +135,8 @@ def _range_of(cuts: list[int]) -> Column:
 
 
 def similar(docs: DataFrame, percent: int = neardup.PERCENT, where: str = "true") -> DataFrame:
-    """doc_id, text_key, n_shingles, class_id of each row (the smallest doc_id with an equal shingle set) and component_id
-    (the smallest reachable over verified links): bands of the signatures joined in Spark, Jaccard verified on full sets.
+    """doc_id, text_key, n_shingles, class_id of each row (the smallest doc_id with an equal shingle set), component_id
+    (the smallest reachable over verified links) and near (the Jaccard similarity to the row that stands for the
+    component): bands of the signatures joined in Spark, Jaccard verified on full sets.
     Only rows that meet the condition come out, as a written table."""
-    return neardup.written_groups(docs, percent, where).drop("kept")
+    return neardup.written_groups(docs, percent, where, measure=True).drop("kept")

@@ -6,9 +6,10 @@ The bands of each class's signature deal it to buckets. First the members of a b
 with one centre, the smallest: signatures sift these pairs, full shingle sets confirm them, and
 large-star and small-star steps join what is linked. A bucket whose members are then one component
 needs nothing more. In the others, the members outside the bucket's main component are held against all its
-members, block by block: an index of the shingles in a block counts all intersections of a document
-at once, and only links that join components come out. So no link that could join two components stays
-unchecked, no pairs are made, and a task holds two blocks of bounded size.
+members, block by block. A block's signatures come first, and texts only for the members that they leave: an index
+of the shingles in a block counts all intersections of a document at once, and only links that join components come
+out. So no link that could join two components stays unchecked, no pairs are made, and a task holds two blocks of
+bounded size.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import shingles as S
-from codeloom.llm.common import drop_table, materialize, release, shuffle_partitions, texts, unused
+from codeloom.llm.common import drop_table, materialize, met, release, shuffle_partitions, texts, unused
 
 #: Most chance that a pair at the threshold shares no band; 32 bands of 4 minima miss 5 in a million at a similarity of 0.75.
 MISSED = 1e-5
@@ -37,6 +38,7 @@ HOT = 0.25
 #: Bits of the mask that holds rows back from a shuffle: 4 MB at most. With more keys than that it holds fewer rows back.
 MASK_BITS = 1 << 24
 
+LIKELY = "bucket long, i int, j int, node long, component long, role int"
 SKETCH = "row long, doc_id long, text_key long, n_shingles long, set_a long, set_b long, marks binary"
 
 
@@ -165,8 +167,9 @@ def masked(rows: DataFrame, wanted: DataFrame, keys: list[str], wanted_keys: lis
     return found.where(F.getbit(bits, F.col(place).bitwiseAND(63).cast("int")) == 1).select(*rows.columns)
 
 
-def linked_classes(sketch: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, component of the classes that have links with other classes. sketch and classes: written tables."""
+def linked_classes(sketch: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT, measure: bool = False) -> DataFrame:
+    """node and top, the class that stands for its component, of the classes that have links with other classes; near,
+    the exact Jaccard similarity to that class, null if not to be measured. sketch and classes: written tables."""
     rows = band_rows(percent)
     own = sketch.select(F.col("row").alias("node"), "marks").join(classes.select("node"), "node", "left_semi")
     dealt = own.mapInArrow(lambda it: _dealt(rows, it), "node long, bucket long")
@@ -184,19 +187,55 @@ def linked_classes(sketch: DataFrame, classes: DataFrame, docs: DataFrame, perce
     joined = connected_components(links)
     components = materialize(joined, "components")
     members = buckets.select("bucket", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    across = materialize(links_across(members, bodies, percent), "links")
-    out = connected_components(links.union(across))
+    across = materialize(links_across(members, marks, bodies, percent), "links")
+    found = connected_components(links.union(across))
+    own = classes.select("node", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "node").alias("own"))
+    named = found.join(own, "node")
+    out = named.join(named.groupBy("component").agg(F.min("own").alias("top")), "component").select("node", "top")
+    if measure:
+        near = materialize(measured(out.select("node", F.col("top.node").alias("keeper")).where("node <> keeper"), bodies), "near")
+        out = out.join(near, "node", "left").select("node", "top", F.coalesce("near", F.lit(1.0)).alias("near"))
+    else:
+        out = out.withColumn("near", F.lit(None).cast("double"))
     for table in (buckets, marks, bodies, links, joined, components, across):  # out reads none of them
         drop_table(table)
     release(docs.sparkSession)
     return out
 
 
-def links_across(members: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
+def measured(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """node, near: the exact Jaccard similarity of classes to their keepers, from pairs node, keeper.
+
+    The text of a keeper goes once to each part of its nodes, BLOCK_ROWS of them, so one with very many is no burden.
+    """
+    sizes = pairs.groupBy("keeper").agg(F.count("*").alias("n"))
+    total = pairs.count()
+    dealt = met(pairs, sizes.withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS)), ["keeper"], "n", total)
+    dealt = dealt.select("keeper", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node").join(bodies, "node")
+    parts = sizes.select("keeper", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK_ROWS) - 1)).alias("part"))
+    keepers = parts.join(bodies.withColumnRenamed("node", "keeper"), "keeper").select("keeper", "part", F.col("text").alias("other"))
+    return dealt.join(keepers, ["keeper", "part"]).select("node", "text", "other").mapInArrow(_measured, "node long, near double")
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, kept = None, None
+    for batch in batches:
+        near = []
+        for text, other in zip(batch.column("text"), batch.column("other")):
+            other = other.as_py()
+            if kept is None or other != last:
+                last, kept = other, S.shingle_set(other)
+            both, union = S.jaccard(S.shingle_set(text.as_py()), kept)
+            near.append(both / union)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(near, pa.float64())], names=["node", "near"])
+
+
+def links_across(members: DataFrame, marks: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: links that join components of members (bucket, node, component) which share a bucket.
 
     Buckets of two are left out: their only pair has been compared. Each row goes to the blocks that it is held against
-    or in; how many blocks a bucket has follows from its members' number and length.
+    or in; how many blocks a bucket has follows from its members' number and length. First only the signatures go there,
+    then the texts of those rows that have a likely partner in a block.
     """
     members = members.join(bodies.select("node", F.octet_length("text").alias("bytes")), "node")
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
@@ -209,8 +248,24 @@ def links_across(members: DataFrame, bodies: DataFrame, percent: int = PERCENT)
     dealt = F.expr("""if(tall = 1 and wide = 1, array(named_struct('i', 0, 'j', 0, 'role', if(outside, 3, 2))),
         concat(transform(sequence(0, tall - 1), x -> named_struct('i', x, 'j', j, 'role', 2)),
                if(outside, transform(sequence(0, wide - 1), x -> named_struct('i', i, 'j', x, 'role', 1)), array())))""")
-    rows = rows.select("bucket", "node", "component", F.explode(dealt).alias("at")).select("bucket", "at.*", "node", "component").join(bodies, "node")
-    return rows.groupBy("bucket", "i", "j").applyInArrow(lambda table: _across(percent, table), "a long, b long")
+    rows = rows.select("bucket", "node", "component", F.explode(dealt).alias("at")).select("bucket", "at.*", "node", "component")
+    likely = rows.join(marks, "node").groupBy("bucket", "i", "j").applyInArrow(lambda table: _likely(percent, table), LIKELY)
+    return likely.join(bodies, "node").groupBy("bucket", "i", "j").applyInArrow(lambda table: _across(percent, table), "a long, b long")
+
+
+def _likely(percent: int, table: pa.Table) -> pa.Table:
+    """Those rows of a block that can have a link with another component by their signatures, in the roles left to them."""
+    of, role, marks = table.column("component").to_numpy(), table.column("role").to_numpy(), _marks(table.column("marks"))
+    inside, least = np.flatnonzero(role & 2), sift(percent) * S.PERMUTATIONS
+    own, left = marks[inside], np.zeros(len(role), role.dtype)
+    for i in np.flatnonzero(role & 1):
+        found = inside[(np.count_nonzero(own == marks[i], axis=1) >= least) & (of[inside] != of[i])]
+        if len(found):
+            left[i] |= 1
+            left[found] |= 2
+    keep = np.flatnonzero(left)
+    out = table.select(["bucket", "i", "j", "node", "component"]).take(pa.array(keep))
+    return out.append_column("role", pa.array(left[keep], pa.int32()))
 
 
 def _across(percent: int, table: pa.Table) -> pa.Table:
@@ -244,21 +299,22 @@ def _across(percent: int, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The groups that near duplicates form: doc_id, text_key, n_shingles, class_id, component_id, kept, one row for each input row.
+def groups(docs: DataFrame, percent: int = PERCENT, measure: bool = False) -> DataFrame:
+    """The groups that near duplicates form: doc_id, text_key, n_shingles, class_id, component_id, kept, near, one row for each input row.
 
     class_id is the smallest doc_id with an equal shingle set, component_id the smallest reachable over links. Each
     row is a document, also if others have its doc_id; a null doc_id counts as the largest, so an id is null only if no
     row that it stands for has one. Of a group the row with that smallest id is kept (of several, the one with the
     smallest text_key), with what repeats it word for word. Rows without shingles (null, empty or
-    white text) are linked with nothing and kept. An empty table has no rows.
+    white text) are linked with nothing and kept. near is the exact Jaccard similarity to the row that stands for the
+    component (1 for a row without links), null if not to be measured. An empty table has no rows.
     """
-    return _grouped(docs, percent)[0]
+    return _grouped(docs, percent, measure)[0]
 
 
-def written_groups(docs: DataFrame, percent: int = PERCENT, where: str = "true") -> DataFrame:
+def written_groups(docs: DataFrame, percent: int = PERCENT, where: str = "true", measure: bool = False) -> DataFrame:
     """The rows of groups() that meet a condition, written once; the tables that they come from are deleted."""
-    rows, tables = _grouped(docs, percent)
+    rows, tables = _grouped(docs, percent, measure)
     out = materialize(rows.where(where), "groups")
     for table in tables:
         drop_table(table)
@@ -266,15 +322,14 @@ def written_groups(docs: DataFrame, percent: int = PERCENT, where: str = "true")
     return out
 
 
-def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+def _grouped(docs: DataFrame, percent: int, measure: bool) -> tuple[DataFrame, list[DataFrame]]:
     sketch = materialize(sketches(docs), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "row"))
     classes = sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(first.alias("first"), F.count("*").alias("n"))
     classes = materialize(classes.select("set_a", "set_b", F.col("first.row").alias("node"), "first.doc_id", "first.text_key", "n"), "classes")
-    linked = linked_classes(sketch, classes, docs, percent)
-    named = linked.join(classes.select("node", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key").alias("own")), "node")
-    named = named.join(named.groupBy("component").agg(F.min("own").alias("top")), "component").select("node", "top")
-    own = classes.join(named, "node", "left").select("set_a", "set_b", "n", F.col("doc_id").alias("class_id"), F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"), F.when(F.col("top").isNull(), F.col("text_key")).otherwise(F.col("top.text_key")).alias("keeper"))
+    linked = linked_classes(sketch, classes, docs, percent, measure)
+    near = F.when(F.col("top").isNull(), F.lit(1.0) if measure else F.lit(None)).otherwise(F.col("near")).alias("near")
+    own = classes.join(linked, "node", "left").select("set_a", "set_b", "n", near, F.col("doc_id").alias("class_id"), F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"), F.when(F.col("top").isNull(), F.col("text_key")).otherwise(F.col("top.text_key")).alias("keeper"))
     own = materialize(own, "classes")
     drop_table(classes)
     rows = sketch.select("doc_id", "text_key", "n_shingles", "set_a", "set_b")
@@ -282,10 +337,10 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
     bound = (own.agg(F.sum("n")).first()[0] or 0) * HOT / shuffle_partitions(docs.sparkSession)
     hot, rest = F.broadcast(own.where(F.col("n") > bound)), own.where(F.col("n") <= bound)
     some = rows.where("n_shingles > 0")
-    met = some.join(hot, ["set_a", "set_b"]).unionByName(some.join(hot.select("set_a", "set_b"), ["set_a", "set_b"], "left_anti").join(rest, ["set_a", "set_b"]))
-    met = met.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keeper")))
-    alone = rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return met.select("doc_id", "text_key", "n_shingles", "class_id", "component_id", "kept").unionByName(alone), [sketch, own]
+    told = some.join(hot, ["set_a", "set_b"]).unionByName(some.join(hot.select("set_a", "set_b"), ["set_a", "set_b"], "left_anti").join(rest, ["set_a", "set_b"]))
+    told = told.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keeper")))
+    alone = rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0 if measure else None).cast("double").alias("near"))
+    return told.select(*alone.columns).unionByName(alone), [sketch, own]
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -78,8 +78,13 @@ def _hashed(data: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[start]) * _power("inverse", len(data))[start] + (end - start).astype(np.uint64))
 
 
-def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
+def count_words(text: str) -> int:
+    inside = ~WHITE[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    return int(np.count_nonzero(inside[1:] & ~inside[:-1])) + int(inside[:1].sum())
+
+
+def shingles(text: str, width: int = WIDTH) -> np.ndarray:
+    """64-bit hashes of the shingles, in the order of the text."""
     words = word_hashes(text)
     n = min(width, len(words))
     if not n:
@@ -88,7 +93,12 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     for i in range(n):
         total *= np.uint64(c)
         total += words[i : len(words) - n + 1 + i]
-    return np.unique(mix(total + np.uint64(n)))
+    return mix(total + np.uint64(n))
+
+
+def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles."""
+    return np.unique(shingles(text, width))
 
 
 def digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -102,15 +112,14 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(1 << 63, size=n, dtype=np.uint64)
 
 
-def signature(shingles: np.ndarray, n: int = PERMUTATIONS) -> np.ndarray:
-    """Minima under n universal hash functions a * x + b; 0 for an empty set."""
-    out = np.zeros(n, np.uint64)
+def signature(shingles: np.ndarray, n: int = PERMUTATIONS, start: np.ndarray | None = None) -> np.ndarray:
+    """Minima under n universal hash functions a * x + b; 0 for an empty set. start: minima of a set that is added."""
     if not len(shingles):
-        return out
+        return np.zeros(n, np.uint64) if start is None else start.copy()
     a, b = permutations(n)
     step = max(1, (1 << 16) // n)
     buffer = np.empty((n, step), np.uint64)
-    out[:] = np.iinfo(np.uint64).max
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64) if start is None else start.copy()
     for i in range(0, len(shingles), step):
         part = shingles[i : i + step]
         here = buffer[:, : len(part)]

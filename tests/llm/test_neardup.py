@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
@@ -133,6 +134,48 @@ def test_groups_whose_members_are_not_all_alike(spark, rows, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()} == plain_components(texts)
 
 
+def test_only_members_with_a_likely_partner_of_another_component_get_their_texts():
+    rng = np.random.default_rng(4)
+    marks = rng.integers(1 << 16, size=(60, S.PERMUTATIONS)).astype("<u2")
+    component = np.arange(60)
+    role = np.where(np.arange(60) < 20, 1, np.where(np.arange(60) < 40, 2, 3)).astype(np.int32)
+    marks[21, :100] = marks[1, :100]  # across
+    marks[22, :40] = marks[2, :40]  # too few agree
+    marks[23], component[23] = marks[3], 3  # one component
+    marks[41, :70] = marks[59, :70]  # both held and asking
+    marks[5, :100] = marks[6, :100]  # both only ask
+    table = pa.table({"bucket": pa.array([7] * 60, pa.int64()), "i": pa.array([0] * 60, pa.int32()), "j": pa.array([1] * 60, pa.int32()), "node": np.arange(60), "component": component, "role": role, "marks": [m.tobytes() for m in marks]})
+    got = neardup._likely(75, table)
+    assert {(r["node"], r["role"]) for r in got.to_pylist()} == {(1, 1), (21, 2), (41, 3), (59, 3)} and got.num_rows == 4
+    assert got.column_names == [c.split()[0] for c in neardup.LIKELY.split(", ")]
+    assert neardup._likely(75, table.slice(0, 20)).num_rows == 0
+
+
+@pytest.mark.parametrize("rows", [2, 1024])
+def test_similarity_to_keepers_in_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows)
+    texts = {i: " ".join(f"w{j if j % 9 else j * i}" for j in range(3 * i, 60 + i)) for i in range(1, 16)}
+    pairs = [(i, 1 if i < 12 else 12) for i in texts if i not in (1, 12)]
+    got = neardup.measured(spark.createDataFrame(pairs, "node long, keeper long"), spark.createDataFrame(list(texts.items()), "node long, text string")).collect()
+    sets = {i: plain_set(t) for i, t in texts.items()}
+    assert sorted((r.node, r.near) for r in got) == [(a, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in sorted(pairs)]
+
+
+def test_signatures_go_on_from_minima_of_a_part():
+    text = " ".join(f"w{i % 70}" for i in range(200))
+    whole = S.shingles(text)
+    for k in (1, 50, 195):
+        start = S.signature(np.unique(whole[:k]))
+        assert (S.signature(np.unique(whole[k:]), start=start) == S.signature(S.shingle_set(text))).all()
+    assert (S.signature(whole[:0], start=start) == start).all()
+    for text in odd_texts():
+        text = text or ""
+        assert S.count_words(text) == len(S.word_hashes(text))
+        for other in ("", "xyz", " and so on", text):
+            k = fingerprints._shared(text)
+            assert (S.shingles(fingerprints.edited(text, other))[:k] == S.shingles(text)[:k]).all()
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(5, 5)]
@@ -187,6 +230,8 @@ def test_fingerprints(spark, sf_dir, odd):
             first.setdefault(frozenset(plain_set(texts[i])) or i, i)
         for r in rows:
             assert (r.component_id, r.class_id) == (groups[r.doc_id][1], first[frozenset(plain_set(texts[r.doc_id])) or r.doc_id])
+            own, keeper = (plain_set(texts[x]) for x in (r.doc_id, r.component_id))
+            assert r.near_component == (len(own & keeper) / len(own | keeper) if own else 1)
             text, after = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % len(order)]]
             n = len(text) // 3
             changed = text[: len(text) - n] + after[:n]
