@@ -92,13 +92,18 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.withColumn("content", cut)
 
 
-def numbered(parsed: DataFrame) -> DataFrame:
-    """Units with seq and unit_id: their place by folder, file and position."""
+def placed(parsed: DataFrame) -> DataFrame:
+    """Rows of units with seq: their place by folder, file and position."""
     folder = F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)
     # U+0001 keeps the units of a folder together, before those of folders whose names go on
     rows = parsed.where("unit_type is not null")
     (at,) = unused(rows, "at")
-    rows = batching.positions(rows.withColumn(at, F.concat(folder, F.lit("\x01"), "rel_path")), at, "seq", ("pos",))
+    return batching.positions(rows.withColumn(at, F.concat(folder, F.lit("\x01"), "rel_path")), at, "seq", ("pos",)).drop(at)
+
+
+def numbered(parsed: DataFrame) -> DataFrame:
+    """Units with seq and unit_id, both their place. parsed is read several times, so it should be a written table."""
+    rows = placed(parsed)
     return rows.select(F.col("seq").alias("unit_id"), "seq", F.col("rel_path").alias("path"), "content", "unit_type", "name", "package", "class_name", T.content_hash("content").alias("content_hash"))
 
 
