@@ -100,7 +100,7 @@ def _repository(docs: DataFrame, version: int) -> DataFrame:
     """rel_path, content (bytes) of the files that are written before a build: of each document by the remainder of its id one
     that stays, one that is changed, one that goes and one that is new, and two that are never indexed."""
     d, lang = F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("none"))
-    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", " ")
+    words = C.words()
     xml = F.concat(F.lit("<a>"), F.coalesce("text", F.lit("")), F.lit("</a>"))
     source = lambda name: F.concat(F.lit(f"def {name}"), d, F.lit('(): return "'), words, F.lit('"\n'))
     at = lambda folder, letter, ext: F.concat(F.lit(folder), lang, F.lit(f"/{letter}"), d, F.lit(ext))
@@ -311,7 +311,7 @@ ERLANG = '-module(m{d}).\n-export([start/1]).\n\n%% stop(never). {w}\nstart(X) w
 
 def erlang_units(spark, sf_dir):
     """Units of Erlang files, whose scanner is asked for; without it they are one unit each."""
-    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", " ")
+    words = C.words()
     content = F.replace(F.replace(F.lit(ERLANG), F.lit("{d}"), F.col("doc_id").cast("string")), F.lit("{w}"), words)
     rows = C._table(spark, sf_dir, "documents").select(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".erl")).alias("rel_path"), content.alias("content"))
     both = [units.parse_texts(rows, erlang_too=asked).withColumn("scanned", F.lit(asked)) for asked in (True, False)]

@@ -31,6 +31,11 @@ def _spent(work, text):
     return time.process_time() - start, found
 
 
+def test_erlang_opaque_text_is_not_read_by_character():
+    spent, found = _spent(erlang.units, f'f(X) -> "{WORDS}".\n%% {WORDS}\ng() -> ok.\n')
+    assert [u[1] for u in found] == ["f", "g"] and spent < 2 * _loop(WORDS)
+
+
 def test_java_opaque_text_is_not_read_by_character():
     body = f'class A {{\n  String s = """\n{WORDS}""";\n  // {WORDS}\n  int n() {{ return 1; }}\n}}\n'
     spent, found = _spent(java.units, body)
