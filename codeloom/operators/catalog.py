@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
-from codeloom.functions.tables import materialize
+from codeloom.functions.tables import drop_table, materialize
 
 
 def newest_first(catalog: DataFrame) -> DataFrame:
@@ -40,9 +40,36 @@ def nearest_indexed(graph: DataFrame, indexed: DataFrame, asked: DataFrame) -> D
     """commit, ancestor, steps: of each asked commit the ancestor with an index to which the fewest steps lead; of several the one
     indexed last, then the smaller commit. Commits without such an ancestor have no row.
 
-    graph: commit, parent (a merge has several rows). indexed: commit, indexed_on. All asked commits go up the graph together, a step at
-    a time, each until it meets an index; a commit that is reached in two ways goes on once.
+    graph: commit, parent (a merge has several rows). indexed: commit, indexed_on. Answers go down the graph, a step at a time: what is
+    nearest to a commit is nearest to one of its parents too, or is that parent. So each commit is answered once, and the edges
+    above it are then left out, however many commits are asked. Only a commit that would be its own ancestor, in a graph with
+    cycles, goes up the graph for itself.
     """
+    known = indexed.where("commit is not null").groupBy(F.col("commit").alias("parent")).agg((-F.unix_micros(F.max("indexed_on").cast("timestamp"))).alias("less"))
+    held = materialize(known.select("parent", F.struct("less", F.col("parent").alias("ancestor")).alias("best")), "indexed")
+    edges = materialize(graph.where("commit is not null and parent is not null").select("commit", "parent").distinct(), "edges")
+    found, last = None, held
+    for steps in itertools.count(1):
+        met = materialize(edges.join(last, "parent").groupBy("commit").agg(F.min("best").alias("best")), "met")
+        if met.isEmpty():
+            break
+        one = met.select("commit", "best.ancestor", F.lit(steps).alias("steps"))
+        found = one if found is None else found.unionByName(one)
+        rest = materialize(edges.join(met, "commit", "left_anti"), "edges")
+        drop_table(edges)
+        edges, last = rest, met.withColumnRenamed("commit", "parent").join(held.select("parent"), "parent", "left_anti")
+    if found is None:
+        return _gone_up(graph, indexed, asked.limit(0))
+    answers = materialize(asked.where("commit is not null").select("commit").distinct().join(found, "commit"), "answers")
+    own = answers.where("commit = ancestor").select("commit")
+    if own.isEmpty():
+        return answers
+    return answers.where("commit <> ancestor").unionByName(_gone_up(graph, indexed, own))
+
+
+def _gone_up(graph: DataFrame, indexed: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same for few commits: all go up the graph together, a step at a time, each until it meets an index other than its own; a
+    commit that is reached in two ways goes on once."""
     newest = materialize(indexed.groupBy(F.col("commit").alias("at")).agg(F.max("indexed_on").alias("indexed_on")), "indexed")
     edges = graph.where("commit is not null and parent is not null").select(F.col("commit").alias("at"), "parent").distinct()
     up = asked.where("commit is not null").select("commit", F.col("commit").alias("at")).distinct()

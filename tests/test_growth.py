@@ -70,3 +70,20 @@ def test_units_are_parsed_once_to_be_numbered(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(units, "parse_texts", counted)
     ids = sorted(r.unit_id for r in C.code_unit_ids(spark, str(tmp_path)).collect())
     assert ids == list(range(len(ids))) and len(ids) > 12 and seen.value == 12
+
+
+def test_ancestors_are_found_once_for_each_commit(spark, monkeypatch):
+    written, write = [], catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: [out := write(df, name), written.append(out.count())][0])
+    graph = spark.createDataFrame([(i, i - 1) for i in range(1, 17)], "commit long, parent long")
+    indexed = spark.range(1).select(F.col("id").alias("commit"), F.current_timestamp().alias("indexed_on"))
+    got = catalog.nearest_indexed(graph, indexed, graph.select("commit"))
+    assert {r.commit: (r.ancestor, r.steps) for r in got.collect()} == {i: (0, i) for i in range(1, 17)}
+    assert sum(written) < 16 * 16
+
+
+def test_no_commit_is_its_own_ancestor(spark):
+    graph = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("s", "s")], "commit string, parent string")
+    indexed = spark.createDataFrame([("a", 2), ("e", 1), ("s", 3)], "commit string, day long").select("commit", F.timestamp_seconds("day").alias("indexed_on"))
+    got = catalog.nearest_indexed(graph, indexed, graph.select("commit"))
+    assert {r.commit: (r.ancestor, r.steps) for r in got.collect()} == {"a": ("e", 4), "b": ("a", 1), "c": ("e", 2), "d": ("e", 1)}
