@@ -1,6 +1,6 @@
 """Embedders and the join of units, cache and embedder.
 
-HashingEmbedder needs no service: it is an expression of Spark functions. A RemoteEmbedder calls a client batch by batch and
+HashingEmbedder needs no service: tasks count words in Arrow batches. A RemoteEmbedder calls a client batch by batch and
 has a ladder for failures: a chunk that is refused is sent again as plain ASCII, then text by text, then
 with letters and numbers only; what still fails is a row with a status and no vector, and isn't cached. A task has a bounded
 number of chunks in flight, waits before it tries again, and gives results in the order of the chunks.
@@ -8,13 +8,16 @@ number of chunks in flight, waits before it tries again, and gives results in th
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import time
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple, Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +40,33 @@ class Embedder(Protocol):
     def embed_query(self, query: str) -> list[float]: ...
 
 
-def bucket(word: Column, dimensions: int) -> Column:
-    """The first seven hexadecimal digits of the word's MD5, modulo the dimensions."""
-    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("long") % dimensions
+_WORD = re.compile(rb"[a-z0-9]+")
+
+
+class Places(dict):
+    """Of each word the place in a vector: the first seven hexadecimal digits of its MD5, modulo the dimensions. Words that come again
+    are looked up; so many are held."""
+
+    MOST = 200_000
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = place = int(hashlib.md5(word).hexdigest()[:7], 16) % self.dimensions
+        return place
+
+
+def counted(text: bytes, places: Places) -> list[float]:
+    """How many words of a text in lower case have each place, scaled to length 1."""
+    counts = [0] * places.dimensions
+    for word, n in Counter(_WORD.findall(text)).items():
+        counts[places[word]] += n
+    length = math.sqrt(sum(n * n for n in counts))
+    return [n / length for n in counts] if length else [0.0] * places.dimensions
 
 
 class HashingEmbedder:
@@ -49,27 +76,23 @@ class HashingEmbedder:
         self.model, self.dimensions = f"hashing-{dimensions}", dimensions
 
     def vectors(self, rows: DataFrame, key: str, text: Column) -> DataFrame:
-        """key, vector of rows with a unique key. Each word is hashed once; what is shuffled is at most one count for each
-        place of a vector."""
-        word = F.explode_outer(F.split(F.lower(text), r"[^a-z0-9]+"))
-        words = rows.select(key, word.alias("w")).select(key, F.when(F.col("w") != "", bucket(F.col("w"), self.dimensions)).alias("i"))
-        counts = words.groupBy(key, "i").agg(F.count("i").cast("double").alias("c"))
-        own = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "c")))).alias("at"))
-        place = lambda i: F.when(F.col("n") > 0, F.coalesce(F.try_element_at("at", i), F.lit(0.0)) / F.col("n")).otherwise(F.lit(0.0)).cast("float")
-        return own.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(self.dimensions - 1).cast("long")), place).alias("vector"))
+        """key, vector of rows with a unique key. Words are counted where their text is: nothing is shuffled."""
+        dimensions = self.dimensions
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = Places(dimensions)
+            for batch in batches:
+                vectors = np.array([counted(text.as_py() or b"", places) for text in batch.column(1)], np.float64).astype(np.float32).reshape(-1)
+                ends = pa.array(np.arange(0, len(vectors) + 1, dimensions, np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(vectors))], names=[key, "vector"])
+
+        return rows.select(key, F.lower(text).cast("binary").alias("text")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<float>")
 
     def embed(self, contents: DataFrame) -> DataFrame:
         return self.vectors(contents, "content_hash", T.prepare("content")).withColumn("status", F.lit(OK))
 
     def embed_query(self, query: str) -> list[float]:
-        import hashlib
-        import math
-
-        counts = [0.0] * self.dimensions
-        for word in filter(None, re.split(r"[^a-z0-9]+", query.lower())):
-            counts[int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % self.dimensions] += 1
-        n = math.sqrt(sum(x * x for x in counts))
-        return [x / n if n else 0.0 for x in counts]
+        return counted(query.lower().encode(), Places(self.dimensions))
 
 
 Client = Callable[[Sequence[str]], list[list[float]]]

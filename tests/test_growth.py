@@ -55,6 +55,21 @@ def test_words_are_ascii_letters_digits_and_spaces(spark):
     assert [r[0] for r in df.select(C.words()).collect()] == [re.sub("[^A-Za-z0-9 ]", " ", text), ""]
 
 
+def test_sanitized_as_by_python(spark):
+    every = "".join(f"a{chr(i)}" for i in [*range(0x100), *range(0x2000, 0x2070), 0xFEFF, 0xAD, 0x600, 0x1F600, 0xE0001])
+    gone = {*range(0x200B, 0x2010), *range(0x202A, 0x202F), 0xFEFF}
+    want = "".join(" " if ord(c) < 32 and c not in "\t\n\r" else c for c in every if ord(c) not in gone)
+    assert spark.createDataFrame([(every,)], "t string").select(T.sanitize("t")).first()[0] == want
+
+
+def test_hashed_words_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(1, "A b, a é2"), (2, None), (3, "..")], "k long, t string")
+    found = embed.HashingEmbedder(8).vectors(rows, "k", F.col("t"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r.vector for r in found.collect()}
+    assert got[2] == got[3] == [0.0] * 8 and np.allclose(got[1], embed.HashingEmbedder(8).embed_query("A b, a é2"))
+
+
 def test_units_are_parsed_once_to_be_numbered(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, f"text {i}", "en", "s") for i in range(12)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     seen, parse = spark.sparkContext.accumulator(0), units.parse_texts
