@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -19,8 +20,9 @@ from codeloom.functions import vectors as V
 
 #: Most bytes of query vectors that go to every task or are in a block, and bytes of a block of vectors.
 QUERY_BYTES, VECTOR_BYTES = 32 << 20, 128 << 20
-#: Distances that a task holds at a time.
-DISTANCES = 1 << 21
+#: Vectors that a task compares at a time, and distances that it holds meanwhile.
+ROWS = 2048
+DISTANCES = 1 << 18
 
 
 def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, *, key: str = "unit_id", vector: str = "vector") -> DataFrame:
@@ -64,7 +66,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, key: str =
             empty = pa.schema([(query_key, own.schema.field("q").type), (key, points.schema.field(key).type), ("d2", pa.float64())])
             if not own.num_rows:
                 return empty.empty_table()
-            these = own.column("q").combine_chunks(), np.array(own.column("v").to_pylist(), np.float64)
+            these = own.column("q").combine_chunks(), pc.list_flatten(own.column("v").combine_chunks()).to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
             near = list(_nearest(these, k, query_key, key, points.select([key, vector]).to_batches()))
             return pa.Table.from_batches(near).cast(empty) if near else empty.empty_table()
 
@@ -77,7 +79,8 @@ def _nearest(asked: tuple[pa.Array, np.ndarray], k: int, query_key: str, key: st
     """k nearest vectors of the partition for each query."""
     ids, queries = asked
     width = queries.shape[1]
-    step = max(1, DISTANCES // len(ids))
+    step = ROWS
+    most = max(1, DISTANCES // step)
     best_d = np.empty((len(ids), 0))
     best_k: np.ndarray | None = None
     kind = None
@@ -92,12 +95,17 @@ def _nearest(asked: tuple[pa.Array, np.ndarray], k: int, query_key: str, key: st
         keys = take.column(0).to_numpy(zero_copy_only=False)
         for at in range(0, len(points), step):
             here = points[at : at + step]
-            d = np.stack([np.square(here - q).sum(axis=1) for q in queries])
-            all_d = np.concatenate([best_d, d], axis=1)
-            new = np.broadcast_to(keys[at : at + step], d.shape)
-            all_k = new if best_k is None else np.concatenate([best_k, new], axis=1)
-            order = np.lexsort((all_k, all_d), axis=1)[:, :k]
-            best_d, best_k = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
+            held = min(k, best_d.shape[1] + len(here))
+            next_d, next_k = np.empty((len(ids), held)), np.empty((len(ids), held), keys.dtype)
+            for first in range(0, len(ids), most):  # so many queries at a time, however many there are
+                own = slice(first, first + most)
+                d = np.stack([np.square(here - q).sum(axis=1) for q in queries[own]])
+                all_d = np.concatenate([best_d[own], d], axis=1)
+                new = np.broadcast_to(keys[at : at + step], d.shape)
+                all_k = new if best_k is None else np.concatenate([best_k[own], new], axis=1)
+                order = np.lexsort((all_k, all_d), axis=1)[:, :k]
+                next_d[own], next_k[own] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
+            best_d, best_k = next_d, next_k
     if best_k is not None:
         n = best_d.shape[1]
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), n))), pa.array(best_k.ravel(), kind), pa.array(best_d.ravel())], names=[query_key, key, "d2"])

@@ -102,3 +102,19 @@ def test_no_commit_is_its_own_ancestor(spark):
     indexed = spark.createDataFrame([("a", 2), ("e", 1), ("s", 3)], "commit string, day long").select("commit", F.timestamp_seconds("day").alias("indexed_on"))
     got = catalog.nearest_indexed(graph, indexed, graph.select("commit"))
     assert {r.commit: (r.ancestor, r.steps) for r in got.collect()} == {"a": ("e", 4), "b": ("a", 1), "c": ("e", 2), "d": ("e", 1)}
+
+
+def test_many_queries_are_compared_in_little_memory():
+    n, width = 20_000, 16
+    numbers = np.random.default_rng(1).random((n + 3000, width)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(numbers[n:]), pa.list_(pa.float32()))], names=["k", "v"])
+    ids, queries = pa.array(np.arange(n)), numbers[:n].astype(np.float64)
+    tracemalloc.start()
+    found = list(index._nearest((ids, queries), 3, "q", "k", iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    got = found[0].to_pydict()
+    for q in (0, 777, n - 1):
+        d = np.square(numbers[n:].astype(np.float64) - queries[q]).sum(axis=1)
+        assert [k for k, own in zip(got["k"], got["q"]) if own == q] == list(np.argsort(d, kind="stable")[:3])
