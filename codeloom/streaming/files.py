@@ -71,17 +71,21 @@ class Tracker(StatefulProcessor):
         self.state.update((0, None, None, None, None, None, True, row["mtime"], row["size"]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, at, seq, mtime, size, deleted, known, known_mtime, known_size = self.state.get() if self.state.exists() else (0, None, None, None, None, None, False, None, None)
+        # each use of the state or of a timer is a call to another process, so none is made in vain
+        n, at, seq, mtime, size, deleted, known, known_mtime, known_size = self.state.get() or (0, None, None, None, None, None, False, None, None)
+        timer = at // 1000 + self.kept if deleted and not known else None
         for row in rows:
             n += 1
             when = round(row["event_time"].timestamp() * 1_000_000)
             if at is None or (when, row["seq"]) > (at, seq):  # else it came late, and a newer one counts
                 at, seq, mtime, size, deleted = when, row["seq"], row["mtime"], row["size"], bool(row["deleted"])
         self.state.update((n, at, seq, mtime, size, deleted, known, known_mtime, known_size))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if deleted and not known:
-            self.handle.registerTimer(at // 1000 + self.kept)
+        due = at // 1000 + self.kept if deleted and not known else None
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
         same = (mtime, size) == (known_mtime, known_size)
         change = ("deleted" if known else "gone") if deleted else "new" if not known else "unchanged" if same else "modified"
         yield Row(rel_path=key[0], n=n, change=change, mtime=None if deleted else mtime, size=None if deleted else size, event_time=_time(at))

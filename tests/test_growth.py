@@ -104,6 +104,33 @@ def test_no_commit_is_its_own_ancestor(spark):
     assert {r.commit: (r.ancestor, r.steps) for r in got.collect()} == {"a": ("e", 4), "b": ("a", 1), "c": ("e", 2), "d": ("e", 1)}
 
 
+class _State:
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "update":
+                self.value = args[0]
+            return {"get": self.value, "exists": self.value is not None, "listTimers": []}.get(name)
+
+        return call
+
+
+def test_a_path_costs_two_calls_for_its_state():
+    import datetime
+
+    from pyspark.sql import Row
+
+    event = lambda day, deleted: Row(rel_path="a", mtime=1.0, size=1, event_time=datetime.datetime(2024, 1, day, tzinfo=datetime.timezone.utc), deleted=deleted, seq=day)
+    tracker = files.Tracker()
+    tracker.handle = tracker.state = both = _State()
+    for rows, change, calls in (([event(2, False), event(1, True)], "new", ["get", "update"]), ([event(3, True)], "gone", ["get", "update", "registerTimer"]), ([event(1, False)], "gone", ["get", "update"]), ([event(4, False)], "new", ["get", "update", "deleteTimer"])):
+        both.calls.clear()
+        assert [r.change for r in tracker.handleInputRows(("a",), iter(rows), None)] == [change] and both.calls == calls
+
+
 def test_many_queries_are_compared_in_little_memory():
     n, width = 20_000, 16
     numbers = np.random.default_rng(1).random((n + 3000, width)).astype(np.float32)
