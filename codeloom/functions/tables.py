@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of one row of bits in a mask, which is for eight times as many numbers, and most bytes of a mask that goes to all tasks.
+MASK_ROW, MASK_BYTES = 4096, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +50,33 @@ def drop_table(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def bucketed(df: DataFrame, path: str, by: str) -> DataFrame:
+    """Write df to a path in as many buckets of a column as there are shuffle partitions and read it back, so that a join by this
+    column moves only the other side. The name in the catalog that this takes is given up at once; the files stay."""
+    spark, name = df.sparkSession, f"spark_catalog.default.codeloom_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at)  # a table's relative path would be one below the warehouse
+    try:
+        df.write.format("parquet").bucketBy(buckets, by).option("path", at.toString()).option("compression", "zstd").saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def chosen(rows: DataFrame, number: str, keys: DataFrame) -> DataFrame:
+    """The rows whose number is one of those in keys (in a column of that name). Wide rows aren't moved for it: keys go to all tasks,
+    a bit for each number, if that is within MASK_BYTES (checked), as it is for numbers that count up from 0."""
+    bucket, bits, place = unused(rows, "bucket", "bits", "place")
+    of = lambda df: df.withColumn(bucket, F.bitmap_bucket_number(number)).withColumn(place, F.bitmap_bit_position(number))
+    mask = materialize(of(keys.select(number)).groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bits)), "mask")
+    if mask.count() * MASK_ROW > MASK_BYTES:
+        return rows.join(keys.select(number).distinct(), number, "left_semi").select(*rows.columns)
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(F.col(place), F.lit(8)))), F.lit(2))
+    return of(rows).join(F.broadcast(mask), bucket).where(bit == 1).select(*rows.columns)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, lengthened until no column of df has them in any case."""
     have, out = {c.lower() for c in df.columns}, []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.tables import unused
+from codeloom.functions.tables import chosen, unused
 
 KEY = ["content_hash", "model", "dimensions"]
 
@@ -17,9 +17,10 @@ def lookup(units: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def misses(units: DataFrame, cache: DataFrame) -> DataFrame:
-    """One content for each hash that isn't cached, the one that comes first."""
-    new = units.join(cache.select("content_hash"), "content_hash", "left_anti")
-    return new.groupBy("content_hash").agg(F.min_by("content", "seq").alias("content"))
+    """One content for each hash that isn't cached, the one that comes first. seq is unique. Hashes alone are joined and grouped;
+    contents stay where they are, so units should be a written table."""
+    new = units.select("content_hash", "seq").join(cache.select("content_hash"), "content_hash", "left_anti")
+    return chosen(units.select("content_hash", "content", "seq"), "seq", new.groupBy("content_hash").agg(F.min("seq").alias("seq"))).drop("seq")
 
 
 def hit_counts(looked_up: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.extract import erlang, java, python
 from codeloom.functions import paths as P
 from codeloom.functions import text as T
-from codeloom.functions.tables import unused
+from codeloom.functions.tables import materialize, unused
 from codeloom.operators import batching
 from codeloom.sources import repository
 
@@ -92,18 +92,44 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.withColumn("content", cut)
 
 
+def _at() -> Column:
+    # U+0001 keeps the units of a folder together, before those of folders whose names go on
+    return F.concat(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1), F.lit("\x01"), "rel_path")
+
+
 def placed(parsed: DataFrame) -> DataFrame:
     """Rows of units with seq: their place by folder, file and position."""
-    folder = F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)
-    # U+0001 keeps the units of a folder together, before those of folders whose names go on
     rows = parsed.where("unit_type is not null")
     (at,) = unused(rows, "at")
-    return batching.positions(rows.withColumn(at, F.concat(folder, F.lit("\x01"), "rel_path")), at, "seq", ("pos",)).drop(at)
+    return batching.positions(rows.withColumn(at, _at()), at, "seq", ("pos",)).drop(at)
+
 
+def counted(parsed: DataFrame) -> DataFrame:
+    """rel_path, n, first, last of each file with units: how many it has, and the bounds of their pos. Reads no contents."""
+    own = parsed.where("unit_type is not null").select("rel_path", "pos")
+    return materialize(own.groupBy("rel_path").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last")), "counted")
 
-def numbered(parsed: DataFrame) -> DataFrame:
-    """Units with seq and unit_id, both their place. parsed is read several times, so it should be a written table."""
-    rows = placed(parsed)
+
+def starts(counts: DataFrame) -> DataFrame:
+    """rel_path, start: what a unit's pos is taken to for its place by folder, file and position."""
+    rows = batching.running(counts.withColumn("at", _at()), ["at"], {"n": "before"})
+    return rows.select("rel_path", (F.col("before") - F.col("first")).alias("start"))
+
+
+def numbered(parsed: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Units with seq and unit_id, both their place. parsed is read several times, so it should be a written table.
+
+    Files are counted and put in order by name, and their units follow from where each file starts (given, if parsed is only a part of
+    the units), so contents move once at most, and stay where they are if parsed is in buckets by rel_path. Files that several
+    rows share a pos of are put in order unit by unit.
+    """
+    if start is None:
+        counts = counted(parsed)
+        start = starts(counts) if counts.where("n <> last - first + 1").isEmpty() else None
+    if start is None:
+        rows = placed(parsed)
+    else:
+        rows = parsed.where("unit_type is not null").join(start.hint("shuffle_hash"), "rel_path").withColumn("seq", (F.col("start") + F.col("pos")).cast("long"))
     return rows.select(F.col("seq").alias("unit_id"), "seq", F.col("rel_path").alias("path"), "content", "unit_type", "name", "package", "class_name", T.content_hash("content").alias("content_hash"))
 
 

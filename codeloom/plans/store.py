@@ -10,6 +10,7 @@ The log is read as a table. The store as it was at any commit is what has been a
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import os
@@ -78,6 +79,13 @@ class Store:
         at, fs = self._folder(path)
         fs.delete(at, True)
 
+    def drop_scratch(self, path: str) -> None:
+        """Deletes a table that a build wrote on its way, and what was shuffled for it: Spark deletes shuffle files only when the
+        driver collects garbage."""
+        self._delete(path)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     # the log
 
     def head(self) -> int:

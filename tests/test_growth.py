@@ -1,5 +1,7 @@
 """Steps whose work must not grow faster than their input."""
 
+import os
+import random
 import re
 import time
 import tracemalloc
@@ -8,9 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from codeloom import schemas
 from codeloom.extract import erlang, java, python
+from codeloom.functions import tables
 from codeloom.functions import text as T
-from codeloom.operators import catalog, embed, index, units
+from codeloom.operators import cache, catalog, embed, index, units
+from codeloom.plans import build
 from codeloom.plans import contract as C
 from codeloom.streaming import files
 
@@ -87,6 +92,91 @@ def test_units_are_parsed_once_to_be_numbered(spark, tmp_path, monkeypatch):
     assert ids == list(range(len(ids))) and len(ids) > 12 and seen.value == 12
 
 
+def _bytes(path):
+    return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(path) for name in names)
+
+
+def test_a_version_holds_contents_once(spark, tmp_path):
+    """What a build leaves behind, in the store and beside it, of contents that don't compress much."""
+    rng, root = random.Random(5), tmp_path / "repo"
+    root.mkdir()
+    body = lambda: "".join(chr(rng.randrange(0x4E00, 0x8E00)) for _ in range(60_000))
+    for i in range(24):
+        (root / f"f{i}.xml").write_text(body())
+    shared = tables.shared_dir(spark).removeprefix("file:")
+    before, size = _bytes(shared), _bytes(root)
+    full = build.build_index(spark, str(root), str(tmp_path / "store"), with_report=False)
+    assert _bytes(tmp_path / "store") + _bytes(shared) - before < 1.5 * size and full.units.count() == 24
+    assert not os.path.exists(f"{full.location}/parsed") and not [t.name for t in spark.catalog.listTables() if t.name.startswith("codeloom_")]
+    (root / "f3.xml").write_text(body())
+    (root / "f4.xml").unlink()
+    again = build.build_index(spark, str(root), str(tmp_path / "store"), incremental_build=True, with_report=False)
+    assert _bytes(tmp_path / "store") + _bytes(shared) - before < 3 * size and again.units.count() == 23
+
+
+def test_an_incremental_build_keeps_what_failed(spark, tmp_path):
+    for name, body in {"a/bad.py": "def broken(:\n", "a/one.py": "def one(): pass\n\n\ndef two(): pass\n", "b.py": "def b(): pass\n", "gone.py": "def gone(:\n"}.items():
+        (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / name).write_text(body)
+    root, store = str(tmp_path / "r"), str(tmp_path / "store")
+    build.build_index(spark, root, store, with_report=False)
+    (tmp_path / "r/gone.py").unlink()
+    (tmp_path / "r/a/new.py").write_text("def new(): pass\n")
+    build.build_index(spark, root, store, incremental_build=True, with_report=False)
+    (tmp_path / "r/b.py").write_text("def b2(): return 22\n")
+    again = build.build_index(spark, root, store, incremental_build=True, with_report=False)
+    full = build.build_index(spark, root, str(tmp_path / "other"), with_report=False)
+    assert sorted(map(str, again.units.collect())) == sorted(map(str, full.units.select(*again.units.columns).collect()))
+    assert sorted(map(str, again.audit.collect())) == sorted(map(str, full.audit.collect())) and again.audit.where("error_type = 'SyntaxError'").count() == 1
+
+
+def _moved(df):
+    """Columns of the rows that are shuffled."""
+    plan = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return set(re.findall(r"(\w+)#\d+", " ".join(re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan))))
+
+
+def test_contents_are_not_shuffled_to_be_numbered_or_looked_up(spark, tmp_path):
+    rows = spark.range(40_000).select(F.format_string("d%d/f%d.py", F.expr("id div 2 % 7"), F.expr("id div 2")).alias("rel_path"), (F.col("id") % 2).cast("int").alias("pos"), F.concat(F.lit("t"), F.col("id") % 900).alias("content"), F.col("id").cast("string").alias("name"), *[F.lit("file").alias(c) for c in ("unit_type", "package", "class_name")])
+    parsed = tables.bucketed(rows, str(tmp_path / "parsed"), "rel_path")
+    own = units.numbered(parsed)
+    assert _moved(own) and "content" not in _moved(own)
+    want = {r.name: r.seq for r in units.placed(parsed).collect()}
+    own.write.parquet(str(tmp_path / "units"))
+    own = spark.read.parquet(str(tmp_path / "units"))
+    assert {r.name: r.seq for r in own.collect()} == want and sorted(want.values()) == list(range(40_000))
+    known = own.where("content = 't7'").limit(1).select("content_hash", F.lit("m").alias("model"), F.lit(1).alias("dimensions"), F.lit(None).cast("array<float>").alias("vector"))
+    known = spark.createDataFrame(known.collect(), schemas.CACHE)
+    missed = cache.misses(own, known)
+    assert "content" not in _moved(missed)
+    assert sorted(r.content for r in missed.collect()) == sorted(f"t{i}" for i in range(900) if i != 7)
+
+
+def test_buckets_lie_where_they_are_asked_for(spark, tmp_path):
+    for path in (str(tmp_path / "a b%20c"), f"target-{tmp_path.name}"):
+        rows = tables.bucketed(spark.range(50).withColumn("k", F.col("id") % 5), path, "k")
+        assert rows.count() == spark.read.parquet(path).count() == 50 and "Exchange" not in rows.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        assert at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def test_chosen_rows(spark, monkeypatch):
+    rows = spark.range(100_000).select("id", F.lit("wide").alias("place"))
+    keys = spark.createDataFrame([(i,) for i in (0, 1, 7, 8, 9, 32767, 32768, 32769, 65536, 99_999, 200_000, 8)], "id long")
+    want = [0, 1, 7, 8, 9, 32767, 32768, 32769, 65536, 99_999]
+    found = tables.chosen(rows, "id", keys)
+    assert found.columns == rows.columns and sorted(r.id for r in found.collect()) == want
+    monkeypatch.setattr(tables, "MASK_BYTES", 0)  # too many numbers for a mask
+    assert sorted(r.id for r in tables.chosen(rows, "id", keys).collect()) == want
+    assert tables.chosen(rows, "id", keys.limit(0)).count() == 0
+
+
+def test_units_of_a_path_that_comes_twice_are_all_numbered(spark):
+    parsed = units.parse_texts(spark.createDataFrame([("a/x.py", "def f(): pass\n"), ("a/x.py", "def g(): pass\n\n\ndef h(): pass\n"), ("b.xml", "<a/>")], "rel_path string, content string"))
+    rows = units.numbered(tables.materialize(parsed, "parsed")).orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(6)) and rows[0].path == "b.xml" and sorted(r.name for r in rows[1:]) == ["f", "g", "h", "x.py", "x.py"]
+
+
 def test_ancestors_are_found_once_for_each_commit(spark, monkeypatch):
     written, write = [], catalog.materialize
     monkeypatch.setattr(catalog, "materialize", lambda df, name: [out := write(df, name), written.append(out.count())][0])
