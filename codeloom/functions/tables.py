@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,12 @@ def drop_table(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that no DataFrame needs any more: its cleaner acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bucketed(df: DataFrame, path: str, by: str) -> DataFrame:
     """Write df to a path in as many buckets of a column as there are shuffle partitions and read it back, so that a join by this
     column moves only the other side. The name in the catalog that this takes is given up at once; the files stay."""

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from codeloom.functions.tables import drop_table, materialize, shared_dir, unused  # noqa: F401
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files that no DataFrame needs any more: its cleaner acts when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+from codeloom.functions.tables import drop_table, materialize, release, shared_dir, unused  # noqa: F401
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -10,7 +10,6 @@ The log is read as a table. The store as it was at any commit is what has been a
 
 from __future__ import annotations
 
-import gc
 import json
 import math
 import os
@@ -75,17 +74,10 @@ class Store:
         at, fs = self._folder(path)
         return sorted((s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(at)) if fs.exists(at) else []
 
-    def _delete(self, path: str) -> None:
+    def drop(self, path: str) -> None:
         at, fs = self._folder(path)
         fs.delete(at, True)
 
-    def drop_scratch(self, path: str) -> None:
-        """Deletes a table that a build wrote on its way, and what was shuffled for it: Spark deletes shuffle files only when the
-        driver collects garbage."""
-        self._delete(path)
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     # the log
 
     def head(self) -> int:
@@ -216,7 +208,7 @@ class Store:
         try:
             return self.commit(make)
         except Conflict:
-            self._delete(merged.path)
+            self.drop(merged.path)
             return None
 
     # what nobody needs
@@ -240,7 +232,7 @@ class Store:
         there = {path for path, _ in folders}
         gone = [path for path in gone if path in there] + [path for path, at in folders if path not in known and at < limit]
         for path in gone:
-            self._delete(path)
+            self.drop(path)
         return gone
 
 
